@@ -17,6 +17,20 @@ m AS (
 SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN m ON m.page_id = p.page_id AND k = 1
 """
 
+_OP6 = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {_W}) AS w FROM documents),
+g AS (SELECT r, unnest(range(1, len(w) - 33)) AS i, w FROM t WHERE len(w) >= 35),
+h AS (SELECT r, i, array_to_string(list_slice(w, i, i + 34), ' ') AS s FROM g),
+d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS n FROM h) WHERE n > 1),
+c AS (SELECT DISTINCT r, i + k AS p FROM d, range(35) AS o(k)),
+e AS (SELECT r, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM t),
+k AS (
+ SELECT e.r, count(*) AS n_kept, string_agg(word, ' ' ORDER BY e.p) AS kept
+ FROM e LEFT JOIN c ON c.r = e.r AND c.p = e.p WHERE c.p IS NULL GROUP BY e.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN k ON k.r = t.r
+"""
+
 _OP7 = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_W}) AS w FROM documents),
 b AS (
@@ -41,5 +55,6 @@ FROM x
 
 ORACLES: dict[str, str] = {
     "op2_urls": _OP2,
+    "op6_substrings": _OP6,
     "op7_quality": _OP7,
 }

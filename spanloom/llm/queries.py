@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, sharding, simhash, urls
+from . import decontam, langid, mixing, quality, sharding, simhash, substrings, toxicity, urls
 from .common import held_out
 
 
@@ -39,10 +39,25 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.filter(~held_out(F.col("doc_id"))))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_offending", "worst_sentence")
+
+
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_read(spark, sf_dir, "documents"), shards=8)
 
@@ -52,6 +67,9 @@ QUERIES = {
     "op2_urls": op2_urls,
     "op3_simhash": op3_simhash,
     "op5_mixing": op5_mixing,
+    "op6_substrings": op6_substrings,
     "op7_quality": op7_quality,
+    "op8_toxicity": op8_toxicity,
+    "op9_decontam": op9_decontam,
     "op10_sharding": op10_sharding,
 }
