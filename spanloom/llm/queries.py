@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, quality, sharding, simhash, substrings, toxicity, urls
+from . import decontam, html, langid, mixing, quality, sharding, simhash, substrings, toxicity, urls
 from .common import held_out
 
 
@@ -34,6 +34,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages, html.learn(pages))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -66,6 +71,7 @@ QUERIES = {
     "op1_langid": op1_langid,
     "op2_urls": op2_urls,
     "op3_simhash": op3_simhash,
+    "op4_html": op4_html,
     "op5_mixing": op5_mixing,
     "op6_substrings": op6_substrings,
     "op7_quality": op7_quality,
