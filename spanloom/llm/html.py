@@ -81,7 +81,7 @@ class Page:
     """Nodes in page order (parent before child) and the pieces of text between block borders."""
 
     def __init__(self, source: str | None, cache: dict) -> None:
-        self.parent, self.tag, self.bits, self.label = [-1], [_TAG["body"]], [0], [-1]
+        self.parent, self.depth, self.tag, self.bits, self.label = [-1], [0], [_TAG["body"]], [0], [-1]
         self.pieces: list[tuple[int, int, str, bool]] = []  # node, block, raw text, in a link
         stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the node that holds their text
         block = links = pos = 0
@@ -142,6 +142,7 @@ class Page:
                 del stack[shut:]
             bits, label = _attributes(attrs, cache)
             self.parent.append(stack[-1][1])
+            self.depth.append(self.depth[stack[-1][1]] + 1)
             self.tag.append(_TAG.get(name, len(TAG_GROUPS)))
             self.bits.append(bits)
             self.label.append(label)
@@ -178,20 +179,9 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
                 linked[f + node] += size
             elif size:
                 stops[f + node] += raw.count(".") + raw.count(",")
-    depth = np.zeros(n, np.int64)
-    at, level = np.flatnonzero(parent >= 0), 0
-    order = [np.flatnonzero(parent < 0)]
-    while len(at):  # level by level
-        level += 1
-        here = depth[parent[at]] == level - 1
-        if level > 1:
-            here &= np.isin(parent[at], order[-1])
-        now = at[here]
-        if not len(now):
-            break
-        depth[now] = level
-        order.append(now)
-        at = at[~here]
+    depth = np.concatenate([np.array(p.depth) for p in pages])
+    by_depth = np.argsort(depth, kind="stable")
+    order = np.split(by_depth, np.flatnonzero(np.diff(depth[by_depth])) + 1)  # level by level
     whole, link_all, stop_all, nodes, longest = own.copy(), linked.copy(), stops.copy(), np.ones(n), own.copy()
     for now in reversed(order[1:]):
         for x in (whole, link_all, stop_all, nodes):
@@ -210,6 +200,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     rank[by_parent] = np.arange(n) - np.maximum.accumulate(np.where(begin, np.arange(n), 0))
     before = np.zeros(n)
     before[by_parent[1:]] = np.where(begin[1:], 0, whole[by_parent[:-1]])
+    rank[first[:-1]] = before[first[:-1]] = 0
     sibling_text = np.where(parent >= 0, whole[up] - own[up], whole)
     total = np.maximum(whole[first[:-1]][page], 1)
     log = np.log1p
