@@ -22,11 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import chunks, gram_hashes, split_words
+from .common import chunks, durable, gram_hashes, split_words
 
 
 def _bits(h: np.ndarray) -> np.ndarray:
@@ -132,32 +134,47 @@ class Index:
             yield group["names"][item], value, s, min(m, n_words)
 
 
-def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 28, blocks: int = 4, max_items: int = 20_000) -> DataFrame:
-    """(doc_id, item_id, similarity, first_word, n_words): one row for each document and item that it holds."""
-    from .common import durable
-
-    spark = docs.sparkSession
+def _indexes(items: DataFrame, item_id_col: str, item_text_col: str, shingle_words: int, similarity: float, radius: int, blocks: int, max_items: int) -> Iterator[Broadcast]:
     listed = durable(items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null"))
     passes = max(1, -(-listed.count() // max_items))
+    for p in range(passes):
+        own = listed.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).collect()
+        yield items.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in own], shingle_words, similarity, radius, blocks))
+
+
+def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 28, blocks: int = 4, max_items: int = 20_000) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word, n_words): one row for each document and item that it holds."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", items.schema[item_id_col].dataType), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
+    types, names = list(to_arrow_schema(schema).types)[1:], schema.names
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for p in range(passes):
-        own = listed.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).collect()
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in own], shingle_words, similarity, radius, blocks))
+    for index in _indexes(items, item_id_col, item_text_col, shingle_words, similarity, radius, blocks, max_items):
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            search = index.value.search
+        def run(batches: Iterator[pa.RecordBatch], index: Broadcast = index) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 texts = b.column(1).to_pylist()
                 for i, j in chunks(texts, lambda t: len(t or "")):
-                    found = list(search(texts[i:j]))
+                    found = list(index.value.search(texts[i:j]))
                     columns = list(zip(*found)) or [[]] * 5
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i + k for k in columns[0]], pa.int64())), *(pa.array(c, b_type) for c, b_type in zip(columns[1:], types))], names)
-
-        from pyspark.sql.pandas.types import to_arrow_schema
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i + k for k in columns[0]], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], types))], names)
 
-        types, names = list(to_arrow_schema(schema).types)[1:], schema.names
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.union(part)
     return out
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 28, blocks: int = 4, max_items: int = 20_000) -> DataFrame:
+    """The rows of docs that hold no item, in one pass for each part of the benchmark."""
+    at = docs.columns.index(text_col)
+    out = docs
+    for index in _indexes(items, item_id_col, item_text_col, shingle_words, similarity, radius, blocks, max_items):
+
+        def run(batches: Iterator[pa.RecordBatch], index: Broadcast = index) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts, keep = b.column(at).to_pylist(), np.ones(b.num_rows, bool)
+                for i, j in chunks(texts, lambda t: len(t or "")):
+                    keep[[i + k for k, *_ in index.value.search(texts[i:j])]] = False
+                yield b.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

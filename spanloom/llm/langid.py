@@ -18,9 +18,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks
 
@@ -143,13 +144,14 @@ def _scorer(profiles: dict[str, dict[int, int]], top: int) -> Callable[[list], t
     return score
 
 
-def identify(docs: DataFrame, profiles: DataFrame, text_col: str = "text", top: int = 300, max_languages: int = 1000) -> DataFrame:
-    """The rows of docs with lang_pred and score. At most `max_languages` profiles of `top` n-grams go to every task."""
+def identify(docs: DataFrame, profiles: DataFrame, text_col: str = "text", top: int = 300, max_languages: int = 1000, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows of docs with lang_pred and score, under the names in `out`; input columns of those names are replaced. At most `max_languages` profiles of `top` n-grams go to every task."""
     learned: dict[str, dict[int, int]] = {}
     for r in profiles.limit(max_languages * top + 1).collect():
         learned.setdefault(r.lang, {})[r.gram] = r["rank"]
     if len(learned) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
+    docs = docs.drop(*out)
     text_at = docs.columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,15 +160,6 @@ def identify(docs: DataFrame, profiles: DataFrame, text_col: str = "text", top:
             texts = b.column(text_at).to_pylist()
             parts = [score(texts[i:j]) for i, j in chunks(texts, lambda t: len(t or ""))]
             found = pa.array([x for p in parts for x in p[0]], pa.string()), pa.array(np.concatenate([p[1] for p in parts] or [np.empty(0)]))
-            yield pa.RecordBatch.from_arrays([*b.columns, *found], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *found], [*b.schema.names, *out])
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([f for f in docs.schema if f.name not in ("lang_pred", "score")])
-    if len(schema) < len(docs.columns):
-        docs, text_at = docs.drop("lang_pred", "score"), schema.names.index(text_col)
-    return docs.mapInArrow(predict, T.StructType([*schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
-
-
-def train_and_identify(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", top: int = 300) -> DataFrame:
-    return identify(docs, learn_profiles(docs.filter(train), text_col, lang_col, top), text_col, top)
+    return docs.mapInArrow(predict, T.StructType([*docs.schema, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())]))

@@ -14,7 +14,7 @@ whose ids are all null has a null id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, durable, split_words
+from .common import chunks, durable, gram_hashes, split_words
 
 
 def text_fingerprints(texts: list, shingle_words: int = 4, seed: int = 42) -> np.ndarray:
@@ -69,15 +69,54 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, f"doc_id {kind}, fp long")
 
 
-def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) of the components that links within the radius make of two tiles."""
+class Forest:
+    """A minimum spanning forest of links by distance, grown from batches of links; holds no more than nodes and a buffer."""
+
+    def __init__(self, n: int, most: int = 4_000_000) -> None:
+        self.n, self.most, self.size = n, most, 0
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, d: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+        self.held.append((d, u, v))
+        self.size += len(d)
+        if self.size > self.most:  # the forest of a part and of the rest have the forest of all
+            self.held = [self.edges()]
+            self.size = len(self.held[0][0])
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
+        d, u, v = (np.concatenate(x) for x in zip(*self.held))
+        root, chosen = np.arange(self.n), []
+        for k in np.unique(d):
+            at = np.flatnonzero(d == k)
+            while True:
+                a, b = root[u[at]], root[v[at]]
+                apart = a != b
+                at, a, b = at[apart], a[apart], b[apart]
+                if not len(at):
+                    break
+                high, low = np.maximum(a, b), np.minimum(a, b)
+                hook, which = np.unique(high, return_index=True)  # every root hooks once, to a smaller one
+                root[hook] = low[which]
+                chosen.append(at[which])
+                while (root[root] != root).any():
+                    root = root[root]
+        at = np.concatenate(chosen) if chosen else np.empty(0, np.int64)
+        return d[at], u[at], v[at]
+
+
+def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int, also: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (of a, of b) that a spanning forest of two tiles' links joins, nearest links first; rows of b follow those of a.
+
+    `also`, given rows of a and of b, says which links hold.
+    """
     half = np.uint64(32)
     up = [np.bitwise_count(x >> half).astype(np.int16) for x in (a, b)]
     ia, ib = np.argsort(up[0], kind="stable"), np.argsort(up[1], kind="stable")
     a, b, ua, ub = a[ia], b[ib], up[0][ia], up[1][ib]
-    nodes = a if same else np.concatenate((a, b))
     shift = 0 if same else len(a)
-    root = np.arange(len(nodes))
+    forest = Forest(len(a) + (0 if same else len(b)))
     step, width = 64, 4096
     for i in range(0, len(a), step):
         rows = a[i : i + step, None]
@@ -87,15 +126,28 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.n
             if bits.min() > radius:
                 continue
             u, v = (bits <= radius).nonzero()
-            u, v = root[u + i], root[v + j + shift]
-            while (apart := u != v).any():
-                u, v = u[apart], v[apart]
-                np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
-                while (root[root] != root).any():
-                    root = root[root]
-                u, v = root[u], root[v]
-    moved = root != np.arange(len(nodes))
-    return nodes[moved], nodes[root[moved]]
+            d, u, v = bits[u, v], ia[u + i], ib[v + j]
+            keep = u != v if same else np.ones(len(u), bool)
+            if also is not None:
+                keep[keep] = also(u[keep], v[keep])
+            forest.add(d[keep], u[keep], v[keep] + shift)
+    _, u, v = forest.edges()
+    return u, v
+
+
+def _tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
+    """(a, b, fa, fb) for the pairs of tiles (tile, pop, fps and, if there, class) that may hold links; classes may differ by one."""
+    classed = "class" in tiles.columns
+    reach = F.explode(F.sequence("pop", F.col("pop") + radius)).alias("pop")
+    near = [F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)).alias("class")] if classed else []
+    left = tiles.select(F.col("tile").alias("a"), reach, *(["class"] if classed else []))
+    left = left.select("a", "pop", *near)
+    on = ["pop", "class"] if classed else ["pop"]
+    pairs = left.join(tiles.select(F.col("tile").alias("b"), F.col("pop").alias("pop"), *on[1:]), on)
+    # the same pair of tiles of one count comes from both sides
+    pairs = pairs.filter((F.col("a") <= F.col("b")) | (F.shiftright("a", 32) != F.shiftright("b", 32))).select("a", "b")
+    work = pairs.join(tiles.select(F.col("tile").alias("a"), F.col("fps").alias("fa")), "a").repartition("a", "b")
+    return work.join(tiles.select(F.col("tile").alias("b"), F.col("fps").alias("fb")), "b")
 
 
 def links(values: DataFrame, radius: int = 4, tile_rows: int = 32768) -> DataFrame:
@@ -108,16 +160,15 @@ def links(values: DataFrame, radius: int = 4, tile_rows: int = 32768) -> DataFra
         return pd.DataFrame({"pop": pdf["pop"].iloc[:1], "part": pdf["part"].iloc[:1], "fps": [np.sort(pdf["fp"].to_numpy()).tobytes()]})
 
     tiles = durable(parts.groupBy("pop", "part").applyInPandas(pack, "pop int, part int, fps binary").withColumn("tile", F.col("pop") * F.lit(1 << 32) + F.col("part")))
-    left = tiles.select(F.col("tile").alias("a"), F.explode(F.sequence("pop", F.col("pop") + radius)).alias("pop"))
-    pairs = left.join(tiles.select(F.col("tile").alias("b"), "pop"), "pop").filter("a <= b").select("a", "b")
-    work = pairs.join(tiles.select(F.col("tile").alias("a"), F.col("fps").alias("fa")), "a").repartition("a", "b")
-    work = work.join(tiles.select(F.col("tile").alias("b"), F.col("fps").alias("fb")), "b")
+    work = _tile_pairs(tiles, radius)
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for a, b, fa, fb in zip(pdf["a"], pdf["b"], pdf["fa"], pdf["fb"]):
-                u, v = _forest(np.frombuffer(fa, np.uint64), np.frombuffer(fb, np.uint64), a == b, radius)
-                yield pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+                x, y = np.frombuffer(fa, np.int64), np.frombuffer(fb, np.int64)
+                u, v = _forest(x.view(np.uint64), y.view(np.uint64), a == b, radius)
+                nodes = x if a == b else np.concatenate((x, y))
+                yield pd.DataFrame({"u": nodes[u], "v": nodes[v]})
 
     return work.select("a", "b", "fa", "fb").mapInPandas(compare, "u long, v long")
 
@@ -155,3 +206,110 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+_BINS = 32
+
+
+def _profiles(texts: list, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each text, and a one-permutation minhash sketch: the least 16-bit rest in each of 32 bins."""
+    w = split_words(texts, lower=True)
+    count, sketch = np.zeros(len(texts), np.int32), np.full((len(texts), _BINS), 0xFFFF, np.uint16)
+    for k in range(len(texts)):
+        h = w.hash[w.of(k)]
+        s = np.unique(gram_hashes(h, min(shingle_words, len(h)))) if len(h) else h
+        count[k] = len(s)
+        np.minimum.at(sketch[k], (s >> np.uint64(59)).astype(np.int64), (s >> np.uint64(43)).astype(np.uint16))
+    return count, sketch
+
+
+def jaccard(a: str, b: str, shingle_words: int = 5) -> float:
+    """Shared over all distinct shingles of two texts; two texts without words are alike."""
+    sets = []
+    for t in (a, b):
+        h = split_words([t], lower=True).hash
+        sets.append(np.unique(gram_hashes(h, min(shingle_words, len(h)))) if len(h) else h)
+    both = len(np.intersect1d(*sets, assume_unique=True))
+    total = len(sets[0]) + len(sets[1]) - both
+    return both / total if total else 1.0
+
+
+def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 14, tile_rows: int = 8192, seed: int = 42) -> DataFrame:
+    """(node, root): classes of texts that links of at least `similarity` join; node is the text's XXH64.
+
+    Texts are compared as fingerprints within the radius, in tiles of a population count and a class of sizes (texts
+    whose numbers of shingles differ by more than the similarity allows can't reach it). In a pair of tiles, links whose
+    minhash sketches rule the similarity out are left, and a minimum spanning forest of the others, nearest first, is
+    verified by exact Jaccard similarity of the shingles: linear in the texts, however large a group of copies is.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for i, j in chunks(texts, len):
+                fp = text_fingerprints(texts[i:j], shingle_words, seed).view(np.int64)
+                count, sketch = _profiles(texts[i:j], shingle_words)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(fp), pa.array(count), pa.array([x.tobytes() for x in sketch], pa.binary())], ["node", "fp", "n", "sketch"])
+
+    named = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
+    seen = durable(named.mapInArrow(of, "node long, fp long, n int, sketch binary")).dropDuplicates(["node"])
+    step = float(-np.log(similarity))
+    v = durable(seen.withColumns({"pop": F.bit_count("fp").cast("int"), "class": F.floor(F.log(F.greatest("n", F.lit(1))) / step).cast("int")}))
+    size = durable(v.groupBy("pop", "class").agg(F.count("*").alias("rows")))
+    parts = v.join(size, ["pop", "class"]).withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / tile_rows)).cast("int")).drop("rows")
+    kind = np.dtype([("node", "<i8"), ("fp", "<u8"), ("n", "<i4"), ("sketch", "<u2", _BINS)])
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = np.zeros(len(pdf), kind)
+        rows["node"], rows["fp"], rows["n"] = pdf["node"], pdf["fp"].to_numpy().view(np.uint64), pdf["n"]
+        rows["sketch"] = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, _BINS)
+        rows = rows[np.argsort(rows["node"])]
+        return pd.DataFrame({"pop": pdf["pop"].iloc[:1], "class": pdf["class"].iloc[:1], "part": pdf["part"].iloc[:1], "fps": [rows.tobytes()]})
+
+    tiles = parts.groupBy("pop", "class", "part").applyInPandas(pack, "pop int, class int, part int, fps binary")
+    tiles = durable(tiles.withColumn("tile", F.col("pop") * F.lit(1 << 32) + F.col("class") * F.lit(1 << 24) + F.col("part")))
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for a, b, fa, fb in zip(pdf["a"], pdf["b"], pdf["fa"], pdf["fb"]):
+                x, y = np.frombuffer(fa, kind), np.frombuffer(fb, kind)
+
+                def also(u: np.ndarray, v: np.ndarray, x: np.ndarray = x, y: np.ndarray = y) -> np.ndarray:
+                    small, large = np.minimum(x["n"][u], y["n"][v]), np.maximum(x["n"][u], y["n"][v])
+                    out = small >= similarity * large
+                    for c in range(0, len(u), 65536):
+                        p, q = x["sketch"][u[c : c + 65536]], y["sketch"][v[c : c + 65536]]
+                        used = ((p != 0xFFFF) | (q != 0xFFFF)).sum(1)
+                        out[c : c + 65536] &= ((p == q) & (p != 0xFFFF)).sum(1) >= (similarity - 0.3) * used  # over four deviations below
+                    return out
+
+                u, v = _forest(x["fp"].copy(), y["fp"].copy(), a == b, radius, also)
+                nodes = x["node"] if a == b else np.concatenate((x["node"], y["node"]))
+                yield pd.DataFrame({"u": nodes[u], "v": nodes[v]})
+
+    edges = durable(_tile_pairs(tiles, radius).select("a", "b", "fa", "fb").mapInPandas(compare, "u long, v long").distinct())
+    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    texts = durable(named.join(ends, "node").dropDuplicates(["node"]))
+    both = edges.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
+
+    @F.pandas_udf("double")
+    def exact(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x, y, shingle_words) for x, y in zip(a, b)], dtype=float)
+
+    return components(both.withColumn("s", exact("tu", "tv")).filter(F.col("s") >= similarity).select("u", "v"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """The rows of docs, one for each class of similar texts: that of the smallest id, null ids last."""
+    node = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    classes = similar_classes(docs, text_col, **options)
+    slim = docs.select(node.alias("node"), F.col(id_col).alias("id")).groupBy("node", "id").agg(F.count(F.lit(1)).alias("rows"))
+    rooted = slim.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "rows")).alias("best"))
+    best = durable(best.select(F.col("best.node").alias("_node"), F.col("best.id").alias("_id"), (F.col("best.rows") > 1).alias("_many")))
+    marked = docs.withColumn("_node", node)
+    kept = marked.join(best, "_node").filter(F.col("_id").eqNullSafe(F.col(id_col)))
+    once = kept.filter("not _many").select(*docs.columns)
+    again = kept.filter("_many").dropDuplicates(["_node"]).select(*docs.columns)
+    return once.union(again)
