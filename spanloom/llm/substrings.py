@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -92,31 +93,48 @@ def repeated_masks(group: np.ndarray, words: np.ndarray, low: np.ndarray, high:
     return (bits << o.astype(np.uint64)).sum(1, dtype=np.uint64)
 
 
-def repeated_windows(docs: DataFrame, window: int = 35, k: int = 8, max_group: int = 20_000) -> DataFrame:
-    """docs (a, b: the text's two hashes, text) -> (a, b, pos, mask): windows that start at pos - (window - k) + bit and occur elsewhere."""
+def packed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, a, b, text) with the text's two hashes, and the same with the text compressed as z: it is shuffled so."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), text.alias("text"))
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for rb in batches:
+            z = [pack(t.encode("utf-8", "surrogatepass")) for t in rb.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*rb.columns[:3], pa.array(z, pa.binary())], ["doc_id", "a", "b", "z"])
+
+    # the hashes are never null: both joins then read the same exchange
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("a", T.LongType(), False), T.StructField("b", T.LongType(), False), T.StructField("z", T.BinaryType())])
+    return plain, plain.mapInArrow(compress, schema)
+
+
+def repeated_windows(plain: DataFrame, small: DataFrame, window: int = 35, k: int = 8, max_group: int = 20_000) -> DataFrame:
+    """Both tables of packed() -> (a, b, pos, mask): windows that start at pos - (window - k) + bit and occur elsewhere."""
     span, reach = window - k + 1, window - k
     width = window + reach
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             texts = rb.column(2).to_pylist()
-            for i, j in chunks(texts, len):
+            for i, j in chunks(texts, len):  # whole texts
                 w = split_words(texts[i:j])
                 at, g = _anchors(w.hash, w.first, window, k)
                 doc = np.searchsorted(w.first, at, "right") - 1
                 row = pa.array(doc + i)
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), rb.column(0).take(row), rb.column(1).take(row), pa.array((at - w.first[doc]).astype(np.int32))], ["g", "a", "b", "pos"])
 
-    found = docs.mapInArrow(anchors, "g long, a long, b long, pos int")
+    found = plain.select("a", "b", "text").mapInArrow(anchors, "g long, a long, b long, pos int")
     shared = found.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("g"))).filter("n > 1")
     places = shared.groupBy("a", "b").agg(F.collect_set(F.struct("pos", (F.col("n") > max_group).alias("hot"))).alias("places"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "whole", "words", "low", "high", "a", "b", "pos"]
+        unpack = zstandard.ZstdDecompressor().decompress
         for rb in batches:
             texts, places = rb.column(2).to_pylist(), rb.column(3).to_pylist()
-            for i, j in chunks(texts, len):
-                w = split_words(texts[i:j])
+            for i, j in chunks(texts, lambda z: 3 * len(z)):
+                w = split_words([unpack(z) for z in texts[i:j]])
                 row = np.repeat(np.arange(j - i), [len(p) for p in places[i:j]])
                 pos = np.array([x["pos"] for p in places[i:j] for x in p], np.int64)
                 hot = np.array([x["hot"] for p in places[i:j] for x in p], bool)
@@ -143,21 +161,29 @@ def repeated_windows(docs: DataFrame, window: int = 35, k: int = 8, max_group: i
                         take, off = pa.array(i + r[f][which]), pa.array(off.astype(np.int32))
                         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.ones(len(key), bool)), pa.nulls(len(key), pa.binary()), off, off, rb.column(0).take(take), rb.column(1).take(take), pa.array(p[f][which].astype(np.int32))], names)
 
-    suffixes = docs.join(places, ["a", "b"]).select("a", "b", "text", "places").mapInArrow(contexts, "key long, whole boolean, words binary, low int, high int, a long, b long, pos int")
+    # doc_id comes along so that this exchange of texts is the one that the result reads again
+    suffixes = small.join(places, ["a", "b"]).select("a", "b", "z", "places", "doc_id").mapInArrow(contexts, "key long, whole boolean, words binary, low int, high int, a long, b long, pos int")
+
+    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole groups, in order of their keys."""
+        whole = t["whole"].to_numpy()
+        keys = t["key"].to_numpy()
+        mask = np.zeros(len(keys), np.uint64)
+        if whole.any():  # groups of one window each
+            at = np.flatnonzero(whole)
+            same = np.concatenate(([False], keys[at[1:]] == keys[at[:-1]], [False]))
+            bit = np.uint64(1) << t["low"].to_numpy()[at].astype(np.uint64)
+            mask[at] = np.where(same[1:] | same[:-1], bit, np.uint64(0))
+        at = np.flatnonzero(~whole)
+        if len(at):
+            own = t.take(pa.array(at))
+            words = np.frombuffer(b"".join(own["words"].to_pylist()), np.uint64).reshape(-1, width)
+            mask[at] = repeated_masks(own["key"].to_numpy(), words, own["low"].to_numpy(), own["high"].to_numpy(), window)
+        out = t.select(["a", "b", "pos"]).append_column("mask", pa.array(mask.view(np.int64))).take(pa.array(np.flatnonzero(mask)))
+        yield from out.combine_chunks().to_batches()
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def solve(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            words = np.frombuffer(b"".join(t["words"].to_pylist()), np.uint64).reshape(-1, width)
-            mask = repeated_masks(t["key"].to_numpy(), words, t["low"].to_numpy(), t["high"].to_numpy(), window)
-            keep = pa.array(np.flatnonzero(mask))
-            t = t.take(keep)
-            columns = [t[c].combine_chunks() for c in ("a", "b", "pos")]
-            columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(mask[mask != 0].view(np.int64))], ["a", "b", "pos", "mask"])
-
         for rb in batches:
             held.append(rb)
             if sum(len(x) for x in held) < 8000:
@@ -166,32 +192,32 @@ def repeated_windows(docs: DataFrame, window: int = 35, k: int = 8, max_group: i
             keys = t["key"].to_numpy()
             cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
             if cut:
-                yield solve(t.slice(0, cut))
+                yield from solve(t.slice(0, cut))
                 held = t.slice(cut).combine_chunks().to_batches()
+            elif t["whole"][0].as_py():  # one window with very many places: two of its rows stand for what was there
+                yield from solve(t.slice(0, len(keys) - 2))
+                held = t.slice(len(keys) - 2).combine_chunks().to_batches()
         if held and sum(len(x) for x in held):
-            yield solve(pa.Table.from_batches(held))
+            yield from solve(pa.Table.from_batches(held))
 
-    cold = suffixes.filter("not whole").select("key", "words", "low", "high", "a", "b", "pos").repartition("key").sortWithinPartitions("key").mapInArrow(trees, "a long, b long, pos int, mask long")
-    hot = suffixes.filter("whole").groupBy("key", "low", "a", "b", "pos").agg(F.count(F.lit(1)).alias("n"))
-    nodes = hot.groupBy("key", "low").agg(F.sum("n").alias("total")).filter("total > 1")
-    return cold.union(hot.join(nodes, ["key", "low"]).select("a", "b", "pos", F.expr("shiftleft(1L, low)")))
+    return suffixes.repartition("key").sortWithinPartitions("key", "whole").mapInArrow(trees, "a long, b long, pos int, mask long")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, k: int = 8, max_group: int = 20_000, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, spans, kept if asked for) for every row; spans are [first, past last] words removed."""
     reach = window - k
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), text.alias("text"))
-    masks = repeated_windows(base.select("a", "b", "text"), window, k, max_group)
+    plain, small = packed(docs, id_col, text_col)
+    masks = repeated_windows(plain, small, window, k, max_group)
     spans = masks.groupBy("a", "b").agg(F.collect_set(F.struct("pos", "mask")).alias("hits"))
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), *([T.StructField("kept", T.StringType())] if with_text else [])])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for rb in batches:
             out: list[list] = [[] for _ in schema]
-            for text, hits in zip(rb.column(1).to_pylist(), rb.column(2).to_pylist()):
-                words = text.encode("utf-8", "surrogatepass").split()
+            for z, hits in zip(rb.column(1).to_pylist(), rb.column(2).to_pylist()):
+                words = unpack(z).split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 for h in hits or ():
                     mask = h["mask"]
@@ -210,4 +236,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             arrays = [pa.array(o, t) for o, t in zip(out[1:], [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())), pa.string()])]
             yield pa.RecordBatch.from_arrays([rb.column(0), *arrays], schema.names)
 
-    return base.join(spans, ["a", "b"], "left").select("doc_id", "text", "hits").mapInArrow(finish, schema)
+    return small.join(spans, ["a", "b"], "left").select("doc_id", "z", "hits").mapInArrow(finish, schema)
