@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):  # noqa: ANN201
 def _batches(t):  # noqa: ANN001, ANN202
     """The event log as JSON batches of up to 100 events, with every tenth batch a handshake, written and read as files."""
     ev = t("fx_events").withColumn("_b", F.floor(F.col("seq") / 100))
-    e = F.struct("kind", "request_id", "span_id", "parent_span_id", "seq", (F.unix_micros("ts") / 1e6).alias("ts"), F.struct("method", "path", "name", "duration_ms", "status").alias("data"))
+    e = F.struct("kind", "request_id", "span_id", "parent_span_id", "seq", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.struct("method", "path", "name", "duration_ms", "status").alias("data"))
     sent = ev.groupBy("_b").agg(F.collect_list(e).alias("events")).select(F.to_json(F.struct(F.lit("events").alias("kind"), (F.col("_b") % 3).alias("dropped"), "events")).alias("value"))
     hello = ev.select("_b").distinct().filter("_b % 10 = 0").select(F.to_json(F.struct(F.lit("register").alias("kind"), F.concat(F.lit("http://t"), F.col("_b").cast("string")).alias("brain_base_url"))).alias("value"))
     path = f"{shared_dir(t.spark)}/batches/{abs(hash(t.sf_dir))}"
@@ -56,7 +56,7 @@ _FILES = """
  files AS (SELECT p_partkey AS k, concat(CASE p_size % 5 WHEN 0 THEN 'app/api/' WHEN 1 THEN 'app/services/core/' WHEN 2 THEN 'tests/' WHEN 3 THEN '.venv/lib/' ELSE 'app/repo/node_modules/' END, 'm', CAST(p_partkey AS STRING), CASE WHEN p_size = 7 THEN '/__init__.py' WHEN p_size = 9 THEN '.txt' ELSE '.py' END) AS path,
   concat('from app.api.m', CAST(p_partkey - 1 AS STRING), ' import f', CAST(p_partkey - 1 AS STRING), ' as prev', chr(10), 'import os', chr(10), CASE WHEN p_size = 11 THEN 'def broken(:' ELSE concat('def f', CAST(p_partkey AS STRING), '(self, a, b=1, *, c):', chr(10),
    '    "', p_name, '"', chr(10), '    if a:', chr(10), '        prev(b)', chr(10), '    return os.path.join(a)') END, chr(10)) AS content, p_retailprice AS size,
-  TIMESTAMP '2024-01-01 00:00:00' + p_size * INTERVAL 1 HOUR AS mtime, p_size, p_name FROM part)"""
+  TIMESTAMP '2024-01-01 00:00:00' + p_size * INTERVAL 1 HOUR AS mtime, p_size, p_name FROM part WHERE p_partkey > 0)"""
 _SOURCE = " src AS (SELECT * FROM files WHERE p_size <> 9 AND p_size % 5 IN (0, 1, 2))"
 _MODULE = "concat(CASE p_size % 5 WHEN 0 THEN 'app.api.' WHEN 1 THEN 'app.services.core.' ELSE 'tests.' END, 'm', CAST(k AS STRING))"
 
@@ -150,7 +150,7 @@ def _(t):
 @query("F6_close_matches")
 def _(t):
     known = t("fx_functions").select(F.concat_ws(":", "module", "name").alias("id"))
-    gone = t("supplier").select(F.concat(F.lit("app.api.brand1:"), F.lower("s_name")).alias("id"))
+    gone = t("nation").select(F.concat(F.lit("app.api.brand"), F.col("n_nationkey").cast("string"), F.lit(":small_rings")).alias("id"))
     return catalog.close_matches(gone, known)
 
 
@@ -308,7 +308,7 @@ def _(t):
 
 def _stream(t, name: str = "fx_events"):  # noqa: ANN001, ANN202
     """A file stream over the view, a request's events all in one file, so that any number of files a trigger gives the same."""
-    rows = durable(t(name).repartition(8, "request_id"))
+    rows = durable(t(name).withColumn("ts", F.col("ts").cast("timestamp")).repartition(8, "request_id"))
     return streams.event_stream(t.spark, rows.inputFiles()[0].rsplit("/", 1)[0], rows.schema, 3)
 
 
