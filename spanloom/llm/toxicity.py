@@ -112,19 +112,20 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 h, s = np.array(ws, np.int64).view(np.uint64), np.array(ss, np.int64)
                 at = np.minimum(np.searchsorted(known_words, h), len(known_words) - 1)
                 hit = known_words[at] == h
-                out[0].append(at[hit])
-                out[1].append(s[hit])
+                out[0].append(at[hit].astype(np.int16).tobytes())
+                out[1].append(s[hit].astype(np.int32).tobytes())
                 out[2].append(len(np.unique(s)) - len(np.unique(s[hit])))
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(out[0], pa.list_(pa.int64())), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.int64())], ["y", "at", "sentence", "rest"])
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], ["y", "at", "sentence", "rest"])
 
-    rows = bag.mapInArrow(reduced, "y int, at array<long>, sentence array<long>, rest long").collect()  # the sample's vocabulary words only
+    # the sample's vocabulary words only, six bytes each
+    rows = bag.mapInArrow(reduced, "y int, at binary, sentence binary, rest long").collect()
     y = np.array([r.y for r in rows])
     importance = np.array([sizes[k] / n[k] for k in y])
-    doc = np.repeat(np.arange(len(rows)), [len(r["at"]) for r in rows])
-    word = np.concatenate([np.array(r["at"], np.int64) for r in rows])
-    sentence = np.concatenate([np.array(r.sentence, np.int64) for r in rows])
-    both, of = np.unique(np.stack((doc, sentence)), axis=1, return_inverse=True)
-    weights, bias = fit(y, importance, np.array([r.rest for r in rows]), both[0], of.reshape(-1), word, len(known_words))
+    doc = np.repeat(np.arange(len(rows)), [len(r["at"]) // 2 for r in rows])
+    word = np.frombuffer(b"".join(r["at"] for r in rows), np.int16).astype(np.int64)
+    sentence = np.frombuffer(b"".join(r.sentence for r in rows), np.int32)
+    both, of = np.unique(doc << 32 | sentence, return_inverse=True)
+    weights, bias = fit(y, importance, np.array([r.rest for r in rows]), both >> 32, of, word, len(known_words))
     return Model(known_words, weights, bias)
 
 
