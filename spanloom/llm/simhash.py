@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import chunks, durable, gram_hashes, split_words
@@ -136,30 +137,34 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int, also: Callabl
 
 
 def _tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
-    """(a, b, fa, fb) for the pairs of tiles (tile, pop, fps and, if there, class) that may hold links; classes may differ by one."""
-    classed = "class" in tiles.columns
-    reach = F.explode(F.sequence("pop", F.col("pop") + radius)).alias("pop")
-    near = [F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)).alias("class")] if classed else []
-    left = tiles.select(F.col("tile").alias("a"), reach, *(["class"] if classed else []))
-    left = left.select("a", "pop", *near)
-    on = ["pop", "class"] if classed else ["pop"]
-    pairs = left.join(tiles.select(F.col("tile").alias("b"), F.col("pop").alias("pop"), *on[1:]), on)
-    # the same pair of tiles of one count comes from both sides
-    pairs = pairs.filter((F.col("a") <= F.col("b")) | (F.shiftright("a", 32) != F.shiftright("b", 32))).select("a", "b")
+    """(a, b, fa, fb) for the pairs of tiles (tile, class, low, high, fps) that may hold links.
+
+    Their population counts, from low to high, come within the radius, and their classes differ by one at most.
+    """
+    slim = tiles.select("tile", "class", "low", "high")
+    left = slim.select(F.col("tile").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"), F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)).alias("class"))
+    pairs = left.join(slim.select(F.col("tile").alias("b"), "class", "low", "high"), "class").filter((F.col("a") <= F.col("b")) & (F.col("la") <= F.col("high") + radius) & (F.col("low") <= F.col("ha") + radius)).select("a", "b")
     work = pairs.join(tiles.select(F.col("tile").alias("a"), F.col("fps").alias("fa")), "a").repartition("a", "b")
     return work.join(tiles.select(F.col("tile").alias("b"), F.col("fps").alias("fb")), "b")
 
 
+def _tiled(rows: DataFrame, tile_rows: int) -> DataFrame:
+    """rows (class, pop, fp, ...) with tile: up to about tile_rows rows of one class, of neighbouring population counts or of one."""
+    cells = durable(rows.groupBy("class", "pop").agg(F.count("*").alias("_n")))  # 65 for each class at most
+    before = F.sum("_n").over(W.partitionBy("class").orderBy("pop")) - F.col("_n")
+    cells = cells.select("class", "pop", F.floor(before / tile_rows).cast("int").alias("_part"), F.ceil(F.col("_n") / tile_rows).alias("_split"))
+    named = rows.join(cells, ["class", "pop"])
+    return named.withColumn("tile", F.xxhash64("class", "_part", F.when(F.col("_split") > 1, F.col("pop")), F.pmod(F.xxhash64("fp"), "_split"))).drop("_part", "_split")
+
+
 def links(values: DataFrame, radius: int = 4, tile_rows: int = 32768) -> DataFrame:
     """Spanning links (u, v) between the distinct fingerprints in `values` (fp long), lost to none: equal connectivity as all links."""
-    v = values.select("fp", F.bit_count("fp").cast("int").alias("pop"))
-    size = v.groupBy("pop").agg(F.count("*").alias("n"))  # 65 rows at most
-    parts = v.join(F.broadcast(size), "pop").select("fp", "pop", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / tile_rows)).cast("int").alias("part"))
+    rows = _tiled(values.select("fp", F.bit_count("fp").cast("int").alias("pop"), F.lit(0).alias("class")), tile_rows)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"pop": pdf["pop"].iloc[:1], "part": pdf["part"].iloc[:1], "fps": [np.sort(pdf["fp"].to_numpy()).tobytes()]})
+        return pd.DataFrame({"tile": pdf["tile"].iloc[:1], "class": pdf["class"].iloc[:1], "low": [pdf["pop"].min()], "high": [pdf["pop"].max()], "fps": [np.sort(pdf["fp"].to_numpy()).tobytes()]})
 
-    tiles = durable(parts.groupBy("pop", "part").applyInPandas(pack, "pop int, part int, fps binary").withColumn("tile", F.col("pop") * F.lit(1 << 32) + F.col("part")))
+    tiles = durable(rows.groupBy("tile").applyInPandas(pack, "tile long, class int, low int, high int, fps binary"))
     work = _tile_pairs(tiles, radius)
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,7 +239,7 @@ def jaccard(a: str, b: str, shingle_words: int = 5) -> float:
     return both / total if total else 1.0
 
 
-def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 14, tile_rows: int = 8192, seed: int = 42) -> DataFrame:
+def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 14, tile_rows: int = 16384, seed: int = 42) -> DataFrame:
     """(node, root): classes of texts that links of at least `similarity` join; node is the text's XXH64.
 
     Texts are compared as fingerprints within the radius, in tiles of a population count and a class of sizes (texts
@@ -255,9 +260,8 @@ def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int
     named = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
     seen = durable(named.mapInArrow(of, "node long, fp long, n int, sketch binary")).dropDuplicates(["node"])
     step = float(-np.log(similarity))
-    v = durable(seen.withColumns({"pop": F.bit_count("fp").cast("int"), "class": F.floor(F.log(F.greatest("n", F.lit(1))) / step).cast("int")}))
-    size = durable(v.groupBy("pop", "class").agg(F.count("*").alias("rows")))
-    parts = v.join(size, ["pop", "class"]).withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / tile_rows)).cast("int")).drop("rows")
+    sized = seen.withColumns({"pop": F.bit_count("fp").cast("int"), "class": F.floor(F.log(F.greatest("n", F.lit(1))) / step).cast("int")})
+    parts = _tiled(durable(sized), tile_rows)
     kind = np.dtype([("node", "<i8"), ("fp", "<u8"), ("n", "<i4"), ("sketch", "<u2", _BINS)])
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -265,28 +269,37 @@ def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int
         rows["node"], rows["fp"], rows["n"] = pdf["node"], pdf["fp"].to_numpy().view(np.uint64), pdf["n"]
         rows["sketch"] = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, _BINS)
         rows = rows[np.argsort(rows["node"])]
-        return pd.DataFrame({"pop": pdf["pop"].iloc[:1], "class": pdf["class"].iloc[:1], "part": pdf["part"].iloc[:1], "fps": [rows.tobytes()]})
+        return pd.DataFrame({"tile": pdf["tile"].iloc[:1], "class": pdf["class"].iloc[:1], "low": [pdf["pop"].min()], "high": [pdf["pop"].max()], "fps": [rows.tobytes()]})
 
-    tiles = parts.groupBy("pop", "class", "part").applyInPandas(pack, "pop int, class int, part int, fps binary")
-    tiles = durable(tiles.withColumn("tile", F.col("pop") * F.lit(1 << 32) + F.col("class") * F.lit(1 << 24) + F.col("part")))
+    tiles = durable(parts.groupBy("tile").applyInPandas(pack, "tile long, class int, low int, high int, fps binary"))
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for a, b, fa, fb in zip(pdf["a"], pdf["b"], pdf["fa"], pdf["fb"]):
-                x, y = np.frombuffer(fa, kind), np.frombuffer(fb, kind)
-
-                def also(u: np.ndarray, v: np.ndarray, x: np.ndarray = x, y: np.ndarray = y) -> np.ndarray:
-                    small, large = np.minimum(x["n"][u], y["n"][v]), np.maximum(x["n"][u], y["n"][v])
-                    out = small >= similarity * large
-                    for c in range(0, len(u), 65536):
-                        p, q = x["sketch"][u[c : c + 65536]], y["sketch"][v[c : c + 65536]]
-                        used = ((p != 0xFFFF) | (q != 0xFFFF)).sum(1)
-                        out[c : c + 65536] &= ((p == q) & (p != 0xFFFF)).sum(1) >= (similarity - 0.3) * used  # over four deviations below
-                    return out
-
-                u, v = _forest(x["fp"].copy(), y["fp"].copy(), a == b, radius, also)
-                nodes = x["node"] if a == b else np.concatenate((x["node"], y["node"]))
-                yield pd.DataFrame({"u": nodes[u], "v": nodes[v]})
+                x, y = by_pop(fa), by_pop(fb)
+                found = [both(p, q, a == b and k == m) for k, p in x.items() for m, q in y.items() if abs(k - m) <= radius and (a != b or k <= m)]
+                yield pd.DataFrame(np.concatenate([np.empty((0, 2), np.int64), *found]), columns=["u", "v"])
+
+    def by_pop(packed: bytes) -> dict[int, np.ndarray]:
+        rows = np.frombuffer(packed, kind)
+        pop = np.bitwise_count(rows["fp"])
+        return {int(k): rows[pop == k] for k in np.unique(pop)}
+
+    def both(x: np.ndarray, y: np.ndarray, same: bool) -> np.ndarray:
+        """A forest for each pair of population counts: many forests leave few links that only a failed one stood for."""
+
+        def also(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+            small, large = np.minimum(x["n"][u], y["n"][v]), np.maximum(x["n"][u], y["n"][v])
+            out = small >= similarity * large
+            for c in range(0, len(u), 65536):
+                p, q = x["sketch"][u[c : c + 65536]], y["sketch"][v[c : c + 65536]]
+                used = ((p != 0xFFFF) | (q != 0xFFFF)).sum(1)
+                out[c : c + 65536] &= ((p == q) & (p != 0xFFFF)).sum(1) >= (similarity - 0.3) * used  # over four deviations below
+            return out
+
+        u, v = _forest(x["fp"].copy(), y["fp"].copy(), same, radius, also)
+        nodes = x["node"] if same else np.concatenate((x["node"], y["node"]))
+        return np.stack((nodes[u], nodes[v]), axis=1)
 
     edges = durable(_tile_pairs(tiles, radius).select("a", "b", "fa", "fb").mapInPandas(compare, "u long, v long").distinct())
     ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
@@ -304,12 +317,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The rows of docs, one for each class of similar texts: that of the smallest id, null ids last."""
     node = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     classes = similar_classes(docs, text_col, **options)
-    slim = docs.select(node.alias("node"), F.col(id_col).alias("id")).groupBy("node", "id").agg(F.count(F.lit(1)).alias("rows"))
+    slim = docs.select(node.alias("node"), F.col(id_col).alias("id")).groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least"))
     rooted = slim.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "rows")).alias("best"))
-    best = durable(best.select(F.col("best.node").alias("_node"), F.col("best.id").alias("_id"), (F.col("best.rows") > 1).alias("_many")))
-    marked = docs.withColumn("_node", node)
-    kept = marked.join(best, "_node").filter(F.col("_id").eqNullSafe(F.col(id_col)))
-    once = kept.filter("not _many").select(*docs.columns)
-    again = kept.filter("_many").dropDuplicates(["_node"]).select(*docs.columns)
-    return once.union(again)
+    best = rooted.groupBy("root").agg(F.min(F.struct("least.none", "least.id", "node")).alias("best"))
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))  # noqa: E731  with the node apart from null's only by eqNullSafe below
+    best = durable(best.select(F.col("best.node").alias("_node"), F.col("best.id").alias("_best")).withColumn("_key", key("_best")))
+    marked = docs.withColumns({"_node": node, "_key": key(id_col)})
+    kept = marked.join(best, ["_node", "_key"]).filter(F.col("_best").eqNullSafe(F.col(id_col)))
+    # equal rows of one id and text: the join has already dealt and sorted them together
+    first = F.row_number().over(W.partitionBy("_node", "_key").orderBy("_node"))
+    return kept.withColumn("_first", first).filter("_first = 1").select(*docs.columns)
