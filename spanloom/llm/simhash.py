@@ -239,7 +239,7 @@ def jaccard(a: str, b: str, shingle_words: int = 5) -> float:
     return both / total if total else 1.0
 
 
-def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 14, tile_rows: int = 16384, seed: int = 42) -> DataFrame:
+def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 18, tile_rows: int = 16384, seed: int = 42) -> DataFrame:
     """(node, root): classes of texts that links of at least `similarity` join; node is the text's XXH64.
 
     Texts are compared as fingerprints within the radius, in tiles of a population count and a class of sizes (texts
