@@ -115,7 +115,7 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 def _scorer(profiles: dict[str, dict[int, int]], top: int) -> Callable[[list], tuple[list, np.ndarray]]:
     names = sorted(profiles)
     known = np.array(sorted({g for p in profiles.values() for g in p}), np.int64)
-    ranks = np.array([[p.get(int(g), -1) for g in known] + [-1] for p in (profiles[x] for x in names)], np.int64).reshape(len(names), -1)
+    ranks = np.array([[p.get(int(g), -1) for g in known] + [-1] for p in (profiles[x] for x in names)], np.int64).reshape(len(names), len(known) + 1)
 
     def score(texts: list) -> tuple[list, np.ndarray]:
         lang, value = [UNDETERMINED] * len(texts), np.zeros(len(texts))
