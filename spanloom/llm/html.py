@@ -348,7 +348,10 @@ def probability(trees: list[tuple[np.ndarray, ...]], x: np.ndarray) -> np.ndarra
 def learn(pages: DataFrame, html_col: str = "html", sample_pages: int = 250, layouts: int = 3, trees: int = 20, depth: int = 5, seed: int = 4) -> list[tuple[np.ndarray, ...]]:
     """Boosted trees as arrays; at most sample_pages pages reach the driver."""
     spark = pages.sparkSession
-    some = pages.select(F.col(html_col).cast("string").alias("h")).filter("h is not null").orderBy(F.xxhash64("h"), "h").limit(sample_pages)
+    # a share of the hashes that holds some four times the sample: no task sends the driver more than its part of that
+    share = min(1.0, 4 * sample_pages / max(1, pages.count()))
+    some = pages.select(F.col(html_col).cast("string").alias("h")).withColumn("k", F.xxhash64("h"))
+    some = some.filter(F.col("h").isNotNull() & (F.col("k") <= min(2**63 - 1, int(share * 2**64) - 2**63))).dropDuplicates(["k"]).orderBy("k").limit(sample_pages)
     sources = sorted({r.h for r in some.collect()})
     cache: dict = {}
     parsed = [Page(s, cache) for s in sources]
