@@ -151,7 +151,7 @@ def _(t):
 def _(t):
     known = t("fx_functions").select(F.concat_ws(":", "module", "name").alias("id"))
     gone = t("nation").select(F.concat(F.lit("app.api.brand"), F.col("n_nationkey").cast("string"), F.lit(":small_rings")).alias("id"))
-    return catalog.close_matches(gone, known)
+    return catalog.close_matches(gone, known, exact=True)
 
 
 @query("F7_corpus_fingerprint")
@@ -329,13 +329,13 @@ def _(t):
 
 @query("E3_stream_spans", f"WITH {_SPANS} SELECT request_id, span_id, name, duration_ms, status FROM spans s WHERE status <> 'running' OR CAST(replace(request_id, 'req_', '') AS INT) % 10 <> 9")
 def _(t):
-    return streams.run_available(streams.stream_spans(_stream(t))).select("request_id", "span_id", "name", "duration_ms", "status")
+    return streams.run_available(streams.stream_spans(_stream(t), "400 days")).select("request_id", "span_id", "name", "duration_ms", "status")
 
 
 @query("E4_stream_requests", """
  SELECT r.request_id, r.method, r.path, r.status, r.duration_ms, n AS span_count FROM fx_requests r JOIN (SELECT user_id, count(*) AS n FROM fx_spans GROUP BY 1) s ON s.user_id = r.user_id WHERE r.user_id % 10 <> 9""")
 def _(t):
-    return streams.run_available(streams.stream_requests(_stream(t))).select("request_id", "method", "path", "status", "duration_ms", "span_count")
+    return streams.run_available(streams.stream_requests(_stream(t), "400 days")).select("request_id", "method", "path", "status", "duration_ms", "span_count")
 
 
 @query("E5_stream_overlay", "SELECT name, count(*) AS calls, count(*) FILTER (kind = 'fn.error') AS errors, CAST(sum(duration_ms) AS BIGINT) AS total_ms, max(duration_ms) AS max_ms FROM fx_events WHERE kind IN ('fn.end', 'fn.error') GROUP BY 1")

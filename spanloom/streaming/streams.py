@@ -72,9 +72,10 @@ def stream_spans(stream: DataFrame, watermark: str = "10 minutes", keep_ms: int
         if state.exists:
             ids, parents, names, times, seqs = state.get
             opened = {i: (p, n, t, s) for i, p, n, t, s in zip(ids, parents, names, times, seqs)}
-        out, over = [], state.hasTimedOut
+        out, over, newest = [], state.hasTimedOut, 0
         for pdf in frames if not over else ():
             pdf = pdf.sort_values("seq")
+            newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
             for e in pdf[pdf["kind"] == "fn.start"].itertuples():
                 opened[e.span_id] = (e.parent_span_id, e.name, e.ts, int(e.seq))
             for e in pdf[pdf["kind"].isin(("fn.end", "fn.error"))].itertuples():
@@ -87,22 +88,24 @@ def stream_spans(stream: DataFrame, watermark: str = "10 minutes", keep_ms: int
                 state.remove()
         else:
             state.update((list(opened), *([v[k] for v in opened.values()] for k in range(4))))
-            state.setTimeoutDuration(keep_ms)
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + keep_ms)
         yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in SPANS.split(",")]).astype({"duration_ms": "Int64", "seq": "Int64", "ts": "datetime64[ns]"})
 
-    return stream.groupBy("request_id").applyInPandasWithState(pair, SPANS, _OPEN, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = stream.withWatermark("ts", watermark)
+    return timed.groupBy("request_id").applyInPandasWithState(pair, SPANS, _OPEN, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 REQUESTS = "request_id string, method string, path string, status int, duration_ms long, span_count long, calls long"
 
 
-def stream_requests(stream: DataFrame, keep_ms: int = 600_000) -> DataFrame:
+def stream_requests(stream: DataFrame, watermark: str = "10 minutes", keep_ms: int = 600_000) -> DataFrame:
     """One row per request when its end comes, with what its start said and how many spans ran; state goes with it."""
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         method, path, spans = state.get if state.exists else (None, None, 0)
-        done = None
+        done, newest = None, 0
         for pdf in frames if not state.hasTimedOut else ():
+            newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
             start = pdf[pdf["kind"] == "request.start"]
             if len(start):
                 method, path = start.iloc[0]["method"], start.iloc[0]["path"]
@@ -114,11 +117,12 @@ def stream_requests(stream: DataFrame, keep_ms: int = 600_000) -> DataFrame:
                 state.remove()
         else:
             state.update((method, path, spans))
-            state.setTimeoutDuration(keep_ms)
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + keep_ms)
         rows = [] if done is None else [(key[0], method, path, int(done["status"]), int(done["duration_ms"]), spans, spans)]
         yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in REQUESTS.split(",")])
 
-    return stream.groupBy("request_id").applyInPandasWithState(fold, REQUESTS, "method string, path string, spans long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = stream.withWatermark("ts", watermark)
+    return timed.groupBy("request_id").applyInPandasWithState(fold, REQUESTS, "method string, path string, spans long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_overlay(spans: DataFrame) -> DataFrame:
