@@ -5,7 +5,8 @@ into groups by a variable-length prefix: first by the anchor of that prefix, its
 least k-gram (equal prefixes have equal anchors at equal places, so equal
 windows meet; suffixes that share an anchor share one copy of their words);
 groups still larger than `max_group` are split by the whole prefix. Anchors that
-occur once in the corpus are leaves and go no further. In each group the tree's
+occur once in the corpus are leaves and go no further; where an anchor has the
+same words all around in several places, one of them stands for all. In each group the tree's
 levels are built by prefix doubling: suffixes get equal names at depth d when
 their first d words are equal, and the internal nodes at depth `window` or more
 are the names that two suffixes share. They give the repeated windows, whose
@@ -32,7 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from .common import chunks, gram_hashes, mix, split_words
+from .common import chunks, gram_hashes, mix, run_hashes, split_words
+
+
+_CONTEXT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _anchors(h: np.ndarray, first: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,14 +126,23 @@ def repeated_windows(plain: DataFrame, small: DataFrame, window: int = 35, k: in
                 at, g = _anchors(w.hash, w.first, window, k)
                 doc = np.searchsorted(w.first, at, "right") - 1
                 row = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), rb.column(0).take(row), rb.column(1).take(row), pa.array((at - w.first[doc]).astype(np.int32))], ["g", "a", "b", "pos"])
+                low, high = np.maximum(at - reach, w.first[doc]), np.minimum(at + window, w.first[doc + 1])
+                around = run_hashes(w.hash, low, high, _CONTEXT) ^ mix((at - low).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(around.view(np.int64)), rb.column(0).take(row), rb.column(1).take(row), pa.array((at - w.first[doc]).astype(np.int32))], ["g", "around", "a", "b", "pos"])
 
-    found = plain.select("a", "b", "text").mapInArrow(anchors, "g long, a long, b long, pos int")
-    shared = found.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("g"))).filter("n > 1")
-    places = shared.groupBy("a", "b").agg(F.collect_set(F.struct("pos", (F.col("n") > max_group).alias("hot"))).alias("places"))
+    found = plain.select("a", "b", "text").mapInArrow(anchors, "g long, around long, a long, b long, pos int")
+    # occurrences of an anchor, and of the anchor in the same words all around: these repeat each other wholly, and one of them
+    # stands for all in the tree
+    alike = W.partitionBy("g", "around")
+    shared = found.withColumns({"n": F.count(F.lit(1)).over(W.partitionBy("g")), "same": F.count(F.lit(1)).over(alike), "nth": F.row_number().over(alike.orderBy("a", "b", "pos"))}).filter("n > 1")
+    shared = shared.withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(W.partitionBy("g")))
+    # to the tree go the first of each kind, where there are two kinds or more; whole: all windows are known to repeat
+    part = F.when((F.col("nth") == 1) & (F.col("kinds") > 1), F.when(F.col("kinds") > max_group, 2).otherwise(1)).otherwise(0)
+    marked = shared.select("a", "b", "pos", part.alias("part"), (F.col("same") > 1).alias("known")).filter("part > 0 OR known")
+    places = marked.groupBy("a", "b").agg(F.collect_set(F.struct("pos", "part", "known")).alias("places"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "whole", "words", "low", "high", "a", "b", "pos"]
+        names = ["key", "whole", "words", "low", "high", "a", "b", "pos", "known"]
         unpack = zstandard.ZstdDecompressor().decompress
         for rb in batches:
             texts, places = rb.column(2).to_pylist(), rb.column(3).to_pylist()
@@ -137,10 +150,11 @@ def repeated_windows(plain: DataFrame, small: DataFrame, window: int = 35, k: in
                 w = split_words([unpack(z) for z in texts[i:j]])
                 row = np.repeat(np.arange(j - i), [len(p) for p in places[i:j]])
                 pos = np.array([x["pos"] for p in places[i:j] for x in p], np.int64)
-                hot = np.array([x["hot"] for p in places[i:j] for x in p], bool)
+                hot = np.array([x["part"] == 2 for p in places[i:j] for x in p], bool)
+                known = np.array([x["known"] for p in places[i:j] for x in p], bool)
                 g = gram_hashes(w.hash, k)
                 for c in range(0, len(row), 20_000):
-                    r, p, f = row[c : c + 20_000], pos[c : c + 20_000], hot[c : c + 20_000]
+                    r, p, f, sure = (x[c : c + 20_000] for x in (row, pos, hot, known))
                     begin, end = w.first[r], w.first[r + 1]
                     low, high = np.maximum(0, reach - p), np.minimum(span - 1, end - begin - window - p + reach)
                     at = begin + p
@@ -150,7 +164,7 @@ def repeated_windows(plain: DataFrame, small: DataFrame, window: int = 35, k: in
                     block = np.where(inside, w.hash[np.clip(index, 0, len(w.hash) - 1)], np.uint64(0))
                     data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * width), len(block), [None, pa.py_buffer(np.ascontiguousarray(block).tobytes())]).cast(pa.binary())
                     take = pa.array(i + r[cold])
-                    yield pa.RecordBatch.from_arrays([pa.array(g[at[cold]].view(np.int64)), pa.array(np.zeros(len(block), bool)), data, pa.array(low[cold].astype(np.int32)), pa.array(high[cold].astype(np.int32)), rb.column(0).take(take), rb.column(1).take(take), pa.array(p[cold].astype(np.int32))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(g[at[cold]].view(np.int64)), pa.array(np.zeros(len(block), bool)), data, pa.array(low[cold].astype(np.int32)), pa.array(high[cold].astype(np.int32)), rb.column(0).take(take), rb.column(1).take(take), pa.array(p[cold].astype(np.int32)), pa.array(sure[cold])], names)
                     if f.any():  # a large group: the whole window is the prefix
                         full = gram_hashes(w.hash, window)
                         o = np.arange(span)
@@ -159,10 +173,11 @@ def repeated_windows(plain: DataFrame, small: DataFrame, window: int = 35, k: in
                         key = full[at[f][which] - reach + off]
                         key = mix(key ^ mix(off.astype(np.uint64) + np.uint64(1)))
                         take, off = pa.array(i + r[f][which]), pa.array(off.astype(np.int32))
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.ones(len(key), bool)), pa.nulls(len(key), pa.binary()), off, off, rb.column(0).take(take), rb.column(1).take(take), pa.array(p[f][which].astype(np.int32))], names)
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.ones(len(key), bool)), pa.nulls(len(key), pa.binary()), off, off, rb.column(0).take(take), rb.column(1).take(take), pa.array(p[f][which].astype(np.int32)), pa.array(sure[f][which])], names)
 
     # doc_id comes along so that this exchange of texts is the one that the result reads again
-    suffixes = small.join(places, ["a", "b"]).select("a", "b", "z", "places", "doc_id").mapInArrow(contexts, "key long, whole boolean, words binary, low int, high int, a long, b long, pos int")
+    trees_in = places.select("a", "b", F.filter("places", lambda x: x["part"] > 0).alias("places")).filter(F.size("places") > 0)
+    suffixes = small.join(trees_in, ["a", "b"]).select("a", "b", "z", "places", "doc_id").mapInArrow(contexts, "key long, whole boolean, words binary, low int, high int, a long, b long, pos int, known boolean")
 
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
         """Whole groups, in order of their keys."""
@@ -179,7 +194,8 @@ def repeated_windows(plain: DataFrame, small: DataFrame, window: int = 35, k: in
             own = t.take(pa.array(at))
             words = np.frombuffer(b"".join(own["words"].to_pylist()), np.uint64).reshape(-1, width)
             mask[at] = repeated_masks(own["key"].to_numpy(), words, own["low"].to_numpy(), own["high"].to_numpy(), window)
-        out = t.select(["a", "b", "pos"]).append_column("mask", pa.array(mask.view(np.int64))).take(pa.array(np.flatnonzero(mask)))
+        news = (mask != 0) & ~t["known"].to_numpy()  # of those known to repeat wholly, nothing more is to be said
+        out = t.select(["a", "b", "pos"]).append_column("mask", pa.array(mask.view(np.int64))).take(pa.array(np.flatnonzero(news)))
         yield from out.combine_chunks().to_batches()
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +216,10 @@ def repeated_windows(plain: DataFrame, small: DataFrame, window: int = 35, k: in
         if held and sum(len(x) for x in held):
             yield from solve(pa.Table.from_batches(held))
 
-    return suffixes.repartition("key").sortWithinPartitions("key", "whole").mapInArrow(trees, "a long, b long, pos int, mask long")
+    found = suffixes.repartition("key").sortWithinPartitions("key", "whole").mapInArrow(trees, "a long, b long, pos int, mask long")
+    whole = F.lit((1 << span) - 1).cast("long")
+    sure = places.select("a", "b", F.explode(F.filter("places", lambda x: x["known"])).alias("x")).select("a", "b", "x.pos", whole.alias("mask"))
+    return found.union(sure)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, k: int = 8, max_group: int = 20_000, with_text: bool = False) -> DataFrame:
@@ -223,10 +242,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     mask = h["mask"]
                     while mask:
                         bit = (mask & -mask).bit_length() - 1
-                        s = h["pos"] - reach + bit
-                        gone[s] += 1
-                        gone[s + window] -= 1
                         mask &= mask - 1
+                        s = h["pos"] - reach + bit
+                        if 0 <= s <= len(words) - window:  # a mask may go beyond the text's ends
+                            gone[s] += 1
+                            gone[s + window] -= 1
                 cover = np.cumsum(gone)[:-1] > 0
                 edges = np.flatnonzero(np.diff(np.concatenate(([False], cover, [False])).astype(np.int8)))
                 kept = b" ".join([w for w, c in zip(words, cover.tolist()) if not c]) if len(edges) else b" ".join(words)
