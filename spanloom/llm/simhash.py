@@ -239,13 +239,84 @@ def jaccard(a: str, b: str, shingle_words: int = 5) -> float:
     return both / total if total else 1.0
 
 
-def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 18, tile_rows: int = 16384, seed: int = 42) -> DataFrame:
+def alike(group: np.ndarray, root: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links between rows of one group, but of different roots, whose sets reach the similarity: shared values are counted.
+
+    Rows are in order of their groups. Rows of a group's most frequent root are compared only to the others.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    forest = Forest(len(sets))
+    cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        _, kind, count = np.unique(root[a:b], return_inverse=True, return_counts=True)
+        if len(count) < 2:
+            continue
+        own = size[a:b]
+        name = np.unique(np.concatenate(sets[a:b]), return_inverse=True)[1]
+        holder = np.repeat(np.arange(b - a), own)[np.argsort(name, kind="stable")]  # rows with each value
+        first = np.concatenate(([0], np.cumsum(np.bincount(name))))
+        start = np.concatenate(([0], np.cumsum(own)))
+        for u in np.flatnonzero(kind != count.argmax()):
+            mine = name[start[u] : start[u + 1]]
+            n = first[mine + 1] - first[mine]
+            at = np.arange(n.sum()) + np.repeat(first[mine] - (np.cumsum(n) - n), n)
+            shared = np.bincount(holder[at], minlength=b - a)
+            total = own[u] + own - shared
+            v = np.flatnonzero((kind != kind[u]) & ((shared / np.maximum(total, 1) >= similarity) | (total == 0)))
+            forest.add(np.zeros(len(v), np.uint8), np.full(len(v), a + u), a + v)
+    _, u, v = forest.edges()
+    return u, v
+
+
+def _linked(rows: DataFrame, texts: DataFrame, shingle_words: int, similarity: float, block_shingles: int) -> DataFrame:
+    """(u, v): spanning links of at least `similarity` in each group of rows (group, root, node, n), between different roots.
+
+    A group is cut into blocks of about block_shingles shingles, and every pair of blocks that may hold two roots is compared.
+    """
+    upto = F.sum("n").over(W.partitionBy("group").orderBy("root", "node").rowsBetween(W.unboundedPreceding, -1))
+    cut = durable(rows.withColumn("block", F.floor(F.coalesce(upto, F.lit(0)) / block_shingles).cast("int")))
+    blocks = cut.groupBy("group", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    other = blocks.select("group", F.col("block").alias("j"), F.col("low").alias("l"), F.col("high").alias("h"))
+    pairs = blocks.join(other, "group").filter("block <= j AND (low <> high OR l <> h OR low <> l)").select("group", F.col("block").alias("i"), "j")
+    ends = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    work = cut.join(ends, ["group", "block"]).select(F.xxhash64("group", "i", "j").alias("key"), "root", "node").join(texts, "node").select("key", "root", "node", "text")
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        w = split_words(t["text"].to_pylist(), lower=True)
+        words = [w.hash[w.of(k)] for k in range(len(t))]
+        sets = [np.unique(gram_hashes(h, min(shingle_words, len(h)))) if len(h) else h for h in words]
+        u, v = alike(t["key"].to_numpy(), t["root"].to_numpy(), sets, similarity)
+        node = t["node"].to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for rb in batches:
+            for c in range(0, len(rb), 1000):
+                held.append(rb.slice(c, 1000))
+                if sum(len(x) for x in held) < 1000:
+                    continue
+                t = pa.Table.from_batches(held)
+                keys = t["key"].to_numpy()
+                cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
+                if cut:
+                    yield solve(t.slice(0, cut))
+                    held = t.slice(cut).to_batches()
+        if held and sum(len(x) for x in held):
+            yield solve(pa.Table.from_batches(held))
+
+    return work.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long")
+
+
+def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 18, tile_rows: int = 16384, seed: int = 42, block_shingles: int = 1_000_000) -> DataFrame:
     """(node, root): classes of texts that links of at least `similarity` join; node is the text's XXH64.
 
     Texts are compared as fingerprints within the radius, in tiles of a population count and a class of sizes (texts
     whose numbers of shingles differ by more than the similarity allows can't reach it). In a pair of tiles, links whose
     minhash sketches rule the similarity out are left, and a minimum spanning forest of the others, nearest first, is
-    verified by exact Jaccard similarity of the shingles: linear in the texts, however large a group of copies is.
+    verified by exact Jaccard similarity of the shingles: linear in the texts, however large a group of copies is. Where a
+    link of a forest fails, true links that it stood for may be missing: all texts that such forests join are then compared
+    with each other, exactly, save those already known to be of one class.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
@@ -261,7 +332,8 @@ def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int
     seen = durable(named.mapInArrow(of, "node long, fp long, n int, sketch binary")).dropDuplicates(["node"])
     step = float(-np.log(similarity))
     sized = seen.withColumns({"pop": F.bit_count("fp").cast("int"), "class": F.floor(F.log(F.greatest("n", F.lit(1))) / step).cast("int")})
-    parts = _tiled(durable(sized), tile_rows)
+    sized = durable(sized)
+    parts = _tiled(sized, tile_rows)
     kind = np.dtype([("node", "<i8"), ("fp", "<u8"), ("n", "<i4"), ("sketch", "<u2", _BINS)])
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -310,7 +382,15 @@ def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int
     def exact(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y, shingle_words) for x, y in zip(a, b)], dtype=float)
 
-    return components(both.withColumn("s", exact("tu", "tv")).filter(F.col("s") >= similarity).select("u", "v"))
+    tried = durable(both.select("u", "v", (exact("tu", "tv") >= similarity).alias("holds")))
+    held = tried.filter("holds").select("u", "v")
+    if tried.filter("NOT holds").isEmpty():
+        return components(held)
+    clusters = durable(components(tried))
+    failed = tried.filter("NOT holds").join(clusters, F.col("u") == F.col("node")).select(F.col("root").alias("group")).distinct()
+    mixed = clusters.withColumnRenamed("root", "group").join(failed, "group").join(components(held), "node", "left")
+    rows = mixed.join(sized.select("node", "n"), "node").select("group", F.coalesce("root", "node").alias("root"), "node", F.col("n").cast("long").alias("n"))
+    return components(held.union(_linked(rows, texts, shingle_words, similarity, block_shingles)))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
