@@ -64,7 +64,7 @@ class Index:
             n = len(group["shingles"][0])
             group["fps"] = np.concatenate([_pack(_bits(s).sum(0), n) for s in group["shingles"]])
             group["known"] = np.unique(np.concatenate(group["shingles"]))
-            group["need"] = int(np.ceil(2 * n * similarity / (1 + similarity) - 1e-9))  # shared of n and n for that similarity
+            group["need"] = self.need(n, n)
         self.by_size: dict[int, tuple] = {}
         for size in {g["size"] for g in self.lengths.values()}:
             mine = {m: g for m, g in self.lengths.items() if g["size"] == size}
@@ -74,6 +74,10 @@ class Index:
             seen[known & np.uint64(mask)] = True
             self.by_size[size] = known, np.uint64(mask), seen, mine
 
+    def need(self, n: int, own: int) -> int:
+        """Shared shingles of n and own that make the similarity."""
+        return int(np.ceil((n + own) * self.similarity / (1 + self.similarity) - 1e-9))
+
     def near(self, fps: np.ndarray, group: dict) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) within the radius: some block is within its share of it, and then all bits."""
         width = 64 // self.blocks
@@ -110,15 +114,16 @@ class Index:
 
     def _windows(self, own: np.ndarray, hits: np.ndarray, m: int, group: dict, n_words: int, block: int = 4096) -> Iterator[tuple]:
         n = min(len(own), m - group["size"] + 1)
+        need = self.need(m - group["size"] + 1, n)  # a document with fewer words than the item needs fewer
         hits = hits[np.isin(own[hits], group["known"])]
-        if len(hits) < group["need"]:
+        if len(hits) < need:
             return
         # starts of windows with enough hits; a window is n shingles from its start
         inside = np.zeros(len(own) + 1, np.int64)
         inside[hits + 1] = 1
         inside = np.cumsum(inside)
         starts = np.arange(len(own) - n + 1)
-        starts = starts[inside[starts + n] - inside[starts] >= group["need"]]
+        starts = starts[inside[starts + n] - inside[starts] >= need]
         best: dict[int, tuple[float, int]] = {}
         for c in range(0, len(starts), block):
             part = starts[c : c + block]

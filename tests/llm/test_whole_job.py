@@ -2,7 +2,7 @@
 
 import random
 
-from spanloom.llm import simhash
+from spanloom.llm import decontam, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -35,3 +35,19 @@ def test_template_family_keeps_its_true_links(spark):
     assert len(want) == 60
     for most in (1_000_000, 3_000):  # one block, and several
         assert sorted(x.doc_id for x in simhash.keep_one(docs(spark, texts), block_shingles=most).collect()) == want
+
+
+def test_truncated_items_against_brute_force(spark):
+    r = random.Random(8)
+    items = [[f"w{r.randint(0, 10**6)}" for _ in range(n)] for n in (50, 50, 20, 9)]
+    texts = [" ".join(w[cut : len(w) - end]) for w in items for cut, end in ((0, 8), (8, 0), (4, 4), (0, 9), (0, 10), (0, 12), (0, 2), (1, 0))]
+    want = set()
+    for d, t in enumerate(texts):
+        for k, w in enumerate(items):
+            a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (t.split(), w))
+            if len(a & b) / len(a | b) >= 0.8:  # no shingle comes twice
+                want.add((d, k))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    assert (0, 0) in want and 10 < len(want) < len(texts)
+    assert {(x.doc_id, x.item_id) for x in decontam.find(docs(spark, texts), bench).collect()} == want
+    assert {x.doc_id for x in decontam.drop_contaminated(docs(spark, texts), bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
