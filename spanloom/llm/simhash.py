@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import chunks, durable, gram_hashes, split_words
 
 
-def text_fingerprints(texts: list, shingle_words: int = 4, seed: int = 42) -> np.ndarray:
-    """The 64-bit fingerprints of texts: bit set where over half the shingles' XXH64 have it set."""
+def text_fingerprints(texts: list, shingle_words: int = 4, seed: int = 42, distinct: bool = False) -> np.ndarray:
+    """The 64-bit fingerprints of texts: bit set where over half the shingles' XXH64, or the distinct ones, have it set."""
     out = np.zeros(len(texts), np.uint64)
     w = split_words(texts, lower=True, hashes=False)
     digest = xxhash.xxh64_intdigest
@@ -50,6 +50,7 @@ def text_fingerprints(texts: list, shingle_words: int = 4, seed: int = 42) -> np
         s = shingle_words - 1
         lo, hi = (start.tolist(), end[s:].tolist()) if len(start) > s else ([0], [int(end[-1])])
         h = np.fromiter((digest(raw[a:b], seed) for a, b in zip(lo, hi)), np.uint64, len(hi))
+        h = np.unique(h) if distinct else h
         ones = np.zeros(64, np.int64)
         for c in range(0, len(h), 65536):
             ones += np.unpackbits(h[c : c + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -216,16 +217,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 _BINS = 32
 
 
-def _profiles(texts: list, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each text, and a one-permutation minhash sketch: the least 16-bit rest in each of 32 bins."""
+def _profiles(texts: list, shingle_words: int, short: int) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
+    """Number of distinct shingles, a one-permutation minhash sketch (the least 16-bit rest in each of 32 bins), and the shingles of texts of at most `short`."""
     w = split_words(texts, lower=True)
-    count, sketch = np.zeros(len(texts), np.int32), np.full((len(texts), _BINS), 0xFFFF, np.uint16)
+    count, sketch, few = np.zeros(len(texts), np.int32), np.full((len(texts), _BINS), 0xFFFF, np.uint16), []
     for k in range(len(texts)):
         h = w.hash[w.of(k)]
         s = np.unique(gram_hashes(h, min(shingle_words, len(h)))) if len(h) else h
         count[k] = len(s)
+        few.append(s.tobytes() if 0 < len(s) <= short else None)
         np.minimum.at(sketch[k], (s >> np.uint64(59)).astype(np.int64), (s >> np.uint64(43)).astype(np.uint16))
-    return count, sketch
+    return count, sketch, few
 
 
 def jaccard(a: str, b: str, shingle_words: int = 5) -> float:
@@ -268,10 +270,10 @@ def alike(group: np.ndarray, root: np.ndarray, sets: list[np.ndarray], similarit
     return u, v
 
 
-def _linked(rows: DataFrame, texts: DataFrame, shingle_words: int, similarity: float, block_shingles: int) -> DataFrame:
+def _linked(rows: DataFrame, texts: DataFrame, sets_of: Callable[[list], list[np.ndarray]], similarity: float, block_shingles: int) -> DataFrame:
     """(u, v): spanning links of at least `similarity` in each group of rows (group, root, node, n), between different roots.
 
-    A group is cut into blocks of about block_shingles shingles, and every pair of blocks that may hold two roots is compared.
+    `sets_of` makes sets of shingles of the values of texts (node, data). A group is cut into blocks of about block_shingles shingles, and every pair of blocks that may hold two roots is compared.
     """
     upto = F.sum("n").over(W.partitionBy("group").orderBy("root", "node").rowsBetween(W.unboundedPreceding, -1))
     cut = durable(rows.withColumn("block", F.floor(F.coalesce(upto, F.lit(0)) / block_shingles).cast("int")))
@@ -279,13 +281,10 @@ def _linked(rows: DataFrame, texts: DataFrame, shingle_words: int, similarity: f
     other = blocks.select("group", F.col("block").alias("j"), F.col("low").alias("l"), F.col("high").alias("h"))
     pairs = blocks.join(other, "group").filter("block <= j AND (low <> high OR l <> h OR low <> l)").select("group", F.col("block").alias("i"), "j")
     ends = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    work = cut.join(ends, ["group", "block"]).select(F.xxhash64("group", "i", "j").alias("key"), "root", "node").join(texts, "node").select("key", "root", "node", "text")
+    work = cut.join(ends, ["group", "block"]).select(F.xxhash64("group", "i", "j").alias("key"), "root", "node").join(texts, "node").select("key", "root", "node", "data")
 
     def solve(t: pa.Table) -> pa.RecordBatch:
-        w = split_words(t["text"].to_pylist(), lower=True)
-        words = [w.hash[w.of(k)] for k in range(len(t))]
-        sets = [np.unique(gram_hashes(h, min(shingle_words, len(h)))) if len(h) else h for h in words]
-        u, v = alike(t["key"].to_numpy(), t["root"].to_numpy(), sets, similarity)
+        u, v = alike(t["key"].to_numpy(), t["root"].to_numpy(), sets_of(t["data"].to_pylist()), similarity)
         node = t["node"].to_numpy()
         return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
 
@@ -308,7 +307,23 @@ def _linked(rows: DataFrame, texts: DataFrame, shingle_words: int, similarity: f
     return work.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long")
 
 
-def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 18, tile_rows: int = 16384, seed: int = 42, block_shingles: int = 1_000_000) -> DataFrame:
+def _rare(seen: DataFrame, similarity: float) -> DataFrame:
+    """(group, node, n): each text of seen (node, n, few) under its rarest shingles, so many that similar texts share one of them."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *sets])), b.column(0).take(row), b.column(1).take(row)], ["group", "node", "n"])
+
+    every = durable(seen.filter("few IS NOT NULL").select("node", F.col("n").cast("long"), "few").mapInArrow(unpack, "group long, node long, n long"))
+    counted = every.join(every.groupBy("group").agg(F.count("*").alias("holders")), "group")
+    rank = F.row_number().over(W.partitionBy("node").orderBy("holders", "group"))
+    # of n shingles, s * n at least are shared: the first n - s * n + 1 in any common order hold a shared one
+    return counted.withColumn("rank", rank).filter((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1) & (F.col("holders") > 1)).select("group", "node", "n")
+
+
+def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 18, tile_rows: int = 16384, seed: int = 42, block_shingles: int = 1_000_000, short: int = 64) -> DataFrame:
     """(node, root): classes of texts that links of at least `similarity` join; node is the text's XXH64.
 
     Texts are compared as fingerprints within the radius, in tiles of a population count and a class of sizes (texts
@@ -317,6 +332,9 @@ def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int
     verified by exact Jaccard similarity of the shingles: linear in the texts, however large a group of copies is. Where a
     link of a forest fails, true links that it stood for may be missing: all texts that such forests join are then compared
     with each other, exactly, save those already known to be of one class.
+
+    The radius loses links of texts with few shingles: where one of two has at most `short` of them, the pair is found
+    exactly, under a rare shingle that both have. Fingerprints are of the distinct shingles, as the similarity is.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
@@ -324,16 +342,16 @@ def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in chunks(texts, len):
-                fp = text_fingerprints(texts[i:j], shingle_words, seed).view(np.int64)
-                count, sketch = _profiles(texts[i:j], shingle_words)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(fp), pa.array(count), pa.array([x.tobytes() for x in sketch], pa.binary())], ["node", "fp", "n", "sketch"])
+                fp = text_fingerprints(texts[i:j], shingle_words, seed, distinct=True).view(np.int64)
+                count, sketch, few = _profiles(texts[i:j], shingle_words, int(short / similarity + 1e-9))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(fp), pa.array(count), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(few, pa.binary())], ["node", "fp", "n", "sketch", "few"])
 
     named = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
-    seen = durable(named.mapInArrow(of, "node long, fp long, n int, sketch binary")).dropDuplicates(["node"])
+    seen = durable(named.mapInArrow(of, "node long, fp long, n int, sketch binary, few binary")).dropDuplicates(["node"])
     step = float(-np.log(similarity))
     sized = seen.withColumns({"pop": F.bit_count("fp").cast("int"), "class": F.floor(F.log(F.greatest("n", F.lit(1))) / step).cast("int")})
     sized = durable(sized)
-    parts = _tiled(sized, tile_rows)
+    parts = _tiled(sized.drop("few"), tile_rows)
     kind = np.dtype([("node", "<i8"), ("fp", "<u8"), ("n", "<i4"), ("sketch", "<u2", _BINS)])
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -383,14 +401,24 @@ def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int
         return pd.Series([jaccard(x, y, shingle_words) for x, y in zip(a, b)], dtype=float)
 
     tried = durable(both.select("u", "v", (exact("tu", "tv") >= similarity).alias("holds")))
-    held = tried.filter("holds").select("u", "v")
-    if tried.filter("NOT holds").isEmpty():
-        return components(held)
-    clusters = durable(components(tried))
-    failed = tried.filter("NOT holds").join(clusters, F.col("u") == F.col("node")).select(F.col("root").alias("group")).distinct()
-    mixed = clusters.withColumnRenamed("root", "group").join(failed, "group").join(components(held), "node", "left")
-    rows = mixed.join(sized.select("node", "n"), "node").select("group", F.coalesce("root", "node").alias("root"), "node", F.col("n").cast("long").alias("n"))
-    return components(held.union(_linked(rows, texts, shingle_words, similarity, block_shingles)))
+
+    def sets_of(own: list) -> list[np.ndarray]:
+        w = split_words(own, lower=True)
+        words = [w.hash[w.of(k)] for k in range(len(own))]
+        return [np.unique(gram_hashes(h, min(shingle_words, len(h)))) if len(h) else h for h in words]
+
+    known = durable(components(tried.filter("holds").select("u", "v")))
+    if not tried.filter("NOT holds").isEmpty():
+        clusters = durable(components(tried))
+        failed = tried.filter("NOT holds").join(clusters, F.col("u") == F.col("node")).select(F.col("root").alias("group")).distinct()
+        mixed = clusters.withColumnRenamed("root", "group").join(failed, "group").join(known, "node", "left")
+        rows = mixed.join(sized.select("node", "n"), "node").select("group", F.coalesce("root", "node").alias("root"), "node", F.col("n").cast("long").alias("n"))
+        found = durable(_linked(rows, texts.select("node", F.col("text").alias("data")), sets_of, similarity, block_shingles))
+        known = known if found.isEmpty() else durable(components(known.toDF("u", "v").union(found)))
+    rows = _rare(sized, similarity).join(known, "node", "left").select("group", F.coalesce("root", "node").alias("root"), "node", "n")
+    few = sized.filter("few IS NOT NULL").select("node", F.col("few").alias("data"))
+    found = durable(_linked(rows, few, lambda own: [np.frombuffer(x, np.uint64) for x in own], similarity, block_shingles))
+    return known if found.isEmpty() else components(known.toDF("u", "v").union(found))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:

@@ -51,3 +51,20 @@ def test_truncated_items_against_brute_force(spark):
     assert (0, 0) in want and 10 < len(want) < len(texts)
     assert {(x.doc_id, x.item_id) for x in decontam.find(docs(spark, texts), bench).collect()} == want
     assert {x.doc_id for x in decontam.drop_contaminated(docs(spark, texts), bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
+def test_repeated_passages_and_short_texts_are_compared(spark):
+    r = random.Random(12)
+    some = lambda n: [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+    menu = " home news sport weather contact imprint"
+    texts = []
+    for _ in range(3):  # the same article, with a menu once and 200 times: alike by their distinct shingles
+        article = " ".join(some(200))
+        texts += [article + menu, article + menu * 200]
+    for _ in range(300):  # 4 of 5 shingles shared
+        w = some(9)
+        texts += [" ".join(w), " ".join(w[:8])]
+    texts += some(3) + ["", " "]
+    want = least_of_classes(texts)
+    assert len(want) == 307
+    assert sorted(x.doc_id for x in simhash.keep_one(docs(spark, texts)).collect()) == want
