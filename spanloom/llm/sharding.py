@@ -12,8 +12,8 @@ Shard sizes differ by one row at most (law ``rows``); copies of a text are
 spread like any other rows.
 
 Defined cases: a null text has size 1 and the checksum of the empty text; equal
-rows, null ids and ties are separate rows, placed by a hash of id and text, so a
-rerun gives the same table; an empty table gives an empty table; other columns
+rows, null ids and ties are separate rows, placed by a hash of id, text and their
+number among equal rows, so a rerun gives the same table; an empty table gives an empty table; other columns
 play no part.
 """
 
@@ -92,6 +92,21 @@ def communication_matrix(sizes: DataFrame, shards: int, seed: int = 10) -> DataF
     return nodes.select(F.col("lo").alias("shard"), F.posexplode("counts").alias("part", "n"))
 
 
+def numbered(base: DataFrame) -> DataFrame:
+    """base (mark, ...), where the first of equal rows keeps its mark and the others mix their number into it.
+
+    Equal rows are numbered in each partition of the input, and partitions by their counts: none meets all copies of a row.
+    """
+    base = durable(base.withColumn("input", F.spark_partition_id()))
+    n = base.groupBy("mark", "input").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("mark").orderBy("input")) - F.col("n")
+    offset = n.select("mark", "input", before.alias("before")).filter("before > 0")
+    nth = F.row_number().over(W.partitionBy("mark", "input").orderBy("mark")) - 1
+    counted = base.withColumn("nth", nth).join(offset, ["mark", "input"], "left").withColumn("nth", F.col("nth") + F.coalesce("before", F.lit(0)))
+    mark = F.when(F.col("nth") > 0, F.xxhash64("mark", "nth")).otherwise(F.col("mark"))
+    return durable(counted.withColumn("mark", mark).drop("input", "before", "nth"))
+
+
 def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rows_per_part: int = 50_000, seed: int = 10) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row; slots have no gaps in a shard.
 
@@ -99,7 +114,7 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text)).alias("mark"))
-    base = durable(base)
+    base = numbered(base)
     rows = base.count()
     parts = max(1, -(-rows // rows_per_part))
     own = base.withColumns({"part": F.pmod("mark", F.lit(parts)).cast("int"), "first": F.xxhash64("mark", F.lit(1)), "second": F.xxhash64("mark", F.lit(2))})

@@ -2,7 +2,7 @@
 
 import random
 
-from spanloom.llm import decontam, simhash
+from spanloom.llm import decontam, sharding, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -68,3 +68,17 @@ def test_repeated_passages_and_short_texts_are_compared(spark):
     want = least_of_classes(texts)
     assert len(want) == 307
     assert sorted(x.doc_id for x in simhash.keep_one(docs(spark, texts)).collect()) == want
+
+
+def test_copies_are_spread_over_shards(spark):
+    texts = [f"text {i}" for i in range(400)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] * 2 + [(1000, "hot", "en", "s", 1)] * 400
+    found = sharding.assign(spark.createDataFrame(rows, SCHEMA), 8, rows_per_part=100).collect()
+    again = sharding.assign(spark.createDataFrame(rows, SCHEMA).repartition(5), 8, rows_per_part=100).collect()
+    assert sorted(found) == sorted(again)
+    at = {}
+    for x in found:
+        at.setdefault(x.doc_id, []).append(x.shard)
+    hot = at.pop(1000)
+    assert 320 <= sum(a != b for a, b in at.values()) <= 375  # 350 by a uniform shuffle
+    assert all(25 <= hot.count(k) <= 75 for k in range(8))
