@@ -34,6 +34,26 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that hold over a HOT-th of all rows are fewer than HOT, at any size: they may be broadcast.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], n: str, total: int, spread_by: list[Column]) -> DataFrame:
+    """rows inner-joined to `table`, which has one row for each key with the number of its rows, `n`, of `total` in all.
+
+    No task meets more than about total / HOT rows of one key: a key of more rows is dealt over several parts by `spread_by`, and
+    its one row of the table goes to each. Those keys, under HOT of them, reach the rows by broadcast. Keys are not null; `table`
+    is read twice, `rows` once.
+    """
+    limit = max(1, total // HOT)
+    parts = F.ceil(F.col(n) / limit).cast("long")
+    hot = F.broadcast(table.filter(F.col(n) > limit).select(*on, parts.alias("_parts")))
+    part = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_parts")), F.lit(0).cast("long"))
+    dealt = rows.join(hot, on, "left").withColumn("_part", part).drop("_parts")
+    copied = table.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.join(copied, [*on, "_part"]).drop("_part")
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
