@@ -1,24 +1,25 @@
 """Benchmark decontamination: windows as long as a benchmark item, by SimHash, verified by weighted shingle similarity.
 
-For each item of m words, every window of m words of a document could hold it.
-A window whose shingles reach the wanted similarity has at least a known number
-of the items' shingles, so only such windows are fingerprinted. A fingerprint is
-compared to those of the items of that length by multi-index blocks: within
-radius r, one of b blocks differs by r // b bits at most, which loses none. What
-is left is verified: sum of minima over sum of maxima of the shingles' counts.
-
-The benchmark goes to every task, at most `max_items` items at a time; a longer
-benchmark takes several passes. Documents are never shuffled.
-
-Defined cases: words are lower-cased (A-Z); items of fewer words than a shingle
-are one shingle; null and blank items and texts match nothing; a document with
-fewer words than an item is one window; equal rows are reported each; of equally
-similar windows the first is reported; an empty table on either side gives none.
+For each item of m words, every window of m words of a document could hold it. A window whose shingles reach the wanted similarity
+has at least a known number of the items' shingles, so only such windows are fingerprinted. Fingerprints of windows find those of
+items by a multi-index: the 64 bits are cut into blocks, and each block has a table from its value to the items that hold it. Two
+fingerprints within the radius agree in some block up to its share of the radius (radius // blocks bits in the first blocks, one
+bit less in those beyond radius % blocks), so looking up each window's block values, and all values within the share, finds every
+item within the radius; others found so are left by their distance. What remains is verified: sum of minima over sum of maxima of
+the shingles' counts.
+
+The benchmark goes to every task in passes of at most `max_items` items and about `max_words` words each; with more than one pass,
+each pass's result is written before the next pass's index is made. Documents are never shuffled.
+
+Defined cases: words are lower-cased (A-Z); items of fewer words than a shingle are one shingle; null and blank items and texts
+match nothing; a document with fewer words than an item is one window; equal rows are reported each; of equally similar windows
+the first is reported; an empty table on either side gives none; only the id and text columns are read for the search.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import chunks, durable, gram_hashes, split_words
+from .common import chunks, durable, gram_hashes, split_words, word_count
 
 
 def _bits(h: np.ndarray) -> np.ndarray:
@@ -46,28 +47,76 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / max(1, np.maximum(x, y).sum()))
 
 
+def flips(width: int, most: int) -> np.ndarray:
+    """All values of `width` bits with at most `most` bits set."""
+    return np.array([sum(1 << b for b in bits) for n in range(most + 1) for bits in combinations(range(width), n)], np.int64)
+
+
+class MultiIndex:
+    """Fingerprints of several kinds by the values of their blocks: finds all of a kind within a radius."""
+
+    def __init__(self, fps: np.ndarray, kind: np.ndarray, radius: int, blocks: int) -> None:
+        self.fps, self.kind, self.radius, self.width = fps, kind, radius, 64 // blocks
+        if self.width > 16:
+            raise ValueError("a block is a table of all its values: take 4 blocks or more")
+        self.tables = []
+        masks: dict[int, np.ndarray] = {}
+        for b in range(blocks):
+            share = radius // blocks - (b > radius % blocks)
+            value = self.block(fps, b)
+            order = np.argsort(value, kind="stable").astype(np.int32)
+            first = np.searchsorted(value[order], np.arange((1 << self.width) + 1)).astype(np.int32)
+            if share >= 0:
+                self.tables.append((b, order, first, masks.setdefault(share, flips(self.width, share))))
+
+    def block(self, fps: np.ndarray, b: int) -> np.ndarray:
+        return (fps >> np.uint64(b * self.width) & np.uint64((1 << self.width) - 1)).astype(np.int64)
+
+    def near(self, fps: np.ndarray, kind: int, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """(place in fps, item) of this kind within the radius, by place and item; `step` fingerprints are looked up at a time."""
+        found = [np.empty(0, np.int64)]
+        for c in range(0, len(fps), step):
+            part = fps[c : c + step]
+            seen = [np.empty(0, np.int64)]
+            for b, order, first, masks in self.tables:
+                value = (self.block(part, b)[:, None] ^ masks).ravel()
+                begin, n = first[value], first[value + 1] - first[value]
+                held = np.flatnonzero(n)
+                begin, n = begin[held].astype(np.int64), n[held].astype(np.int64)
+                at = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+                row, item = np.repeat(held // len(masks), n), order[at]
+                mine = self.kind[item] == kind
+                row, item = row[mine], item[mine]
+                close = np.bitwise_count(part[row] ^ self.fps[item]) <= self.radius
+                seen.append((c + row[close]) * len(self.fps) + item[close])
+            found.append(np.unique(np.concatenate(seen)))
+        return np.divmod(np.concatenate(found), max(1, len(self.fps)))
+
+
 class Index:
-    """Items by length: their shingles, fingerprints and, over all, which shingles belong to which length."""
+    """Items by length: their shingles and fingerprints, and over all of them which shingles they hold."""
 
     def __init__(self, items: list[tuple], shingle_words: int, similarity: float, radius: int, blocks: int) -> None:
-        self.similarity, self.radius, self.blocks = similarity, radius, blocks
-        self.lengths: dict[int, dict] = {}
+        self.similarity = similarity
+        self.names, self.shingles, length, fps = [], [], [], []
         w = split_words([t for _, t in items], lower=True)
         for k, (name, _) in enumerate(items):
             h = w.hash[w.of(k)]
             if len(h):
-                size = min(shingle_words, len(h))
-                group = self.lengths.setdefault(len(h), {"size": size, "names": [], "shingles": []})
-                group["names"].append(name)
-                group["shingles"].append(gram_hashes(h, size))
-        for group in self.lengths.values():
-            n = len(group["shingles"][0])
-            group["fps"] = np.concatenate([_pack(_bits(s).sum(0), n) for s in group["shingles"]])
-            group["known"] = np.unique(np.concatenate(group["shingles"]))
-            group["need"] = self.need(n, n)
+                own = gram_hashes(h, min(shingle_words, len(h)))
+                self.names.append(name)
+                self.shingles.append(own)
+                length.append(len(h))
+                fps.append(_pack(_bits(own).sum(0), len(own))[0])
+        self.prints = MultiIndex(np.array(fps, np.uint64), np.array(length, np.int64), radius, blocks)
+        lengths: dict[int, dict] = {}
+        for m in sorted(set(length)):
+            known = np.unique(np.concatenate([s for s, n in zip(self.shingles, length) if n == m]))
+            size = min(shingle_words, m)
+            lengths[m] = {"size": size, "known": known, "need": self.need(m - size + 1, m - size + 1)}
         self.by_size: dict[int, tuple] = {}
-        for size in {g["size"] for g in self.lengths.values()}:
-            mine = {m: g for m, g in self.lengths.items() if g["size"] == size}
+        for size in {g["size"] for g in lengths.values()}:
+            mine = {m: g for m, g in lengths.items() if g["size"] == size}
             known = np.unique(np.concatenate([g["known"] for g in mine.values()]))
             mask = (1 << max(16, int(16 * len(known)).bit_length())) - 1
             seen = np.zeros(mask + 1, bool)
@@ -78,18 +127,6 @@ class Index:
         """Shared shingles of n and own that make the similarity."""
         return int(np.ceil((n + own) * self.similarity / (1 + self.similarity) - 1e-9))
 
-    def near(self, fps: np.ndarray, group: dict) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) within the radius: some block is within its share of it, and then all bits."""
-        width = 64 // self.blocks
-        x = fps[:, None] ^ group["fps"][None, :]
-        mask = np.uint64((1 << width) - 1)
-        close = np.zeros(x.shape, bool)
-        for b in range(self.blocks):
-            close |= np.bitwise_count(x >> np.uint64(b * width) & mask) <= self.radius // self.blocks
-        window, item = close.nonzero()
-        within = np.bitwise_count(x[window, item]) <= self.radius
-        return window[within], item[within]
-
     def search(self, texts: list) -> Iterator[tuple[int, object, float, int, int]]:
         """(text, item, similarity, first word, number of words): the best window of each text and item."""
         w = split_words(texts, lower=True)
@@ -130,30 +167,41 @@ class Index:
             for piece in np.split(part, np.flatnonzero(np.diff(part) > n) + 1):
                 total = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(_bits(own[piece[0] : piece[-1] + n]), axis=0)))
                 fps = _pack(total[piece - piece[0] + n] - total[piece - piece[0]], n)
-                for window, item in zip(*self.near(fps, group)):
+                for window, item in zip(*self.prints.near(fps, m)):
                     s = int(piece[window])
-                    value = weighted_similarity(own[s : s + n], group["shingles"][item])
+                    value = weighted_similarity(own[s : s + n], self.shingles[item])
                     if value >= self.similarity and value > best.get(int(item), (0.0, 0))[0]:
                         best[int(item)] = value, s
         for item, (value, s) in best.items():
-            yield group["names"][item], value, s, min(m, n_words)
+            yield self.names[item], value, s, min(m, n_words)
 
 
-def _indexes(items: DataFrame, item_id_col: str, item_text_col: str, shingle_words: int, similarity: float, radius: int, blocks: int, max_items: int) -> Iterator[Broadcast]:
-    listed = durable(items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null"))
-    passes = max(1, -(-listed.count() // max_items))
+def _indexes(items: DataFrame, item_id_col: str, item_text_col: str, shingle_words: int, similarity: float, radius: int, blocks: int, max_items: int, max_words: int) -> Iterator[tuple[Broadcast, bool]]:
+    """(index, last one?) for each pass over the benchmark, made when it is asked for."""
+    text = F.col(item_text_col).cast("string")
+    listed = durable(items.select(F.col(item_id_col).alias("item_id"), text.alias("text"), word_count(text).alias("n")).filter("n > 0"))
+    size = listed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    passes = max(1, -(-size[0] // max_items), -(-size[1] // max_words))
     for p in range(passes):
-        own = listed.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).collect()
-        yield items.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in own], shingle_words, similarity, radius, blocks))
+        own = listed.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).select("item_id", "text").collect()
+        yield items.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in own], shingle_words, similarity, radius, blocks)), p == passes - 1
 
 
-def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 28, blocks: int = 4, max_items: int = 20_000) -> DataFrame:
+def _settled(df: DataFrame, index: Broadcast, last: bool) -> DataFrame:
+    """df itself at the last pass; before, it is written, so that this pass's index can go."""
+    if not last:
+        df = durable(df)
+        index.unpersist()
+    return df
+
+
+def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 24, blocks: int = 4, max_items: int = 20_000, max_words: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): one row for each document and item that it holds."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", items.schema[item_id_col].dataType), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
     types, names = list(to_arrow_schema(schema).types)[1:], schema.names
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for index in _indexes(items, item_id_col, item_text_col, shingle_words, similarity, radius, blocks, max_items):
+    for index, last in _indexes(items, item_id_col, item_text_col, shingle_words, similarity, radius, blocks, max_items, max_words):
 
         def run(batches: Iterator[pa.RecordBatch], index: Broadcast = index) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -163,16 +211,19 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
                     columns = list(zip(*found)) or [[]] * 5
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i + k for k in columns[0]], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], types))], names)
 
-        part = rows.mapInArrow(run, schema)
+        part = _settled(rows.mapInArrow(run, schema), index, last)
         out = part if out is None else out.union(part)
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 28, blocks: int = 4, max_items: int = 20_000) -> DataFrame:
-    """The rows of docs that hold no item, in one pass for each part of the benchmark."""
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 24, blocks: int = 4, max_items: int = 20_000, max_words: int = 4_000_000) -> DataFrame:
+    """The rows of docs, all columns, that hold no item; each pass reads what the one before kept.
+
+    Null and blank texts hold nothing and stay; equal rows stay or go together; empty tables: no rows, or all.
+    """
     at = docs.columns.index(text_col)
     out = docs
-    for index in _indexes(items, item_id_col, item_text_col, shingle_words, similarity, radius, blocks, max_items):
+    for index, last in _indexes(items, item_id_col, item_text_col, shingle_words, similarity, radius, blocks, max_items, max_words):
 
         def run(batches: Iterator[pa.RecordBatch], index: Broadcast = index) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -181,5 +232,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
                     keep[[i + k for k, *_ in index.value.search(texts[i:j])]] = False
                 yield b.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = _settled(out.mapInArrow(run, docs.schema), index, last)
     return out
