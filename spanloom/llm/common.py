@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than these six.
@@ -38,7 +39,7 @@ def durable(df: DataFrame) -> DataFrame:
 HOT = 1000
 
 
-def join_counted(rows: DataFrame, table: DataFrame, on: list[str], n: str, total: int, spread_by: list[Column]) -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], n: str, total: int, spread_by: list[Column], part: str | None = None) -> DataFrame:
     """rows inner-joined to `table`, which has one row for each key with the number of its rows, `n`, of `total` in all.
 
     No task meets more than about total / HOT rows of one key: a key of more rows is dealt over several parts by `spread_by`, and
@@ -48,10 +49,26 @@ def join_counted(rows: DataFrame, table: DataFrame, on: list[str], n: str, total
     limit = max(1, total // HOT)
     parts = F.ceil(F.col(n) / limit).cast("long")
     hot = F.broadcast(table.filter(F.col(n) > limit).select(*on, parts.alias("_parts")))
-    part = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_parts")), F.lit(0).cast("long"))
-    dealt = rows.join(hot, on, "left").withColumn("_part", part).drop("_parts")
+    number = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_parts")), F.lit(0).cast("long"))
+    dealt = rows.join(hot, on, "left").withColumn("_part", number).drop("_parts")
     copied = table.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    return dealt.join(copied, [*on, "_part"]).drop("_part")
+    joined = dealt.join(copied, [*on, "_part"])
+    return joined.withColumnRenamed("_part", part) if part else joined.drop("_part")
+
+
+def numbered(base: DataFrame) -> DataFrame:
+    """base (mark, ...), where the first of equal marks stays and the others have their number mixed in, written as a table.
+
+    Equal marks are numbered in each partition of the input, and partitions by their counts: none meets all rows of a mark.
+    """
+    base = durable(base.withColumn("_input", F.spark_partition_id()))
+    n = base.groupBy("mark", "_input").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("mark").orderBy("_input")) - F.col("_n")
+    offset = n.select("mark", "_input", before.alias("_before")).filter("_before > 0")
+    nth = F.row_number().over(W.partitionBy("mark", "_input").orderBy("mark")) - 1
+    counted = base.withColumn("_nth", nth).join(offset, ["mark", "_input"], "left").withColumn("_nth", F.col("_nth") + F.coalesce("_before", F.lit(0)))
+    mark = F.when(F.col("_nth") > 0, F.xxhash64("mark", "_nth")).otherwise(F.col("mark"))
+    return durable(counted.withColumn("mark", mark).drop("_input", "_before", "_nth"))
 
 
 def word_count(text: Column) -> Column:

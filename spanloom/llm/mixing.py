@@ -1,19 +1,18 @@
 """Mixing sources to target weights by entropy balancing, in DataFrame operations only.
 
-Each source has a target number of words. Its documents get rates between 0 and
-2 that are exponentially tilted by document size, rate / (2 - rate) =
-exp(tilt * size / mean size): the rates nearest to one, in relative entropy
-between those bounds, whose words add up to the target. The tilt of each source
-is the root of the convex dual's gradient, found by safeguarded Newton steps;
-one step is one distributed aggregation over (source, size) classes. Rates are
-then rounded into whole copies: classes by systematic rounding in order of
-size, the words still missing by changing single copies, and inside a class the
-documents that a hash puts first take the odd copies.
-
-Defined cases: null and blank texts have size 0 and take nothing; null sources
-are one source, the last; equal rows are separate documents; an empty table
-gives an empty table; a source without words has target 0. Only doc_id, text
-and source are read, so other columns can't clash.
+Each source has a target number of words. Its documents get rates between 0 and 2 that are exponentially tilted by document size,
+rate / (2 - rate) = exp(tilt * size / mean size): the rates nearest to one, in relative entropy between those bounds, whose words
+add up to the target. The tilt of each source is the root of the convex dual's gradient, found by safeguarded Newton steps; one
+step is one distributed aggregation over (source, size) classes. Rates are then rounded into whole copies: classes by systematic
+rounding in order of size, the words still missing by changing single copies, and inside a class the documents that a hash puts
+first take the odd copies.
+
+Texts are read once, for their sizes; everything then works on narrow rows, and only with `keep` are whole rows joined, once, at
+the end. A class that holds much of the table is dealt over parts, whose lengths tell where each part's ranks begin.
+
+Defined cases: null and blank texts have size 0 and take nothing; null sources are one source, the last; equal rows are separate
+documents; an empty table gives an empty table; a source without words has target 0. Only doc_id, text and source are read, and
+other columns come back under ``in_``, so they can't clash.
 """
 
 from __future__ import annotations
@@ -24,30 +23,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, word_count
+from .common import HOT, durable, join_counted, numbered, word_count
 
 MOST = 2.0  # copies of a document, and multiple of its source's size that a target may reach
 
 
-def source_targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = MOST) -> DataFrame:
+def source_key(source: Column) -> Column:
+    """A text that is never null and keeps code-point order, a null source last."""
+    return F.concat(F.when(source.isNull(), "-").otherwise("+"), F.coalesce(source, F.lit("")))
+
+
+def source_targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = MOST, max_rounds: int = 1000) -> DataFrame:
     """(source, source_size) -> with weight and target: `share` of all sizes by weight, capped, the excess reshared.
 
-    One row per source. Sources are weighed in code-point order, null last. A source is capped when its size per weight is
-    small: in order of size / weight, the capped ones are those before the first whose even share stays under its cap.
+    One row per source. Sources are weighed in code-point order, null last: ranges of names are numbered apart and the lengths of
+    the ranges before added. Resharing raises the level (words per weight) until no further source reaches its cap; a round is one
+    aggregation.
     """
-    by_name, by_room = W.orderBy(F.asc_nulls_last("source")), W.orderBy("room", F.asc_nulls_last("source"))
+    ranged = durable(sources.withColumn("_key", source_key(F.col("source"))).repartitionByRange("_key").withColumn("_range", F.spark_partition_id()))
+    before = ranged.groupBy("_range").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(W.orderBy("_range")) - F.col("n"))  # one row for each range
+    nth = F.row_number().over(W.partitionBy("_range").orderBy("_key")) - 1 + F.col("before")
     pattern = F.array(*[F.lit(float(x)) for x in weights])
-    w = sources.withColumn("weight", F.element_at(pattern, (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int")))
-    w = w.withColumn("cap", most * F.col("source_size")).withColumn("room", F.col("cap") / F.col("weight"))
-    before = by_room.rowsBetween(W.unboundedPreceding, -1)
-    rest = by_room.rowsBetween(0, W.unboundedFollowing)
-    w = w.withColumns({
-        "left": share * F.sum("source_size").over(W.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)),
-        "left_weight": F.sum("weight").over(rest),
-    })
-    level = F.when(F.col("left") / F.col("left_weight") < F.col("room"), F.col("left") / F.col("left_weight"))
-    w = w.withColumn("level", F.first(level, ignorenulls=True).over(by_room.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    return w.select("source", "source_size", "weight", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    w = ranged.join(F.broadcast(before.select("_range", "before")), "_range").withColumn("weight", F.element_at(pattern, (F.pmod(nth, F.lit(len(weights))) + 1).cast("int")))
+    w = durable(w.select("source", "source_size", "weight", (most * F.col("source_size")).alias("cap")))
+    level = -1.0
+    for _ in range(max_rounds):
+        full = F.col("cap") <= F.col("weight") * max(level, 0.0)
+        sums = w.agg(F.sum("source_size"), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        raised = (share * float(sums[0] or 0) - float(sums[1] or 0)) / sums[2] if sums[2] else float("inf")
+        if raised <= level:
+            return w.select("source", "source_size", "weight", F.least("cap", F.col("weight") * max(level, 0.0)).alias("target"))
+        level = raised
+    raise RuntimeError(f"targets did not settle in {max_rounds} rounds")
 
 
 def _rate(tilt: Column, z: Column) -> Column:
@@ -55,7 +62,10 @@ def _rate(tilt: Column, z: Column) -> Column:
 
 
 def solve_tilts(classes: DataFrame, targets: DataFrame, tolerance: float = 1e-9, max_steps: int = 60) -> DataFrame:
-    """(source_key, tilt) by Newton steps on the dual; a step that leaves the bracket around the root becomes a bisection."""
+    """(source_key, tilt) by Newton steps on the dual; a step that leaves the bracket around the root becomes a bisection.
+
+    What is left after `max_steps` is within the bracket's last halving: rounding and single copies settle the rest.
+    """
     start = targets.select("source_key", "target", "mean_size", F.lit(0.0).alias("tilt"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(False).alias("done"))
     state = durable(start)
     for _ in range(max_steps):
@@ -94,31 +104,36 @@ def class_copies(classes: DataFrame, targets: DataFrame, repairs: int = 6) -> Da
         move = F.when(F.coalesce(up, F.lit(float("inf"))) <= F.coalesce(down, F.lit(float("inf"))), F.lit(1)).otherwise(F.lit(-1))
         tried = now.join(gap, "source_key").withColumns({"left": F.least(up, down), "move": move})
         best = tried.filter(F.col("left") < F.abs("gap")).groupBy("source_key").agg(F.min(F.struct("left", "size", "move")).alias("best"))
-        best = best.select("source_key", F.col("best.size").alias("size"), F.col("best.move").alias("move"))
+        best = durable(best.select("source_key", F.col("best.size").alias("size"), F.col("best.move").alias("move")))
+        if best.isEmpty():
+            break
         now = durable(now.join(best, ["source_key", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("move", F.lit(0))).drop("move"))
     return now.select("source_key", "size", "n", "copies")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, rows_per_group: int = 50_000, seed: int = 5, keep: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, seed: int = 5, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken, and the columns in `keep`, prefixed ``in_``) for every row."""
     source = F.col(source_col).cast("string")
-    extra = [F.col(c).alias(f"in_{c}") for c in keep]
-    base = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), F.concat(F.when(source.isNull(), "-").otherwise("+"), F.coalesce(source, F.lit(""))).alias("source_key"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col))).alias("order"), *extra)
-    classes = durable(base.groupBy("source_key", "source", "size").agg(F.count("*").alias("n")))
-    sources = classes.groupBy("source_key", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"))
-    targets = source_targets(sources.select("source", "source_size"), weights, share).withColumn("source_key", F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce("source", F.lit(""))))
+    mark = F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col)))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), source.alias("source"), source_key(source).alias("source_key"), word_count(F.col(text_col)).alias("size"), mark.alias("mark"), *[F.col(c).alias(f"in_{c}") for c in keep])
+    rows = durable(rows) if keep else rows
+    slim = numbered(rows.select(*([] if not keep else ["uid"]), "doc_id", "source", "source_key", "size", "mark"))
+    total = slim.count()
+    classes = durable(slim.groupBy("source_key", "source", "size").agg(F.count("*").alias("n")))
+    sources = durable(classes.groupBy("source_key", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs")))
+    targets = source_targets(sources.select("source", "source_size"), weights, share).withColumn("source_key", source_key(F.col("source")))
     targets = durable(targets.join(sources.select("source_key", "docs"), "source_key").withColumn("mean_size", F.greatest(F.col("source_size") / F.col("docs"), F.lit(1.0))))
     sized = classes.select("source_key", "size", "n")
     copies = class_copies(sized.filter("size > 0"), targets.select("source_key", "target", "source_size", "mean_size"))
-    # the place of a document in its class, in groups of about rows_per_group: a class may hold most rows of a source
-    groups = sized.join(copies.select("source_key", "size", "copies"), ["source_key", "size"], "left").withColumn("parts", F.ceil(F.col("n") / rows_per_group))
-    cut = F.pmod("order", "parts")
-    placed = base.join(groups, ["source_key", "size"]).withColumn("part", cut)
-    counts = placed.filter("parts > 1").groupBy("source_key", "size", "part").agg(F.count("*").alias("m"))
-    offsets = counts.withColumn("offset", F.sum("m").over(W.partitionBy("source_key", "size").orderBy("part")) - F.col("m")).drop("m")
-    rank = F.row_number().over(W.partitionBy("source_key", "size", "part").orderBy("order", "doc_id"))
-    placed = placed.withColumn("rank", rank).join(offsets, ["source_key", "size", "part"], "left").withColumn("rank", F.col("rank") + F.coalesce("offset", F.lit(0)))
-    total = F.coalesce("copies", F.lit(0))
-    own = F.floor(total / F.col("n")) + F.when(F.col("rank") <= F.pmod(total, F.col("n")), 1).otherwise(0)
-    out = placed.withColumn("copies", own.cast("long")).join(targets.select("source_key", "source_size", "target"), "source_key")
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[f"in_{c}" for c in keep])
+    groups = durable(sized.join(copies.select("source_key", "size", "copies"), ["source_key", "size"], "left").join(targets.select("source_key", "source_size", "target"), "source_key"))
+    # the place of a document in its class; large classes lie in several parts, HOT of them or a few more in all
+    placed = durable(join_counted(slim, groups, ["source_key", "size"], "n", total, [F.col("mark")], part="part").withColumnRenamed("copies", "whole"))
+    counts = placed.filter(F.col("n") > max(1, total // HOT)).groupBy("source_key", "size", "part").agg(F.count("*").alias("m"))
+    before = counts.withColumn("before", F.sum("m").over(W.partitionBy("source_key", "size").orderBy("part")) - F.col("m")).drop("m")
+    rank = F.row_number().over(W.partitionBy("source_key", "size", "part").orderBy("mark", "doc_id"))
+    ranked = placed.withColumn("rank", rank).join(F.broadcast(before), ["source_key", "size", "part"], "left").withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
+    whole = F.coalesce("whole", F.lit(0))
+    own = F.floor(whole / F.col("n")) + F.when(F.col("rank") <= F.pmod(whole, F.col("n")), 1).otherwise(0)
+    out = ranked.withColumn("copies", own.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
+    out = out.join(rows.select("uid", *[f"in_{c}" for c in keep]), "uid") if keep else out
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", *[f"in_{c}" for c in keep])

@@ -3,10 +3,11 @@
 Rows fall into partitions by hash. How many rows of each partition go to each
 shard is drawn exactly: the matrix of those counts, with the partitions' sizes
 as row sums and the shards' sizes as column sums, is multivariate
-hypergeometric. The draw halves the shards, and for each half walks down a
-binary tree over the partitions; each step is one hypergeometric variate, found
-from its distribution around the mode. Rows are then permuted inside their
-partition, dealt out by the matrix, and permuted again inside their shard.
+hypergeometric. The draw walks down a binary tree over the partitions, whose
+nodes are rows: a node's counts for the shards are divided between its halves by
+one hypergeometric variate a shard, each found from its distribution around the
+mode. Rows are then permuted inside their partition, dealt out by the matrix,
+and permuted again inside their shard.
 
 Shard sizes differ by one row at most (law ``rows``); copies of a text are
 spread like any other rows.
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, numbered
 
 
 def _uniform(*parts: Column) -> Column:
@@ -54,57 +55,30 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
 
 
 def communication_matrix(sizes: DataFrame, shards: int, seed: int = 10) -> DataFrame:
-    """(part from 0, rows) -> (part, shard, n): an exact draw. `sizes` has one row per partition; parts have no gaps."""
-    deep = max(1, sizes.count() - 1).bit_length()
-    width = 1 << deep
-    # one row, with the partitions' sizes as an array: its length is the number of partitions, not of rows
-    counts = sizes.groupBy().agg(F.array_sort(F.collect_list(F.struct("part", "rows"))).alias("a"))
-    counts = counts.select(F.concat(F.col("a.rows"), F.array_repeat(F.lit(0).cast("long"), width)).alias("a")).select(F.slice("a", 1, width).alias("counts"))
-    total = F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)
-    nodes = counts.withColumns({"lo": F.lit(0), "hi": F.lit(shards), "all": total})
-
-    def upto(shard: Column) -> Column:  # rows of the shards before this one
-        return shard * F.floor(F.col("all") / shards) + F.least(shard.cast("long"), F.pmod(F.col("all"), F.lit(shards)))
-
-    done = []
-    while True:
-        nodes = durable(nodes)
-        if nodes.filter("hi - lo > 1").isEmpty():
-            break
-        done.append(nodes.filter("hi - lo = 1"))
-        wide = nodes.filter("hi - lo > 1").withColumn("mid", F.floor((F.col("lo") + F.col("hi")) / 2).cast("int"))
-        # sums[l]: rows under each node of the tree's level l, from the root
-        tree = F.aggregate(F.sequence(F.lit(1), F.lit(deep)), F.array("counts"), lambda s, _: F.concat(F.array(F.transform(F.sequence(F.lit(0), F.floor((F.size(s[0]) - 1) / 2).cast("int")), lambda i: s[0][2 * i] + s[0][2 * i + 1])), s))
-        wide = durable(wide.withColumn("sums", tree).withColumn("want", F.array((upto(F.col("mid")) - upto(F.col("lo"))).cast("long"))))
-        for level in range(deep):
-            here, below = F.col("sums")[level], F.col("sums")[level + 1]
-
-            def split(x: Column, i: Column) -> Column:
-                u = _uniform(F.lit(seed), F.col("lo"), F.col("hi"), F.lit(level), i)
-                got = hypergeometric(here[i], x, below[2 * i], u)
-                return F.transform(F.array(got), lambda g: F.array(g, x - g))[0]
-
-            wide = durable(wide.withColumn("want", F.flatten(F.transform("want", split))))
-        rest = F.zip_with("counts", "want", lambda c, x: c - x)
-        nodes = wide.select(F.col("want").alias("counts"), "lo", F.col("mid").alias("hi"), "all").union(wide.select(rest.alias("counts"), F.col("mid").alias("lo"), "hi", "all"))
-    for x in done:
-        nodes = nodes.union(x)
-    return nodes.select(F.col("lo").alias("shard"), F.posexplode("counts").alias("part", "n"))
-
-
-def numbered(base: DataFrame) -> DataFrame:
-    """base (mark, ...), where the first of equal rows keeps its mark and the others mix their number into it.
-
-    Equal rows are numbered in each partition of the input, and partitions by their counts: none meets all copies of a row.
-    """
-    base = durable(base.withColumn("input", F.spark_partition_id()))
-    n = base.groupBy("mark", "input").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.partitionBy("mark").orderBy("input")) - F.col("n")
-    offset = n.select("mark", "input", before.alias("before")).filter("before > 0")
-    nth = F.row_number().over(W.partitionBy("mark", "input").orderBy("mark")) - 1
-    counted = base.withColumn("nth", nth).join(offset, ["mark", "input"], "left").withColumn("nth", F.col("nth") + F.coalesce("before", F.lit(0)))
-    mark = F.when(F.col("nth") > 0, F.xxhash64("mark", "nth")).otherwise(F.col("mark"))
-    return durable(counted.withColumn("mark", mark).drop("input", "before", "nth"))
+    """(part from 0, rows) -> (part, shard, n): an exact draw. `sizes` has one row per partition; missing ones are empty."""
+    last, rows = sizes.agg(F.coalesce(F.max("part"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    deep = int(last).bit_length()
+    # rows under each node of the tree: at level l from the root, node i covers parts i << (deep - l) and on
+    level = F.explode(F.sequence(F.lit(0), F.lit(deep))).alias("level")
+    tree = durable(sizes.select("part", "rows", level).groupBy("level", F.expr(f"shiftright(part, {deep} - level)").alias("node")).agg(F.sum("rows").alias("rows")))
+    even = F.array(*[F.lit(rows // shards + (k < rows % shards)).cast("long") for k in range(shards)])
+    nodes = durable(tree.filter("level = 0").select("node", even.alias("counts")))
+    for depth in range(1, deep + 1):
+        left = tree.filter((F.col("level") == depth) & (F.col("node") % 2 == 0)).select((F.col("node") / 2).cast("int").alias("node"), F.col("rows").alias("want"))
+        wide = nodes.join(left, "node", "left")
+        total = F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)
+
+        def draw(s: Column, k: Column) -> Column:  # of this shard's rows, those of the left half; then the rest without this shard
+            marked = F.col("counts")[k]
+            u = _uniform(F.lit(seed), F.lit(depth), F.col("node"), k)
+            return F.transform(F.array(hypergeometric(s.total, marked, s.want, u)), lambda n: F.struct((s.total - marked).alias("total"), (s.want - n).alias("want"), F.concat(s.got, F.array(n)).alias("got")))[0]
+
+        begin = F.struct(total.alias("total"), F.coalesce("want", F.lit(0).cast("long")).alias("want"), F.array().cast("array<bigint>").alias("got"))
+        got = F.aggregate(F.sequence(F.lit(0), F.lit(shards - 1)), begin, draw, lambda s: s.got)
+        wide = wide.select("node", "counts", got.alias("got"))
+        halves = F.array(F.struct((2 * F.col("node")).cast("int").alias("node"), F.col("got").alias("counts")), F.struct((2 * F.col("node") + 1).cast("int").alias("node"), F.zip_with("counts", "got", lambda c, n: c - n).alias("counts")))
+        nodes = durable(wide.select(F.explode(halves).alias("x")).select("x.*").filter(F.exists("counts", lambda n: n > 0)))
+    return nodes.select(F.col("node").alias("part"), F.posexplode("counts").alias("shard", "n"))
 
 
 def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rows_per_part: int = 50_000, seed: int = 10) -> DataFrame:
@@ -118,8 +92,7 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
     rows = base.count()
     parts = max(1, -(-rows // rows_per_part))
     own = base.withColumns({"part": F.pmod("mark", F.lit(parts)).cast("int"), "first": F.xxhash64("mark", F.lit(1)), "second": F.xxhash64("mark", F.lit(2))})
-    empty = docs.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"))
-    sizes = durable(empty.join(own.groupBy("part").agg(F.count("*").alias("rows")), "part", "left").fillna(0))
+    sizes = durable(own.groupBy("part").agg(F.count("*").alias("rows")))
     matrix = communication_matrix(sizes, shards, seed)
     upto = F.sum("n").over(W.partitionBy("part").orderBy("shard"))
     cuts = matrix.withColumn("upto", upto).groupBy("part").agg(F.array_sort(F.collect_list("upto")).alias("cuts"))

@@ -94,8 +94,8 @@ def test_no_label_contradicts_its_ancestors():
 def test_mixing_meets_targets(spark):
     r = random.Random(3)
     rows = [(i, " ".join("w" * r.randint(1, 90) for _ in range(r.randint(1, 400))), "en", f"s{i % 5 if i % 3 else 0}") for i in range(400)] + ODD
-    got = mixing.mix(docs(spark, rows), rows_per_group=20).collect()
-    again = mixing.mix(docs(spark, rows).repartition(3), rows_per_group=20).collect()
+    got = mixing.mix(docs(spark, rows)).collect()
+    again = mixing.mix(docs(spark, rows).repartition(3)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(rows)
     sizes, taken, target = {}, {}, {}
     for x in got:
