@@ -8,9 +8,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a maximal run of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,6 +83,23 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def distinct_texts(docs: DataFrame, text_col: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(columns, a, b) for every row, with the text's two hashes, and (a, b, z, copies) for every text, compressed."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    a, b = F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for rb in batches:
+            z = [pack(t.encode("utf-8", "surrogatepass")) for t in rb.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*rb.columns[:2], pa.array(z, pa.binary())], ["a", "b", "z"])
+
+    # the hashes are never null: joins on them then read the exchange of this grouping again
+    schema = T.StructType([T.StructField("a", T.LongType(), False), T.StructField("b", T.LongType(), False), T.StructField("z", T.BinaryType())])
+    texts = docs.select(a, b, text.alias("text")).mapInArrow(compress, schema).groupBy("a", "b").agg(F.first("z").alias("z"), F.count("*").alias("copies"))
+    return docs.select(*columns, a, b), texts
+
+
 _PRIME, _WPRIME = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)

@@ -5,11 +5,13 @@ tiles whose counts differ by no more than the radius are compared, exactly, with
 exclusive-or and bit counts; inside a pair, rows are ordered by the population
 count of their upper half and skipped by the same rule. A pair of tiles gives a
 spanning forest of its links, so a group of copies never becomes all its pairs.
+Fingerprints and texts are taken once, with the number of their rows; what many
+rows share is joined back over several parts (`join_counted`).
 
 Defined cases: null and blank texts have fingerprint zero and link like any
 other; texts of fewer words than a shingle are one shingle; equal rows share a
 fingerprint; an empty table gives an empty table; a component of documents
-whose ids are all null has a null id.
+whose ids are all null has a null id; other columns play no part.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, durable, gram_hashes, split_words
+from .common import chunks, distinct_texts, durable, gram_hashes, join_counted, split_words
 
 
 def text_fingerprints(texts: list, shingle_words: int = 4, seed: int = 42, distinct: bool = False) -> np.ndarray:
@@ -140,27 +143,32 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int, also: Callabl
 def _tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
     """(a, b, fa, fb) for the pairs of tiles (tile, class, low, high, fps) that may hold links.
 
-    Their population counts, from low to high, come within the radius, and their classes differ by one at most.
+    Their population counts, from low to high, come within the radius, and their classes differ by one at most. Tiles meet in
+    ranges of counts and of classes.
     """
     slim = tiles.select("tile", "class", "low", "high")
+    ranges = lambda low, high: F.explode(F.sequence(F.floor(low / (radius + 1)), F.floor(high / (radius + 1)))).alias("range")
     left = slim.select(F.col("tile").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"), F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)).alias("class"))
-    pairs = left.join(slim.select(F.col("tile").alias("b"), "class", "low", "high"), "class").filter((F.col("a") <= F.col("b")) & (F.col("la") <= F.col("high") + radius) & (F.col("low") <= F.col("ha") + radius)).select("a", "b")
+    left = left.select("*", ranges(F.greatest(F.lit(0), F.col("la") - radius), F.col("ha") + radius))
+    right = slim.select(F.col("tile").alias("b"), "class", "low", "high", ranges(F.col("low"), F.col("high")))
+    near = (F.col("a") <= F.col("b")) & (F.col("la") <= F.col("high") + radius) & (F.col("low") <= F.col("ha") + radius)
+    pairs = left.join(right, ["class", "range"]).filter(near).select("a", "b").distinct()
     work = pairs.join(tiles.select(F.col("tile").alias("a"), F.col("fps").alias("fa")), "a").repartition("a", "b")
     return work.join(tiles.select(F.col("tile").alias("b"), F.col("fps").alias("fb")), "b")
 
 
-def _tiled(rows: DataFrame, tile_rows: int) -> DataFrame:
-    """rows (class, pop, fp, ...) with tile: up to about tile_rows rows of one class, of neighbouring population counts or of one."""
+def _tiled(rows: DataFrame, tile_rows: int, by: str) -> DataFrame:
+    """rows (class, pop, ...) with tile: up to about tile_rows rows of one class, of neighbouring population counts or of one, which `by` splits."""
     cells = durable(rows.groupBy("class", "pop").agg(F.count("*").alias("_n")))  # 65 for each class at most
     before = F.sum("_n").over(W.partitionBy("class").orderBy("pop")) - F.col("_n")
     cells = cells.select("class", "pop", F.floor(before / tile_rows).cast("int").alias("_part"), F.ceil(F.col("_n") / tile_rows).alias("_split"))
     named = rows.join(cells, ["class", "pop"])
-    return named.withColumn("tile", F.xxhash64("class", "_part", F.when(F.col("_split") > 1, F.col("pop")), F.pmod(F.xxhash64("fp"), "_split"))).drop("_part", "_split")
+    return named.withColumn("tile", F.xxhash64("class", "_part", F.when(F.col("_split") > 1, F.col("pop")), F.pmod(F.xxhash64(by), "_split"))).drop("_part", "_split")
 
 
 def links(values: DataFrame, radius: int = 4, tile_rows: int = 32768) -> DataFrame:
     """Spanning links (u, v) between the distinct fingerprints in `values` (fp long), lost to none: equal connectivity as all links."""
-    rows = _tiled(values.select("fp", F.bit_count("fp").cast("int").alias("pop"), F.lit(0).alias("class")), tile_rows)
+    rows = _tiled(values.select("fp", F.bit_count("fp").cast("int").alias("pop"), F.lit(0).alias("class")), tile_rows, "fp")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"tile": pdf["tile"].iloc[:1], "class": pdf["class"].iloc[:1], "low": [pdf["pop"].min()], "high": [pdf["pop"].max()], "fps": [np.sort(pdf["fp"].to_numpy()).tobytes()]})
@@ -179,39 +187,70 @@ def links(values: DataFrame, radius: int = 4, tile_rows: int = 32768) -> DataFra
     return work.select("a", "b", "fa", "fb").mapInPandas(compare, "u long, v long")
 
 
+def local_stars(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of a partition, up to `most` at a time, as edges from each node to the smallest one that it reaches by them."""
+
+    def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        n = t.num_rows
+        names, at = np.unique(np.concatenate((t["u"].to_numpy(), t["v"].to_numpy())), return_inverse=True)
+        a, b, root = at[:n], at[n:], np.arange(len(names))
+        while (root[a] != root[b]).any():
+            x, y = root[a], root[b]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+        far = np.flatnonzero(root != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[root[far]])], ["u", "v"])
+
+    held: list[pa.RecordBatch] = []
+    for rb in batches:
+        held.append(rb)
+        if sum(len(x) for x in held) > most:
+            yield solve(held)
+            held = []
+    if held:
+        yield solve(held)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): connected components of (u, v) by alternating large and small stars, each round a durable table.
 
-    The smallest node of a component is its root; nodes without edges are not listed.
+    Partitions are made stars of their own first, which leaves few rounds. The smallest node of a component is its root; nodes
+    without edges are not listed.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         around = e.union(e.select("v", "u")) if large else e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written: both sides of the join are then exchanges, and AQE splits a hub's rows
+        least = durable(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         near = around.join(least, "u")
         moved = near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
         return moved.filter("u <> v").distinct()
 
-    e = durable(edges.select("u", "v").filter("u <> v").distinct())
-    mark = None
-    for _ in range(max_rounds):
+    sign = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    e = durable(edges.select("u", "v").filter("u <> v").mapInArrow(local_stars, "u long, v long").distinct())
+    mark = sign(e)
+    for _ in range(max_rounds if mark[0] else 0):
         e = durable(star(star(e, True), False))
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = sign(e)
         if now == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
         mark = now
+    if not mark[0]:
+        return e.toDF("node", "root")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, seed: int = 42, radius: int = 4, tile_rows: int = 32768) -> DataFrame:
     """(doc_id, fp long, component_id) for every row; component_id is the smallest doc_id that links reach."""
     prints = durable(fingerprints(docs, id_col, text_col, shingle_words, seed))
-    values = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    values = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(links(values, radius, tile_rows))
-    rooted = values.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    rooted = durable(values.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    least = durable(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints")))
+    classes = durable(join_counted(rooted.drop("least"), least, ["root"], "prints", rooted.count(), [F.col("fp")]).select("fp", "n", "component_id"))
+    return join_counted(prints, classes, ["fp"], "n", prints.count(), [F.monotonically_increasing_id()]).select("doc_id", "fp", "component_id")
 
 
 _BINS = 32
@@ -275,8 +314,12 @@ def _linked(rows: DataFrame, texts: DataFrame, sets_of: Callable[[list], list[np
 
     `sets_of` makes sets of shingles of the values of texts (node, data). A group is cut into blocks of about block_shingles shingles, and every pair of blocks that may hold two roots is compared.
     """
-    upto = F.sum("n").over(W.partitionBy("group").orderBy("root", "node").rowsBetween(W.unboundedPreceding, -1))
-    cut = durable(rows.withColumn("block", F.floor(F.coalesce(upto, F.lit(0)) / block_shingles).cast("int")))
+    rows = durable(rows)
+    sizes = durable(rows.groupBy("group").agg(F.count("*").alias("rows")).filter("rows > 1"))
+    total = sizes.agg(F.sum("rows")).first()[0] or 0
+    parted = join_counted(rows, sizes, ["group"], "rows", total, [F.col("node")], part="part").drop("rows")
+    upto = F.sum("n").over(W.partitionBy("group", "part").orderBy("root", "node").rowsBetween(W.unboundedPreceding, -1))
+    cut = durable(parted.withColumn("block", F.xxhash64("part", F.floor(F.coalesce(upto, F.lit(0)) / block_shingles))))
     blocks = cut.groupBy("group", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     other = blocks.select("group", F.col("block").alias("j"), F.col("low").alias("l"), F.col("high").alias("h"))
     pairs = blocks.join(other, "group").filter("block <= j AND (low <> high OR l <> h OR low <> l)").select("group", F.col("block").alias("i"), "j")
@@ -317,14 +360,15 @@ def _rare(seen: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *sets])), b.column(0).take(row), b.column(1).take(row)], ["group", "node", "n"])
 
     every = durable(seen.filter("few IS NOT NULL").select("node", F.col("n").cast("long"), "few").mapInArrow(unpack, "group long, node long, n long"))
-    counted = every.join(every.groupBy("group").agg(F.count("*").alias("holders")), "group")
+    held = durable(every.groupBy("group").agg(F.count("*").alias("holders")))
+    counted = join_counted(every, held, ["group"], "holders", every.count(), [F.col("node")])
     rank = F.row_number().over(W.partitionBy("node").orderBy("holders", "group"))
     # of n shingles, s * n at least are shared: the first n - s * n + 1 in any common order hold a shared one
     return counted.withColumn("rank", rank).filter((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1) & (F.col("holders") > 1)).select("group", "node", "n")
 
 
 def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 18, tile_rows: int = 16384, seed: int = 42, block_shingles: int = 1_000_000, short: int = 64) -> DataFrame:
-    """(node, root): classes of texts that links of at least `similarity` join; node is the text's XXH64.
+    """(a, b, copies, root) for each text, known by two hashes: classes of texts that links of at least `similarity` join.
 
     Texts are compared as fingerprints within the radius, in tiles of a population count and a class of sizes (texts
     whose numbers of shingles differ by more than the similarity allows can't reach it). In a pair of tiles, links whose
@@ -336,22 +380,24 @@ def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int
     The radius loses links of texts with few shingles: where one of two has at most `short` of them, the pair is found
     exactly, under a rare shingle that both have. Fingerprints are of the distinct shingles, as the similarity is.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # a text's number is its place in a written table: no two texts share one
+    texts = durable(distinct_texts(docs, text_col)[1].withColumn("node", F.monotonically_increasing_id()))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in chunks(texts, len):
-                fp = text_fingerprints(texts[i:j], shingle_words, seed, distinct=True).view(np.int64)
-                count, sketch, few = _profiles(texts[i:j], shingle_words, int(short / similarity + 1e-9))
+            packed = b.column(1).to_pylist()
+            for i, j in chunks(packed, lambda z: 3 * len(z)):
+                own = [unpack(z) for z in packed[i:j]]
+                fp = text_fingerprints(own, shingle_words, seed, distinct=True).view(np.int64)
+                count, sketch, few = _profiles(own, shingle_words, int(short / similarity + 1e-9))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(fp), pa.array(count), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(few, pa.binary())], ["node", "fp", "n", "sketch", "few"])
 
-    named = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
-    seen = durable(named.mapInArrow(of, "node long, fp long, n int, sketch binary, few binary")).dropDuplicates(["node"])
+    seen = texts.select("node", "z").mapInArrow(of, "node long, fp long, n int, sketch binary, few binary")
     step = float(-np.log(similarity))
     sized = seen.withColumns({"pop": F.bit_count("fp").cast("int"), "class": F.floor(F.log(F.greatest("n", F.lit(1))) / step).cast("int")})
     sized = durable(sized)
-    parts = _tiled(sized.drop("few"), tile_rows)
+    parts = _tiled(sized.drop("few"), tile_rows, "node")
     kind = np.dtype([("node", "<i8"), ("fp", "<u8"), ("n", "<i4"), ("sketch", "<u2", _BINS)])
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -392,18 +438,22 @@ def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int
         return np.stack((nodes[u], nodes[v]), axis=1)
 
     edges = durable(_tile_pairs(tiles, radius).select("a", "b", "fa", "fb").mapInPandas(compare, "u long, v long").distinct())
-    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    texts = durable(named.join(ends, "node").dropDuplicates(["node"]))
-    both = edges.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
+    total = edges.count()
+
+    def with_text(rows: DataFrame, end: str) -> DataFrame:  # a hub's text meets its links in several parts
+        degree = edges.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("degree"))
+        table = durable(texts.join(degree, "node").select(F.col("node").alias(end), F.col("z").alias(f"z{end}"), "degree"))
+        return join_counted(rows, table, [end], "degree", total, [F.col("u"), F.col("v")]).drop("degree")
 
     @F.pandas_udf("double")
     def exact(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y, shingle_words) for x, y in zip(a, b)], dtype=float)
+        unpack = zstandard.ZstdDecompressor().decompress
+        return pd.Series([jaccard(unpack(x), unpack(y), shingle_words) for x, y in zip(a, b)], dtype=float)
 
-    tried = durable(both.select("u", "v", (exact("tu", "tv") >= similarity).alias("holds")))
+    tried = durable(with_text(with_text(edges, "v"), "u").select("u", "v", (exact("zu", "zv") >= similarity).alias("holds")))
 
     def sets_of(own: list) -> list[np.ndarray]:
-        w = split_words(own, lower=True)
+        w = split_words([zstandard.ZstdDecompressor().decompress(z) for z in own], lower=True)
         words = [w.hash[w.of(k)] for k in range(len(own))]
         return [np.unique(gram_hashes(h, min(shingle_words, len(h)))) if len(h) else h for h in words]
 
@@ -413,25 +463,25 @@ def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int
         failed = tried.filter("NOT holds").join(clusters, F.col("u") == F.col("node")).select(F.col("root").alias("group")).distinct()
         mixed = clusters.withColumnRenamed("root", "group").join(failed, "group").join(known, "node", "left")
         rows = mixed.join(sized.select("node", "n"), "node").select("group", F.coalesce("root", "node").alias("root"), "node", F.col("n").cast("long").alias("n"))
-        found = durable(_linked(rows, texts.select("node", F.col("text").alias("data")), sets_of, similarity, block_shingles))
+        found = durable(_linked(rows, texts.select("node", F.col("z").alias("data")), sets_of, similarity, block_shingles))
         known = known if found.isEmpty() else durable(components(known.toDF("u", "v").union(found)))
     rows = _rare(sized, similarity).join(known, "node", "left").select("group", F.coalesce("root", "node").alias("root"), "node", "n")
     few = sized.filter("few IS NOT NULL").select("node", F.col("few").alias("data"))
     found = durable(_linked(rows, few, lambda own: [np.frombuffer(x, np.uint64) for x in own], similarity, block_shingles))
-    return known if found.isEmpty() else components(known.toDF("u", "v").union(found))
+    known = known if found.isEmpty() else components(known.toDF("u", "v").union(found))
+    return texts.select("a", "b", "copies", "node").join(known, "node", "left").select("a", "b", "copies", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """The rows of docs, one for each class of similar texts: that of the smallest id, null ids last."""
-    node = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    """The rows of docs, one for each class of similar texts: that of the smallest id, null ids last; of equal ids and texts any one row.
+
+    Null and blank texts are one class; an empty table gives an empty table; columns keep their names and values, whatever they are.
+    """
+    hashes = distinct_texts(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "row", "id")[0]
     classes = similar_classes(docs, text_col, **options)
-    slim = docs.select(node.alias("node"), F.col(id_col).alias("id")).groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least"))
-    rooted = slim.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = rooted.groupBy("root").agg(F.min(F.struct("least.none", "least.id", "node")).alias("best"))
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))  # noqa: E731  with the node apart from null's only by eqNullSafe below
-    best = durable(best.select(F.col("best.node").alias("_node"), F.col("best.id").alias("_best")).withColumn("_key", key("_best")))
-    marked = docs.withColumns({"_node": node, "_key": key(id_col)})
-    kept = marked.join(best, ["_node", "_key"]).filter(F.col("_best").eqNullSafe(F.col(id_col)))
-    # equal rows of one id and text: the join has already dealt and sorted them together
-    first = F.row_number().over(W.partitionBy("_node", "_key").orderBy("_node"))
-    return kept.withColumn("_first", first).filter("_first = 1").select(*docs.columns)
+    ids = hashes.groupBy("a", "b").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least"))
+    rooted = classes.join(ids, ["a", "b"])
+    best = durable(rooted.groupBy("root").agg(F.min(F.struct("least", "a", "b", "copies")).alias("best")).select("best.a", "best.b", "best.copies", F.col("best.least.id").alias("least")))
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    kept = join_counted(hashes, best, ["a", "b"], "copies", total, [F.monotonically_increasing_id()]).filter(F.col("id").eqNullSafe(F.col("least")))
+    return kept.groupBy("a", "b").agg(F.first("row").alias("row")).select("row.*")

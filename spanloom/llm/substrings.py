@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, durable, gram_hashes, join_counted, mix, run_hashes, split_words
+from .common import chunks, distinct_texts, durable, gram_hashes, join_counted, mix, run_hashes, split_words
 
 _CONTEXT, _CORE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -110,23 +110,6 @@ def deep_repeats(group: np.ndarray, words: np.ndarray, low: np.ndarray, high: np
     return np.minimum(begin, stop), stop
 
 
-def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, a, b) for every row, with the text's two hashes, and (a, b, z, copies) for every text, compressed."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    a, b = F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")
-
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for rb in batches:
-            z = [pack(t.encode("utf-8", "surrogatepass")) for t in rb.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*rb.columns[:2], pa.array(z, pa.binary())], ["a", "b", "z"])
-
-    # the hashes are never null: joins on them then read the exchange of this grouping again
-    schema = T.StructType([T.StructField("a", T.LongType(), False), T.StructField("b", T.LongType(), False), T.StructField("z", T.BinaryType())])
-    texts = docs.select(a, b, text.alias("text")).mapInArrow(compress, schema).groupBy("a", "b").agg(F.first("z").alias("z"), F.count("*").alias("copies"))
-    return docs.select(F.col(id_col).alias("doc_id"), a, b), texts
-
-
 _FOUND = "g long, around long, a long, b long, pos int, lo int, hi int"
 
 
@@ -281,7 +264,7 @@ def repeated_ranges(texts: DataFrame, window: int = 35, k: int = 8, max_group: i
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, k: int = 8, max_group: int = 20_000, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, spans, kept if asked for) for every row; spans are [first, past last] words removed."""
-    rows, texts = distinct_texts(docs, id_col, text_col)
+    rows, texts = distinct_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "doc_id")
     spans = repeated_ranges(texts, window, k, max_group).groupBy("a", "b").agg(F.collect_list(F.struct("start", "stop")).alias("hits"))
     schema = T.StructType.fromDDL("a long, b long, copies long, n_words long, n_removed long, kept_sha256 string, spans array<array<long>>" + ", kept string" * with_text)
 

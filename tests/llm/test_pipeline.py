@@ -46,9 +46,10 @@ def test_near_copies_against_brute_force(spark):
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
     kept = sorted(x.doc_id for x in simhash.keep_one(docs).collect())
     root = list(range(len(texts)))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
     for _ in texts:
-        for i in range(len(texts)):
-            for j in range(i):
-                if root[i] != root[j] and simhash.jaccard(texts[i], texts[j]) >= 0.8:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if root[i] != root[j] and len(a & b) >= 0.8 * len(a | b):
                     root[i] = root[j] = min(root[i], root[j])
     assert kept == sorted({root[i] for i in range(len(texts))})

@@ -48,3 +48,10 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(-1, -1), (-1, 7), (7, 7), (7, 7), (7, 7)]
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_large_groups_of_one_fingerprint(spark):
+    rows = [(i % 700, "the same words in many rows", None, None, None, None, None) for i in range(2500)] + [(5000 + i, f"other words {i} " * 9, None, None, None, None, None) for i in range(50)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), tile_rows=8).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    assert {r.component_id for r in got if r.doc_id < 5000} == {0}

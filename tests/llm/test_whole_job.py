@@ -12,8 +12,11 @@ def docs(spark, texts):
 
 
 def least_of_classes(texts):
-    root = list(range(len(texts)))
-    links = [(i, j) for i in range(len(texts)) for j in range(i) if simhash.jaccard(texts[i], texts[j]) >= 0.8]
+    root, sets = list(range(len(texts))), []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) >= 0.8 * len(a | b)]
     changed = True
     while changed:
         changed = False
@@ -37,6 +40,26 @@ def test_template_family_keeps_its_true_links(spark):
         assert sorted(x.doc_id for x in simhash.keep_one(docs(spark, texts), block_shingles=most).collect()) == want
 
 
+def test_crowded_family_loses_no_link(spark):
+    r = random.Random(15)
+    some = lambda n: [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+    texts = []
+    for words, members in ((60, 250), (120, 150)):
+        base = some(words)
+        for _ in range(members):
+            w = list(base)
+            for _ in range(r.randint(0, words // 12)):
+                w[r.randrange(words)] = some(1)[0]
+            texts.append(" ".join(w))
+    want = least_of_classes(texts)
+    assert len(want) > 20
+    rows = [(None if i == 3 else i, t, i, i, "x" * i) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, node int, root int, _key string")  # names of the operator's own columns
+    got = simhash.keep_one(d).collect()
+    assert got[0].asDict().keys() == {"doc_id", "text", "node", "root", "_key"} and all(texts[x.node] == x.text and len(x["_key"]) == x.root for x in got)
+    assert len(got) == len(want) and len({x.doc_id for x in got} - {None} - set(want)) <= 1  # the class of the null id has another least
+
+
 def test_truncated_items_against_brute_force(spark):
     r = random.Random(8)
     items = [[f"w{r.randint(0, 10**6)}" for _ in range(n)] for n in (50, 50, 20, 9)]
