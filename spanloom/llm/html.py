@@ -9,11 +9,13 @@ path from the root goes outside -> inside -> excluded and never back, so no node
 contradicts its ancestors or descendants.
 
 The trees are fitted here, on at most `sample_pages` pages (those whose hash is
-lowest): on pages with an ``article`` or ``main`` element as they are, and on
+lowest among pages of at most `sample_chars` characters): on pages with an ``article`` or ``main`` element as they are, and on
 the same blocks of text set in random other layouts whose nodes are known.
 
 Defined cases: null and blank html give the empty text; unclosed and stray tags
-are repaired as browsers do for blocks and paragraphs; with no page to learn
+are repaired as browsers do for blocks and paragraphs, in time linear in the
+page, however deep or broken it is; a control or drawing that is not closed ends
+at the next part of the page; with no page to learn
 from, or none with both kinds of node, the layouts alone are learned from; equal
 pages give equal texts; nothing of a page is cut, however long.
 """
@@ -39,6 +41,8 @@ from .common import chunks
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br img wbr hr picture source".split())
 SILENT = frozenset("script style noscript template title textarea select button svg iframe object canvas math".split())
+RAW = frozenset("script style title textarea iframe".split())
+BODY = frozenset("article main section nav header footer aside p h1 h2 h3 h4 h5 h6 table ul ol".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 TAG_GROUPS = ["article main", "nav menu", "header", "footer", "aside", "form fieldset", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "table tbody thead tr td th", "blockquote pre figure figcaption", "body html head"]
@@ -53,8 +57,10 @@ TOKEN_GROUPS = [
 ]
 _TAG = {t: k for k, g in enumerate(TAG_GROUPS) for t in g.split()}
 _TOKEN = {t: k for k, g in enumerate(TOKEN_GROUPS) for t in g.split()}
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ENDS = re.compile(r"[>\"']")
 _NAMED = re.compile(r"""\b(class|id|role|x-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_END_OF = {name: re.compile(rf"</{name}[^>]*(?:>|\Z)", re.I) for name in RAW}
 _PARTS = re.compile(r"[a-z]+(?:-[a-z]+)*")
 
 
@@ -77,6 +83,58 @@ def _attributes(raw: str, cache: dict[str, tuple[int, int]]) -> tuple[int, int]:
     return cache[raw]
 
 
+class Markup:
+    """Finds the markup of a text, in time linear in it: where a quote, comment or tag is not closed, that is looked for once."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.none: set[str] = set()  # what does not come again before the end
+
+    def find(self, what: str, pos: int) -> int:
+        if what in self.none:
+            return -1
+        at = self.text.find(what, pos)
+        if at < 0:
+            self.none.add(what)
+        return at
+
+    def tag_end(self, pos: int) -> int:
+        """Place of the > that ends a tag whose name ends at pos: the first one outside quotes, or else the first one at all."""
+        at = pos
+        while True:
+            m = _ENDS.search(self.text, at)
+            if not m:
+                return -1
+            if m[0] == ">":
+                return m.start()
+            shut = self.find(m[0], m.end())
+            if shut < 0:  # a quote that never ends is none
+                return self.find(">", m.end())
+            at = shut + 1
+
+    def next(self, pos: int) -> tuple[int, int, str, bool, str]:
+        """(start, end, name, closing, attributes) of the next markup; comments and the like have no name; start is -1 at the end."""
+        text = self.text
+        while True:
+            at = self.find("<", pos)
+            if at < 0:
+                return -1, len(text), "", False, ""
+            if text.startswith("<!--", at):
+                end = self.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(text), "", False, ""
+            closing = text.startswith("</", at)
+            name = _NAME.match(text, at + 1 + closing)
+            if name:
+                end = self.tag_end(name.end())
+                if end >= 0:
+                    return at, end + 1, name[0].lower(), closing, text[name.end() : end]
+            elif text.startswith(("<!", "<?"), at):
+                end = self.find(">", at)
+                if end >= 0:
+                    return at, end + 1, "", False, ""
+            pos = at + 1  # a plain <
+
+
 class Page:
     """Nodes in page order (parent before child) and the pieces of text between block borders."""
 
@@ -84,62 +142,86 @@ class Page:
         self.parent, self.depth, self.tag, self.bits, self.label = [-1], [0], [_TAG["body"]], [0], [-1]
         self.pieces: list[tuple[int, int, str, bool]] = []  # node, block, raw text, in a link
         stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the node that holds their text
-        block = links = pos = 0
+        where: dict[str, list[int]] = {}  # places in the stack of the open elements of each name
+        blocks = [0]  # places of block elements in the stack
+        block = links = silent = pos = 0
         text = source or ""
-        lower = None
-        end_of = len(text)
-        while pos < end_of:
-            m = _MARKUP.search(text, pos)
-            stop = m.start() if m else end_of
-            if stop > pos:
+        markup = Markup(text)
+
+        def push(name: str, node: int) -> None:
+            nonlocal links, silent
+            where.setdefault(name, []).append(len(stack))
+            if name not in INLINE:
+                blocks.append(len(stack))
+            stack.append((name, node))
+            links += name == "a"
+            silent += name in SILENT
+
+        def cut(at: int) -> None:
+            nonlocal links, silent
+            while len(stack) > at:
+                name, _ = stack.pop()
+                where[name].pop()
+                links -= name == "a"
+                silent -= name in SILENT
+            while blocks[-1] >= at:
+                blocks.pop()
+
+        def last(*names: str) -> int:
+            return max((where[n][-1] for n in names if where.get(n)), default=0)
+
+        while pos < len(text):
+            start, end, name, closing, attrs = markup.next(pos)
+            stop = start if start >= 0 else len(text)
+            if stop > pos and not silent:
                 self.pieces.append((stack[-1][1], block, text[pos:stop], links > 0))
-            if not m:
+            if start < 0:
                 break
-            pos = m.end()
-            closing, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            pos = end
             if not name:
                 continue
-            name = name.lower()
             if closing:
-                if name == "p" and all(t != "p" for t, _ in stack):
+                at = last(name)
+                if name == "p" and not at:
                     block += 1
-                at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-                if at and not (name in INLINE and any(t not in INLINE for t, _ in stack[at + 1 :])):
-                    links -= sum(t == "a" for t, _ in stack[at:])
-                    if any(t not in INLINE for t, _ in stack[at:]):
-                        block += 1
-                    del stack[at:]
+                if at and not (name in INLINE and blocks[-1] > at):
+                    block += blocks[-1] >= at
+                    cut(at)
+                continue
+            if name in RAW:  # the text up to the element's own end tag
+                shut = _END_OF[name].search(text, pos) if f"</{name}" not in markup.none else None
+                if shut is None:
+                    markup.none.add(f"</{name}")
+                pos = shut.end() if shut else len(text)
+                if name != "title" and not silent:
+                    self.pieces.append((stack[-1][1], block, " ", links > 0))
                 continue
             if name in SILENT:
-                if not attrs.endswith("/"):
-                    lower = text.lower() if lower is None or len(lower) != len(text) else lower
-                    end = lower.find(f"</{name}", pos)
-                    close = lower.find(">", end) if end >= 0 else -1
-                    pos = close + 1 if close >= 0 else end_of
-                if name != "title":
+                if not silent:
                     self.pieces.append((stack[-1][1], block, " ", links > 0))
+                if not attrs.endswith("/"):
+                    push(name, stack[-1][1])
                 continue
             if name in INLINE or name in VOID:
-                if name in ("br", "hr"):
+                if name in ("br", "hr") and not silent:
                     self.pieces.append((stack[-1][1], block, " ", links > 0))
                 if name not in VOID:
-                    links += name == "a"
-                    stack.append((name, stack[-1][1]))
+                    push(name, stack[-1][1])
                 continue
+            if silent and name in BODY:  # a silent element that was not closed ends where the page goes on
+                first = min(where[n][0] for n in SILENT if where.get(n))
+                cut(first)
             block += 1
             shut = 0
             if name in CLOSES_P:
-                shut = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
+                shut = last("p")
             elif name in ("li", "td", "th", "tr", "dt", "dd", "option"):
                 same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in same:
-                        shut = k
-                    if stack[k][0] in same or stack[k][0] in ("ul", "ol", "table", "dl", *(("tr",) if name != "tr" else ())):
-                        break
+                shut = last(*same)
+                if shut < last("ul", "ol", "table", "dl", *(("tr",) if name != "tr" else ())):
+                    shut = 0
             if shut:
-                links -= sum(t == "a" for t, _ in stack[shut:])
-                del stack[shut:]
+                cut(shut)
             bits, label = _attributes(attrs, cache)
             self.parent.append(stack[-1][1])
             self.depth.append(self.depth[stack[-1][1]] + 1)
@@ -147,7 +229,7 @@ class Page:
             self.bits.append(bits)
             self.label.append(label)
             if not attrs.endswith("/"):
-                stack.append((name, len(self.parent) - 1))
+                push(name, len(self.parent) - 1)
 
     def text(self, inside: np.ndarray) -> str:
         blocks, last = [], None
@@ -225,7 +307,8 @@ def decode(p: np.ndarray, parent: np.ndarray, depth: np.ndarray, weight: np.ndar
     p = np.clip(p, 1e-4, 1 - 1e-4)
     yes, no = weight * np.log(p), weight * np.log(1 - p)
     best = np.stack((no, yes, no))  # outside, inside, excluded; then with the children's best
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
+    by_depth = np.argsort(depth, kind="stable")
+    levels = np.split(by_depth, np.flatnonzero(np.diff(depth[by_depth])) + 1)
     for now in reversed(levels[1:]):
         out, ins, exc = best[:, now]
         np.add.at(best[0], parent[now], np.maximum(out, ins))
@@ -345,13 +428,13 @@ def probability(trees: list[tuple[np.ndarray, ...]], x: np.ndarray) -> np.ndarra
     return 1 / (1 + np.exp(-2 * margin))
 
 
-def learn(pages: DataFrame, html_col: str = "html", sample_pages: int = 250, layouts: int = 3, trees: int = 20, depth: int = 5, seed: int = 4) -> list[tuple[np.ndarray, ...]]:
-    """Boosted trees as arrays; at most sample_pages pages reach the driver."""
+def learn(pages: DataFrame, html_col: str = "html", sample_pages: int = 250, sample_chars: int = 200_000, layouts: int = 3, trees: int = 20, depth: int = 5, seed: int = 4) -> list[tuple[np.ndarray, ...]]:
+    """Boosted trees as arrays; at most sample_pages pages of at most sample_chars characters each reach the driver."""
     spark = pages.sparkSession
     # a share of the hashes that holds some four times the sample: no task sends the driver more than its part of that
     share = min(1.0, 4 * sample_pages / max(1, pages.count()))
     some = pages.select(F.col(html_col).cast("string").alias("h")).withColumn("k", F.xxhash64("h"))
-    some = some.filter(F.col("h").isNotNull() & (F.col("k") <= min(2**63 - 1, int(share * 2**64) - 2**63))).dropDuplicates(["k"]).orderBy("k").limit(sample_pages)
+    some = some.filter((F.length("h") <= sample_chars) & (F.col("k") <= min(2**63 - 1, int(share * 2**64) - 2**63))).dropDuplicates(["k"]).orderBy("k").limit(sample_pages)
     sources = sorted({r.h for r in some.collect()})
     cache: dict = {}
     parsed = [Page(s, cache) for s in sources]
@@ -366,7 +449,7 @@ def learn(pages: DataFrame, html_col: str = "html", sample_pages: int = 250, lay
                     blocks[node, block] = blocks.get((node, block), "") + raw
             texts = [t for t in (" ".join(_html.unescape(b).split()) for b in blocks.values()) if t]
             to.append(texts) if inside else to.extend(texts)
-    articles = [a for a in articles if a] or [["A short story. It has a second sentence, and an end."], ["Another text, of two blocks.", "This is the second one, which is longer than the first one is."]]
+    articles = [a for a in articles if a] or [["A short story", "It has a first sentence, which is not short at all. It has a second sentence, and an end."], ["Another text of blocks", "This is the second block, which is longer than the first one is.", "And this is the third one, with a comma and an end."]]
     other = other or ["Home", "Contact us", "All rights reserved.", "This offer ends soon, so act today and save."]
     made = [layout(a if r.random() < 0.6 else a[: r.randint(1, 6)], other + [t for b in r.sample(articles, min(3, len(articles))) for t in b[:2]], r) for a in articles for _ in range(layouts)]
     made += [layout(articles[k % len(articles)], other, r) for k in range(max(0, 200 - len(made)))]
