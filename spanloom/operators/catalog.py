@@ -98,7 +98,13 @@ def close_matches(missing: DataFrame, known: DataFrame, n: int = 3, cutoff: floa
 
     @F.pandas_udf("double")
     def ratio(word: pd.Series, match: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, y, x).ratio() for x, y in zip(word, match)], dtype=float)
+        alike, out = difflib.SequenceMatcher(), []
+        for x, y in zip(word, match):
+            if alike.b != x:
+                alike.set_seq2(x)  # what is known of the word serves all its pairs
+            alike.set_seq1(y)
+            out.append(alike.ratio() if alike.real_quick_ratio() >= cutoff and alike.quick_ratio() >= cutoff else 0.0)
+        return pd.Series(out, dtype=float)
 
     scored = pairs.filter(allowed).withColumn("ratio", ratio("word", "match")).filter(F.col("ratio") >= cutoff)
     rank = F.row_number().over(W.partitionBy("word").orderBy(F.desc("ratio"), F.desc("match")))
@@ -212,6 +218,8 @@ def expand_mounts(containers: DataFrame, includes: DataFrame, routes: DataFrame,
         if front.isEmpty():
             break
         found.append(front)
+    else:
+        raise RuntimeError(f"routers are mounted more than {max_depth} deep")
     mounted = reduce(DataFrame.union, found)
     r = routes.select(F.col("container").alias("at"), "method", F.col("path").alias("_rp"), F.coalesce("tags", none).alias("_rt"), F.coalesce("deps", none).alias("_rd"), "handler", "ord")
     whole = F.concat("prefix", "_rp")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.tables import shared_dir
 from ..operators import events, overlay, spans
+from ..sources import batches
 from .fixtures import Tables, with_views
 
 QUERIES: dict = {}
@@ -23,7 +25,11 @@ def query(name: str, sql: str | None = None):  # noqa: ANN201
 
 @query("A4_replay", "SELECT * FROM fx_events WHERE seq >= 300000")
 def _(t):
-    return t("fx_events").filter("seq >= 300000")
+    import uuid
+
+    path = f"{shared_dir(t.spark)}/logs/{uuid.uuid4().hex}"
+    batches.write_event_log(t("fx_events"), path)
+    return batches.replay(t.spark, path, since_seq=300000).drop("date")
 
 
 @query("B1_dedup_events", """

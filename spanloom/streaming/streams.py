@@ -134,22 +134,32 @@ def stream_overlay(spans: DataFrame) -> DataFrame:
 CAPS = "request_id string, span_id string, name string, seq long, n long, captured boolean"
 
 
-def stream_caps(stream: DataFrame, captures: int = 50, spans: int = 5000) -> DataFrame:
-    """The first `spans` starts of each request, with the number of the call of its function and whether its values are kept."""
+def stream_caps(stream: DataFrame, captures: int = 50, spans: int = 5000, watermark: str = "10 minutes", keep_ms: int = 600_000) -> DataFrame:
+    """The first `spans` starts of each request, with the number of the call of its function and whether its values are kept.
+
+    The counts of a request are dropped at its end, or when nothing came for keep_ms of event time.
+    """
 
     def cap(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         names, counts, total = state.get if state.exists else ([], [], 0)
-        seen, rows = dict(zip(names, counts)), []
-        for pdf in frames:
+        seen, rows, over, newest = dict(zip(names, counts)), [], state.hasTimedOut, 0
+        for pdf in frames if not over else ():
+            newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
+            over = over or bool((pdf["kind"] == "request.end").any())
             for e in pdf[pdf["kind"] == "fn.start"].sort_values("seq").itertuples():
                 seen[e.name] = seen.get(e.name, 0) + 1  # counted past the caps too
                 total += 1
                 if total <= spans:
                     rows.append((key[0], e.span_id, e.name, int(e.seq), seen[e.name], seen[e.name] <= captures))
-        state.update((list(seen), list(seen.values()), total))
+        if not over:
+            state.update((list(seen), list(seen.values()), total))
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + keep_ms)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in CAPS.split(",")])
 
-    return stream.groupBy("request_id").applyInPandasWithState(cap, CAPS, "names array<string>, counts array<long>, total long", "append", GroupStateTimeout.NoTimeout)
+    timed = stream.withWatermark("ts", watermark)
+    return timed.groupBy("request_id").applyInPandasWithState(cap, CAPS, "names array<string>, counts array<long>, total long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def liveness(registers: DataFrame, now: object, gone_after_s: int = 90) -> DataFrame:
