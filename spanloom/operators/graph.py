@@ -40,9 +40,9 @@ def reach(edges: DataFrame, roots: DataFrame, through: DataFrame | None = None,
         seen = reduce(DataFrame.union, found)
         front = durable(nxt.join(seen, ["root", "function"], "left_anti").select("root", "function", F.lit(depth).alias("depth")))
         if front.isEmpty():
-            break
+            return reduce(DataFrame.union, found)
         found.append(front)
-    return reduce(DataFrame.union, found)
+    raise RuntimeError(f"the closure did not end in {max_rounds} rounds")
 
 
 def min_depth(reached: DataFrame) -> DataFrame:
@@ -207,17 +207,19 @@ def tree_stats(edges: DataFrame, roots: DataFrame, max_depth: int = 80) -> DataF
     return out.groupBy("root").agg(F.sum("n").alias("positions"), F.max("depth").alias("max_depth"))
 
 
-def recursive_edges(edges: DataFrame) -> DataFrame:
+def recursive_edges(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """Edges whose callee reaches their caller: forward and backward trimming first leaves only what can lie on a cycle."""
     e = durable(edges.select("caller", "callee").distinct())
     rest = durable(e.filter("caller <> callee"))
     before = -1
-    for _ in range(1000):  # an edge on a cycle has an edge before and one after it
+    for _ in range(max_rounds):  # an edge on a cycle has an edge before and one after it
         n = rest.count()
         if n in (before, 0):
             break
         before = n
         rest = durable(rest.join(rest.select(F.col("callee").alias("caller")).distinct(), "caller", "left_semi").join(rest.select(F.col("caller").alias("callee")).distinct(), "callee", "left_semi").select("caller", "callee"))
+    else:
+        raise RuntimeError(f"edges were still trimmed after {max_rounds} rounds")
     back = reach(rest, rest.select(F.col("callee").alias("root")).distinct())
     hit = rest.join(back.select(F.col("root").alias("callee"), F.col("function").alias("caller")), ["caller", "callee"], "left_semi")
     return hit.union(e.filter("caller = callee"))

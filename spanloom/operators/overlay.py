@@ -19,7 +19,7 @@ def _pattern_regex(pattern: Column) -> Column:
 def match_endpoint(requests: DataFrame, endpoints: DataFrame) -> DataFrame:
     """requests with endpoint_id: most literal characters win, then fewer parameters, then listing order; no match drops the row.
 
-    Patterns without a rest join on (method, number of segments) and first literal segment; only {x:path} patterns compare by method.
+    Patterns without a rest join on (method, number of segments); only {x:path} patterns compare by method.
     """
     cut = F.substring_index(F.col("path"), "?", 1)
     n = lambda c: F.size(F.split(F.regexp_replace(c, "/$", ""), "/"))
@@ -79,16 +79,26 @@ def recent_requests(requests: DataFrame, n: int = 20) -> DataFrame:
 
 
 def endpoint_overlay(spans: DataFrame, requests: DataFrame, armed: DataFrame) -> DataFrame:
-    """One row per endpoint: request_count, span_count, functions (map), confirmed edges and the armed functions among them.
+    """One row per endpoint: request_count, span_count, functions (map, with each one's last call), confirmed edges
+    (``caller>callee`` of functions of which one ran above the other), the newest 20 requests and the armed functions.
 
-    The map and the set are bounded by the functions of an endpoint, not by its calls.
+    The collections are bounded by the functions of an endpoint, not by its calls.
     """
     per = requests.groupBy("endpoint_id").agg(F.count("*").alias("request_count"))
     joined = spans.join(requests.select("request_id", "endpoint_id"), "request_id")
     counts = joined.groupBy("endpoint_id").agg(F.count("*").alias("span_count"))
     stats = function_stats(spans, requests).join(armed.select(F.col("id").alias("name"), F.col("deep").alias("armed_deep")), "name", "left")
-    functions = stats.groupBy("endpoint_id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("calls", "requests", "avg_ms", "max_ms", "errors")))).alias("functions"), F.array_sort(F.collect_list(F.when(F.col("armed_deep").isNotNull(), F.col("name")))).alias("armed"))
-    return per.join(counts, "endpoint_id", "left").join(functions, "endpoint_id", "left").fillna(0, ["span_count"])
+    order = ["endpoint_id", "name"]
+    last = last_call(spans, requests).select(*order, F.struct("request_id", "span_id", "ts", "duration_ms", "status").alias("last"))
+    stats = stats.join(last, order, "left")
+    named = joined.filter("name IS NOT NULL").select("endpoint_id", "request_id", "span_id", "name")
+    up = named.select("request_id", F.col("span_id").alias("ancestor"), F.col("name").alias("caller"))
+    down = named.select("endpoint_id", "request_id", F.col("span_id").alias("descendant"), "name")
+    edges = ancestor_pairs(spans).join(up, ["request_id", "ancestor"]).join(down, ["request_id", "descendant"]).select("endpoint_id", F.concat("caller", F.lit(">"), "name").alias("edge")).distinct()
+    edges = edges.groupBy("endpoint_id").agg(F.array_sort(F.collect_list("edge")).alias("confirmed"))
+    recent = recent_requests(requests).groupBy("endpoint_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "request_id"))), lambda x: x["request_id"]).alias("recent"))
+    functions = stats.groupBy("endpoint_id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("calls", "requests", "avg_ms", "max_ms", "errors", "last")))).alias("functions"), F.array_sort(F.collect_list(F.when(F.col("armed_deep").isNotNull(), F.col("name")))).alias("armed"))
+    return per.join(counts, "endpoint_id", "left").join(functions, "endpoint_id", "left").join(edges, "endpoint_id", "left").join(recent, "endpoint_id", "left").fillna(0, ["span_count"])
 
 
 def last_io(spans: DataFrame, name: str) -> DataFrame:
