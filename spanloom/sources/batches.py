@@ -48,7 +48,7 @@ def replay(spark: SparkSession, path: str, since_seq: int | None = None, request
 
 
 def read_source_corpus(spark: SparkSession, root: str, ignore: Sequence[str] = IGNORED) -> DataFrame:
-    """(path below root, content, mtime, size) of .py files, none of whose folders is hidden or ignored."""
+    """(path below root, content, mtime, size) of .py files, none of whose folders is hidden or ignored; Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "^" + base.replace(".", r"\.") + "/", "")

@@ -11,6 +11,7 @@ from spanloom.plans.registry import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 #: Most loops and streams take longer than the rest together; the driver runs them all.
 SOME = [
+    "A4_replay", "E3_stream_spans",
     "B1_dedup_events", "B2_filter_events", "B8_span_cap", "B10_retain_whole_requests", "B12_retain_values", "C1_assemble_spans", "C2_assemble_requests",
     "C4_link_tree", "C6_span_path", "C10_project_selection", "C12_fold_loops", "C16_time_share", "D1_match_endpoint", "D2_function_stats", "D3_last_call",
     "D5_direct_callees", "H3_degree", "H8_module_edges", "I1_graph_query_edges", "I2_index_ddl", "I3_infer_fields", "I9_entity_aliases",
