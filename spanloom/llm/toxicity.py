@@ -73,6 +73,8 @@ def fit(labels: np.ndarray, importance: np.ndarray, empty: np.ndarray, sentence_
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 10_000, vocabulary: int = 4096) -> Model:
+    if vocabulary > 1 << 15:
+        raise ValueError("a vocabulary of at most 32,768 words")
     empty = Model(np.empty(0, np.uint64), np.empty(0), float("-inf"))
     known = durable(labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.max((F.col("_y") > 0).cast("int")).alias("_y")))
     sizes = dict(known.groupBy("_y").count().collect())
