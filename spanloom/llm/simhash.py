@@ -216,8 +216,8 @@ def local_stars(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Ite
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): connected components of (u, v) by alternating large and small stars, each round a durable table.
 
-    Partitions are made stars of their own first, which leaves few rounds. The smallest node of a component is its root; nodes
-    without edges are not listed.
+    Partitions are made stars of their own first, which leaves few rounds; they end when all edges are stars. The smallest node
+    of a component is its root; nodes without edges are not listed.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -228,17 +228,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         moved = near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
         return moved.filter("u <> v").distinct()
 
-    sign = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    def settled(e: DataFrame) -> bool:
+        """Every node has one edge to a smaller one, or only edges from larger ones: each component is the star of its smallest node."""
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+        return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1 AND up > 0").isEmpty()
+
     e = durable(edges.select("u", "v").filter("u <> v").mapInArrow(local_stars, "u long, v long").distinct())
-    mark = sign(e)
-    for _ in range(max_rounds if mark[0] else 0):
-        e = durable(star(star(e, True), False))
-        now = sign(e)
-        if now == mark:
+    for _ in range(max_rounds):
+        if settled(e):
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
-        mark = now
-    if not mark[0]:
-        return e.toDF("node", "root")
+        e = durable(star(star(e, True), False))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -55,3 +56,17 @@ def test_large_groups_of_one_fingerprint(spark):
     got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), tile_rows=8).collect()
     assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
     assert {r.component_id for r in got if r.doc_id < 5000} == {0}
+
+
+def test_components_of_paths_stars_and_loops(spark):
+    r = random.Random(9)
+    edges = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(7000, 7000), (-5, 9000)]
+    edges += [(r.randrange(2000, 2400), r.randrange(2000, 2400)) for _ in range(300)]
+    r.shuffle(edges)
+    root = {x: x for e in edges for x in e}
+    for _ in range(len(root)):
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    found = {x.node: x.root for x in simhash.components(spark.createDataFrame(edges, "u long, v long").repartition(16)).collect()}
+    assert found == {x: y for x, y in root.items() if x != 7000 and any(x in e and e[0] != e[1] for e in edges)}
+    assert simhash.components(spark.createDataFrame([], "u long, v long")).isEmpty()
