@@ -41,7 +41,7 @@ VIEWS: dict[str, str] = {
   UNION ALL SELECT p_partkey, 3 * p_partkey + 7, 'spawn' FROM part WHERE p_size % 5 = 0) e WHERE callee IN (SELECT p_partkey FROM part)""",
     "fx_call_edges_cyclic": """
  SELECT * FROM fx_call_edges UNION ALL SELECT p_partkey, CAST(floor(p_partkey / 4.0) AS BIGINT), 'callback' FROM part WHERE p_partkey % 50 = 49""",
-    "fx_roots": "SELECT CAST(p_partkey AS BIGINT) AS root, concat('GET /p/', CAST(p_partkey AS STRING)) AS endpoint_id FROM part WHERE p_partkey BETWEEN 3 AND 10",
+    "fx_roots": "SELECT CAST(p_partkey AS BIGINT) AS root, concat('GET /p/', CAST(p_partkey AS STRING)) AS endpoint_id FROM part WHERE p_type = 'ECONOMY' AND p_size > 25",
     "fx_functions": """
  SELECT CAST(p_partkey AS BIGINT) AS function_id, concat(CASE p_type WHEN 'ECONOMY' THEN 'app.api' WHEN 'SMALL' THEN 'app.services' WHEN 'MEDIUM' THEN 'app.repo' WHEN 'PROMO' THEN 'app.utils' ELSE 'app.main' END, '.', lower(replace(p_brand, '#', ''))) AS module,
   concat(CASE WHEN p_size % 7 = 0 THEN '_' ELSE '' END, replace(p_name, ' ', '_')) AS name, CAST(p_size AS INT) AS loc, p_size % 3 AS branches FROM part""",
@@ -57,7 +57,7 @@ VIEWS: dict[str, str] = {
     "fx_l_endpoint": "SELECT DISTINCT concat('/', lower(p_type), '/{id}/', CAST(p_size AS STRING)) AS path, 'POST' AS method FROM part",
     "fx_l_service": """
  SELECT DISTINCT concat('svc_', CAST(l_suppkey AS STRING)) AS service_func, concat('/', lower(p_type), '/:sid/', CAST(CAST(l_quantity AS INT) AS STRING), '?v=1') AS raw_path
- FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 7 AND l_suppkey < 10""",
+ FROM lineitem JOIN part ON p_partkey = l_partkey""",
     "fx_l_controller": "SELECT concat('svc_', CAST(s_suppkey AS STRING)) AS service_func, concat('ctl_', CAST(s_nationkey AS STRING)) AS controller_func FROM supplier WHERE s_suppkey % 3 <> 0",
     "fx_l_route": "SELECT concat('ctl_', CAST(n_nationkey AS STRING)) AS controller_func, concat('/api/n/', CAST(n_regionkey AS STRING), '/:id') AS full_path FROM nation WHERE n_nationkey % 4 <> 3",
     "fx_l_api": "SELECT CASE WHEN r_regionkey % 2 = 0 THEN 'admin' ELSE 'frontend' END AS app, concat('get', CAST(r_regionkey AS STRING)) AS api_func, concat('/api/n/', CAST(r_regionkey AS STRING), '/{x}') AS url FROM region WHERE r_regionkey < 3",

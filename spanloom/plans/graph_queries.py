@@ -398,7 +398,7 @@ _TEXT_REFS = """ sd AS (SELECT p_partkey, concat('{fnId: "', CAST(p_partkey * 2
 
 @query("I14_audit_text_references", """
  SELECT 'function' AS kind, CAST(p_partkey * 2 AS STRING) AS ref, 1 AS n FROM part WHERE p_partkey * 2 NOT IN (SELECT p_partkey FROM part)
- UNION ALL SELECT 'endpoint', concat('GET /p/', CAST(p_partkey AS STRING)), 1 FROM part WHERE p_partkey NOT BETWEEN 3 AND 10""")
+ UNION ALL SELECT 'endpoint', concat('GET /p/', CAST(p_partkey AS STRING)), 1 FROM part WHERE concat('GET /p/', CAST(p_partkey AS STRING)) NOT IN (SELECT endpoint_id FROM fx_roots)""")
 def _(t):
     return dataaccess.audit_text_references(t.sql(f"WITH {_TEXT_REFS} SELECT * FROM sd"), t("fx_functions"), t("fx_roots"))
 

@@ -2,7 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
-from spanloom.operators import catalog, graph, overlay, spans
+from spanloom.operators import catalog, dataaccess, graph, overlay, spans
 from spanloom.sources import batches
 
 
@@ -52,3 +52,17 @@ def test_overlay_of_an_endpoint_is_whole(spark):
     one = overlay.endpoint_overlay(s, r, spark.createDataFrame([("g", True)], "id string, deep boolean")).collect()[0]
     assert (one.request_count, one.span_count, one.armed, one.confirmed, one.recent) == (2, 3, ["g"], ["f>g", "f>h", "g>h"], ["p", "q"])
     assert one.functions["h"]["errors"] == 1 and one.functions["h"]["last"]["span_id"] == "3"
+
+
+def test_graph_query_facts_of_any_name(spark):
+    rows = [
+        (1, "MATCH (a:user:Admin {id: 1})-[r:knows|:`likes it`]->(:`Odd Name`) RETURN a"),
+        (2, "merge (n:Thing) SET n:other RETURN n"),
+        (3, "MATCH (a)-->(b) WHERE (a.x = 1) RETURN b"),
+        (4, None),
+    ]
+    got = {r.k: r for r in dataaccess.graph_query_facts(spark.createDataFrame(rows, "k int, query string")).collect()}
+    assert (got[1].op, sorted(got[1].labels), sorted(got[1].types)) == ("read", ["Admin", "Odd Name", "user"], ["knows", "likes it"])
+    assert (got[2].op, got[2].labels, got[2].types) == ("write", ["Thing"], [])
+    assert (got[3].labels, got[3].types) == ([], [])
+    assert got[4].labels is None and got[4].types is None
