@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, distinct_texts, durable, gram_hashes, join_counted, split_words
+from .common import HOT, chunks, distinct_texts, durable, gram_hashes, join_counted, split_words
 
 
 def text_fingerprints(texts: list, shingle_words: int = 4, seed: int = 42, distinct: bool = False) -> np.ndarray:
@@ -482,5 +482,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     rooted = classes.join(ids, ["a", "b"])
     best = durable(rooted.groupBy("root").agg(F.min(F.struct("least", "a", "b", "copies")).alias("best")).select("best.a", "best.b", "best.copies", F.col("best.least.id").alias("least")))
     total = classes.agg(F.sum("copies")).first()[0] or 0
-    kept = join_counted(hashes, best, ["a", "b"], "copies", total, [F.monotonically_increasing_id()]).filter(F.col("id").eqNullSafe(F.col("least")))
-    return kept.groupBy("a", "b").agg(F.first("row").alias("row")).select("row.*")
+    kept = join_counted(hashes, best, ["a", "b"], "copies", total, [F.monotonically_increasing_id()], part="part").filter(F.col("id").eqNullSafe(F.col("least")))
+    # the join has dealt rows by these three: only the few keys that lie in several parts are dealt again
+    one = kept.groupBy("a", "b", "part").agg(F.first("row").alias("row"), F.first("copies").alias("copies"))
+    spread = F.col("copies") > max(1, total // HOT)
+    several = one.filter(spread).groupBy("a", "b").agg(F.first("row").alias("row"))
+    return one.filter(~spread).select("row").union(several.select("row")).select("row.*")
