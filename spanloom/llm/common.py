@@ -131,12 +131,13 @@ class Words:
         return slice(self.first[k], self.first[k + 1])
 
 
-def split_words(texts: list, lower: bool = False, hashes: bool = True, block: int = 1 << 20) -> Words:
+def split_words(texts: list, lower: bool = False, hashes: bool = True, block: int = 1 << 20, apart: np.ndarray = _SPACE) -> Words:
+    """The words of texts (str or UTF-8 bytes): maximal runs of bytes that `apart`, a table of 256 booleans, does not name."""
     parts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else (t or b"") for t in texts]
     buf = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     if lower:
         buf = np.where((buf >= 65) & (buf <= 90), buf + np.uint8(32), buf)
-    space = _SPACE[buf]
+    space = apart[buf]
     start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     if not space[0]:
         start = np.concatenate(([0], start))

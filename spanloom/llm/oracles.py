@@ -53,8 +53,33 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM x
 """
 
+_OP13 = r"""
+WITH d AS (
+ SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+  string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+s AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) AS o(k) WHERE len(w) >= k),
+f AS (
+ SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM s) GROUP BY lang, k, phrase
+ HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+x AS (SELECT c.*, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:k], ' ') AS tail FROM c, range(1, 5) AS o(cut) WHERE cut < k),
+y AS (
+ SELECT x.lang, x.phrase, x.a, cut, g.f AS l, h.f AS r, n, (1000::HUGEINT * x.a * n) // (g.f::HUGEINT * h.f) AS score
+ FROM x JOIN f g ON g.lang = x.lang AND g.phrase = head JOIN f h ON h.lang = x.lang AND h.phrase = tail JOIN t ON t.lang = x.lang),
+z AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM y) WHERE o = 1),
+b AS (
+ SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+ FROM (SELECT lang, w, a, k, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 5) AS o(m) WHERE m < k) GROUP BY 1, 2),
+v AS (SELECT z.* FROM z LEFT JOIN b ON b.lang = z.lang AND b.phrase = z.phrase WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM v) WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op2_urls": _OP2,
     "op6_substrings": _OP6,
     "op7_quality": _OP7,
+    "op13_phrases": _OP13,
 }

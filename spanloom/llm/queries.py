@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, mixing, quality, sharding, simhash, substrings, toxicity, urls
+from . import decontam, html, langid, mixing, phrases, quality, sharding, simhash, substrings, toxicity, urls
 from .common import held_out
 
 
@@ -67,6 +67,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_read(spark, sf_dir, "documents"), shards=8)
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents"), threshold=100, longest=5, top=2000)
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_urls": op2_urls,
@@ -78,4 +82,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontam": op9_decontam,
     "op10_sharding": op10_sharding,
+    "op13_phrases": op13_phrases,
 }
