@@ -53,6 +53,24 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM x
 """
 
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+_OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), {_TERM}) AS w FROM documents),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), {_TERM})) AS term FROM benchmark),
+t AS (
+ SELECT doc, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY doc, term),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM t, s GROUP BY term, n_docs),
+m AS (SELECT doc, doc_id, 50 + (50 * CAST(len(w) AS BIGINT) * n_docs) // n_terms AS m FROM d, s WHERE len(w) > 0),
+x AS (
+ SELECT item_id, doc_id, doc, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+ FROM q JOIN f USING (term) JOIN t USING (term) JOIN m USING (doc) GROUP BY item_id, doc_id, doc)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0) WHERE rank <= 50
+"""
+
 _OP13 = r"""
 WITH d AS (
  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
@@ -81,5 +99,6 @@ ORACLES: dict[str, str] = {
     "op2_urls": _OP2,
     "op6_substrings": _OP6,
     "op7_quality": _OP7,
+    "op12_search": _OP12,
     "op13_phrases": _OP13,
 }

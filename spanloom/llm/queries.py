@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, mixing, phrases, quality, sharding, simhash, substrings, toxicity, urls
-from .common import held_out
+from . import decontam, html, langid, mixing, phrases, quality, search, sharding, simhash, substrings, tokens, toxicity, urls
+from .common import held_out, shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +69,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_read(spark, sf_dir, "documents"), shards=8)
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    tokens.write(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokens.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_read(spark, sf_dir, "documents"), threshold=100, longest=5, top=2000)
 
@@ -82,5 +96,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontam": op9_decontam,
     "op10_sharding": op10_sharding,
+    "op11_tokens": op11_tokens,
+    "op12_search": op12_search,
     "op13_phrases": op13_phrases,
 }
