@@ -8,7 +8,8 @@ merges its blocks into one Misra-Gries summary whose capacity exceeds the range'
 mass divided by the threshold. What is taken off a counter is then less than the
 threshold, so every frequent phrase survives. Survivors travel back as a bit set
 of bounded size that answers yes for each of them (and for some others, which
-costs work only). A second pass counts what survived exactly, by its text.
+costs work only). A second pass counts what survived exactly, by its text: tasks
+send their counts in one block for each range of hashes, and a range adds them up.
 
 Defined cases: null and blank texts have no word; a null language is `und`;
 equal rows count as often as they stand; whole texts are read, however long;
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -75,7 +77,7 @@ class _Text:
         self.w = split_words(texts, lower=True, apart=_APART)
         self.piece = np.cumsum(_ENDS[self.w.buf], dtype=np.int64)[self.w.start]
         self.n_words = np.diff(self.w.first)
-        self.seed = np.repeat(seeds, self.n_words)
+        self.of_text, self.seed = seeds, np.repeat(seeds, self.n_words)
         self.made: dict[int, np.ndarray] = {}
 
     def keys(self, n: int) -> np.ndarray:
@@ -152,9 +154,21 @@ def summarise(blocks: Iterator[tuple[np.ndarray, np.ndarray]], capacity: int, st
     return keys, n, low
 
 
+def _bounds(ranges: int) -> np.ndarray:
+    """Where all but the first of equal ranges of keys begin."""
+    return np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+
+
+def _to_ipc(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 def _survivors(texts: DataFrame, lengths: tuple[int, ...], words: BitSet | None, pairs: BitSet | None, threshold: int, ranges: int) -> DataFrame:
     """(key) of all runs of these lengths that may stand `threshold` times or more, with every one that does."""
-    bounds = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+    bounds = _bounds(ranges)
 
     def ship(held: list) -> pa.RecordBatch:
         keys, n = _counted(held)
@@ -199,26 +213,30 @@ def count_frequent(docs: DataFrame, threshold: int = 100, longest: int = 5, text
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = 1 + size // RANGE_MASS  # over one for each RANGE_MASS words
     session = texts.sparkSession
-    least = int(session.conf.get("spark.sql.shuffle.partitions"))
-    level = lambda lengths, words, pairs: bit_set(_survivors(texts, lengths, words, pairs, threshold, max(least, len(lengths) * ranges)), most_bits)
+    ranges = max(ranges, int(session.conf.get("spark.sql.shuffle.partitions")))
+    bounds = _bounds(ranges)
+    level = lambda lengths, words, pairs: bit_set(_survivors(texts, lengths, words, pairs, threshold, len(lengths) * ranges), most_bits)
     words = level((1,), None, None)
     pairs = level((2,), words, None) if longest > 1 else None
     rest = level(tuple(range(3, longest + 1)), words, pairs) if longest > 2 else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, int] = {}
+        totals: dict[int, tuple[str, int]] = {}
         names: dict[int, tuple[str, int, str]] = {}
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def rows() -> pa.RecordBatch:
-            keys, n = _counted(held) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            found = [names[k] for k in keys.tolist()] + [(lang, 0, "") for lang in totals]
-            n = n.tolist() + list(totals.values())
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.string()), pa.array(n, pa.int64())], ["lang", "k", "phrase", "n"])
+        def ship() -> pa.RecordBatch:
+            total = [(np.array([seed], np.uint64), np.array([n])) for seed, (_, n) in totals.items()]
+            keys, n = _counted([*held, *total]) if held or total else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            found = [names.get(k) or (totals[k][0], 0, "") for k in keys.tolist()]
+            table = pa.table([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.string()), pa.array(n, pa.int64())], ["lang", "k", "phrase", "n"])
+            cut = np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
+            full = np.flatnonzero(np.diff(cut))
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([_to_ipc(table.slice(cut[r], cut[r + 1] - cut[r])) for r in full], pa.binary())], ["range", "z"])
 
         for langs, text in _read(batches):
-            for lang, n in zip(langs, text.n_words.tolist(), strict=True):
-                totals[lang] = totals.get(lang, 0) + n
+            for lang, seed, n in zip(langs, text.of_text.tolist(), text.n_words.tolist(), strict=True):
+                totals[seed] = lang, totals.get(seed, (lang, 0))[1] + n
             raw, start, end = text.w.buf.tobytes(), text.w.start, text.w.end
             doc = np.searchsorted(text.w.first, np.arange(len(start)), side="right") - 1
             for k in range(1, longest + 1):
@@ -235,12 +253,16 @@ def count_frequent(docs: DataFrame, threshold: int = 100, longest: int = 5, text
             if len(held) > 200:
                 held[:] = [_counted(held)]
             if len(names) > HELD // 4:
-                yield rows()
+                yield ship()
                 totals, names, held = {}, {}, []
-        yield rows()
+        yield ship()
+
+    def add(blocks: pa.Table) -> pa.Table:
+        every = pa.concat_tables([pa.ipc.open_stream(z.as_buffer()).read_all() for z in blocks["z"]])
+        sums = every.group_by(["lang", "k", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "k", "phrase", "n"])
+        return sums.filter((pc.field("k") == 0) | (pc.field("n") >= threshold))
 
-    counts = texts.mapInArrow(count, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
-    return durable(counts.filter((F.col("k") == 0) | (F.col("n") >= threshold)))
+    return durable(texts.mapInArrow(count, "range long, z binary").groupBy("range").applyInArrow(add, "lang string, k int, phrase string, n long"))
 
 
 def collocations(docs: DataFrame, threshold: int = 100, longest: int = 5, top: int = 2000, share: int = 100, text_col: str = "text", lang_col: str = "lang", most_bits: int = MOST_BITS) -> DataFrame:
@@ -251,7 +273,7 @@ def collocations(docs: DataFrame, threshold: int = 100, longest: int = 5, top: i
     """
     counts = count_frequent(docs, threshold, longest, text_col, lang_col, most_bits)
     found = counts.filter("k > 1").select("lang", "phrase", "k", F.col("n").alias("a"))
-    totals = counts.filter("k = 0").select("lang", "n")
+    totals = durable(counts.filter("k = 0").select("lang", "n"))  # a small table of its own, which Spark sends to all tasks by its size
     part = lambda name, n: counts.filter("k > 0").select("lang", F.col("phrase").alias(name), F.col("n").alias(n))
     cuts = found.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
     cuts = cuts.withColumn("head", F.expr("substring_index(phrase, ' ', cut)")).withColumn("tail", F.expr("substring_index(phrase, ' ', cut - k)"))
