@@ -1,18 +1,13 @@
-"""Call-graph analytics over an edge table (caller, callee, edge).
-
-Closures are semi-naive loops: each round joins only the newly found pairs, keeps
-what is new and is written as a durable table, so lineage stays short.
-"""
+"""Call-graph analytics over an edge table (caller, callee, edge); the walks are in `closure`."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.tables import durable
+from .closure import cycles, depths, numbered_roots, pairs_of, roots_reaching, spread, totals_below
 
 #: The first hint that a module's lower-cased name contains gives its layer.
 LAYER_HINTS = (
@@ -25,28 +20,22 @@ MAIN_THRESHOLD = 12.0
 
 
 def reach(edges: DataFrame, roots: DataFrame, through: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
-    """(root, function, depth): all that each root reaches, itself at depth 0, by fewest hops.
+    """(root, function): all that each root reaches, and itself.
 
     With `through` (function), paths go on only from the functions it lists (and from roots).
     """
-    step = durable(edges.select("caller", "callee").filter("caller <> callee").distinct())
-    if through is not None:
-        inner = step.join(through.select(F.col("function").alias("caller")).distinct(), "caller", "left_semi")
-    front = durable(roots.select("root", F.col("root").alias("function"), F.lit(0).alias("depth")).distinct())
-    found = [front]
-    for depth in range(1, max_rounds + 1):
-        use = step if depth == 1 or through is None else inner
-        nxt = front.join(use, front["function"] == use["caller"]).select("root", F.col("callee").alias("function")).distinct()
-        seen = reduce(DataFrame.union, found)
-        front = durable(nxt.join(seen, ["root", "function"], "left_anti").select("root", "function", F.lit(depth).alias("depth")))
-        if front.isEmpty():
-            return reduce(DataFrame.union, found)
-        found.append(front)
-    raise RuntimeError(f"the closure did not end in {max_rounds} rounds")
-
-
-def min_depth(reached: DataFrame) -> DataFrame:
-    return reached.groupBy("function").agg(F.min("depth").alias("depth"), F.count("*").alias("roots"))
+    named = numbered_roots(roots)
+    return pairs_of(spread(edges, named, through, max_rounds), named)
+
+
+def endpoints_reaching(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(function, roots): how many roots reach each function that any does; no pair of them is made."""
+    return roots_reaching(spread(edges, numbered_roots(roots)))
+
+
+def min_depth(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(function, depth, roots): fewest hops from any root, and how many roots reach the function."""
+    return depths(edges, roots).join(endpoints_reaching(edges, roots), "function")
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -111,17 +100,22 @@ def classify(metrics: DataFrame, overrides: DataFrame | None = None) -> DataFram
     return m.withColumn("role", F.coalesce("_pin", "role")).drop("_pin")
 
 
-def collapse_edges(edges: DataFrame, roles: DataFrame) -> tuple[DataFrame, DataFrame]:
+def collapse_edges(edges: DataFrame, roles: DataFrame, order: str = "callee") -> tuple[DataFrame, DataFrame]:
     """Edges between mains through chains of children, and what each main absorbs.
 
-    Returns (source, target, via) and (source, child, shared); via counts the absorbed children that call the target.
+    edges (caller, callee, edge) -> (source, target, kind, via) and (source, child, shared). `kind` is that of the source's call
+    whose chain reaches the target: of several, the last by `order`. `via` counts the absorbed children that call the target.
     """
     mains = roles.filter("role = 'main'").select("function")
     children = roles.filter("role = 'child'").select("function")
-    known = edges.select("caller", "callee").filter("caller <> callee").distinct()
-    hit = durable(reach(known, mains.select(F.col("function").alias("root")), through=children).filter("depth > 0"))
-    to_main = hit.join(mains, "function", "left_semi").select(F.col("root").alias("source"), F.col("function").alias("target"))
-    absorbed = hit.join(children, "function", "left_semi").select(F.col("root").alias("source"), F.col("function").alias("child"))
+    known = durable(edges.filter("caller <> callee").groupBy("caller", "callee").agg(F.min(F.struct(F.col(order).alias("order"), "edge")).alias("first")))
+    # what each child leads to; a main leads to itself
+    led = reach(known, children.select(F.col("function").alias("root")), through=children)
+    led = led.union(mains.select(F.col("function").alias("root"), "function"))
+    hops = known.join(mains.select(F.col("function").alias("caller")), "caller", "left_semi").select(F.col("caller").alias("source"), F.col("callee").alias("root"), "first")
+    hit = durable(hops.join(led, "root").filter("function <> source").groupBy("source", "function").agg(F.max_by("first.edge", "first").alias("kind")))
+    to_main = hit.join(mains, "function", "left_semi").select("source", F.col("function").alias("target"), "kind")
+    absorbed = hit.join(children, "function", "left_semi").select("source", F.col("function").alias("child"))
     users = absorbed.groupBy("child").agg((F.count("*") > 1).alias("shared"))
     calls = absorbed.join(known, absorbed["child"] == known["caller"]).select("source", F.col("callee").alias("target"), "child")
     via = calls.groupBy("source", "target").agg(F.count("*").alias("via"))
@@ -194,35 +188,31 @@ def function_view(nodes: DataFrame, library_cap: int = 80) -> tuple[DataFrame, D
     return calls, libs, data
 
 
-def tree_stats(edges: DataFrame, roots: DataFrame, max_depth: int = 80) -> DataFrame:
-    """(root, positions, max_depth): nodes of the unrolled tree, shared subtrees counted each time, as path counts by level."""
-    step = durable(edges.select("caller", "callee").filter("caller <> callee"))
-    front = durable(roots.select("root", F.col("root").alias("function"), F.lit(1.0).alias("n")))
-    out = front.groupBy("root").agg(F.sum("n").alias("n")).withColumn("depth", F.lit(0))
-    for depth in range(1, max_depth + 1):
-        front = durable(front.join(step, front["function"] == step["caller"]).groupBy("root", F.col("callee").alias("function")).agg(F.sum("n").alias("n")))
-        if front.isEmpty():
-            break
-        out = out.union(front.groupBy("root").agg(F.sum("n").alias("n")).withColumn("depth", F.lit(depth)))
-    return out.groupBy("root").agg(F.sum("n").alias("positions"), F.max("depth").alias("max_depth"))
+#: Kinds of nodes that trees are counted by; the first three are calls that could be named.
+TREE_KINDS = ("function", "external", "class", "unresolved", "loop", "branch", "graph", "dispatch")
+
+
+def tree_stats(nodes: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Per root: positions of each kind in its unrolled tree (shared subtrees counted each time), cyclic ones, nodes, max_depth, coverage.
+
+    nodes (node, kind, cyclic), links (parent, child). Counts are exact. Coverage is named calls over all, 1 without any.
+    """
+    one = {k: (F.col("kind") == k).cast("int") for k in TREE_KINDS} | {"cyclic": F.col("cyclic").cast("int")}
+    below = totals_below(nodes, links, one).join(roots.select(F.col("root").alias("node")).distinct(), "node", "left_semi")
+    known = F.col("function") + F.col("external") + F.col("class")
+    coverage = F.when(known + F.col("unresolved") > 0, F.round(known.cast("double") / (known + F.col("unresolved")).cast("double"), 3)).otherwise(1.0)
+    return below.select(F.col("node").alias("root"), *TREE_KINDS, "cyclic", F.col("height").alias("max_depth"), coverage.alias("coverage"), sum((F.col(k) for k in TREE_KINDS[1:]), F.col(TREE_KINDS[0])).cast("decimal(38,0)").alias("nodes"))
+
+
+def view_stats(full: DataFrame, view: DataFrame) -> DataFrame:
+    """Per root, of two tree_stats: functions, depth and cycles as the view shows them, libraries and coverage as the full tree has them."""
+    shown = view.select("root", "function", "max_depth", "cyclic", F.col("function").alias("nodes"))
+    return shown.join(full.select("root", "external", "class", "unresolved", "graph", "coverage"), "root")
 
 
 def recursive_edges(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """Edges whose callee reaches their caller: forward and backward trimming first leaves only what can lie on a cycle."""
-    e = durable(edges.select("caller", "callee").distinct())
-    rest = durable(e.filter("caller <> callee"))
-    before = -1
-    for _ in range(max_rounds):  # an edge on a cycle has an edge before and one after it
-        n = rest.count()
-        if n in (before, 0):
-            break
-        before = n
-        rest = durable(rest.join(rest.select(F.col("callee").alias("caller")).distinct(), "caller", "left_semi").join(rest.select(F.col("caller").alias("callee")).distinct(), "callee", "left_semi").select("caller", "callee"))
-    else:
-        raise RuntimeError(f"edges were still trimmed after {max_rounds} rounds")
-    back = reach(rest, rest.select(F.col("callee").alias("root")).distinct())
-    hit = rest.join(back.select(F.col("root").alias("callee"), F.col("function").alias("caller")), ["caller", "callee"], "left_semi")
-    return hit.union(e.filter("caller = callee"))
+    """(caller, callee): edges whose callee reaches their caller, which are those inside a strongly connected component."""
+    return cycles(edges, max_rounds).select("caller", "callee")
 
 
 def search_tree(nodes: DataFrame, query: str) -> DataFrame:

@@ -41,7 +41,17 @@ VIEWS: dict[str, str] = {
   UNION ALL SELECT p_partkey, 3 * p_partkey + 7, 'spawn' FROM part WHERE p_size % 5 = 0) e WHERE callee IN (SELECT p_partkey FROM part)""",
     "fx_call_edges_cyclic": """
  SELECT * FROM fx_call_edges UNION ALL SELECT p_partkey, CAST(floor(p_partkey / 4.0) AS BIGINT), 'callback' FROM part WHERE p_partkey % 50 = 49""",
-    "fx_roots": "SELECT CAST(p_partkey AS BIGINT) AS root, concat('GET /p/', CAST(p_partkey AS STRING)) AS endpoint_id FROM part WHERE p_type = 'ECONOMY' AND p_size > 25",
+    "fx_roots": "SELECT CAST(p_partkey AS BIGINT) AS root, concat('GET /p/', CAST(p_partkey AS STRING)) AS endpoint_id FROM part WHERE p_type = 'ECONOMY'",
+    "fx_call_sites": """
+ SELECT caller, callee, CAST(row_number() OVER (PARTITION BY caller ORDER BY callee % 5, callee) - 1 AS INT) AS ordinal FROM (SELECT DISTINCT caller, callee FROM fx_call_edges WHERE caller <> callee) s""",
+    "fx_tree_nodes": """
+ SELECT CAST(p_partkey AS BIGINT) AS node, CASE p_size % 10 WHEN 0 THEN 'external' WHEN 1 THEN 'class' WHEN 2 THEN 'unresolved' WHEN 3 THEN 'loop' WHEN 4 THEN 'branch' WHEN 5 THEN 'graph' WHEN 6 THEN 'dispatch' ELSE 'function' END AS kind, p_size % 7 = 0 AS cyclic FROM part""",
+    "fx_db_field": """
+ SELECT l_partkey AS function_id, l_suppkey AS table_id, concat('f', CAST(l_linenumber % 4 AS STRING)) AS field, CASE WHEN l_linenumber % 3 = 0 THEN 'any' WHEN l_returnflag = 'R' THEN 'string' ELSE 'integer' END AS type,
+  CASE WHEN l_linestatus = 'O' THEN 'write' ELSE 'query' END AS source, min(l_orderkey) AS ord FROM lineitem GROUP BY 1, 2, 3, 4, 5""",
+    "fx_db_edge": """
+ SELECT l_partkey AS function_id, l_suppkey AS table_id, concat('L', CAST(l_orderkey % 3 AS STRING)) AS source, concat('L', CAST(l_linenumber % 2 AS STRING)) AS target, bool_and(l_tax > 0.04) AS uncertain FROM lineitem GROUP BY 1, 2, 3, 4""",
+    "fx_db_model": "SELECT CAST(s_suppkey AS BIGINT) AS table_id, concat('f', CAST(s_suppkey % 6 AS STRING)) AS field, CASE WHEN s_suppkey % 4 = 0 THEN 'any' ELSE 'object' END AS type, 'model' AS source FROM supplier WHERE s_suppkey % 2 = 0",
     "fx_functions": """
  SELECT CAST(p_partkey AS BIGINT) AS function_id, concat(CASE p_type WHEN 'ECONOMY' THEN 'app.api' WHEN 'SMALL' THEN 'app.services' WHEN 'MEDIUM' THEN 'app.repo' WHEN 'PROMO' THEN 'app.utils' ELSE 'app.main' END, '.', lower(replace(p_brand, '#', ''))) AS module,
   concat(CASE WHEN p_size % 7 = 0 THEN '_' ELSE '' END, replace(p_name, ' ', '_')) AS name, CAST(p_size AS INT) AS loc, p_size % 3 AS branches FROM part""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dataaccess, graph, lineage
+from ..operators import closure, dataaccess, graph, lineage
 from .fixtures import Tables, with_views
 
 QUERIES: dict = {}
@@ -37,7 +37,7 @@ def _(t):
 
 @query("H2_min_depth", f"WITH RECURSIVE {_REACH} SELECT function, min(depth) AS depth, count(*) AS roots FROM reached GROUP BY 1")
 def _(t):
-    return graph.min_depth(_reached(t))
+    return graph.min_depth(t("fx_call_edges"), t("fx_roots"))
 
 
 _DEGREE = """
@@ -79,7 +79,7 @@ _METRICS = f"""
 def _roles(t):  # noqa: ANN001, ANN202
     f = t("fx_functions")
     degree = graph.degree(t("fx_call_edges")).select(F.col("function").alias("function_id"), "fan_out")
-    eps = graph.min_depth(_reached(t)).select(F.col("function").alias("function_id"), F.col("roots").alias("endpoints"))
+    eps = graph.endpoints_reaching(t("fx_call_edges"), t("fx_roots")).select(F.col("function").alias("function_id"), F.col("roots").alias("endpoints"))
     handlers = t("fx_roots").select(F.col("root").alias("function_id"), F.lit(True).alias("is_handler"))
     m = f.join(degree, "function_id", "left").join(_io(t), "function_id", "left").join(eps, "function_id", "left").join(handlers, "function_id", "left")
     m = m.fillna({"fan_out": 0, "endpoints": 0, "is_handler": False}).withColumns({"private": F.col("name").startswith("_"), "is_depends": F.col("function_id") % 11 == 0})
@@ -103,9 +103,10 @@ def _(t):
 
 _PARITY = """
  role AS (SELECT CAST(p_partkey AS BIGINT) AS function, CASE WHEN p_size % 3 = 0 THEN 'child' ELSE 'main' END AS role FROM part),
- e AS (SELECT DISTINCT caller, callee FROM fx_call_edges WHERE caller <> callee),
- hit AS (SELECT r.function AS source, e.callee AS function FROM role r JOIN e ON e.caller = r.function WHERE r.role = 'main'
-  UNION SELECT h.source, e.callee FROM hit h JOIN role r ON r.function = h.function AND r.role = 'child' JOIN e ON e.caller = h.function WHERE e.callee <> h.source)"""
+ e AS (SELECT caller, callee, min(edge) AS edge FROM fx_call_edges WHERE caller <> callee GROUP BY 1, 2),
+ hit AS (SELECT r.function AS source, e.callee AS function, e.callee AS hop FROM role r JOIN e ON e.caller = r.function WHERE r.role = 'main'
+  UNION SELECT h.source, e.callee, h.hop FROM hit h JOIN role r ON r.function = h.function AND r.role = 'child' JOIN e ON e.caller = h.function WHERE e.callee <> h.source),
+ found AS (SELECT source, function, max(hop) AS hop FROM hit WHERE source <> function GROUP BY 1, 2)"""
 
 
 def _parity(t):  # noqa: ANN001, ANN202
@@ -113,16 +114,17 @@ def _parity(t):  # noqa: ANN001, ANN202
 
 
 @query("H7_collapse_edges", f"""
- WITH RECURSIVE {_PARITY}
- SELECT h.source, h.function AS target, (SELECT count(*) FROM hit a JOIN role c ON c.function = a.function AND c.role = 'child' JOIN e ON e.caller = a.function WHERE a.source = h.source AND e.callee = h.function) AS via
- FROM hit h JOIN role r ON r.function = h.function WHERE r.role = 'main' AND h.source <> h.function""")
+ WITH RECURSIVE {_PARITY},
+ via AS (SELECT a.source, e.callee AS target, count(*) AS via FROM found a JOIN role c ON c.function = a.function AND c.role = 'child' JOIN e ON e.caller = a.function GROUP BY 1, 2)
+ SELECT h.source, h.function AS target, k.edge AS kind, coalesce(via, 0) AS via FROM found h JOIN role r ON r.function = h.function AND r.role = 'main' JOIN e k ON k.caller = h.source AND k.callee = h.hop
+ LEFT JOIN via v ON v.source = h.source AND v.target = h.function""")
 def _(t):
     return graph.collapse_edges(t("fx_call_edges"), _parity(t))[0]
 
 
 @query("H7_absorbed", f"""
  WITH RECURSIVE {_PARITY}
- SELECT h.source, h.function AS child, count(*) OVER (PARTITION BY h.function) > 1 AS shared FROM hit h JOIN role r ON r.function = h.function WHERE r.role = 'child'""")
+ SELECT h.source, h.function AS child, count(*) OVER (PARTITION BY h.function) > 1 AS shared FROM found h JOIN role r ON r.function = h.function WHERE r.role = 'child'""")
 def _(t):
     return graph.collapse_edges(t("fx_call_edges"), _parity(t))[1].select("source", "child", "shared")
 
@@ -135,7 +137,7 @@ _LAYER = "CASE " + " ".join(f"WHEN contains(lower(module), '{h}') THEN '{layer}'
  p AS (SELECT module, count(*) AS functions, coalesce(min(depth), 99) AS min_depth FROM fx_functions f LEFT JOIN d ON d.function = f.function_id GROUP BY 1)
  SELECT module, functions, min_depth, {_LAYER} AS layer, dense_rank() OVER (ORDER BY min_depth) AS "column" FROM p""")
 def _(t):
-    return graph.module_map(t("fx_functions"), graph.min_depth(_reached(t)))
+    return graph.module_map(t("fx_functions"), graph.depths(t("fx_call_edges"), t("fx_roots")))
 
 
 @query("H8_module_edges", """
@@ -147,7 +149,7 @@ def _(t):
 
 @query("H9_unreached", f"WITH RECURSIVE {_REACH} SELECT function_id, module FROM fx_functions WHERE NOT starts_with(name, '_') AND function_id NOT IN (SELECT function FROM reached)")
 def _(t):
-    return graph.unreached(t("fx_functions"), _reached(t)).select("function_id", "module")
+    return graph.unreached(t("fx_functions"), graph.depths(t("fx_call_edges"), t("fx_roots"))).select("function_id", "module")
 
 
 @query("H9_map_stats", f"WITH RECURSIVE {_METRICS} SELECT role, count(*) AS functions FROM roles GROUP BY 1")
@@ -194,12 +196,31 @@ def _(t):
     return graph.function_view(_nodes(t))[2]
 
 
-@query("H11_tree_stats", """
- WITH RECURSIVE w AS (SELECT root, root AS function, CAST(1 AS DOUBLE) AS n, 0 AS depth FROM fx_roots
-  UNION ALL SELECT root, callee, sum(n), depth FROM (SELECT w.root, e.callee, w.n, w.depth + 1 AS depth FROM w JOIN fx_call_edges e ON e.caller = w.function WHERE e.caller <> e.callee AND w.depth < 80) x GROUP BY root, callee, depth)
- SELECT root, sum(n) AS positions, max(depth) AS max_depth FROM w GROUP BY 1""")
+_KIND_COUNTS = ", ".join(f"CAST(coalesce(sum(n) FILTER (kind = '{k}'), 0) AS BIGINT) AS \"{k}\"" for k in graph.TREE_KINDS)
+_KNOWN = "sum(n) FILTER (kind IN ('function', 'external', 'class', 'unresolved'))"
+_TREES = f"""
+ w AS (SELECT root, root AS node, CAST(1 AS HUGEINT) AS n, 0 AS depth FROM fx_roots
+  UNION ALL SELECT root, callee, sum(n), depth FROM (SELECT w.root, e.callee, w.n, w.depth + 1 AS depth FROM w JOIN fx_call_edges e ON e.caller = w.node WHERE e.caller <> e.callee AND w.depth < 80) x GROUP BY root, callee, depth),
+ trees AS (SELECT root, {_KIND_COUNTS}, CAST(coalesce(sum(n) FILTER (cyclic), 0) AS BIGINT) AS cyclic, max(depth) AS max_depth,
+  CASE WHEN {_KNOWN} > 0 THEN round(1 - CAST(coalesce(sum(n) FILTER (kind = 'unresolved'), 0) AS DOUBLE) / CAST({_KNOWN} AS DOUBLE), 3) ELSE 1.0 END AS coverage, CAST(sum(n) AS BIGINT) AS nodes
+  FROM w JOIN fx_tree_nodes k ON k.node = w.node GROUP BY root)"""
+
+
+def _trees(t, kinds=None):  # noqa: ANN001, ANN202
+    links = t("fx_call_edges").filter("caller <> callee").select(F.col("caller").alias("parent"), F.col("callee").alias("child"))
+    out = graph.tree_stats(t("fx_tree_nodes"), links, t("fx_roots"))
+    return out.select("root", *[F.col(c).cast("long").alias(c) for c in (*graph.TREE_KINDS, "cyclic", "nodes")], "max_depth", "coverage")
+
+
+@query("H11_tree_stats", f"WITH RECURSIVE {_TREES} SELECT * FROM trees")
 def _(t):
-    return graph.tree_stats(t("fx_call_edges"), t("fx_roots"))
+    return _trees(t)
+
+
+@query("H11_view_stats", f"""WITH RECURSIVE {_TREES} SELECT root, "function", max_depth, cyclic, "function" AS nodes, external, "class", unresolved, graph, coverage FROM trees""")
+def _(t):
+    trees = _trees(t)
+    return graph.view_stats(trees, trees)
 
 
 @query("H12_recursive_edges", """
@@ -274,19 +295,50 @@ def _(t):
     return dataaccess.infer_fields(t("fx_op_log"))
 
 
+_WALK = """
+ steps AS (SELECT root, root AS function, CAST([] AS INT[]) AS path, [root] AS chain FROM fx_roots
+  UNION ALL SELECT w.root, e.callee, list_append(w.path, e.ordinal), list_append(w.chain, e.callee) FROM steps w JOIN fx_call_sites e ON e.caller = w.function),
+ paths AS (SELECT root, function, min(path) AS path, arg_min(chain, path) AS chain FROM steps GROUP BY 1, 2)"""
 _USAGE = f"""
- {_REACH}, usage AS (SELECT root, table_id, CAST(sum(n) AS BIGINT) AS ops, count(DISTINCT function_id) AS functions, bool_and(uncertain) AS uncertain, min(depth) AS depth FROM reached r JOIN fx_db_access a ON a.function_id = r.function GROUP BY 1, 2)"""
+ {_WALK}, fn AS (SELECT root, table_id, function, op, CAST(sum(n) AS BIGINT) AS count, bool_and(uncertain) AS uncertain, any_value(path) AS path, any_value(chain) AS chain FROM paths p JOIN fx_db_access a ON a.function_id = p.function GROUP BY 1, 2, 3, 4)"""
+
+
+def _paths(t):  # noqa: ANN001, ANN202
+    return closure.least_paths(t("fx_call_sites"), t("fx_roots"))
 
 
 def _usage(t):  # noqa: ANN001, ANN202
-    return dataaccess.table_usage(_reached(t), t("fx_db_access"))
+    return dataaccess.table_functions(_paths(t), t("fx_db_access"))
+
 
+_OPS = F.array_sort(F.transform(F.map_entries("ops"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))).alias("ops")
 
-@query("I4_table_usage", f"WITH RECURSIVE {_USAGE} SELECT * FROM usage")
+
+@query("I4_functions", f"WITH RECURSIVE {_USAGE} SELECT * FROM fn")
 def _(t):
     return _usage(t)
 
 
+@query("I4_table_usage", f"""
+ WITH RECURSIVE {_USAGE}, o AS (SELECT root, table_id, op, sum(count) AS n FROM fn GROUP BY 1, 2, 3), ops AS (SELECT root, table_id, list(concat(op, '=', CAST(n AS STRING)) ORDER BY op) AS ops FROM o GROUP BY 1, 2),
+ f AS (SELECT root, table_id, count(*) AS functions, bool_and(uncertain) AS uncertain, min(path) AS path, arg_min(chain, path) AS chain FROM fn GROUP BY 1, 2)
+ SELECT f.*, ops, row_number() OVER (PARTITION BY root ORDER BY functions DESC, table_id) AS place FROM f JOIN ops USING (root, table_id)""")
+def _(t):
+    return dataaccess.table_usage(_usage(t)).withColumn("ops", _OPS)
+
+
+@query("I4_fields", f"""
+ WITH RECURSIVE {_WALK} SELECT root, table_id, field, type, source FROM (
+  SELECT root, table_id, field, type, source, row_number() OVER (PARTITION BY root, table_id, field ORDER BY path, ord, type, source) AS k FROM paths p JOIN fx_db_field f ON f.function_id = p.function) x WHERE k = 1""")
+def _(t):
+    return dataaccess.usage_fields(_paths(t), t("fx_db_field")).select("root", "table_id", "field", "type", "source")
+
+
+@query("I4_edges", f"WITH RECURSIVE {_WALK} SELECT root, table_id, source, target, bool_and(uncertain) AS uncertain FROM paths p JOIN fx_db_edge e ON e.function_id = p.function GROUP BY 1, 2, 3, 4")
+def _(t):
+    return dataaccess.usage_edges(_paths(t), t("fx_db_edge"))
+
+
 @query("I5_access_audit", "SELECT count(DISTINCT a.function_id) AS functions, count(DISTINCT CASE WHEN f.loc > 10 THEN a.function_id END) AS matched FROM fx_db_access a LEFT JOIN fx_functions f ON f.function_id = a.function_id")
 def _(t):
     return dataaccess.access_audit(t("fx_db_access"), t("fx_functions").filter("loc > 10"))
@@ -297,13 +349,43 @@ def _(t):
     return dataaccess.access_unmatched(t("fx_db_access"), t("fx_functions").filter("loc > 10"))
 
 
+_INDEX_FIELDS = f"""
+ {_USAGE}, uf AS (SELECT root, table_id, field, type, source FROM (
+  SELECT root, table_id, field, type, source, row_number() OVER (PARTITION BY root, table_id, field ORDER BY path, ord, type, source) AS k FROM paths p JOIN fx_db_field f ON f.function_id = p.function) x WHERE k = 1),
+ every AS (SELECT *, 0 AS late, CASE source WHEN 'model' THEN 0 WHEN 'write' THEN 1 WHEN 'query' THEN 3 END AS r FROM uf UNION ALL SELECT NULL, table_id, field, type, source, 1, 0 FROM fx_db_model),
+ xf AS (SELECT table_id, field, coalesce(arg_min(type, (late, coalesce(root, 0))) FILTER (type <> 'any'), 'any') AS type, arg_min(source, r) AS source FROM every GROUP BY 1, 2)"""
+
+
+def _index_fields(t, paths):  # noqa: ANN001, ANN202
+    return dataaccess.index_fields(dataaccess.usage_fields(paths, t("fx_db_field")), t("fx_db_model"))
+
+
 @query("I6_database_index", f"""
- WITH RECURSIVE {_USAGE}, ids AS (SELECT table_id FROM usage UNION SELECT s_suppkey FROM supplier)
- SELECT i.table_id, CAST(coalesce(sum(u.ops), 0) AS BIGINT) AS ops, CAST(coalesce(sum(u.functions), 0) AS BIGINT) AS functions, coalesce(bool_and(u.uncertain), false) AS uncertain, count(u.root) AS endpoints, min(u.depth) AS depth,
-  i.table_id % 2 = 0 AS has_model, CASE WHEN i.table_id % 5 = 0 THEN 1 ELSE 0 END AS indexes FROM ids i LEFT JOIN usage u ON u.table_id = i.table_id WHERE u.root IS NOT NULL OR i.table_id % 2 = 0 OR i.table_id % 5 = 0 GROUP BY 1""")
+ WITH RECURSIVE {_INDEX_FIELDS}, o AS (SELECT table_id, op, sum(count) AS n FROM fn GROUP BY 1, 2), ops AS (SELECT table_id, list(concat(op, '=', CAST(n AS STRING)) ORDER BY op) AS ops FROM o GROUP BY 1),
+ f AS (SELECT table_id, count(DISTINCT (function, op)) AS functions, bool_and(uncertain) AS uncertain, count(DISTINCT root) AS endpoints FROM fn GROUP BY 1),
+ ids AS (SELECT table_id FROM f UNION SELECT table_id FROM fx_db_model UNION SELECT s_suppkey FROM supplier WHERE s_suppkey % 5 = 0), nf AS (SELECT table_id, count(*) AS fields FROM xf GROUP BY 1)
+ SELECT i.table_id, ops, coalesce(functions, 0) AS functions, coalesce(uncertain, false) AS uncertain, coalesce(endpoints, 0) AS endpoints, coalesce(fields, 0) AS fields, i.table_id % 2 = 0 AS has_model, CAST(CASE WHEN i.table_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS indexes
+ FROM ids i LEFT JOIN f USING (table_id) LEFT JOIN ops USING (table_id) LEFT JOIN nf USING (table_id)""")
+def _(t):
+    paths = _paths(t)
+    indexes = t("supplier").filter("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("table_id"))
+    out = dataaccess.database_index(dataaccess.table_functions(paths, t("fx_db_access")), _index_fields(t, paths), t("fx_db_model"), indexes)
+    return out.withColumn("ops", _OPS)
+
+
+@query("I6_functions", f"WITH RECURSIVE {_USAGE} SELECT table_id, function, op, CAST(sum(count) AS BIGINT) AS count, bool_and(uncertain) AS uncertain FROM fn GROUP BY 1, 2, 3")
+def _(t):
+    return dataaccess.index_functions(_usage(t))
+
+
+@query("I6_endpoints", f"WITH RECURSIVE {_USAGE} SELECT table_id, root, list_sort(list(DISTINCT op)) AS ops, arg_min(chain, (len(chain), op, function)) AS call_chain FROM fn GROUP BY 1, 2")
+def _(t):
+    return dataaccess.index_endpoints(_usage(t))
+
+
+@query("I6_fields", f"WITH RECURSIVE {_INDEX_FIELDS} SELECT * FROM xf")
 def _(t):
-    s = t("supplier").select(F.col("s_suppkey").alias("table_id"))
-    return dataaccess.database_index(_usage(t), s.filter("table_id % 2 = 0"), s.filter("table_id % 5 = 0"))
+    return _index_fields(t, _paths(t))
 
 
 @query("I7_merge_fields", """
@@ -316,12 +398,12 @@ def _(t):
     return dataaccess.merge_fields(t("part").select(F.col("p_brand").alias("table_id"), F.col("p_type").alias("field"), source.alias("source"), kind.alias("type")))
 
 
-@query("I8_tables_below", f"""
- WITH RECURSIVE {_REACH}, own AS (SELECT DISTINCT function_id, table_id FROM fx_db_access),
- b AS (SELECT DISTINCT r.root, o.table_id FROM reached r JOIN own o ON o.function_id = r.function WHERE depth > 0 AND NOT EXISTS (SELECT 1 FROM own x WHERE x.function_id = r.root AND x.table_id = o.table_id))
- SELECT root AS function, list(table_id ORDER BY table_id) AS tables, count(*) AS n FROM b GROUP BY 1""")
+@query("I8_tables_below", """
+ WITH RECURSIVE own AS (SELECT DISTINCT function_id, table_id FROM fx_db_access),
+ up AS (SELECT e.caller AS function, o.table_id FROM own o JOIN fx_call_edges e ON e.callee = o.function_id UNION SELECT e.caller, u.table_id FROM up u JOIN fx_call_edges e ON e.callee = u.function)
+ SELECT function, list(table_id ORDER BY table_id) AS tables, count(*) AS n FROM up u WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.function_id = u.function AND x.table_id = u.table_id) GROUP BY 1""")
 def _(t):
-    return dataaccess.tables_below(_reached(t), t("fx_db_access"))
+    return dataaccess.tables_below(t("fx_call_edges"), t("fx_db_access"))
 
 
 _NAMES = """
