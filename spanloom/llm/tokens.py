@@ -47,13 +47,25 @@ from .common import chunks
 MAGIC = b"TOKFRM01"
 #: Ids of a dictionary's sample: documents at most, and ids of each at most; bytes of the dictionary.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 2_000, 4_096, 112_640
-#: Different words whose ids a task keeps, and the longest of them.
-KNOWN_WORDS, LONGEST_WORD = 1_000_000, 64
+#: Different words whose ids a process keeps (of more, the half that came most often stays), and the longest of them.
+KNOWN_WORDS, LONGEST_WORD = 600_000, 64
 
 # --- encoding -------------------------------------------------------------------------------------------------------------------
 
 #: A single blank between characters that are not white space: no token of a byte-level vocabulary reaches over its left side.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: White space other than the blank.
+_WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 0x20]
+
+
+def _even(text: str) -> bool:
+    """Whether each blank of text stands between characters that are not white space."""
+    return not (text[:1].isspace() or text[-1:].isspace() or "  " in text or any(c in text and (" " + c in text or c + " " in text) for c in _WHITE))
+
+
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0] and n[0] - 1 numbers more, begin[1] and so on."""
+    return np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
 
 
 class Encoder:
@@ -71,6 +83,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # words are kept here; a second store costs half of the time
         size = self.tokenizer.get_vocab_size()
         self.width = 2 if size <= 1 << 16 else 4
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
@@ -85,10 +99,22 @@ class Encoder:
     def _clear(self) -> None:
         self.number: dict[str, int] = defaultdict(count().__next__)
         self.number[""]  # noqa: B018  stands where a long word was, and has no ids
-        self.ids, self.at = np.empty(0, np.uint32), np.zeros(2, np.int64)
+        self.ids, self.at, self.uses = np.empty(0, np.uint32), np.zeros(2, np.int64), np.zeros(1, np.int64)
+
+    def _keep(self, most: int) -> None:
+        """Forget all words but those that came most often."""
+        best = np.sort(np.argsort(-self.uses[1:], kind="stable")[:most] + 1)
+        words, ids, at, uses = list(self.number), self.ids, self.at, self.uses
+        self._clear()
+        for k in best.tolist():
+            self.number[words[k]]  # noqa: B018
+        n = at[best + 1] - at[best]
+        self.ids = ids[_ranges(at[best], n)]
+        self.at, self.uses = np.concatenate(([0, 0], np.cumsum(n))), np.concatenate(([0], uses[best] // 2))
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # the fast one keeps no offsets
+        return [np.array(e.ids, np.uint32) for e in batch(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
         parts, lengths = [self.ids], [np.diff(self.at)]
@@ -111,25 +137,27 @@ class Encoder:
             return self._encode([t or "" for t in texts])
         words, first, sizes, odd = [], [], [], {}
         for k, text in enumerate(texts):
-            own = _CUT.split(text or "")
+            text = text or ""
+            own = text.split(" ") if _even(text) else _CUT.split(text)
             first.append(own[0])
-            for i in range(1, len(own)):
-                if len(own[i]) > LONGEST_WORD:
-                    odd[k, i] = " " + own[i]
-                    own[i] = ""
+            if max(map(len, own)) > LONGEST_WORD:
+                for i in range(1, len(own)):
+                    if len(own[i]) > LONGEST_WORD:
+                        odd[k, i] = " " + own[i]
+                        own[i] = ""
             words += own[1:]
             sizes.append(len(own) - 1)
         known = len(self.number)
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         self._learn(list(islice(self.number, known, None)))
+        self.uses = np.pad(self.uses, (0, len(self.number) - len(self.uses))) + np.bincount(at, minlength=len(self.number))
         firsts, odds = self._encode(first), dict(zip(odd, self._encode(list(odd.values())), strict=True))
         bounds = np.concatenate(([0], np.cumsum(sizes)))
         out = []
         for k in range(len(texts)):
             own = at[bounds[k] : bounds[k + 1]]
-            begin, n = self.at[own], self.at[own + 1] - self.at[own]
-            place = np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(own) else own
-            ids = self.ids[place]
+            n = self.at[own + 1] - self.at[own]
+            ids = self.ids[_ranges(self.at[own], n)]
             mine = [(i, x) for (j, i), x in odds.items() if j == k] if odds else []
             if mine:
                 cut = np.cumsum(n)
@@ -137,7 +165,7 @@ class Encoder:
                 ids = np.concatenate([pieces[0], *[y for (_, x), p in zip(mine, pieces[1:], strict=True) for y in (x, p)]])
             out.append(np.concatenate((firsts[k], ids)).astype(np.uint32))
         if len(self.number) > KNOWN_WORDS:
-            self._clear()
+            self._keep(KNOWN_WORDS // 2)
         return out
 
 
@@ -210,8 +238,19 @@ class Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, width: int, overwrite: bool):
-        self.path, self.width, self.run, self.overwrite = path, width, uuid.uuid4().hex, overwrite
+    def __init__(self, path: str, width: int, overwrite: bool, vocabulary: str | None, end_id: int | None):
+        self.path, self.width, self.run, self.overwrite, self.vocabulary, self.end_id = path, width, uuid.uuid4().hex, overwrite, vocabulary, end_id
+
+    def _ids(self, rb: pa.RecordBatch) -> Iterator[np.ndarray]:
+        """The ids of each row, as they stand or of its text."""
+        if "ids" in rb.schema.names:
+            yield from (np.frombuffer(cell.as_buffer(), "<u4") for cell in rb.column("ids"))
+            return
+        own, end = encoder(self.vocabulary), np.array([] if self.end_id is None else [self.end_id], np.uint32)
+        texts = rb.column("text")
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        for lo, hi in chunks(sizes, lambda n: n):
+            yield from (np.concatenate((ids, end)) for ids in own.encode(texts.slice(lo, hi - lo).to_pylist()))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         part, out, store, at = TaskContext.get().partitionId(), None, *_store(self.path)
@@ -227,8 +266,7 @@ class _Writer(DataSourceArrowWriter):
                     out = store.open_output_stream(f"{at}/{name}")
                     place = out.write(MAGIC + bytes([self.width]) + hashlib.sha256(dictionary).digest())
                 places, n = [], []
-                for cell in rb.column("ids"):
-                    ids = np.frombuffer(cell.as_buffer(), "<u4")
+                for ids in self._ids(rb):
                     if self.width == 2 and len(ids) and ids.max() > 0xFFFF:
                         raise ValueError("an id is over 16 bits: write with width 4")
                     frame = pack(ids.astype(f"<u{self.width}").tobytes())
@@ -320,10 +358,10 @@ class _Reader(DataSourceReader):
 
 
 class TokenFrames(DataSource):
-    """`token_frames`: reads (doc_id, start, n_tokens, ids) and writes (doc_id, ids), where ids are little-endian 32-bit numbers.
+    """`token_frames`: reads (doc_id, start, n_tokens, ids); writes (doc_id, ids), or (doc_id, text) by a vocabulary.
 
-    Options: path; id_type (of doc_id, default bigint); width (bytes of an id on disk, 2 or 4); only (JSON list of doc_ids: of
-    other documents nothing but the index is read).
+    ids are little-endian 32-bit numbers. Options: path; id_type (of doc_id, default bigint); width (bytes of an id on disk, 2 or
+    4); vocabulary and end_id, for texts; only (JSON list of doc_ids: of other documents nothing but the index is read).
     """
 
     @classmethod
@@ -337,7 +375,8 @@ class TokenFrames(DataSource):
         return _Reader(self.options["path"], schema, json.loads(self.options["only"]) if "only" in self.options else None)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"], int(self.options.get("width", "4")), overwrite)
+        end = self.options.get("end_id")
+        return _Writer(self.options["path"], int(self.options.get("width", "4")), overwrite, self.options.get("vocabulary"), None if end is None else int(end))
 
 
 # --- whole tables ---------------------------------------------------------------------------------------------------------------
@@ -364,8 +403,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, t
     _put(f"{path}/dictionary", train([np.frombuffer(x, "<u4").astype(f"<u{own.width}").tobytes() for x in ids]))
     spark.dataSource.register(TokenFrames)
     placed = docs.withColumn("place", F.monotonically_increasing_id()).repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
-    encoded = encode(placed.select("doc_id", "text"), vocabulary, end_id)
-    encoded.write.format("token_frames").option("path", path).option("width", own.width).mode("append").save()
+    to = placed.select("doc_id", "text").write.format("token_frames").option("path", path).option("width", own.width).option("vocabulary", vocabulary)
+    (to if end_id is None else to.option("end_id", end_id)).mode("append").save()
 
 
 def read(spark: SparkSession, path: str, id_type: str = "bigint", only: list | None = None) -> DataFrame:
