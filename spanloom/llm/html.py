@@ -17,11 +17,14 @@ are repaired as browsers do for blocks and paragraphs, in time linear in the
 page, however deep or broken it is; a control or drawing that is not closed ends
 at the next part of the page; with no page to learn
 from, or none with both kinds of node, the layouts alone are learned from; equal
-pages give equal texts; nothing of a page is cut, however long.
+pages give equal texts; nothing of a page is cut, however long; of equally likely
+labels the earlier of outside, inside, excluded is taken; other columns, of any
+name, play no part.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as _html
 import random
 import re
@@ -65,13 +68,13 @@ _PARTS = re.compile(r"[a-z]+(?:-[a-z]+)*")
 
 
 def _attributes(raw: str, cache: dict[str, tuple[int, int]]) -> tuple[int, int]:
-    """(bits of the token groups, label of a training layout or -1)."""
+    """(bits of the token groups, what x-main says or -1: it counts in layouts made here alone)."""
     if raw not in cache:
         bits, label = 0, -1
         for name, *values in _NAMED.findall(raw):
             value = next((v for v in values if v), "").lower()
             if name.lower() == "x-main":
-                label = int(value)
+                label = int(value) if value in ("0", "1") else -1
                 continue
             for token in _PARTS.findall(value.replace("_", "-")):
                 for part in {token, *token.split("-")}:
@@ -136,9 +139,13 @@ class Markup:
 
 
 class Page:
-    """Nodes in page order (parent before child) and the pieces of text between block borders."""
+    """Nodes in page order (parent before child) and the pieces of text between block borders.
 
-    def __init__(self, source: str | None, cache: dict) -> None:
+    Of a silent element that is closed nothing is text, whatever stands in it; one that is not closed ends where the page goes
+    on. Marks are read only where `marked` says that the page is a layout made here.
+    """
+
+    def __init__(self, source: str | None, cache: dict, marked: bool = False) -> None:
         self.parent, self.depth, self.tag, self.bits, self.label = [-1], [0], [_TAG["body"]], [0], [-1]
         self.pieces: list[tuple[int, int, str, bool]] = []  # node, block, raw text, in a link
         stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the node that holds their text
@@ -147,6 +154,22 @@ class Page:
         block = links = silent = pos = 0
         text = source or ""
         markup = Markup(text)
+        ends: dict[str, tuple[list[int], list[int], list[int]]] = {}
+
+        def outer() -> int:
+            """Place of the outermost silent element that is open."""
+            return min(where[n][0] for n in SILENT if where.get(n))
+
+        def shuts(at: int) -> bool:
+            """Whether the element at this place of the stack is closed further on: its end tags, less new start tags, are enough."""
+            name = stack[at][0]
+            if name not in ends:
+                tags = [(m.start(), -1 if m[1] else 1) for m in re.finditer(rf"<(/?){name}(?=[\s/>])[^<>]*", text, re.I) if m[1] or not m[0].endswith("/")]
+                level = np.cumsum([d for _, d in tags]) if tags else np.zeros(0, np.int64)
+                ends[name] = [x for x, _ in tags], [0, *level.tolist()], np.minimum.accumulate(level[::-1])[::-1].tolist()
+            places, level, least = ends[name]
+            k = bisect.bisect_left(places, pos)
+            return k < len(places) and least[k] - level[k] <= -len(where[name])
 
         def push(name: str, node: int) -> None:
             nonlocal links, silent
@@ -182,6 +205,8 @@ class Page:
                 continue
             if closing:
                 at = last(name)
+                if silent and at < outer() and shuts(outer()):
+                    continue
                 if name == "p" and not at:
                     block += 1
                 if at and not (name in INLINE and blocks[-1] > at):
@@ -208,9 +233,12 @@ class Page:
                 if name not in VOID:
                     push(name, stack[-1][1])
                 continue
-            if silent and name in BODY:  # a silent element that was not closed ends where the page goes on
-                first = min(where[n][0] for n in SILENT if where.get(n))
-                cut(first)
+            if silent and shuts(outer()):
+                if not attrs.endswith("/"):
+                    push(name, stack[-1][1])
+                continue
+            if silent and name in BODY:
+                cut(outer())
             block += 1
             shut = 0
             if name in CLOSES_P:
@@ -227,7 +255,7 @@ class Page:
             self.depth.append(self.depth[stack[-1][1]] + 1)
             self.tag.append(_TAG.get(name, len(TAG_GROUPS)))
             self.bits.append(bits)
-            self.label.append(label)
+            self.label.append(label if marked else -1)
             if not attrs.endswith("/"):
                 push(name, len(self.parent) - 1)
 
@@ -453,7 +481,7 @@ def learn(pages: DataFrame, html_col: str = "html", sample_pages: int = 250, sam
     other = other or ["Home", "Contact us", "All rights reserved.", "This offer ends soon, so act today and save."]
     made = [layout(a if r.random() < 0.6 else a[: r.randint(1, 6)], other + [t for b in r.sample(articles, min(3, len(articles))) for t in b[:2]], r) for a in articles for _ in range(layouts)]
     made += [layout(articles[k % len(articles)], other, r) for k in range(max(0, 200 - len(made)))]
-    taught = [p for p in parsed if 0 in p.tag] + [Page(m, cache) for m in made]
+    taught = [p for p in parsed if 0 in p.tag] + [Page(m, cache, marked=True) for m in made]
     x, y = features(taught)[0], labels(taught)
     frame = spark.createDataFrame([(v.tolist(), float(t)) for v, t in zip(x, y)], "x array<double>, label double").repartition(4)
     frame = frame.select(array_to_vector("x").alias("features"), "label").cache()

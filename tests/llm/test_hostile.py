@@ -25,8 +25,27 @@ def test_parser_on_written_pages():
     assert blocks("<DIV>A<BR>B</DIV><tr><td>c<td>d</tr>") == "A B c d"
 
 
+def test_closed_silent_elements_show_nothing():
+    for name in ("template", "noscript", "object", "canvas", "svg", "button", "select", "math"):
+        assert blocks(f"<{name}><p>hidden</p><div>too</div></{name}><p>shown</p>") == "shown", name
+        assert blocks(f"<div>a<p>b<{name.upper()} x='1'><p>hidden</div></p>{'<b>' * 3}x</{name}> c</div>d") == "a b c d", name
+        assert blocks(f"<{name}><{name}><p>hidden</p></{name}><p>still</p></{name}>shown") == "shown", name
+        assert blocks(f"a<{name}>in<p>b</p><{name}>no</{name}><p>c</p>") == "a b c", name  # the first one is never closed
+
+
+def test_marks_of_pages_are_not_read(spark):
+    page = "<body><nav><a href='/'>Home</a></nav><article><h1>One</h1><p>Text of the article, of some length, with an end.</p></article></body>"
+    for mark in ("true", "abc", "", "1", "0", "99999999999999999999"):
+        odd = page.replace("<nav", f"<nav x-main='{mark}' data-x-main=\"{mark}\" x-main={mark}")
+        assert html.Page(odd, {}).label == [-1] * len(html.Page(odd, {}).parent)
+        assert (html.labels([html.Page(odd, {})]) == html.labels([html.Page(page, {})])).all()
+    rows = [(k, "u", page.replace("<nav", f"<nav x-main='{v}'")) for k, v in enumerate(("true", "1", ""))]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert html.extract(table, html.learn(table, trees=3, layouts=1)).count() == 3
+
+
 def test_work_grows_with_the_page():
-    hostile = ["<a href=\"x ", "<a href='x\" ", "<div>", "<b>", "</p>", "<", "<!-", "<p", "<script>", "<li>", "<td>", "&amp", "<svg>", "<a>"]
+    hostile = ["<a href=\"x ", "<a href='x\" ", "<div>", "<b>", "</p>", "<", "<!-", "<p", "<script>", "<li>", "<td>", "&amp", "<svg>", "<a>", "<svg><p></svg>", "<button><div></p>", "<template></div>"]
     for piece in hostile:
         began = time.perf_counter()
         for n in (200, 60_000):
@@ -58,7 +77,7 @@ def test_articles_written_by_hand(spark):
     got = html.extract_texts(trees, pages)
     exact = sum(a == b for a, b in zip(got, want))
     kept = sum(all(s in a for s in b.split(". ")[1:2]) for a, b in zip(got, want))
-    assert exact >= 45 and kept >= 55, (exact, kept)
+    assert exact >= 55 and kept >= 55, (exact, kept)
     assert html.extract(table.limit(0), trees).collect() == []
 
 
