@@ -252,21 +252,30 @@ def _(t):
 # -- data access ---------------------------------------------------------------------------------------------------
 
 _QUERY_TEXT = """
- qt AS (SELECT event_id, concat(CASE WHEN event_type IN ('signup', 'purchase') THEN 'MERGE ' ELSE 'MATCH ' END, '(a:User', CAST(user_id % 3 AS STRING), ')', CASE WHEN event_id % 2 = 0 THEN '-[:' ELSE '<-[:' END, upper(event_type),
-  CASE WHEN event_id % 2 = 0 THEN ']->' ELSE ']-' END, '(b:Item', CAST(user_id % 5 AS STRING), ') RETURN a') AS query, event_type, user_id FROM events)"""
+ qt AS (SELECT event_id, event_id % 5 AS k, concat('User', CAST(user_id % 3 AS STRING)) AS u, concat('Item', CAST(user_id % 5 AS STRING)) AS i, upper(event_type) AS t, CASE event_id % 5
+  WHEN 0 THEN concat('MATCH (a:User', CAST(user_id % 3 AS STRING), ' {id: $id, age: 3})-[r:', upper(event_type), ']->(b:Item', CAST(user_id % 5 AS STRING), ':Thing) WHERE r.at > 2 AND a.age < 9 RETURN b.seen, a.name')
+  WHEN 1 THEN concat('MERGE (a:user:User', CAST(user_id % 3 AS STRING), ')<-[:', upper(event_type), '|:`saw it`|knows|SAW_IT {w: 1}]-(b:item) SET a.x = 1')
+  WHEN 2 THEN concat('MATCH (x:User', CAST(user_id % 3 AS STRING), ') MATCH (y:Item', CAST(user_id % 5 AS STRING), ') CREATE (x)<-[:', upper(event_type), ' {w: 1}]-(y) RETURN x')
+  WHEN 3 THEN 'MATCH (n:$label)-[:$type]-(m:`Odd (Name)`) WHERE size([1, 2]) > 1 AND m.`no` = 1 RETURN n.x'
+  ELSE concat('match (a:User', CAST(user_id % 3 AS STRING), ')-[:', upper(event_type), ']->(:Mid)-[:HAS_ONE]->(c:Item', CAST(user_id % 5 AS STRING), ') return c') END AS query FROM events)"""
 
 
 @query("I1_graph_query_facts", f"""
  WITH {_QUERY_TEXT}
- SELECT event_id, CASE WHEN starts_with(query, 'MERGE') THEN 'write' ELSE 'read' END AS op, [concat('User', CAST(user_id % 3 AS STRING)), concat('Item', CAST(user_id % 5 AS STRING))] AS labels, [upper(event_type)] AS types FROM qt""")
+ SELECT event_id, CASE WHEN k IN (1, 2) THEN 'write' ELSE 'read' END AS op, CASE k WHEN 0 THEN [u, i, 'Thing'] WHEN 1 THEN [u] WHEN 2 THEN [u, i] WHEN 3 THEN ['Odd (Name)'] ELSE [u, 'Mid', i] END AS labels,
+  CASE k WHEN 1 THEN [t, 'SAW_IT'] WHEN 3 THEN CAST([] AS STRING[]) WHEN 4 THEN [t, 'HAS_ONE'] ELSE [t] END AS types, k = 3 AS dynamic_label, k = 3 AS dynamic_type,
+  CASE k WHEN 0 THEN [concat(i, '.seen'), 'Thing.seen', concat(u, '.age'), concat(u, '.id'), concat(u, '.name')] WHEN 1 THEN [concat(u, '.x')] ELSE CAST([] AS STRING[]) END AS label_props,
+  CASE k WHEN 0 THEN [concat(t, '.at')] WHEN 1 THEN list_sort([concat(t, '.w'), 'SAW_IT.w']) WHEN 2 THEN [concat(t, '.w')] ELSE CAST([] AS STRING[]) END AS type_props FROM qt""")
 def _(t):
-    return dataaccess.graph_query_facts(t.sql(f"WITH {_QUERY_TEXT} SELECT event_id, query FROM qt")).select("event_id", "op", "labels", "types")
+    found = dataaccess.graph_query_facts(t.sql(f"WITH {_QUERY_TEXT} SELECT event_id, query FROM qt"))
+    dotted = lambda c: F.transform(c, lambda x: F.concat(x["name"], F.lit("."), x["property"])).alias(c)
+    return found.select("event_id", "op", "labels", "types", "dynamic_label", "dynamic_type", dotted("label_props"), dotted("type_props"))
 
 
 @query("I1_graph_query_edges", f"""
  WITH {_QUERY_TEXT}
- SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('User', CAST(user_id % 3 AS STRING)) ELSE concat('Item', CAST(user_id % 5 AS STRING)) END AS source, upper(event_type) AS type,
-  CASE WHEN event_id % 2 = 0 THEN concat('Item', CAST(user_id % 5 AS STRING)) ELSE concat('User', CAST(user_id % 3 AS STRING)) END AS target FROM qt""")
+ SELECT event_id, u AS source, t AS type, unnest([i, 'Thing']) AS target FROM qt WHERE k = 0 UNION ALL SELECT event_id, i, t, u FROM qt WHERE k = 2
+ UNION ALL SELECT event_id, u, t, 'Mid' FROM qt WHERE k = 4 UNION ALL SELECT event_id, 'Mid', 'HAS_ONE', i FROM qt WHERE k = 4""")
 def _(t):
     return dataaccess.graph_query_edges(t.sql(f"WITH {_QUERY_TEXT} SELECT event_id, query FROM qt")).select("event_id", "source", "type", "target")
 

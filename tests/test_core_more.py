@@ -54,15 +54,22 @@ def test_overlay_of_an_endpoint_is_whole(spark):
     assert one.functions["h"]["errors"] == 1 and one.functions["h"]["last"]["span_id"] == "3"
 
 
-def test_graph_query_facts_of_any_name(spark):
+def test_graph_query_facts_and_edges(spark):
     rows = [
-        (1, "MATCH (a:user:Admin {id: 1})-[r:knows|:`likes it`]->(:`Odd Name`) RETURN a"),
-        (2, "merge (n:Thing) SET n:other RETURN n"),
+        (1, "MATCH (a:user:Admin {id: 1})-[r:knows|:`LIKES IT`|SAW_IT]->(:`Odd: (Name)`) WHERE r.since > 1 RETURN a.name"),
+        (2, "merge (n:Thing) SET n:Other RETURN n"),
         (3, "MATCH (a)-->(b) WHERE (a.x = 1) RETURN b"),
         (4, None),
+        (5, "MATCH (x:A:B) MATCH (y:\x00) MERGE (x)-[:\x00]->(y) CREATE (y)<-[:T_X {k: 1}]-(x)"),
+        (6, "MATCH (p:P)<-[:R]-(q:Q)-[:S {a: 1, b: toLower($x)}]-(p) RETURN count(p)"),
     ]
-    got = {r.k: r for r in dataaccess.graph_query_facts(spark.createDataFrame(rows, "k int, query string")).collect()}
-    assert (got[1].op, sorted(got[1].labels), sorted(got[1].types)) == ("read", ["Admin", "Odd Name", "user"], ["knows", "likes it"])
+    table = spark.createDataFrame(rows, "k int, query string")
+    got = {r.k: r for r in dataaccess.graph_query_facts(table).collect()}
+    assert (got[1].op, got[1].labels, got[1].types) == ("read", ["Admin", "Odd: (Name)"], ["LIKES IT", "SAW_IT"])
+    assert [tuple(x) for x in got[1].label_props] == [("Admin", "id"), ("Admin", "name")] and [tuple(x) for x in got[1].type_props] == [("LIKES IT", "since"), ("SAW_IT", "since")]
     assert (got[2].op, got[2].labels, got[2].types) == ("write", ["Thing"], [])
-    assert (got[3].labels, got[3].types) == ([], [])
+    assert (got[3].labels, got[3].types, got[3].dynamic_label) == ([], [], False)
     assert got[4].labels is None and got[4].types is None
+    assert (got[5].labels, got[5].types, got[5].dynamic_label, got[5].dynamic_type) == (["A", "B"], ["T_X"], True, True)
+    edges = {(r.k, r.source, r.type, r.target) for r in dataaccess.graph_query_edges(table).collect()}
+    assert edges == {(1, "Admin", "LIKES IT", "Odd: (Name)"), (1, "Admin", "SAW_IT", "Odd: (Name)"), (6, "Q", "R", "P")}
