@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import HOT, durable, join_counted, numbered, word_count
 
+ROW_CLASSES = 20_000  # classes of one source that one row may hold
 MOST = 2.0  # copies of a document, and multiple of its source's size that a target may reach
 
 
@@ -87,9 +88,68 @@ def solve_tilts(classes: DataFrame, targets: DataFrame, tolerance: float = 1e-9,
     return state.select("source_key", "tilt")
 
 
-def class_copies(classes: DataFrame, targets: DataFrame, repairs: int = 6) -> DataFrame:
-    """(source_key, size, n, copies): whole copies that each class of n equal-sized documents takes together."""
-    tilts = solve_tilts(classes, targets)
+def tilts_in_rows(classes: DataFrame, targets: DataFrame, tolerance: float = 1e-9, max_steps: int = 60) -> DataFrame:
+    """(source_key, tilt), as solve_tilts: all steps of a source in one expression over the array of its classes, in order of size."""
+    held = classes.groupBy("source_key").agg(F.array_sort(F.collect_list(F.struct("size", "n"))).alias("c"))
+    rows = targets.select("source_key", "target", "mean_size").join(held, "source_key", "left")
+    mean, target = F.col("mean_size"), F.col("target")
+
+    def add(acc: Column, x: Column, tilt: Column) -> Column:
+        z, words = x["size"] / mean, x["n"] * x["size"]
+        rate = _rate(tilt, z)
+        return F.struct((acc["sum"] + words * rate).alias("sum"), (acc["slope"] + words * z * rate * (1 - rate / MOST)).alias("slope"))
+
+    def move(s: Column, sums: Column) -> Column:
+        gap, tilt = sums["sum"] - target, s["tilt"]
+        lo, hi = F.when(gap < 0, tilt).otherwise(s["lo"]), F.when(gap > 0, tilt).otherwise(s["hi"])
+        bound = 4 + F.abs(tilt)
+        step = F.when(sums["slope"] > 0, F.greatest(-bound, F.least(bound, -gap / sums["slope"]))).otherwise(-F.signum(gap) * bound)
+        newton = tilt + step
+        done = (F.abs(gap) <= tolerance * F.greatest(target, F.lit(1.0))) | (F.abs(tilt) > 1e7)
+        moved = F.when(done, tilt).when((newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2)
+        return F.struct(moved.alias("tilt"), lo.alias("lo"), hi.alias("hi"), done.alias("done"))
+
+    def step(s: Column) -> Column:
+        zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("slope"))
+        sums = F.aggregate(F.coalesce("c", F.array().cast("array<struct<size:bigint,n:bigint>>")), zero, lambda acc, x: add(acc, x, s["tilt"]))
+        # an array of one, so that the sums are made once for all places that use them
+        return F.when(s["done"], s).otherwise(F.element_at(F.transform(F.array(sums), lambda t: move(s, t)), 1))
+
+    start = F.struct(F.lit(0.0).alias("tilt"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(False).alias("done"))
+    return rows.select("source_key", F.aggregate(F.sequence(F.lit(1), F.lit(max_steps)), start, lambda s, _: step(s), lambda s: s["tilt"]).alias("tilt"))
+
+
+def repaired_in_rows(now: DataFrame, repairs: int) -> DataFrame:
+    """now (source_key, size, n, target, copies) with the single copies that bring each source nearest to its target, in one expression."""
+    held = now.groupBy("source_key").agg(F.first("target").alias("target"), F.array_sort(F.collect_list(F.struct("size", "n", "copies"))).alias("c"))
+    far = F.lit(float("inf"))
+
+    def move(c: Column, gap: Column) -> Column:
+        def best_of(x: Column) -> Column:
+            up = F.coalesce(F.when(x["copies"] < 2 * x["n"], F.abs(gap - x["size"])), far)
+            down = F.coalesce(F.when(x["copies"] > 0, F.abs(gap + x["size"])), far)
+            return F.struct(F.least(up, down).alias("left"), x["size"].alias("size"), F.when(up <= down, F.lit(1)).otherwise(F.lit(-1)).alias("move"))
+
+        apply = lambda b: F.when(b["left"] < F.abs(gap), F.transform(c, lambda x: x.withField("copies", x["copies"] + F.when(x["size"] == b["size"], b["move"]).otherwise(0)))).otherwise(c)
+        return F.element_at(F.transform(F.array(F.array_min(F.transform(c, best_of))), apply), 1)
+
+    def step(c: Column) -> Column:
+        words = F.aggregate(c, F.lit(0).cast("long"), lambda t, x: t + x["copies"] * x["size"])
+        return F.element_at(F.transform(F.array(F.col("target") - words), lambda gap: move(c, gap)), 1)
+
+    return held.select("source_key", F.inline(F.aggregate(F.sequence(F.lit(1), F.lit(repairs)), F.col("c"), lambda c, _: step(c))))
+
+
+def class_copies(classes: DataFrame, targets: DataFrame, repairs: int = 6, row_classes: int = ROW_CLASSES) -> DataFrame:
+    """(source_key, size, n, copies): whole copies that each class of n equal-sized documents takes together.
+
+    Sources of up to row_classes classes are solved a source a row; where one has more, each step is an aggregation over all
+    classes. Tilts are rounded before they decide, so that the order of sums plays no part.
+    """
+    most = classes.groupBy("source_key").count().agg(F.max("count")).first()[0] or 0
+    in_rows = most <= row_classes
+    tilts = (tilts_in_rows if in_rows else solve_tilts)(classes, targets)
+    tilts = tilts.withColumn("tilt", F.format_string("%.11e", "tilt").cast("double"))
     at_cap = F.col("target") >= MOST * F.col("source_size") * (1 - 1e-12)
     rate = F.when(at_cap, F.lit(MOST)).otherwise(_rate(F.col("tilt"), F.col("size") / F.col("mean_size")))
     rated = classes.join(targets, "source_key").join(tilts, "source_key").withColumn("want", F.col("n") * rate)
@@ -97,6 +157,8 @@ def class_copies(classes: DataFrame, targets: DataFrame, repairs: int = 6) -> Da
     whole = F.floor(F.sum("want").over(so_far.rowsBetween(W.unboundedPreceding, 0)) + 0.5)
     rounded = rated.withColumn("whole", whole).withColumn("copies", F.col("whole") - F.coalesce(F.lag("whole").over(so_far), F.lit(0)))
     now = durable(rounded.select("source_key", "size", "n", "target", F.greatest(F.lit(0), F.least(F.col("copies"), 2 * F.col("n"))).cast("long").alias("copies")))
+    if in_rows:
+        return repaired_in_rows(now, repairs)
     for _ in range(repairs):  # the one copy more or less that brings a source nearest to its target
         gap = now.groupBy("source_key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
         up = F.when(F.col("copies") < 2 * F.col("n"), F.abs(F.col("gap") - F.col("size")))

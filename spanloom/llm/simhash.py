@@ -1,6 +1,6 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Fingerprints are packed into tiles of one population count each. Only pairs of
+Fingerprints are packed into tiles of neighbouring population counts. Only pairs of
 tiles whose counts differ by no more than the radius are compared, exactly, with
 exclusive-or and bit counts; inside a pair, rows are ordered by the population
 count of their upper half and skipped by the same rule. A pair of tiles gives a
@@ -26,6 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks, distinct_texts, durable, gram_hashes, join_counted, split_words
 
@@ -449,15 +450,17 @@ def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int
         unpack = zstandard.ZstdDecompressor().decompress
         return pd.Series([jaccard(unpack(x), unpack(y), shingle_words) for x, y in zip(a, b)], dtype=float)
 
-    tried = durable(with_text(with_text(edges, "v"), "u").select("u", "v", (exact("zu", "zv") >= similarity).alias("holds")))
+    tried = edges.withColumn("holds", F.lit(True))
+    if total:
+        tried = durable(with_text(with_text(edges, "v"), "u").select("u", "v", (exact("zu", "zv") >= similarity).alias("holds")))
 
     def sets_of(own: list) -> list[np.ndarray]:
         w = split_words([zstandard.ZstdDecompressor().decompress(z) for z in own], lower=True)
         words = [w.hash[w.of(k)] for k in range(len(own))]
         return [np.unique(gram_hashes(h, min(shingle_words, len(h)))) if len(h) else h for h in words]
 
-    known = durable(components(tried.filter("holds").select("u", "v")))
-    if not tried.filter("NOT holds").isEmpty():
+    known = durable(components(tried.filter("holds").select("u", "v"))) if total else edges.toDF("node", "root")
+    if total and not tried.filter("NOT holds").isEmpty():
         clusters = durable(components(tried))
         failed = tried.filter("NOT holds").join(clusters, F.col("u") == F.col("node")).select(F.col("root").alias("group")).distinct()
         mixed = clusters.withColumnRenamed("root", "group").join(failed, "group").join(known, "node", "left")
@@ -472,15 +475,22 @@ def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """The rows of docs, one for each class of similar texts: that of the smallest id, null ids last; of equal ids and texts any one row.
+    """The rows of docs, one for each class of similar texts: that of the smallest id, null ids last; of equal ids and texts, the one whose row hashes least.
 
     Null and blank texts are one class; an empty table gives an empty table; columns keep their names and values, whatever they are.
+    What stays is decided on ids and the texts' hashes; whole rows are dealt once, to meet that.
     """
-    hashes = distinct_texts(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "row", "id")[0]
+    other = [f for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)]  # maps have no hash
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), F.xxhash64(*[F.col(f"`{f.name}`") for f in other]).alias("order"))
     classes = similar_classes(docs, text_col, **options)
-    ids = hashes.groupBy("a", "b").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least"))
-    rooted = classes.join(ids, ["a", "b"])
-    best = durable(rooted.groupBy("root").agg(F.min(F.struct("least", "a", "b", "copies")).alias("best")).select("best.a", "best.b", "best.copies", F.col("best.least.id").alias("least")))
-    total = classes.agg(F.sum("copies")).first()[0] or 0
-    kept = join_counted(hashes, best, ["a", "b"], "copies", total, [F.monotonically_increasing_id()]).filter(F.col("id").eqNullSafe(F.col("least")))
-    return kept.groupBy("a", "b").agg(F.first("row").alias("row")).select("row.*")
+    ids = rows.groupBy("a", "b", "id").agg(F.count("*").alias("rows")).groupBy("a", "b").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rows")).alias("least"))
+    best = classes.join(ids, ["a", "b"]).groupBy("root").agg(F.min(F.struct("least", "a", "b", "copies")).alias("best"))
+    best = durable(best.select("best.a", "best.b", "best.copies", F.col("best.least.id").alias("least"), F.col("best.least.rows").alias("rows")))
+    total = best.agg(F.sum("copies")).first()[0] or 0
+    kept = join_counted(rows, best, ["a", "b"], "copies", total, [F.monotonically_increasing_id()]).filter(F.col("id").eqNullSafe(F.col("least")))
+    one = kept.filter("rows = 1").select("row.*")
+    if best.filter("rows > 1").isEmpty():
+        return one
+    return one.unionAll(kept.filter("rows > 1").groupBy("a", "b").agg(F.min_by("row", "order").alias("row")).select("row.*"))

@@ -36,6 +36,17 @@ def test_tilts_and_copies_against_bisection(spark):
         assert abs(sum(x.taken for x in own) - target) <= 1
 
 
+def test_sources_in_rows_and_in_rounds_agree(spark):
+    r = random.Random(8)
+    classes = [(f"+s{k}", s, r.randint(1, 50)) for k in range(6) for s in r.sample(range(1, 3000), 1 + 30 * k)]
+    c = spark.createDataFrame(classes, "source_key string, size long, n long")
+    per = c.groupBy("source_key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"))
+    share = F.when(F.col("source_key") == "+s1", 2.0).when(F.col("source_key") == "+s2", 0.0).otherwise(0.4 + F.length("source_key") / 10)
+    t = per.withColumns({"target": F.col("source_size") * share, "mean_size": F.col("source_size") / F.col("docs")})
+    a, b = (sorted(map(tuple, mixing.class_copies(c, t, row_classes=n).collect())) for n in (20_000, 0))
+    assert a == b and len(a) == len(classes) and {x[3] for x in a if x[0] == "+s2"} == {0} and all(x[3] == 2 * x[2] for x in a if x[0] == "+s1")
+
+
 def test_large_classes_are_ranked_over_parts(spark):
     rows = [(i if i % 3 else None, "one two three", "en", "s", 1) for i in range(3000)] + [(7, f"word {'x ' * (i % 40)}", "en", "t", 1) for i in range(3000)]
     d = spark.createDataFrame(rows, SCHEMA)
