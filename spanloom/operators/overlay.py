@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .spans import ancestor_pairs
+from .spans import folded_pairs, interval_labels
 
 
 def _pattern_regex(pattern: Column) -> Column:
@@ -53,11 +53,8 @@ def last_call(spans: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def confirmed_edges(spans: DataFrame) -> DataFrame:
-    """(caller, callee): distinct function names of which one ran above the other."""
-    names = spans.select("request_id", "span_id", "name").filter("name IS NOT NULL")
-    up = names.select("request_id", F.col("span_id").alias("ancestor"), F.col("name").alias("caller"))
-    down = names.select("request_id", F.col("span_id").alias("descendant"), F.col("name").alias("callee"))
-    return ancestor_pairs(spans).join(up, ["request_id", "ancestor"]).join(down, ["request_id", "descendant"]).select("caller", "callee").distinct()
+    """(caller, callee): distinct function names of which one ran above the other, from the different paths of names that occurred."""
+    return folded_pairs(interval_labels(spans).select("fold", "up", "name"))
 
 
 def direct_callees(spans: DataFrame) -> DataFrame:
@@ -91,10 +88,8 @@ def endpoint_overlay(spans: DataFrame, requests: DataFrame, armed: DataFrame) ->
     order = ["endpoint_id", "name"]
     last = last_call(spans, requests).select(*order, F.struct("request_id", "span_id", "ts", "duration_ms", "status").alias("last"))
     stats = stats.join(last, order, "left")
-    named = joined.filter("name IS NOT NULL").select("endpoint_id", "request_id", "span_id", "name")
-    up = named.select("request_id", F.col("span_id").alias("ancestor"), F.col("name").alias("caller"))
-    down = named.select("endpoint_id", "request_id", F.col("span_id").alias("descendant"), "name")
-    edges = ancestor_pairs(spans).join(up, ["request_id", "ancestor"]).join(down, ["request_id", "descendant"]).select("endpoint_id", F.concat("caller", F.lit(">"), "name").alias("edge")).distinct()
+    folded = interval_labels(spans).join(requests.select("request_id", "endpoint_id"), "request_id").select("endpoint_id", "fold", "up", "name")
+    edges = folded_pairs(folded, ("endpoint_id",)).select("endpoint_id", F.concat("caller", F.lit(">"), "callee").alias("edge"))
     edges = edges.groupBy("endpoint_id").agg(F.array_sort(F.collect_list("edge")).alias("confirmed"))
     recent = recent_requests(requests).groupBy("endpoint_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "request_id"))), lambda x: x["request_id"]).alias("recent"))
     functions = stats.groupBy("endpoint_id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("calls", "requests", "avg_ms", "max_ms", "errors", "last")))).alias("functions"), F.array_sort(F.collect_list(F.when(F.col("armed_deep").isNotNull(), F.col("name")))).alias("armed"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.tables import durable
+from .closure import totals_below
 
 #: Spans of one request that a task walks at a time; larger requests go by joins.
 MAX_GROUP_SPANS = 5000
@@ -118,18 +121,128 @@ def span_path(spans: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     return paths.select("request_id", "span_id", F.col("s.short").alias("path"), (F.size("s") - 1).alias("depth"), F.array_join("s.key", ".").alias("sort_key"))
 
 
+def interval_labels(spans: DataFrame, max_group: int = MAX_GROUP_SPANS) -> DataFrame:
+    """(request_id, span_id, name, pre, last, fold, up): each span's place in a walk of its request, and that of its last descendant.
+
+    One span is above another iff pre < other.pre <= last: no pair of them need be made. `fold` names the path of function names
+    that leads to the span, over all requests, and `up` that of its parent. Requests of over max_group spans are labelled by
+    joins: sizes from the leaves up, then places down by pointer jumping. Spans whose parents form a loop have no labels.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in spans.schema}
+    slim = spans.select("request_id", "span_id", "parent_span_id", "seq", "name")
+    schema = f"request_id {kind['request_id']}, span_id {kind['span_id']}, name string, pre long, last long, fold long, up long"
+    large = durable(slim.groupBy("request_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > max_group).select("request_id"))
+    small = slim.join(F.broadcast(large) if large.isEmpty() else large, "request_id", "left_anti")
+
+    def label(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("seq", "ascending"), ("span_id", "ascending")])
+        n = t.num_rows
+        index = {k: i for i, k in enumerate(t["span_id"].to_pylist())}
+        parent = np.array([index.get(p, -1) for p in t["parent_span_id"].to_pylist()], np.int64)
+        own = t["own"].to_numpy()
+        child = np.argsort(parent, kind="stable")
+        first = np.searchsorted(parent[child], np.arange(-1, n + 1))
+        below = lambda at: np.concatenate([child[first[i + 1] : first[i + 2]] for i in at]) if len(at) else at
+        levels = [child[first[0] : first[1]]]
+        while len(levels[-1]):
+            levels.append(below(levels[-1]))
+        size = np.ones(n, np.int64)
+        for now in reversed(levels[1:]):
+            np.add.at(size, parent[now], size[now])
+        pre, fold = np.full(n, -1), np.zeros(n, np.int64)
+        for depth, now in enumerate(levels):  # siblings stand side by side, in order
+            if not len(now):
+                break
+            up = parent[now]
+            ahead = np.cumsum(size[now]) - size[now]
+            begin = np.concatenate(([True], up[1:] != up[:-1]))
+            ahead -= np.maximum.accumulate(np.where(begin, ahead, 0))
+            pre[now] = ahead + (pre[up] + 1 if depth else 0)
+            fold[now] = own[now] + (fold[up] * np.int64(-7046029254386353131) if depth else 0)
+        keep = np.flatnonzero(pre >= 0)
+        up = np.where(parent >= 0, fold[np.maximum(parent, 0)], 0)
+        t = t.take(pa.array(keep))
+        made = {"pre": pre[keep], "last": (pre + size - 1)[keep], "fold": fold[keep]}
+        up = pa.array(up[keep], mask=parent[keep] < 0)
+        return pa.table({**{c: t[c] for c in ("request_id", "span_id", "name")}, **{k: pa.array(v, pa.int64()) for k, v in made.items()}, "up": up})
+
+    own = F.xxhash64(F.coalesce("name", F.lit("\x00")))
+    labels = small.withColumn("own", own).groupBy("request_id").applyInArrow(label, schema)
+    if large.isEmpty():
+        return labels
+    return labels.unionByName(_labels_by_joins(slim.join(large, "request_id", "left_semi").withColumn("own", own)))
+
+
+def _labels_by_joins(spans: DataFrame, max_rounds: int = 64) -> DataFrame:
+    linked = durable(link_tree(spans).select("request_id", "span_id", "name", "parent", "ordinal", "own"))
+    node = lambda c: F.struct("request_id", F.col(c).alias("span_id"))
+    tree = linked.select(node("span_id").alias("node"))
+    sizes = totals_below(tree, linked.filter("parent IS NOT NULL").select(node("parent").alias("parent"), node("span_id").alias("child")), {"n": F.lit(1)})
+    sized = linked.join(sizes.select("node.*", F.col("n").cast("long").alias("size")), ["request_id", "span_id"])
+    ahead = F.coalesce(F.sum("size").over(W.partitionBy("request_id", "parent").orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    root = F.col("parent").isNull()
+    times = F.lit(-7046029254386353131)
+    # (add, by, plus): what the steps up to `parent` add to the place, and do to the fold of what stands there
+    state = durable(sized.select("request_id", "span_id", "name", "size", F.col("parent").alias("above"), F.col("parent").alias("at"), (ahead + F.when(root, 0).otherwise(1)).alias("pre"), F.lit(1).cast("long").alias("depth")))
+    for _ in range(max_rounds):
+        if state.filter("at IS NOT NULL").isEmpty():
+            break
+        top = state.select("request_id", F.col("span_id").alias("at"), F.col("at").alias("_at"), F.col("pre").alias("_pre"), F.col("depth").alias("_depth"))
+        state = durable(state.join(top, ["request_id", "at"], "left").select("request_id", "span_id", "name", "size", "above", F.col("_at").alias("at"), (F.col("pre") + F.coalesce("_pre", F.lit(0))).alias("pre"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")))
+    else:
+        raise RuntimeError(f"places were not settled after {max_rounds} rounds")
+    # folds go down a level a round, as names do; a level is one join
+    folds = durable(linked.filter(root).select("request_id", "span_id", F.col("own").alias("fold"), F.lit(None).cast("long").alias("up")))
+    out, front = folds, folds
+    for _ in range(5000):
+        step = linked.select("request_id", F.col("parent").alias("_p"), F.col("span_id").alias("_s"), "own")
+        front = durable(front.join(step, (front["request_id"] == step["request_id"]) & (front["span_id"] == step["_p"])).select(front["request_id"], F.col("_s").alias("span_id"), F.expr("cast(own as decimal(38,0)) + cast(fold as decimal(38,0)) * -7046029254386353131").alias("wide"), F.col("fold").alias("up")).select("request_id", "span_id", _wrapped(F.col("wide")).alias("fold"), "up"))
+        if front.isEmpty():
+            break
+        out = out.unionByName(front)
+    return state.join(out, ["request_id", "span_id"]).select("request_id", "span_id", "name", "pre", (F.col("pre") + F.col("size") - 1).alias("last"), "fold", "up")
+
+
+def _wrapped(wide: Column) -> Column:
+    """A decimal as 64-bit arithmetic would leave it."""
+    rest = F.pmod(wide, F.lit(1 << 64).cast("decimal(38,0)"))
+    return F.when(rest >= F.lit(1 << 63).cast("decimal(38,0)"), rest - F.lit(1 << 64).cast("decimal(38,0)")).otherwise(rest).cast("long")
+
+
+def marked_above(labels: DataFrame) -> DataFrame:
+    """labels (request_id, span_id, pre, last, marked) with n_above, the number of marked spans above each, and above, the nearest of them.
+
+    Spans and ends of marked ones are counted in one order; the nearest marked span above one with n of them is the last one before
+    it that has n - 1 itself.
+    """
+    rows = labels.select("*", F.col("pre").alias("_pos"), F.lit(0).alias("_end"), F.col("marked").cast("int").alias("_step"))
+    ends = labels.filter("marked").select("request_id", F.col("last").alias("_pos"), F.lit(1).alias("_end"), F.lit(-1).alias("_step"))
+    before = W.partitionBy("request_id").orderBy("_pos", "_end").rowsBetween(W.unboundedPreceding, -1)
+    counted = rows.unionByName(ends, allowMissingColumns=True).withColumn("n_above", F.coalesce(F.sum("_step").over(before), F.lit(0))).filter("_end = 0").drop("_pos", "_end", "_step")
+    ask = counted.withColumns({"_level": F.col("n_above"), "_offer": F.lit(None).cast(labels.schema["span_id"].dataType)})
+    offer = counted.filter("marked").select("request_id", "pre", (F.col("n_above") + 1).alias("_level"), F.col("span_id").alias("_offer"))
+    near = F.last("_offer", ignorenulls=True).over(W.partitionBy("request_id", "_level").orderBy("pre"))
+    return ask.unionByName(offer, allowMissingColumns=True).withColumn("above", near).filter("span_id IS NOT NULL").drop("_level", "_offer")
+
+
 def descendant_counts(spans: DataFrame) -> DataFrame:
-    """(request_id, span_id, descendants), for spans that have any."""
-    return ancestor_pairs(spans).groupBy("request_id", F.col("ancestor").alias("span_id")).agg(F.count("*").alias("descendants"))
+    """(request_id, span_id, descendants), for spans that have any: a difference of places."""
+    return interval_labels(spans).filter("last > pre").select("request_id", "span_id", (F.col("last") - F.col("pre")).alias("descendants"))
+
+
+def _covered(labels: DataFrame, marked: Column, itself: bool) -> Column:
+    """Whether a span lies below a marked one (or is one): the furthest end of those before it in its request reaches it."""
+    upto = W.partitionBy("request_id").orderBy("pre").rowsBetween(W.unboundedPreceding, 0 if itself else -1)
+    return F.coalesce(F.max(F.when(marked, F.col("last"))).over(upto) >= F.col("pre"), F.lit(False))
 
 
 def selected_subtrees(spans: DataFrame, selection: DataFrame) -> DataFrame:
     """The spans whose function is selected or that lie below such a span. An empty selection keeps all."""
     if selection.isEmpty():
         return spans
-    chosen = spans.join(selection.select(F.col("id").alias("name")).distinct(), "name", "left_semi").select("request_id", F.col("span_id").alias("ancestor"))
-    below = ancestor_pairs(spans).join(chosen, ["request_id", "ancestor"], "left_semi").select("request_id", F.col("descendant").alias("span_id"))
-    kept = below.union(chosen.select("request_id", F.col("ancestor").alias("span_id"))).distinct()
+    chosen = selection.select(F.col("id").alias("name"), F.lit(True).alias("_chosen")).distinct()
+    labels = interval_labels(spans).join(chosen, "name", "left")
+    kept = labels.withColumn("_kept", _covered(labels, F.col("_chosen"), True)).filter("_kept").select("request_id", "span_id")
     return spans.join(kept, ["request_id", "span_id"], "left_semi")
 
 
@@ -139,14 +252,27 @@ def project_selection(spans: DataFrame, selection: DataFrame) -> DataFrame:
     Kept are selected functions and everything below one selected deep; the parent is the nearest kept ancestor.
     """
     modes = selection.groupBy(F.col("id").alias("name")).agg(F.max("deep").alias("deep"))
-    named = spans.join(modes, "name", "left").select("request_id", "span_id", F.col("deep").isNotNull().alias("own"), F.coalesce("deep", F.lit(False)).alias("deep"))
-    pairs = durable(ancestor_pairs(spans))
-    deep = named.filter("deep").select("request_id", F.col("span_id").alias("ancestor"))
-    below = pairs.join(deep, ["request_id", "ancestor"], "left_semi").select("request_id", F.col("descendant").alias("span_id"))
-    kept = durable(named.filter("own").select("request_id", "span_id").union(below).distinct())
-    up = pairs.join(kept.select("request_id", F.col("span_id").alias("ancestor")), ["request_id", "ancestor"], "left_semi")
-    nearest = up.groupBy("request_id", F.col("descendant").alias("span_id")).agg(F.min_by("ancestor", "hops").alias("kept_parent"), F.count("*").alias("_n"))
-    return kept.join(nearest, ["request_id", "span_id"], "left").select("request_id", "span_id", "kept_parent", F.coalesce("_n", F.lit(0)).alias("kept_depth"))
+    labels = interval_labels(spans).join(modes, "name", "left")
+    marked = labels.withColumn("marked", F.col("deep").isNotNull() | _covered(labels, F.col("deep"), False)).select("request_id", "span_id", "pre", "last", "marked")
+    return marked_above(marked).filter("marked").select("request_id", "span_id", F.col("above").alias("kept_parent"), F.col("n_above").alias("kept_depth"))
+
+
+def folded_pairs(folded: DataFrame, by: tuple[str, ...] = (), max_rounds: int = 5000) -> DataFrame:
+    """(by, caller, callee): names of which one stands above the other in different paths (by, fold, up, name).
+
+    Spans with one path of names are one row here, however many requests hold them; a round goes one step up.
+    """
+    paths = durable(folded.distinct())
+    top = paths.select(*by, F.col("fold").alias("up"), F.col("up").alias("_up"), F.col("name").alias("caller"))
+    front, out = paths.select(*by, "up", F.col("name").alias("callee")).filter("callee IS NOT NULL").distinct(), None
+    for _ in range(max_rounds):
+        met = durable(front.filter("up IS NOT NULL").join(top, [*by, "up"]).select(*by, F.col("_up").alias("up"), "caller", "callee").distinct())
+        if met.isEmpty():
+            return out if out is not None else met.select(*by, "caller", "callee")
+        found = met.filter("caller IS NOT NULL").select(*by, "caller", "callee")
+        out = durable((found if out is None else out.union(found)).distinct())
+        front = met.select(*by, "up", "callee").distinct()
+    raise RuntimeError(f"paths did not end in {max_rounds} rounds")
 
 
 def match_selection(spans: DataFrame, selection: DataFrame, applied: DataFrame | None = None) -> DataFrame:
@@ -179,11 +305,12 @@ def fold_loops(spans: DataFrame, threshold: int = 10) -> DataFrame:
 
 def nested_loops(spans: DataFrame, loops: DataFrame) -> DataFrame:
     """(key, nested_in): loops whose parent is, or lies below, a member of another loop; the nearest one."""
-    member = loops.select("request_id", F.explode("members").alias("ancestor"), F.col("key").alias("nested_in"))
-    up = ancestor_pairs(spans).select("request_id", "ancestor", F.col("descendant").alias("parent_span_id"), "hops")
-    own = spans.select("request_id", F.col("span_id").alias("ancestor"), F.col("span_id").alias("parent_span_id"), F.lit(0).alias("hops"))
-    hits = loops.select("request_id", "parent_span_id", "key").join(up.union(own), ["request_id", "parent_span_id"]).join(member, ["request_id", "ancestor"])
-    return hits.groupBy("key").agg(F.min_by("nested_in", "hops").alias("nested_in"))
+    member = loops.select("request_id", F.explode("members").alias("span_id"), F.col("key").alias("own"))
+    labels = interval_labels(spans).select("request_id", "span_id", "pre", "last").join(member.withColumn("marked", F.lit(True)), ["request_id", "span_id"], "left")
+    near = marked_above(labels.withColumn("marked", F.coalesce("marked", F.lit(False)))).select("request_id", F.col("span_id").alias("parent_span_id"), "own", "above")
+    named = loops.select("request_id", "parent_span_id", "key").join(near, ["request_id", "parent_span_id"])
+    up = member.select("request_id", F.col("span_id").alias("above"), F.col("own").alias("_far"))
+    return named.join(up, ["request_id", "above"], "left").withColumn("nested_in", F.coalesce("own", "_far")).filter("nested_in IS NOT NULL").select("key", "nested_in")
 
 
 def search_spans(spans: DataFrame, needle: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -9,7 +11,7 @@ from ..functions.tables import durable, shared_dir
 from ..operators import catalog, selection
 from ..sources import batches
 from ..streaming import streams
-from .event_queries import _SPANS
+from .event_queries import _REQUESTS, _SPANS
 from .fixtures import Tables, with_views
 
 QUERIES: dict = {}
@@ -29,15 +31,19 @@ def query(name: str, sql: str | None = None):  # noqa: ANN201
 # -- sources -------------------------------------------------------------------------------------------------------
 
 
-def _batches(t):  # noqa: ANN001, ANN202
+def _batch_files(t) -> str:  # noqa: ANN001
     """The event log as JSON batches of up to 100 events, with every tenth batch a handshake, written and read as files."""
     ev = t("fx_events").withColumn("_b", F.floor(F.col("seq") / 100))
     e = F.struct("kind", "request_id", "span_id", "parent_span_id", "seq", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.struct("method", "path", "name", "duration_ms", "status").alias("data"))
     sent = ev.groupBy("_b").agg(F.collect_list(e).alias("events")).select(F.to_json(F.struct(F.lit("events").alias("kind"), (F.col("_b") % 3).alias("dropped"), "events")).alias("value"))
     hello = ev.select("_b").distinct().filter("_b % 10 = 0").select(F.to_json(F.struct(F.lit("register").alias("kind"), F.concat(F.lit("http://t"), F.col("_b").cast("string")).alias("brain_base_url"))).alias("value"))
-    path = f"{shared_dir(t.spark)}/batches/{abs(hash(t.sf_dir))}"
-    sent.union(hello).write.mode("overwrite").text(path)
-    return batches.read_batches(t.spark, path)
+    path = f"{shared_dir(t.spark)}/batches/{uuid.uuid4().hex}"
+    sent.union(hello).write.text(path)
+    return path
+
+
+def _batches(t):  # noqa: ANN001, ANN202
+    return batches.read_batches(t.spark, _batch_files(t))
 
 
 @query("A1_read_event_batches", "SELECT kind, request_id, span_id, seq, name, duration_ms, status FROM fx_events")
@@ -306,50 +312,69 @@ def _(t):
 # -- streaming: the events as files, run to their end ---------------------------------------------------------------
 
 
-def _stream(t, name: str = "fx_events"):  # noqa: ANN001, ANN202
-    """A file stream over the view: the first, the next and the last events of each request come in files of their own, one after
-    the other, so that spans and requests go on from one micro-batch to later ones."""
-    import uuid
+def _fresh(t) -> str:  # noqa: ANN001
+    return f"{shared_dir(t.spark)}/streams/{uuid.uuid4().hex}"
 
+
+def _stream(t, name: str = "fx_events", shuffled: bool = False):  # noqa: ANN001, ANN202
+    """A file stream over the view, in files that come one after the other: spans and requests go on over micro-batches.
+
+    The first, the next and the last events of each request come in turn, or, shuffled, any of them at any time. A tick of a far
+    later time ends it, so that all timers fire.
+    """
     rows = t(name).withColumn("ts", F.col("ts").cast("timestamp"))
-    folder = f"{shared_dir(t.spark)}/streams/{uuid.uuid4().hex}/in"
+    folder = f"{_fresh(t)}/in"
     place = F.coalesce(F.col("seq") % 100000, F.lit(0))  # of an event in its request
-    for part in (place <= 20, (place > 20) & (place <= 100), place > 100):
-        rows.filter(part).repartition(4).write.mode("append").parquet(folder)
+    part = F.pmod(F.xxhash64("kind", "request_id", "span_id"), F.lit(3))
+    for turn in (part == 0, part == 1, part == 2) if shuffled else (place <= 20, (place > 20) & (place <= 100), place > 100):
+        rows.filter(turn).repartition(4).write.mode("append").parquet(folder)
+    tick = rows.limit(1).select(*[F.lit({"kind": "log", "request_id": "tick"}.get(f.name)).cast(f.dataType).alias(f.name) if f.name != "ts" else F.lit("2030-01-01").cast("timestamp").alias("ts") for f in rows.schema])
+    tick.coalesce(1).write.mode("append").parquet(folder)
     return streams.event_stream(t.spark, folder, rows.schema, 4)
 
 
-@query("E1_event_stream", "SELECT kind, count(*) AS n FROM fx_events GROUP BY 1")
+@query("A2_stream_counters", """
+ WITH b AS (SELECT CAST(floor(seq / 100) AS BIGINT) AS b, count(*) AS n FROM fx_events GROUP BY 1)
+ SELECT CAST(sum(n) AS BIGINT) AS events_in, CAST(sum(b % 3) AS BIGINT) AS dropped, count(*) FILTER (b % 10 = 0) AS registers FROM b""")
 def _(t):
-    import uuid
+    base = _fresh(t)
+    stream = t.spark.readStream.schema(batches.BATCH).json(_batch_files(t))
+    streams.count_ingest(stream, base, f"{base}/state", batches.events_of).awaitTermination()
+    return t.spark.read.parquet(f"{base}/counters").agg(*[F.sum(c).alias(c) for c in ("events_in", "dropped", "registers")])
+
 
-    base = f"{shared_dir(t.spark)}/streams/{uuid.uuid4().hex}"
-    streams.fan_out(_stream(t), {"starts": lambda b: b.filter("kind LIKE '%.start'"), "rest": lambda b: b.filter("kind NOT LIKE '%.start'")}, f"{base}/out", f"{base}/state").awaitTermination()
+@query("E1_event_stream", "SELECT kind, count(*) AS n FROM fx_events GROUP BY 1")
+def _(t):
+    base = _fresh(t)
+    streams.fan_out(_stream(t), {"starts": lambda b: b.filter("kind LIKE '%.start'"), "rest": lambda b: b.filter("kind NOT LIKE '%.start' AND request_id <> 'tick'")}, f"{base}/out", f"{base}/state").awaitTermination()
     both = t.spark.read.parquet(f"{base}/out/starts").unionByName(t.spark.read.parquet(f"{base}/out/rest"))
     return both.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("E2_stream_dedup", "SELECT DISTINCT kind, request_id, span_id, seq FROM fx_events_dup WHERE seq IS NOT NULL")
+@query("E2_stream_dedup", """
+ SELECT kind, request_id, span_id, seq, count(*) AS n FROM (
+  SELECT kind, request_id, span_id, seq FROM fx_events_dup WHERE seq IS NULL
+  UNION ALL SELECT DISTINCT kind, request_id, span_id, seq FROM fx_events_dup WHERE seq IS NOT NULL) x GROUP BY 1, 2, 3, 4""")
 def _(t):
-    return streams.run_available(streams.stream_dedup(_stream(t, "fx_events_dup"), "400 days")).select("kind", "request_id", "span_id", "seq")
+    got = streams.run_available(streams.stream_dedup(_stream(t, "fx_events_dup"), "400 days")).filter("request_id <> 'tick'")
+    return got.groupBy("kind", "request_id", "span_id", "seq").agg(F.count("*").alias("n"))
 
 
-@query("E3_stream_spans", f"WITH {_SPANS} SELECT request_id, span_id, name, duration_ms, status FROM spans s WHERE status <> 'running' OR CAST(replace(request_id, 'req_', '') AS INT) % 10 <> 9")
+@query("E3_stream_spans", f"WITH {_SPANS} SELECT * FROM spans")
 def _(t):
-    return streams.run_available(streams.stream_spans(_stream(t), "400 days")).select("request_id", "span_id", "name", "duration_ms", "status")
+    return streams.run_available(streams.stream_spans(_stream(t, shuffled=True), "400 days")).drop("batch").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("E4_stream_requests", """
- SELECT r.request_id, r.method, r.path, r.status, r.duration_ms, n AS span_count FROM fx_requests r JOIN (SELECT user_id, count(*) AS n FROM fx_spans GROUP BY 1) s ON s.user_id = r.user_id WHERE r.user_id % 10 <> 9""")
+@query("E4_stream_requests", f"WITH {_REQUESTS} SELECT * FROM requests")
 def _(t):
-    return streams.run_available(streams.stream_requests(_stream(t), "400 days")).select("request_id", "method", "path", "status", "duration_ms", "span_count")
+    return streams.run_available(streams.stream_requests(_stream(t, shuffled=True), "400 days")).drop("batch").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("E5_stream_overlay", "SELECT name, count(*) AS calls, count(*) FILTER (kind = 'fn.error') AS errors, CAST(sum(duration_ms) AS BIGINT) AS total_ms, max(duration_ms) AS max_ms FROM fx_events WHERE kind IN ('fn.end', 'fn.error') GROUP BY 1")
 def _(t):
-    out = streams.run_available(streams.stream_overlay(_stream(t)), "update")
-    last = out.groupBy("name").agg(F.max_by(F.struct("calls", "errors", "total_ms", "max_ms"), "batch").alias("l"))
-    return last.select("name", "l.*")
+    base = _fresh(t)
+    streams.upsert(streams.stream_overlay(_stream(t, shuffled=True)), ["name"], f"{base}/table", f"{base}/state").awaitTermination()
+    return streams.current(t.spark, f"{base}/table")
 
 
 @query("E6_stream_caps", """
@@ -359,6 +384,22 @@ def _(t):
     return streams.run_available(streams.stream_caps(_stream(t), 5, 60, "400 days")).select("request_id", "span_id", "n", "captured")
 
 
+_REGISTERS = "SELECT CAST(user_id AS STRING) AS target, ts, CAST(floor(event_id / 1000.0) AS BIGINT) AS started_at FROM events"
+
+
+@query("E7_stream_liveness", f"""
+ WITH r AS ({_REGISTERS}), g AS (SELECT *, lag(started_at) OVER (PARTITION BY target ORDER BY ts, started_at) AS b FROM r)
+ SELECT target, max(ts) AS last_seen, arg_max(started_at, (ts, started_at)) AS started_at, count(*) FILTER (b IS NOT NULL AND b <> started_at) AS restarts, count(*) AS handshakes, false AS connected FROM g GROUP BY 1""")
+def _(t):
+    base, rows = _fresh(t), t.sql(_REGISTERS).withColumn("ts", F.col("ts").cast("timestamp"))
+    for turn in ("ts < '2024-01-11'", "ts >= '2024-01-11' AND ts < '2024-01-21'", "ts >= '2024-01-21'"):
+        rows.filter(turn).repartition(4).write.mode("append").parquet(f"{base}/in")
+    rows.limit(1).select(F.lit("tick").alias("target"), F.lit("2030-01-01").cast("timestamp").alias("ts"), F.lit(0).cast("long").alias("started_at")).write.mode("append").parquet(f"{base}/in")
+    live = streams.run_available(streams.stream_liveness(streams.event_stream(t.spark, f"{base}/in", rows.schema, 4), watermark="400 days"))
+    newest = live.filter("target <> 'tick'").groupBy("target").agg(F.max_by(F.struct("last_seen", "started_at", "restarts", "handshakes", "connected"), F.struct("batch", ~F.col("connected"))).alias("l"))
+    return newest.select("target", "l.*").withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
+
+
 @query("E7_liveness", """
  WITH r AS (SELECT user_id AS target, ts, CAST(floor(event_id / 1000.0) AS BIGINT) AS started_at FROM events), g AS (SELECT *, lag(started_at) OVER (PARTITION BY target ORDER BY ts, started_at) AS b FROM r)
  SELECT target, max(ts) AS last_seen, count(*) FILTER (b IS NOT NULL AND b <> started_at) AS restarts, count(*) AS handshakes, max(ts) >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 90 SECOND AS connected FROM g GROUP BY 1""")

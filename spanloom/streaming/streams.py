@@ -1,23 +1,83 @@
 """Structured Streaming forms of the event operators.
 
-State is kept per request and bounded by it; a request without an end leaves by
-a timer, its open spans as running. Sinks are written per micro-batch under the
-batch's number, so a repeated batch replaces itself.
+Stateful operators run on `transformWithStateInPandas` (RocksDB state): map state
+for the spans and functions of a request, value state for what is known of it, and
+one event-time timer a key. State is bounded by its key and goes with the timer: a
+request is settled when the watermark has passed its last event by `late_ms` once
+its end was seen, or by `keep_ms` without one. Events may come in any order and
+over any number of micro-batches until then. Sinks are written per micro-batch
+under the batch's number, so a repeated batch replaces itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..functions.tables import shared_dir
 
 
+def _stateful(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, watermark: str) -> DataFrame:
+    """stream, keyed and timed by `ts`, through a processor; map state and timers need the RocksDB provider, set here for the session."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return stream.withWatermark("ts", watermark).groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.strip().split(" ")[0] for c in schema.split(",")]
+
+
+def _frame(rows: list, schema: str) -> pd.DataFrame:
+    """Rows as a frame whose numbers may be null."""
+    kinds = {"long": "Int64", "int": "Int32", "timestamp": "datetime64[us]"}
+    out = pd.DataFrame(rows, columns=_columns(schema))
+    return out.astype({c: kinds[k] for c, k in (x.strip().split(" ") for x in schema.split(",")) if k in kinds})
+
+
+def _plain(value: object) -> object:
+    """None for a missing value; whole numbers, which pandas makes floats of beside missing ones, as such."""
+    if value is None or value is pd.NaT or value != value:
+        return None
+    value = value.item() if hasattr(value, "item") else value
+    return int(value) if isinstance(value, float) else value
+
+
+class Settled(StatefulProcessor):
+    """State that one timer a key ends: `take` rows as they come, `settle` what is left when the timer fires."""
+
+    def __init__(self, late_ms: int, keep_ms: int) -> None:
+        self.late_ms, self.keep_ms = late_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.clock = handle.getValueState("clock", "newest long, over boolean, due long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        newest, over, due = self.clock.get() if self.clock.exists() else (0, False, None)
+        for pdf in rows:
+            newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
+            over = over or ("kind" in pdf and bool((pdf["kind"] == "request.end").any()))
+            yield self.take(key, pdf)
+        if due is not None:
+            self.handle.deleteTimer(due)
+        due = max(newest + (self.late_ms if over else self.keep_ms), timerValues.getCurrentWatermarkInMs() + 1)
+        self.handle.registerTimer(due)
+        self.clock.update((newest, over, due))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self.settle(key)
+        self.clock.clear()
+
+    def close(self) -> None:
+        pass
+
+
 def event_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 1000) -> DataFrame:
     """Events from a growing folder of Parquet files: what is there is replayed, then what comes."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -52,77 +112,97 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def stream_dedup(stream: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """The first of each (request, span, kind, seq) inside the watermark. Rows without a seq belong on their own, unchecked branch."""
+    """The first of each (request, span, kind, seq) inside the watermark, whose keys then leave the state, and all rows without a seq."""
     keyed = stream.filter("seq IS NOT NULL").withWatermark("ts", watermark)
-    return keyed.dropDuplicatesWithinWatermark(["request_id", "span_id", "kind", "seq"])
+    return keyed.dropDuplicatesWithinWatermark(["request_id", "span_id", "kind", "seq"]).unionByName(stream.filter("seq IS NULL").withWatermark("ts", watermark))
 
 
 SPANS = "request_id string, span_id string, parent_span_id string, name string, ts timestamp, seq long, duration_ms long, has_start boolean, status string"
-_OPEN = "span_ids array<string>, parents array<string>, names array<string>, times array<timestamp>, seqs array<long>"
-
 
-def stream_spans(stream: DataFrame, watermark: str = "10 minutes", keep_ms: int = 600_000) -> DataFrame:
-    """Spans, each when its end comes; those still open when a request ends or times out, as running.
 
-    An end before its start in the same micro-batch is paired; one in an earlier batch comes out with has_start false.
+class _Spans(Settled):
+    """Starts and ends that wait for each other, by span."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.open = handle.getMapState("open", "span_id string", "parent string, name string, ts timestamp, seq long")
+        self.ended = handle.getMapState("ended", "span_id string", "parent string, name string, kind string, duration_ms long, seq long")
+
+    @staticmethod
+    def _row(request: str, span: str, start: tuple | None, end: tuple | None) -> tuple:
+        parent, name, ts, seq = start or (None, None, None, None)
+        end_parent, end_name, kind, duration, end_seq = end or (None, None, None, None, None)
+        status = "running" if end is None else "error" if kind == "fn.error" else "ok"
+        return request, span, parent or end_parent, name or end_name, ts, min(x for x in (seq, end_seq) if x is not None), duration, start is not None, status
+
+    def take(self, key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        fn = pdf[pdf["kind"].isin(("fn.start", "fn.end", "fn.error")) & pdf["span_id"].notna()]
+        is_start = fn["kind"] == "fn.start"
+        pick = lambda rows, *names: {r[0]: tuple(map(_plain, r[1:])) for r in zip(*(rows[c] for c in ("span_id", *names)))}
+        starts, ends = pick(fn[is_start], "parent_span_id", "name", "ts", "seq"), pick(fn[~is_start], "parent_span_id", "name", "kind", "duration_ms", "seq")
+        out = []
+        for span, end in ends.items():
+            start = starts.pop(span, None)
+            if start is None and self.open.containsKey((span,)):
+                start = self.open.getValue((span,))
+                self.open.removeKey((span,))
+            if start is None:
+                self.ended.updateValue((span,), end)
+            else:
+                out.append(self._row(key[0], span, start, end))
+        for span, start in starts.items():
+            if self.ended.containsKey((span,)):
+                out.append(self._row(key[0], span, start, self.ended.getValue((span,))))
+                self.ended.removeKey((span,))
+            else:
+                self.open.updateValue((span,), start)
+        return _frame(out, SPANS)
+
+    def settle(self, key: tuple) -> pd.DataFrame:
+        out = [self._row(key[0], span, tuple(start), None) for (span,), start in self.open.iterator()]
+        out += [self._row(key[0], span, None, tuple(end)) for (span,), end in self.ended.iterator()]
+        self.open.clear()
+        self.ended.clear()
+        return _frame(out, SPANS)
+
+
+def stream_spans(stream: DataFrame, watermark: str = "10 minutes", late_ms: int = 0, keep_ms: int = 600_000) -> DataFrame:
+    """One row per span, as assemble_spans: when both its start and end are there, whichever comes first, in whatever micro-batch.
+
+    Starts without an end come as running, and ends without a start with has_start false, when their request is settled.
     """
+    return _stateful(stream, "request_id", _Spans(late_ms, keep_ms), SPANS, watermark)
 
-    def pair(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened: dict = {}
-        if state.exists:
-            ids, parents, names, times, seqs = state.get
-            opened = {i: (p, n, t, s) for i, p, n, t, s in zip(ids, parents, names, times, seqs)}
-        out, over, newest = [], state.hasTimedOut, 0
-        for pdf in frames if not over else ():
-            pdf = pdf.sort_values("seq")
-            newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
-            for e in pdf[pdf["kind"] == "fn.start"].itertuples():
-                opened[e.span_id] = (e.parent_span_id, e.name, e.ts, int(e.seq))
-            for e in pdf[pdf["kind"].isin(("fn.end", "fn.error"))].itertuples():
-                p, n, t, s = opened.pop(e.span_id, (None, None, None, None))
-                out.append((key[0], e.span_id, p or e.parent_span_id, n or e.name, t, int(e.seq) if s is None else s, None if pd.isna(e.duration_ms) else int(e.duration_ms), n is not None, "error" if e.kind == "fn.error" else "ok"))
-            over = over or bool((pdf["kind"] == "request.end").any())
-        if over:
-            out += [(key[0], i, p, n, t, s, None, True, "running") for i, (p, n, t, s) in opened.items()]
-            if state.exists:
-                state.remove()
-        else:
-            state.update((list(opened), *([v[k] for v in opened.values()] for k in range(4))))
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + keep_ms)
-        yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in SPANS.split(",")]).astype({"duration_ms": "Int64", "seq": "Int64", "ts": "datetime64[ns]"})
-
-    timed = stream.withWatermark("ts", watermark)
-    return timed.groupBy("request_id").applyInPandasWithState(pair, SPANS, _OPEN, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-REQUESTS = "request_id string, method string, path string, status int, duration_ms long, span_count long, calls long"
-
-
-def stream_requests(stream: DataFrame, watermark: str = "10 minutes", keep_ms: int = 600_000) -> DataFrame:
-    """One row per request when its end comes, with what its start said and how many spans ran; state goes with it."""
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        method, path, spans = state.get if state.exists else (None, None, 0)
-        done, newest = None, 0
-        for pdf in frames if not state.hasTimedOut else ():
-            newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
-            start = pdf[pdf["kind"] == "request.start"]
-            if len(start):
-                method, path = start.iloc[0]["method"], start.iloc[0]["path"]
-            spans += int((pdf["kind"] == "fn.start").sum())
-            end = pdf[pdf["kind"] == "request.end"]
-            done = end.iloc[0] if len(end) else done
-        if done is not None or state.hasTimedOut:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((method, path, spans))
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + keep_ms)
-        rows = [] if done is None else [(key[0], method, path, int(done["status"]), int(done["duration_ms"]), spans, spans)]
-        yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in REQUESTS.split(",")])
-
-    timed = stream.withWatermark("ts", watermark)
-    return timed.groupBy("request_id").applyInPandasWithState(fold, REQUESTS, "method string, path string, spans long", "append", GroupStateTimeout.EventTimeTimeout)
+
+REQUESTS = "request_id string, method string, path string, ts timestamp, seq long, status int, duration_ms long, span_count long, raised boolean, active boolean"
+
+
+class _Requests(Settled):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.known = handle.getValueState("known", "started boolean, method string, path string, ts timestamp, seq long, ended boolean, status int, duration_ms long, spans long, raised boolean")
+
+    def take(self, key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        started, method, path, ts, seq, ended, status, duration, spans, raised = self.known.get() if self.known.exists() else (False, None, None, None, None, False, None, None, 0, False)
+        start, end = pdf[pdf["kind"] == "request.start"], pdf[pdf["kind"] == "request.end"]
+        if len(start):
+            started, (method, path, ts, seq) = True, map(_plain, start.iloc[0][["method", "path", "ts", "seq"]])
+        if len(end):
+            ended, (status, duration) = True, map(_plain, end.iloc[0][["status", "duration_ms"]])
+        spans += int((pdf["kind"] == "fn.start").sum())
+        raised = raised or bool((pdf["kind"] == "fn.error").any())
+        self.known.update((started, method, path, ts, seq, ended, status, duration, spans, raised))
+        return _frame([], REQUESTS)
+
+    def settle(self, key: tuple) -> pd.DataFrame:
+        started, method, path, ts, seq, ended, status, duration, spans, raised = self.known.get()
+        self.known.clear()
+        return _frame([(key[0], method, path, ts, seq, status, duration, spans, raised, not ended)] if started else [], REQUESTS)
+
+
+def stream_requests(stream: DataFrame, watermark: str = "10 minutes", late_ms: int = 0, keep_ms: int = 600_000) -> DataFrame:
+    """One row per request, as assemble_requests, when it is settled: with an end as done, without one as active."""
+    return _stateful(stream, "request_id", _Requests(late_ms, keep_ms), REQUESTS, watermark)
 
 
 def stream_overlay(spans: DataFrame) -> DataFrame:
@@ -134,38 +214,139 @@ def stream_overlay(spans: DataFrame) -> DataFrame:
 CAPS = "request_id string, span_id string, name string, seq long, n long, captured boolean"
 
 
-def stream_caps(stream: DataFrame, captures: int = 50, spans: int = 5000, watermark: str = "10 minutes", keep_ms: int = 600_000) -> DataFrame:
+class _Caps(Settled):
+    def __init__(self, captures: int, spans: int, late_ms: int, keep_ms: int) -> None:
+        super().__init__(late_ms, keep_ms)
+        self.captures, self.spans = captures, spans
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.calls = handle.getMapState("calls", "name string", "n long")
+        self.total = handle.getValueState("total", "n long")
+
+    def take(self, key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        fn = pdf[pdf["kind"] == "fn.start"].sort_values("seq")
+        before = self.total.get()[0] if self.total.exists() else 0
+        names = fn["name"].fillna("")
+        had = {x: self.calls.getValue((x,))[0] if self.calls.containsKey((x,)) else 0 for x in names.unique()}
+        n = names.map(had) + names.groupby(names).cumcount() + 1
+        for x, m in names.value_counts().items():
+            self.calls.updateValue((x,), (had[x] + int(m),))  # counted past the caps too
+        self.total.update((before + len(fn),))
+        rows = [(key[0], *map(_plain, x), x[-1] <= self.captures) for x in zip(fn["span_id"], fn["name"], fn["seq"], n)]
+        return _frame(rows[: max(0, self.spans - before)], CAPS)
+
+    def settle(self, key: tuple) -> pd.DataFrame:
+        self.calls.clear()
+        self.total.clear()
+        return _frame([], CAPS)
+
+
+def stream_caps(stream: DataFrame, captures: int = 50, spans: int = 5000, watermark: str = "10 minutes", late_ms: int = 0, keep_ms: int = 600_000) -> DataFrame:
     """The first `spans` starts of each request, with the number of the call of its function and whether its values are kept.
 
-    The counts of a request are dropped at its end, or when nothing came for keep_ms of event time.
+    Calls are numbered as they come, in order of seq inside a micro-batch.
     """
+    return _stateful(stream, "request_id", _Caps(captures, spans, late_ms, keep_ms), CAPS, watermark)
+
+
+LIVE = "target string, last_seen timestamp, started_at long, restarts long, handshakes long, connected boolean"
 
-    def cap(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names, counts, total = state.get if state.exists else ([], [], 0)
-        seen, rows, over, newest = dict(zip(names, counts)), [], state.hasTimedOut, 0
-        for pdf in frames if not over else ():
-            newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
-            over = over or bool((pdf["kind"] == "request.end").any())
-            for e in pdf[pdf["kind"] == "fn.start"].sort_values("seq").itertuples():
-                seen[e.name] = seen.get(e.name, 0) + 1  # counted past the caps too
-                total += 1
-                if total <= spans:
-                    rows.append((key[0], e.span_id, e.name, int(e.seq), seen[e.name], seen[e.name] <= captures))
-        if not over:
-            state.update((list(seen), list(seen.values()), total))
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + keep_ms)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in CAPS.split(",")])
-
-    timed = stream.withWatermark("ts", watermark)
-    return timed.groupBy("request_id").applyInPandasWithState(cap, CAPS, "names array<string>, counts array<long>, total long", "append", GroupStateTimeout.EventTimeTimeout)
+
+class _Live(Settled):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.seen = handle.getValueState("seen", "last_seen timestamp, started_at long, restarts long, handshakes long")
+
+    def take(self, key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        last, began, restarts, handshakes = self.seen.get() if self.seen.exists() else (None, None, 0, 0)
+        pdf = pdf.sort_values(["ts", "started_at"])
+        marks = [began] * (handshakes > 0) + [_plain(x) for x in pdf["started_at"]]
+        restarts += sum(a is not None and a != b for a, b in zip(marks, marks[1:]))
+        last = max(x for x in (last, pdf["ts"].max()) if x is not None)
+        began, handshakes = marks[-1], handshakes + len(pdf)
+        self.seen.update((last, began, restarts, handshakes))
+        return _frame([(key[0], last, began, restarts, handshakes, True)], LIVE)
+
+    def settle(self, key: tuple) -> pd.DataFrame:
+        return _frame([(key[0], *self.seen.get(), False)], LIVE)  # kept: a later handshake may be a restart
+
+
+def stream_liveness(registers: DataFrame, gone_after_s: int = 90, watermark: str = "0 seconds") -> DataFrame:
+    """A row per target of registers (target, ts, started_at) after each micro-batch that names it, and one when it is gone.
+
+    It is gone when the watermark passes its last handshake by gone_after_s. The newest row of a target is its state.
+    """
+    return _stateful(registers, "target", _Live(gone_after_s * 1000, gone_after_s * 1000), LIVE, watermark)
+
+
+def upsert(stream: DataFrame, keys: Sequence[str], path: str, checkpoint: str, mode: str = "update") -> object:
+    """One query that keeps a table of the newest row of each key under path/v=<batch>: the version before, with the batch's rows over it.
+
+    A batch that is repeated makes its version anew from the same one before, so it changes nothing. Versions older than that are
+    removed. Rows are dealt by key; inside a batch, a key must stand once (as in update mode).
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        have = [v for v in versions(spark, path) if v < number]
+        rows = batch.withColumn("_new", F.lit(True))
+        if have:
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v={have[-1]}").withColumn("_new", F.lit(False)))
+        first = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("_new")))
+        rows.withColumn("_n", first).filter("_n = 1").drop("_n", "_new").write.mode("overwrite").parquet(f"{path}/v={number}")
+        for old in have[:-1]:
+            _delete(spark, f"{path}/v={old}")
+
+    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _folder(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    store, at = _folder(spark, path)
+    store.delete(at, True)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The whole versions of a table that `upsert` keeps, in order."""
+    store, at = _folder(spark, path)
+    if not store.exists(at):
+        return []
+    found = [x.getPath() for x in store.listStatus(at) if x.getPath().getName().startswith("v=")]
+    return sorted(int(p.getName()[2:]) for p in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version of a table that `upsert` keeps."""
+    return spark.read.parquet(f"{path}/v={versions(spark, path)[-1]}")
+
+
+def count_ingest(stream: DataFrame, path: str, checkpoint: str, sink: Callable[[DataFrame], DataFrame] = lambda b: b) -> object:
+    """Write each micro-batch of JSON batches through `sink` under path/events, and what was observed on the way under path/counters.
+
+    (events_in, dropped, registers) of a batch are counted while it is written, not in a pass of their own.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        seen = Observation()
+        n = F.coalesce(F.sum(F.when(F.col("events").isNotNull(), F.size("events"))), F.lit(0)).cast("long")
+        dropped = F.coalesce(F.sum("dropped"), F.lit(0)).cast("long")
+        observed = batch.observe(seen, n.alias("events_in"), dropped.alias("dropped"), F.count_if(F.col("kind") == "register").alias("registers"))
+        sink(observed).write.mode("overwrite").parquet(f"{path}/events/batch={number}")
+        got = seen.get
+        row = [(got["events_in"], got["dropped"], got["registers"])]
+        spark.createDataFrame(row, "events_in long, dropped long, registers long").coalesce(1).write.mode("overwrite").parquet(f"{path}/counters/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def liveness(registers: DataFrame, now: object, gone_after_s: int = 90) -> DataFrame:
     """Per target of registers (target, ts, started_at): latest handshake, restarts seen, and whether it counts as connected at `now`."""
-    from pyspark.sql import Window as W
-
     before = F.lag("started_at").over(W.partitionBy("target").orderBy("ts", "started_at"))
     marked = registers.withColumn("_restart", before.isNotNull() & ~before.eqNullSafe(F.col("started_at")))
     per = marked.groupBy("target").agg(F.max("ts").alias("last_seen"), F.count_if("_restart").alias("restarts"), F.count("*").alias("handshakes"))
