@@ -197,5 +197,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     whole = F.coalesce("whole", F.lit(0))
     own = F.floor(whole / F.col("n")) + F.when(F.col("rank") <= F.pmod(whole, F.col("n")), 1).otherwise(0)
     out = ranked.withColumn("copies", own.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    out = out.join(rows.select("uid", *[f"in_{c}" for c in keep]), "uid") if keep else out
+    if keep:  # by an exchange at any size, so that plans don't turn as tables grow
+        out = out.hint("merge").join(rows.select("uid", *[f"in_{c}" for c in keep]), "uid")
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", *[f"in_{c}" for c in keep])

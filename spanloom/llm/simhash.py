@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 class Forest:
     """A minimum spanning forest of links by distance, grown from batches of links; holds no more than nodes and a buffer."""
 
-    def __init__(self, n: int, most: int = 4_000_000) -> None:
+    def __init__(self, n: int, most: int = 1_000_000) -> None:
         self.n, self.most, self.size = n, most, 0
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -141,8 +141,8 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int, also: Callabl
     return u, v
 
 
-def _tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
-    """(a, b, fa, fb) for the pairs of tiles (tile, class, low, high, fps) that may hold links.
+def _near_tiles(tiles: DataFrame, radius: int) -> DataFrame:
+    """(a, b), a <= b: the pairs of tiles (tile, class, low, high, fps) that may hold links.
 
     Their population counts, from low to high, come within the radius, and their classes differ by one at most. Tiles meet in
     ranges of counts and of classes.
@@ -153,11 +153,24 @@ def _tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
     left = left.select("*", ranges(F.greatest(F.lit(0), F.col("la") - radius), F.col("ha") + radius))
     right = slim.select(F.col("tile").alias("b"), "class", "low", "high", ranges(F.col("low"), F.col("high")))
     near = (F.col("a") <= F.col("b")) & (F.col("la") <= F.col("high") + radius) & (F.col("low") <= F.col("ha") + radius)
-    pairs = left.join(right, ["class", "range"]).filter(near).select("a", "b").distinct()
+    return left.join(right, ["class", "range"]).filter(near).select("a", "b").distinct()
+
+
+def _tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
+    """(a, b, fa, fb) for the pairs of tiles that may hold links."""
+    pairs = _near_tiles(tiles, radius)
     work = pairs.join(tiles.select(F.col("tile").alias("a"), F.col("fps").alias("fa")), "a").repartition("a", "b")
     return work.join(tiles.select(F.col("tile").alias("b"), F.col("fps").alias("fb")), "b")
 
 
+def _tile_stripes(tiles: DataFrame, radius: int) -> DataFrame:
+    """(a, b, fps): each tile, once, followed by those that may hold links to it, in one partition and in this order."""
+    pairs = durable(_near_tiles(tiles, radius).filter("a <> b"))
+    other = pairs.join(tiles.select(F.col("tile").alias("b"), "fps"), "b").select("a", "b", "fps")
+    own = tiles.select(F.col("tile").alias("a"), F.col("tile").alias("b"), "fps")
+    return own.unionAll(other).repartition("a").sortWithinPartitions("a", F.col("a") != F.col("b"), "b")
+
+
 def _tiled(rows: DataFrame, tile_rows: int, by: str) -> DataFrame:
     """rows (class, pop, ...) with tile: up to about tile_rows rows of one class, of neighbouring population counts or of one, which `by` splits."""
     cells = durable(rows.groupBy("class", "pop").agg(F.count("*").alias("_n")))  # 65 for each class at most
@@ -253,11 +266,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_counted(prints, classes, ["fp"], "n", prints.count(), [F.monotonically_increasing_id()]).select("doc_id", "fp", "component_id")
 
 
-_BINS = 32
+_BINS, _NONE = 32, 255
 
 
 def _profiles(texts: list, shingle_words: int, short: int) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
-    """Number of distinct shingles, a one-permutation minhash sketch (the least 16-bit rest in each of 32 bins), and the shingles of texts of at most `short`."""
+    """Number of distinct shingles, a one-permutation minhash sketch (8 bits of the least rest in each of 32 bins), and the shingles of texts of at most `short`."""
     w = split_words(texts, lower=True)
     count, sketch, few = np.zeros(len(texts), np.int32), np.full((len(texts), _BINS), 0xFFFF, np.uint16), []
     for k in range(len(texts)):
@@ -266,7 +279,9 @@ def _profiles(texts: list, shingle_words: int, short: int) -> tuple[np.ndarray,
         count[k] = len(s)
         few.append(s.tobytes() if 0 < len(s) <= short else None)
         np.minimum.at(sketch[k], (s >> np.uint64(59)).astype(np.int64), (s >> np.uint64(43)).astype(np.uint16))
-    return count, sketch, few
+    # one byte a bin: equal rests stay equal, and few others become so
+    small = np.where(sketch == 0xFFFF, _NONE, sketch % _NONE).astype(np.uint8)
+    return count, small, few
 
 
 def jaccard(a: str, b: str, shingle_words: int = 5) -> float:
@@ -398,23 +413,26 @@ def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int
     sized = seen.withColumns({"pop": F.bit_count("fp").cast("int"), "class": F.floor(F.log(F.greatest("n", F.lit(1))) / step).cast("int")})
     sized = durable(sized)
     parts = _tiled(sized.drop("few"), tile_rows, "node")
-    kind = np.dtype([("node", "<i8"), ("fp", "<u8"), ("n", "<i4"), ("sketch", "<u2", _BINS)])
+    kind = np.dtype([("node", "<i8"), ("fp", "<u8"), ("n", "<i4"), ("sketch", "u1", _BINS)])
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = np.zeros(len(pdf), kind)
         rows["node"], rows["fp"], rows["n"] = pdf["node"], pdf["fp"].to_numpy().view(np.uint64), pdf["n"]
-        rows["sketch"] = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, _BINS)
+        rows["sketch"] = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, _BINS)
         rows = rows[np.argsort(rows["node"])]
         return pd.DataFrame({"tile": pdf["tile"].iloc[:1], "class": pdf["class"].iloc[:1], "low": [pdf["pop"].min()], "high": [pdf["pop"].max()], "fps": [rows.tobytes()]})
 
     tiles = durable(parts.groupBy("tile").applyInPandas(pack, "tile long, class int, low int, high int, fps binary"))
 
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for a, b, fa, fb in zip(pdf["a"], pdf["b"], pdf["fa"], pdf["fb"]):
-                x, y = by_pop(fa), by_pop(fb)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x: dict[int, np.ndarray] = {}
+        for rb in batches:
+            for a, b, fps in zip(*(rb.column(c).to_pylist() for c in ("a", "b", "fps"))):
+                y = by_pop(fps)
+                x = y if a == b else x  # the tile itself comes first
                 found = [both(p, q, a == b and k == m) for k, p in x.items() for m, q in y.items() if abs(k - m) <= radius and (a != b or k <= m)]
-                yield pd.DataFrame(np.concatenate([np.empty((0, 2), np.int64), *found]), columns=["u", "v"])
+                u, v = np.concatenate([np.empty((0, 2), np.int64), *found]).T
+                yield pa.RecordBatch.from_arrays([pa.array(u.copy()), pa.array(v.copy())], ["u", "v"])
 
     def by_pop(packed: bytes) -> dict[int, np.ndarray]:
         rows = np.frombuffer(packed, kind)
@@ -429,15 +447,15 @@ def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int
             out = small >= similarity * large
             for c in range(0, len(u), 65536):
                 p, q = x["sketch"][u[c : c + 65536]], y["sketch"][v[c : c + 65536]]
-                used = ((p != 0xFFFF) | (q != 0xFFFF)).sum(1)
-                out[c : c + 65536] &= ((p == q) & (p != 0xFFFF)).sum(1) >= (similarity - 0.3) * used  # over four deviations below
+                used = ((p != _NONE) | (q != _NONE)).sum(1)
+                out[c : c + 65536] &= ((p == q) & (p != _NONE)).sum(1) >= (similarity - 0.3) * used  # over four deviations below
             return out
 
         u, v = _forest(x["fp"].copy(), y["fp"].copy(), same, radius, also)
         nodes = x["node"] if same else np.concatenate((x["node"], y["node"]))
         return np.stack((nodes[u], nodes[v]), axis=1)
 
-    edges = durable(_tile_pairs(tiles, radius).select("a", "b", "fa", "fb").mapInPandas(compare, "u long, v long").distinct())
+    edges = durable(_tile_stripes(tiles, radius).mapInArrow(compare, "u long, v long").distinct())
     total = edges.count()
 
     def with_text(rows: DataFrame, end: str) -> DataFrame:  # a hub's text meets its links in several parts
