@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import durable
+from . import paths
+
 _PARAM = r"^(:.*|\{.*\}|\$.*)$"
 
 
@@ -27,18 +30,12 @@ def wild_segments(path: Column) -> Column:
 
 
 def match_paths_wild(a: DataFrame, b: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """a joined to b where each segment is equal or a parameter on either side.
-
-    Joins on the number of segments and, in turn, on the first segment where both are literal, or against the rows of the other
-    side whose first segment is a parameter.
-    """
-    x = a.withColumn("_a", wild_segments(F.col(a_path))).withColumns({"_n": F.size("_a"), "_f": F.coalesce(F.try_element_at("_a", F.lit(1)), F.lit(""))})
-    y = b.withColumn("_b", wild_segments(F.col(b_path))).withColumns({"_n": F.size("_b"), "_f": F.coalesce(F.try_element_at("_b", F.lit(1)), F.lit(""))})
-    fits = F.forall(F.zip_with("_a", "_b", lambda p, q: (p == q) | (p == "*") | (q == "*")), lambda v: v)
-    literal = x.join(y, ["_n", "_f"]).filter(fits)
-    left = x.filter("_f = '*'").join(y.filter("_f <> '*'").drop("_f"), "_n").filter(fits)
-    right = x.filter("_f <> '*'").join(y.filter("_f = '*'").drop("_f"), "_n").filter(fits)
-    return literal.unionByName(left).unionByName(right).drop("_a", "_b", "_n", "_f")
+    """a joined to b where each segment is equal or a parameter on either side: a's different paths walk a trie of b's."""
+    y = durable(b.withColumn("_b", wild_segments(F.col(b_path))).withColumn("end", paths.ends(F.col("_b"))))
+    edges, deepest = paths.trie(y, "_b")
+    x = a.withColumn("_a", wild_segments(F.col(a_path)))
+    found = paths.walk(x.select("_a").distinct(), "_a", edges, deepest)
+    return x.join(found, "_a").join(y.drop("_b"), "end").drop("_a", "end")
 
 
 def normalise_service_path(raw: Column) -> Column:
@@ -59,42 +56,63 @@ def dedup_ui_usage(ui: DataFrame) -> DataFrame:
     return ui.withColumn("_n", first).filter("_n = 1").drop("_n")
 
 
+def route_clients(routes: DataFrame, apis: DataFrame) -> DataFrame:
+    """(full_path, sub_path, app, api_func, url, raw_url): clients of each route, by their url or by their raw url and its sub-path.
+
+    Either way is a join on equal keys; a client that both find is one row.
+    """
+    known = routes.select("full_path", "sub_path").distinct()
+    by_url = match_paths_strict(known, apis, "full_path", "url")
+    by_part = match_paths_strict(known, apis, "sub_path", "raw_url")
+    return by_url.unionByName(by_part).distinct()
+
+
 def lineage_chains(endpoints: DataFrame, services: DataFrame, controllers: DataFrame, routes: DataFrame, apis: DataFrame, ui: DataFrame) -> DataFrame:
     """The chains of every endpoint, one row for each way up; methods are not compared, and what is missing is null."""
     s = match_paths_strict(endpoints, services.select("service_func", F.col("raw_path").alias("_p")), "path", "_p", "left").drop("_p")
     c = s.join(controllers, "service_func", "left").join(routes, "controller_func", "left")
-    known = routes.select("full_path").distinct()
-    a = match_paths_strict(known, apis.select("app", "api_func", F.col("url").alias("_u")), "full_path", "_u").drop("_u").distinct()
-    return c.join(a, "full_path", "left").join(ui, ["app", "api_func"], "left").select("path", "method", "service_func", "controller_func", "full_path", "app", "api_func", "component")
+    a = route_clients(routes, apis).drop("url", "raw_url")
+    out = c.join(a, ["full_path", "sub_path"], "left").join(ui, ["app", "api_func"], "left")
+    return out.select("id", "path", "method", "handler", "service_func", "controller_func", "full_path", "app", "api_func", "component", "caller")
 
 
-def chain_status(chains: DataFrame) -> DataFrame:
-    """Per endpoint: its furthest status, and distinct services, routes, client calls and components."""
-    has = lambda c: F.max(F.col(c).isNotNull())
-    per = chains.groupBy("path", "method").agg(has("component").alias("_ui"), has("api_func").alias("_api"), has("full_path").alias("_route"), has("service_func").alias("_svc"), F.count_distinct("service_func").alias("services"), F.count_distinct("full_path").alias("routes"), F.count_distinct("app", "api_func").alias("apis"), F.count_distinct("app", "component").alias("components"))
-    status = F.when(F.col("_ui"), "full_chain").when(F.col("_api"), "client_api").when(F.col("_route"), "backend_exposed").when(F.col("_svc"), "service_only").otherwise("unexposed")
-    return per.withColumn("status", status).drop("_ui", "_api", "_route", "_svc")
+def chain_status(endpoints: DataFrame, services: DataFrame, controllers: DataFrame, routes: DataFrame, apis: DataFrame, ui: DataFrame) -> DataFrame:
+    """Per endpoint (id, path, method): furthest status, services, routes, clients and usages on its ways up, and the client apps.
 
-
-def lineage_summary(chains: DataFrame) -> DataFrame:
-    """(measure, n): endpoints per status, and endpoints that each client app reaches."""
-    by_status = chain_status(chains).groupBy(F.col("status").alias("measure")).agg(F.count("*").alias("n"))
-    by_app = chains.filter("api_func IS NOT NULL").groupBy(F.concat(F.lit("from "), "app").alias("measure")).agg(F.count_distinct("path", "method").alias("n"))
+    Counted from the top down before anything is joined to endpoints: usages of a client, clients of a route, routes of a
+    controller, controllers of a service, services of a path. No chain is made; each is counted as often as it stands.
+    """
+    zero = lambda *c: [F.coalesce(x, F.lit(0)).alias(x) for x in c]
+    apps = lambda c="app": F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias("apps")
+    used = ui.groupBy("app", "api_func").agg(F.count("*").alias("usages"))
+    of_route = route_clients(routes, apis).join(used, ["app", "api_func"], "left").groupBy("full_path", "sub_path").agg(F.count("*").alias("clients"), F.coalesce(F.sum("usages"), F.lit(0)).alias("usages"), F.collect_set("app").alias("apps"))
+    sums = [F.sum(c).alias(c) for c in ("clients", "usages")]
+    of_controller = routes.join(of_route, ["full_path", "sub_path"], "left").groupBy("controller_func").agg(F.count("*").alias("routes"), *sums, apps("apps"))
+    of_service = controllers.join(of_controller, "controller_func", "left").groupBy("service_func").agg(F.count("*").alias("bridges"), F.sum("routes").alias("routes"), *sums, apps("apps"))
+    of_path = services.join(of_service, "service_func", "left").groupBy(strict_key(F.col("raw_path")).alias("_key")).agg(F.sum(F.coalesce("bridges", F.lit(1))).alias("services"), F.sum("routes").alias("routes"), *sums, apps("apps"))
+    per = endpoints.withColumn("_key", strict_key(F.col("path"))).join(of_path, "_key", "left").select("id", "path", "method", *zero("services", "routes", "clients", "usages"), F.coalesce("apps", F.array().cast("array<string>")).alias("apps"))
+    status = F.when(F.col("usages") > 0, "full_chain").when(F.col("clients") > 0, "client_api").when(F.col("routes") > 0, "backend_exposed").when(F.col("services") > 0, "service_only").otherwise("unexposed")
+    return per.withColumn("status", status)
+
+
+def lineage_summary(status: DataFrame) -> DataFrame:
+    """(measure, n) of chain_status: endpoints per status, and endpoints that each client app reaches."""
+    by_status = status.groupBy(F.col("status").alias("measure")).agg(F.count("*").alias("n"))
+    by_app = status.select(F.explode("apps").alias("app")).groupBy(F.concat(F.lit("from "), "app").alias("measure")).agg(F.count("*").alias("n"))
     return by_status.union(by_app)
 
 
-def filter_chains(chains: DataFrame, query: str = "", status: str | None = None, domain: str | None = None, app: str | None = None) -> DataFrame:
-    """Endpoints with their status whose chains hold the text anywhere; domain is the first path segment, or root."""
-    first = F.regexp_extract("path", "^/([^/{:]+)", 1)
+def filter_chains(chains: DataFrame, statuses: DataFrame, query: str = "", status: str | None = None, domain: str | None = None, app: str | None = None) -> DataFrame:
+    """chain_status rows of endpoints whose lineage_chains hold the text anywhere; domain is the first path segment, or root."""
+    first = F.regexp_extract("path", "^/([^/]+)", 1)
     out = chains.withColumn("domain", F.when(first == "", "root").otherwise(first))
     keep = F.lit(True)
     if query.strip():
-        columns = ("path", "method", "service_func", "controller_func", "full_path", "api_func", "component")
+        columns = ("id", "path", "method", "domain", "handler", "service_func", "controller_func", "full_path", "component", "caller")
         keep = F.exists(F.array(*columns), lambda x: F.coalesce(F.contains(F.lower(x), F.lit(query.strip().lower())), F.lit(False)))
     if domain:
         keep = keep & (F.col("domain") == domain)
     if app:
         keep = keep & (F.col("app") == app)
-    named = out.filter(keep).select("path", "method").distinct()
-    found = chain_status(chains).join(named, ["path", "method"], "left_semi")
+    found = statuses.join(out.filter(keep).select("id").distinct(), "id", "left_semi")
     return found.filter(F.col("status") == status) if status else found

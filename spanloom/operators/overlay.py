@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import durable
+from . import paths
 from .spans import folded_pairs, interval_labels
 
 
@@ -16,20 +18,28 @@ def _pattern_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(rest, r"\{[^}]+\}", "[^/]+"), F.lit("/?$"))
 
 
+def _pattern_keys(pattern: Column) -> Column:
+    """Trie keys of a pattern: literal segments, ANY for one with a parameter in it, REST from {x:path} on."""
+    parts = F.split(F.regexp_replace(pattern, "/$", ""), "/")
+    first = F.array_position(F.transform(parts, lambda s: s.rlike(r"\{[^}]+:path\}")), True)
+    cut = F.when(first > 0, F.slice(parts, F.lit(1), first.cast("int"))).otherwise(parts)
+    return F.transform(cut, lambda s: F.when(s.rlike(r"\{[^}]+:path\}"), F.lit(paths.REST)).when(F.contains(s, F.lit("{")), F.lit(paths.ANY)).otherwise(s))
+
+
 def match_endpoint(requests: DataFrame, endpoints: DataFrame) -> DataFrame:
     """requests with endpoint_id: most literal characters win, then fewer parameters, then listing order; no match drops the row.
 
-    Patterns without a rest join on (method, number of segments); only {x:path} patterns compare by method.
+    Distinct (method, path) walk a trie of the patterns, a segment a join, with the method as its first level; the few patterns
+    at whose nodes they end are compared as a whole.
     """
     cut = F.substring_index(F.col("path"), "?", 1)
-    n = lambda c: F.size(F.split(F.regexp_replace(c, "/$", ""), "/"))
     e = endpoints.select(F.col("endpoint_id").alias("_id"), F.upper("method").alias("_method"), "pattern", F.col("ord").alias("_ord"))
     e = e.withColumns({"_rx": _pattern_regex(F.col("pattern")), "_literal": F.length(F.regexp_replace("pattern", r"\{[^}]+\}", "")), "_params": F.length("pattern") - F.length(F.replace(F.col("pattern"), F.lit("{"), F.lit("")))})
-    whole = F.col("pattern").rlike(r"\{[^}]+:path\}")
-    paths = requests.select(F.upper("method").alias("_method"), cut.alias("_path")).distinct()
-    fixed = e.filter(~whole).withColumn("_n", n(F.col("pattern")))
-    hits = paths.withColumn("_n", n(F.col("_path"))).join(fixed, ["_method", "_n"]).filter("_path RLIKE _rx").drop("_n")
-    hits = hits.unionByName(paths.join(e.filter(whole), "_method").filter("_path RLIKE _rx"))
+    e = durable(e.withColumn("_keys", F.concat(F.array("_method"), _pattern_keys(F.col("pattern")))).withColumn("end", paths.ends(F.col("_keys"))))
+    edges, deepest = paths.trie(e, "_keys")
+    asked = requests.select(F.upper("method").alias("_method"), cut.alias("_path")).distinct().dropna()
+    asked = asked.withColumn("_segs", F.concat(F.array("_method"), F.split(F.regexp_replace("_path", "/$", ""), "/")))
+    hits = paths.walk(asked, "_segs", edges, deepest).drop("_segs").join(e.drop("_method", "_keys"), "end").filter("_path RLIKE _rx")
     best = hits.groupBy("_method", "_path").agg(F.max_by("_id", F.struct("_literal", -F.col("_params"), -F.col("_ord"))).alias("endpoint_id"))
     joined = requests.withColumns({"_method": F.upper("method"), "_path": cut}).join(best, ["_method", "_path"])
     return joined.drop("_method", "_path")

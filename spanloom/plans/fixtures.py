@@ -64,14 +64,16 @@ VIEWS: dict[str, str] = {
  SELECT event_id, CASE event_type WHEN 'view' THEN 'find' WHEN 'click' THEN 'find_one' WHEN 'error' THEN 'delete_one' WHEN 'signup' THEN 'insert_one' ELSE 'update_one' END AS method,
   concat('mongo:t', CAST(user_id % 7 AS STRING)) AS table_id, props AS doc FROM events""",
     "fx_paths": "SELECT page_id, url FROM pages",
-    "fx_l_endpoint": "SELECT DISTINCT concat('/', lower(p_type), '/{id}/', CAST(p_size AS STRING)) AS path, 'POST' AS method FROM part",
+    "fx_l_endpoint": "SELECT DISTINCT concat('/', lower(p_type), '/{id}/', CAST(p_size AS STRING)) AS path, 'POST' AS method, concat('POST /', lower(p_type), '/{id}/', CAST(p_size AS STRING)) AS id, concat('handle_', lower(p_type)) AS handler FROM part",
     "fx_l_service": """
  SELECT DISTINCT concat('svc_', CAST(l_suppkey AS STRING)) AS service_func, concat('/', lower(p_type), '/:sid/', CAST(CAST(l_quantity AS INT) AS STRING), '?v=1') AS raw_path
  FROM lineitem JOIN part ON p_partkey = l_partkey""",
     "fx_l_controller": "SELECT concat('svc_', CAST(s_suppkey AS STRING)) AS service_func, concat('ctl_', CAST(s_nationkey AS STRING)) AS controller_func FROM supplier WHERE s_suppkey % 3 <> 0",
-    "fx_l_route": "SELECT concat('ctl_', CAST(n_nationkey AS STRING)) AS controller_func, concat('/api/n/', CAST(n_regionkey AS STRING), '/:id') AS full_path FROM nation WHERE n_nationkey % 4 <> 3",
-    "fx_l_api": "SELECT CASE WHEN r_regionkey % 2 = 0 THEN 'admin' ELSE 'frontend' END AS app, concat('get', CAST(r_regionkey AS STRING)) AS api_func, concat('/api/n/', CAST(r_regionkey AS STRING), '/{x}') AS url FROM region WHERE r_regionkey < 3",
-    "fx_l_ui": "SELECT app, api_func, concat('Comp', api_func) AS component FROM fx_l_api WHERE api_func <> 'get1'",
+    "fx_l_route": "SELECT concat('ctl_', CAST(n_nationkey AS STRING)) AS controller_func, concat('/api/n/', CAST(n_regionkey AS STRING), '/:id') AS full_path, concat('/n/', CAST(n_regionkey AS STRING), '/:id') AS sub_path FROM nation WHERE n_nationkey % 4 <> 3",
+    "fx_l_api": """
+ SELECT CASE WHEN r_regionkey % 2 = 0 THEN 'admin' ELSE 'frontend' END AS app, concat('get', CAST(r_regionkey AS STRING)) AS api_func, CASE WHEN r_regionkey = 3 THEN '/v2/n' ELSE concat('/api/n/', CAST(r_regionkey AS STRING), '/{x}') END AS url,
+  CASE WHEN r_regionkey = 2 THEN '/elsewhere' ELSE concat('/n/', CAST(r_regionkey AS STRING), '/{x}') END AS raw_url FROM region WHERE r_regionkey < 4""",
+    "fx_l_ui": "SELECT app, api_func, concat('Comp', api_func) AS component, concat('use', app) AS caller FROM fx_l_api WHERE api_func <> 'get1'",
 }
 
 

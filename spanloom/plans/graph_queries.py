@@ -533,36 +533,44 @@ def _(t):
 
 
 _CHAINS = f"""
- api2 AS (SELECT DISTINCT r.full_path, a.app, a.api_func FROM fx_l_route r JOIN fx_l_api a ON {_key('r.full_path')} = {_key('a.url')}),
- chains AS (SELECT e.path, e.method, s.service_func, c.controller_func, r.full_path, a.app, a.api_func, u.component FROM fx_l_endpoint e LEFT JOIN fx_l_service s ON {_key('e.path')} = {_key('s.raw_path')}
-  LEFT JOIN fx_l_controller c ON c.service_func = s.service_func LEFT JOIN fx_l_route r ON r.controller_func = c.controller_func LEFT JOIN api2 a ON a.full_path = r.full_path LEFT JOIN fx_l_ui u ON u.app = a.app AND u.api_func = a.api_func),
- st AS (SELECT path, method, count(DISTINCT service_func) AS services, count(DISTINCT full_path) AS routes, count(DISTINCT (app, api_func)) FILTER (api_func IS NOT NULL) AS apis, count(DISTINCT (app, component)) FILTER (component IS NOT NULL) AS components,
-  CASE WHEN bool_or(component IS NOT NULL) THEN 'full_chain' WHEN bool_or(api_func IS NOT NULL) THEN 'client_api' WHEN bool_or(full_path IS NOT NULL) THEN 'backend_exposed' WHEN bool_or(service_func IS NOT NULL) THEN 'service_only' ELSE 'unexposed' END AS status FROM chains GROUP BY 1, 2)"""
+ clients AS (SELECT DISTINCT r.full_path, r.sub_path, a.app, a.api_func FROM fx_l_route r JOIN fx_l_api a ON {_key('r.full_path')} = {_key('a.url')} OR {_key('r.sub_path')} = {_key('a.raw_url')}),
+ bridges AS (SELECT e.id, e.path, e.method, e.handler, s.service_func, c.controller_func FROM fx_l_endpoint e JOIN fx_l_service s ON {_key('e.path')} = {_key('s.raw_path')} LEFT JOIN fx_l_controller c ON c.service_func = s.service_func),
+ way AS (SELECT b.*, r.full_path, r.sub_path FROM bridges b JOIN fx_l_route r ON r.controller_func = b.controller_func),
+ met AS (SELECT w.*, c.app, c.api_func FROM way w JOIN clients c ON c.full_path = w.full_path AND c.sub_path = w.sub_path),
+ seen AS (SELECT m.*, u.component FROM met m JOIN fx_l_ui u ON u.app = m.app AND u.api_func = m.api_func),
+ n AS (SELECT e.id, e.path, e.method, (SELECT count(*) FROM bridges b WHERE b.id = e.id) AS services, (SELECT count(*) FROM way b WHERE b.id = e.id) AS routes, (SELECT count(*) FROM met b WHERE b.id = e.id) AS clients,
+  (SELECT count(*) FROM seen b WHERE b.id = e.id) AS usages, coalesce((SELECT list_sort(list(DISTINCT app)) FROM met b WHERE b.id = e.id), CAST([] AS STRING[])) AS apps FROM fx_l_endpoint e),
+ st AS (SELECT *, CASE WHEN usages > 0 THEN 'full_chain' WHEN clients > 0 THEN 'client_api' WHEN routes > 0 THEN 'backend_exposed' WHEN services > 0 THEN 'service_only' ELSE 'unexposed' END AS status FROM n)"""
+_LAYERS = ("fx_l_endpoint", "fx_l_service", "fx_l_controller", "fx_l_route", "fx_l_api", "fx_l_ui")
 
 
-def _chains(t):  # noqa: ANN001, ANN202
-    return lineage.lineage_chains(t("fx_l_endpoint"), t("fx_l_service"), t("fx_l_controller"), t("fx_l_route"), t("fx_l_api"), t("fx_l_ui"))
+def _layers(t):  # noqa: ANN001, ANN202
+    return [t(x) for x in _LAYERS]
 
 
-@query("J4_lineage_chains", f"WITH {_CHAINS} SELECT * FROM chains")
+@query("J4_lineage_chains", f"""
+ WITH {_CHAINS}
+ SELECT e.id, e.path, e.method, e.handler, b.service_func, b.controller_func, r.full_path, c.app, c.api_func, u.component, u.caller FROM fx_l_endpoint e LEFT JOIN bridges b ON b.id = e.id LEFT JOIN fx_l_route r ON r.controller_func = b.controller_func
+ LEFT JOIN clients c ON c.full_path = r.full_path AND c.sub_path = r.sub_path LEFT JOIN fx_l_ui u ON u.app = c.app AND u.api_func = c.api_func""")
 def _(t):
-    return _chains(t)
+    return lineage.lineage_chains(*_layers(t))
 
 
 @query("J5_chain_status", f"WITH {_CHAINS} SELECT * FROM st")
 def _(t):
-    return lineage.chain_status(_chains(t))
+    return lineage.chain_status(*_layers(t))
 
 
 @query("J6_lineage_summary", f"""
- WITH {_CHAINS} SELECT status AS measure, count(*) AS n FROM st GROUP BY 1 UNION ALL SELECT concat('from ', app), count(DISTINCT (path, method)) FROM chains WHERE api_func IS NOT NULL GROUP BY 1""")
+ WITH {_CHAINS} SELECT status AS measure, count(*) AS n FROM st GROUP BY 1 UNION ALL SELECT concat('from ', app), count(DISTINCT id) FROM met GROUP BY 1""")
 def _(t):
-    return lineage.lineage_summary(_chains(t))
+    return lineage.lineage_summary(lineage.chain_status(*_layers(t)))
 
 
-@query("J7_filter_chains", f"WITH {_CHAINS} SELECT path, method, status FROM st WHERE status = 'full_chain' AND path LIKE '/small/%'")
+@query("J7_filter_chains", f"WITH {_CHAINS} SELECT id, status FROM st WHERE status = 'full_chain' AND path LIKE '/small/%' AND id IN (SELECT s.id FROM seen s JOIN fx_l_ui u ON u.app = s.app AND u.api_func = s.api_func WHERE contains(u.caller, 'admin'))")
 def _(t):
-    return lineage.filter_chains(_chains(t), "SMALL", status="full_chain", domain="small").select("path", "method", "status")
+    layers = _layers(t)
+    return lineage.filter_chains(lineage.lineage_chains(*layers), lineage.chain_status(*layers), " useADMIN ", status="full_chain", domain="small").select("id", "status")
 
 
 @query("J9_dedup_ui_usage", "SELECT DISTINCT event_type AS app, user_id % 9 AS component, user_id % 4 AS api_func, CAST(floor(value) AS BIGINT) % 50 AS line FROM events")
