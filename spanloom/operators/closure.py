@@ -153,8 +153,8 @@ def totals_below(nodes: DataFrame, links: DataFrame, values: dict[str, Column],
                 raise ValueError("links form a cycle, or name a child that is no node")
             return state.drop("open", "new")
         up = state.filter("new").withColumnRenamed("node", "child").join(links, "child")
-        come = up.groupBy(F.col("parent").alias("node")).agg(*[F.sum(k).alias(f"_{k}") for k in names], F.count("*").alias("_n"), F.max("height").alias("_h"))
-        add = [(F.col(k) + F.coalesce(f"_{k}", F.lit(0))).cast("decimal(38,0)").alias(k) for k in names]
-        left = F.col("open") - F.coalesce("_n", F.lit(0))
-        state = durable(state.drop("new").join(come, "node", "left").select("node", *add, left.alias("open"), F.greatest("height", F.col("_h") + 1).alias("height"), (F.col("_n").isNotNull() & (left == 0)).alias("new")))
+        come = up.groupBy(F.col("parent").alias("node")).agg(*[F.sum(k).alias(f"_of_{k}") for k in names], F.count("*").alias("_links"), F.max("height").alias("_top"))
+        add = [(F.col(k) + F.coalesce(f"_of_{k}", F.lit(0))).cast("decimal(38,0)").alias(k) for k in names]
+        left = F.col("open") - F.coalesce("_links", F.lit(0))
+        state = durable(state.drop("new").join(come, "node", "left").select("node", *add, left.alias("open"), F.greatest("height", F.col("_top") + 1).alias("height"), (F.col("_links").isNotNull() & (left == 0)).alias("new")))
     raise _over("totals", max_rounds)

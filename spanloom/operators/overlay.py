@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import durable
 from . import paths
+from .events import preview
 from .spans import folded_pairs, interval_labels
 
 
@@ -54,11 +55,29 @@ def function_stats(spans: DataFrame, requests: DataFrame) -> DataFrame:
     return out.select("endpoint_id", "name", "calls", "requests", F.bround(F.col("_total") / F.col("calls"), 1).alias("avg_ms"), "max_ms", "errors")
 
 
+#: Characters that an overlay shows of an argument or a result.
+CLIP = 3000
+
+
+def _call_parts(spans: DataFrame) -> list[Column]:
+    """What is shown of a call: its values clipped, its flags and its error, where spans have them."""
+    out = [F.col(c) for c in ("request_id", "span_id", "ts", "duration_ms", "status")]
+    for c in ("args", "result"):
+        if c in spans.columns:
+            text = F.col(c) if spans.schema[c].dataType.simpleString() == "string" else F.to_json(c)
+            out.append(preview(text, CLIP)["text"].alias(c))
+    return out + [F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("args_truncated", "result_truncated") if c in spans.columns] + [F.col(c) for c in ("exc_type", "message") if c in spans.columns]
+
+
+def _newest() -> Column:
+    """Order of spans by start time (none counts as the oldest), then arrival."""
+    return F.struct(F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0)), "seq")
+
+
 def last_call(spans: DataFrame, requests: DataFrame) -> DataFrame:
-    """Per endpoint and function, its newest span: by start time (none counts as the oldest), then arrival."""
+    """Per endpoint and function, its newest span: by start time (none counts as the oldest), then arrival, with values, flags and error."""
     joined = spans.filter("name IS NOT NULL").join(requests.select("request_id", "endpoint_id"), "request_id")
-    order = F.struct(F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0)), "seq")
-    last = F.max_by(F.struct("request_id", "span_id", "ts", "duration_ms", "status"), order)
+    last = F.max_by(F.struct(*_call_parts(spans)), _newest())
     return joined.groupBy("endpoint_id", "name").agg(last.alias("l")).select("endpoint_id", "name", "l.*")
 
 
@@ -85,38 +104,46 @@ def recent_requests(requests: DataFrame, n: int = 20) -> DataFrame:
     return requests.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
-def endpoint_overlay(spans: DataFrame, requests: DataFrame, armed: DataFrame) -> DataFrame:
+def endpoint_overlay(spans: DataFrame, requests: DataFrame, armed: DataFrame, closure: DataFrame | None = None) -> DataFrame:
     """One row per endpoint: request_count, span_count, functions (map, with each one's last call), confirmed edges
-    (``caller>callee`` of functions of which one ran above the other), the newest 20 requests and the armed functions.
+    (``caller>callee`` of functions of which one ran above the other), the newest 20 requests, the armed functions and, given the
+    static closure (caller, callee), extras: observed direct callees that it lacks, with calls, most called first.
 
     The collections are bounded by the functions of an endpoint, not by its calls.
     """
+    of = requests.select("request_id", "endpoint_id")
     per = requests.groupBy("endpoint_id").agg(F.count("*").alias("request_count"))
-    joined = spans.join(requests.select("request_id", "endpoint_id"), "request_id")
+    joined = spans.join(of, "request_id")
     counts = joined.groupBy("endpoint_id").agg(F.count("*").alias("span_count"))
     stats = function_stats(spans, requests).join(armed.select(F.col("id").alias("name"), F.col("deep").alias("armed_deep")), "name", "left")
-    order = ["endpoint_id", "name"]
-    last = last_call(spans, requests).select(*order, F.struct("request_id", "span_id", "ts", "duration_ms", "status").alias("last"))
-    stats = stats.join(last, order, "left")
-    folded = interval_labels(spans).join(requests.select("request_id", "endpoint_id"), "request_id").select("endpoint_id", "fold", "up", "name")
+    calls = last_call(spans, requests)
+    last = calls.select("endpoint_id", "name", F.struct(*[c for c in calls.columns if c not in ("endpoint_id", "name")]).alias("last"))
+    stats = stats.join(last, ["endpoint_id", "name"], "left")
+    folded = interval_labels(spans).join(of, "request_id").select("endpoint_id", "fold", "up", "name")
     edges = folded_pairs(folded, ("endpoint_id",)).select("endpoint_id", F.concat("caller", F.lit(">"), "callee").alias("edge"))
     edges = edges.groupBy("endpoint_id").agg(F.array_sort(F.collect_list("edge")).alias("confirmed"))
     recent = recent_requests(requests).groupBy("endpoint_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "request_id"))), lambda x: x["request_id"]).alias("recent"))
     functions = stats.groupBy("endpoint_id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("calls", "requests", "avg_ms", "max_ms", "errors", "last")))).alias("functions"), F.array_sort(F.collect_list(F.when(F.col("armed_deep").isNotNull(), F.col("name")))).alias("armed"))
-    return per.join(counts, "endpoint_id", "left").join(functions, "endpoint_id", "left").join(edges, "endpoint_id", "left").join(recent, "endpoint_id", "left").fillna(0, ["span_count"])
+    out = per.join(counts, "endpoint_id", "left").join(functions, "endpoint_id", "left").join(edges, "endpoint_id", "left").join(recent, "endpoint_id", "left")
+    if closure is not None:
+        parents = joined.select("endpoint_id", "request_id", F.col("span_id").alias("parent_span_id"), F.col("name").alias("caller"))
+        direct = joined.join(parents, ["endpoint_id", "request_id", "parent_span_id"]).filter("caller IS NOT NULL AND name IS NOT NULL").groupBy("endpoint_id", "caller", F.col("name").alias("callee")).agg(F.count("*").alias("calls"))
+        more = unexpected_callees(direct, closure)
+        listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("calls")).alias("order"), "caller", "callee", "calls"))), lambda x: x.dropFields("order"))
+        out = out.join(more.groupBy("endpoint_id").agg(listed.alias("extras")), "endpoint_id", "left")
+    return out.fillna(0, ["span_count"])
 
 
 def last_io(spans: DataFrame, name: str) -> DataFrame:
-    """The newest call of a function, in one row."""
-    order = F.struct(F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0)), "seq")
-    newest = spans.filter(F.col("name") == name).groupBy("name").agg(F.max_by(F.struct("request_id", "span_id", "ts", "duration_ms", "status"), order).alias("l"))
+    """The newest call of a function, in one row: args, result, error and flags, clipped."""
+    newest = spans.filter(F.col("name") == name).groupBy("name").agg(F.max_by(F.struct(*_call_parts(spans)), _newest()).alias("l"))
     return newest.select("name", "l.*")
 
 
 def llm_usage(calls: DataFrame) -> DataFrame:
-    """Per model and role: calls, conversations and tokens."""
-    per = calls.groupBy("model", "role", "conv_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
-    return per.groupBy("model", "role").agg(F.sum("n").alias("calls"), F.count("*").alias("conversations"), F.sum("t").alias("tokens"))
+    """Per label and model of model calls (label, model, tokens_in, tokens_out, duration_ms): calls and what they add up to; nulls count 0."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens_in", "tokens_out", "duration_ms")]
+    return calls.groupBy("label", "model").agg(F.count("*").alias("calls"), *sums)
 
 
 def transcripts(calls: DataFrame) -> DataFrame:

@@ -13,32 +13,50 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import durable
 from .closure import totals_below
+from .events import call_count_map
 
 #: Spans of one request that a task walks at a time; larger requests go by joins.
 MAX_GROUP_SPANS = 5000
 
 
+#: Columns of events that a span takes over where they are there: from its start, its end, its error and its model call.
+START_PARTS = ("module", "qualname", "file", "src_line", "args", "args_truncated", "captured")
+END_PARTS, ERROR_PARTS = ("result", "result_truncated"), ("exc_type", "message", "traceback")
+LLM_PARTS = ("label", "model", "tokens_in", "tokens_out")
+
+
 def assemble_spans(ev: DataFrame) -> DataFrame:
-    """One row per (request, span): start and end folded; a span without an end is running, one without a start has has_start false."""
-    fn = ev.filter(F.col("kind").isin("fn.start", "fn.end", "fn.error") & F.col("span_id").isNotNull())
-    start, end = F.col("kind") == "fn.start", F.col("kind") != "fn.start"
+    """One row per (request, span): start and end folded; a span without an end is running, one without a start has has_start false.
+
+    What START_PARTS, END_PARTS, ERROR_PARTS and LLM_PARTS name is taken over from the first start, end, error and model call.
+    """
+    fn = ev.filter(F.col("kind").isin("fn.start", "fn.end", "fn.error", "llm.call") & F.col("span_id").isNotNull())
+    start, error = F.col("kind") == "fn.start", F.col("kind") == "fn.error"
+    end, llm = (F.col("kind") == "fn.end") | error, F.col("kind") == "llm.call"
+    parts = [F.min_by(c, F.when(when, F.col("seq"))).alias(c) for names, when in ((START_PARTS, start), (END_PARTS, end), (ERROR_PARTS, error), (LLM_PARTS, llm)) for c in names if c in ev.columns]
     folded = fn.groupBy("request_id", "span_id").agg(
         F.max_by("parent_span_id", F.when(F.col("parent_span_id").isNotNull(), F.col("seq"))).alias("parent_span_id"),
         F.coalesce(F.max(F.when(start, F.col("name"))), F.max("name")).alias("name"),
         F.max(F.when(start, F.col("ts"))).alias("ts"),
-        F.min("seq").alias("seq"),
+        F.min(F.when(~llm, F.col("seq"))).alias("seq"),
         F.max(F.when(end, F.col("duration_ms"))).alias("duration_ms"),
         F.max(start).alias("has_start"),
-        F.max(F.col("kind") == "fn.error").alias("failed"),
+        F.max(error).alias("failed"),
         F.max(end).alias("ended"),
+        *parts,
     )
     status = F.when(F.col("failed"), "error").when(F.col("ended"), "ok").otherwise("running")
-    return folded.withColumn("status", status).drop("failed", "ended")
+    return folded.filter(F.col("has_start") | F.col("ended")).withColumn("status", status).drop("failed", "ended")
+
 
+def assemble_requests(ev: DataFrame, call_counts: int | None = None) -> DataFrame:
+    """One row per request.start: what the start and the end say, number of spans, and whether it is active.
 
-def assemble_requests(ev: DataFrame) -> DataFrame:
-    """One row per request.start: what the start and the end say, number of spans, and whether it is active."""
+    route and handler are taken over where events have them. With call_counts, a map of the calls of each request's most called
+    functions, so many of them.
+    """
     start, end = F.col("kind") == "request.start", F.col("kind") == "request.end"
+    parts = [F.max(F.when(end, F.col(c))).alias(c) for c in ("route", "handler") if c in ev.columns]
     folded = ev.filter("request_id IS NOT NULL").groupBy("request_id").agg(
         F.max(F.when(start, F.col("method"))).alias("method"),
         F.max(F.when(start, F.col("path"))).alias("path"),
@@ -50,8 +68,10 @@ def assemble_requests(ev: DataFrame) -> DataFrame:
         F.max(F.col("kind") == "fn.error").alias("raised"),
         F.max(start).alias("_started"),
         (~F.max(end)).alias("active"),
+        *parts,
     )
-    return folded.filter("_started").drop("_started")
+    out = folded.filter("_started").drop("_started")
+    return out if call_counts is None else out.join(call_count_map(ev, call_counts), "request_id", "left")
 
 
 def effective_status(requests: DataFrame) -> DataFrame:
@@ -314,9 +334,12 @@ def nested_loops(spans: DataFrame, loops: DataFrame) -> DataFrame:
 
 
 def search_spans(spans: DataFrame, needle: str) -> DataFrame:
-    """Spans with the text in their name or id: (request_id, span_id, name, hit from 1 in the request, is_first)."""
+    """Spans with the text in their name, id, or label and model of their model call: (request_id, span_id, name, hit from 1 in the request, is_first)."""
     q = needle.strip().lower()
-    hit = F.contains(F.lower("name"), F.lit(q)) | F.contains(F.lower("span_id"), F.lit(q))
+    hit = F.lit(False)
+    for c in ("name", "span_id", "qualname", "label", "model"):
+        if c in spans.columns:
+            hit = hit | F.coalesce(F.contains(F.lower(c), F.lit(q)), F.lit(False))
     n = F.row_number().over(W.partitionBy("request_id").orderBy("seq", "span_id"))
     return spans.filter(hit).withColumn("hit", n).select("request_id", "span_id", "name", "hit", (F.col("hit") == 1).alias("is_first"))
 

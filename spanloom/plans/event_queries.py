@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.tables import shared_dir
-from ..operators import events, overlay, spans
+from ..operators import events, graph, overlay, spans
 from ..sources import batches
 from .fixtures import Tables, with_views
 
@@ -170,6 +170,38 @@ def _(t):
     return spans.assemble_requests(t("fx_events"))
 
 
+_FULL = """
+ f AS (SELECT request_id, span_id, max(CASE WHEN kind = 'fn.start' THEN name END) AS name, min(CASE WHEN kind <> 'llm.call' THEN seq END) AS seq, max(CASE WHEN kind = 'fn.start' THEN ts END) AS ts, max(duration_ms) AS duration_ms,
+  CASE WHEN max(CASE WHEN kind = 'fn.error' THEN 1 ELSE 0 END) = 1 THEN 'error' WHEN max(CASE WHEN kind = 'fn.end' THEN 1 ELSE 0 END) = 1 THEN 'ok' ELSE 'running' END AS status, max(file) AS file, max(src_line) AS src_line,
+  max(args) AS args, bool_or(args_truncated) AS args_truncated, max(result) AS result, bool_or(result_truncated) AS result_truncated, max(exc_type) AS exc_type, max(message) AS message, max(label) AS label, max(model) AS model
+  FROM fx_events_full WHERE kind IN ('fn.start', 'fn.end', 'fn.error', 'llm.call') GROUP BY 1, 2)"""
+_SHOWN = """request_id, span_id, ts, duration_ms, status, CASE WHEN length(args) > 3000 THEN concat(substr(args, 1, 3000), '…') ELSE args END AS args, CASE WHEN length(result) > 3000 THEN concat(substr(result, 1, 3000), '…') ELSE result END AS result,
+  coalesce(args_truncated, false) AS args_truncated, coalesce(result_truncated, false) AS result_truncated, exc_type, message"""
+
+
+@query("C1_span_parts", f"WITH {_FULL} SELECT request_id, span_id, name, status, file, src_line, args, args_truncated, result, result_truncated, exc_type, message, label, model FROM f")
+def _(t):
+    return spans.assemble_spans(t("fx_events_full")).select("request_id", "span_id", "name", "status", "file", "src_line", "args", "args_truncated", "result", "result_truncated", "exc_type", "message", "label", "model")
+
+
+@query("C2_request_parts", """
+ WITH c AS (SELECT request_id, name, count(*) AS n, min(seq) AS s FROM fx_events WHERE kind = 'fn.start' GROUP BY 1, 2),
+ k AS (SELECT request_id, list_sort(list(concat(name, '=', CAST(n AS STRING)))) AS calls FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY n DESC, s) AS r FROM c) x WHERE r <= 3 GROUP BY 1),
+ q AS (SELECT request_id, max(route) AS route, max(handler) AS handler, bool_or(kind = 'request.start') AS started FROM fx_events_full GROUP BY 1)
+ SELECT q.request_id, route, handler, calls FROM q LEFT JOIN k ON k.request_id = q.request_id WHERE started""")
+def _(t):
+    out = spans.assemble_requests(t("fx_events_full"), call_counts=3)
+    listed = F.array_sort(F.transform(F.map_entries("call_counts"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))))
+    return out.select("request_id", "route", "handler", listed.alias("calls"))
+
+
+@query("C15_search_calls", f"""
+ WITH {_FULL} SELECT request_id, span_id, name, hit, hit = 1 AS is_first FROM (
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY seq, span_id) AS hit FROM f WHERE contains(lower(coalesce(name, '')), 'sp_1') OR contains(span_id, 'sp_1') OR contains(lower(coalesce(label, '')), 'sp_1') OR contains(coalesce(model, ''), 'sp_1')) x""")
+def _(t):
+    return spans.search_spans(spans.assemble_spans(t("fx_events_full")), "SP_1")
+
+
 @query("C3_effective_status", f"WITH {_REQUESTS} SELECT request_id, coalesce(status, CASE WHEN raised THEN 500 ELSE 200 END) AS effective_status FROM requests")
 def _(t):
     return spans.effective_status(spans.assemble_requests(t("fx_events"))).select("request_id", "effective_status")
@@ -274,11 +306,11 @@ def _(t):
 
 
 @query("D3_last_call", f"""
- WITH {_SPANS}, {_REQUESTS}, {_MATCHED}
- SELECT endpoint_id, name, request_id, span_id, ts, duration_ms, status FROM (
-  SELECT m.endpoint_id, s.*, row_number() OVER (PARTITION BY endpoint_id, s.name ORDER BY s.ts DESC NULLS LAST, s.seq DESC) AS k FROM spans s JOIN matched m ON m.request_id = s.request_id) x WHERE k = 1""")
+ WITH {_FULL}, {_REQUESTS}, {_MATCHED}
+ SELECT endpoint_id, name, {_SHOWN} FROM (
+  SELECT m.endpoint_id, f.*, row_number() OVER (PARTITION BY endpoint_id, f.name ORDER BY f.ts DESC NULLS LAST, f.seq DESC) AS k FROM f JOIN matched m ON m.request_id = f.request_id) x WHERE k = 1""")
 def _(t):
-    return overlay.last_call(spans.assemble_spans(t("fx_events")), _matched(t))
+    return overlay.last_call(spans.assemble_spans(t("fx_events_full")), _matched(t))
 
 
 @query("D4_confirmed_edges", f"""
@@ -314,23 +346,41 @@ def _(t):
 
 
 @query("D8_endpoint_overlay", f"""
- WITH {_SPANS}, {_REQUESTS}, {_MATCHED}
- SELECT m.endpoint_id, count(DISTINCT m.request_id) AS request_count, count(s.span_id) AS span_count, count(DISTINCT s.name) AS n_functions,
-  list_sort(list(DISTINCT s.name) FILTER (s.name IN (SELECT id FROM fx_selection))) AS armed
- FROM matched m LEFT JOIN spans s ON s.request_id = m.request_id GROUP BY 1""")
+ WITH RECURSIVE {_PAIRS}, {_FULL}, {_REQUESTS}, {_MATCHED},
+ own AS (SELECT m.endpoint_id, f.* FROM f JOIN matched m ON m.request_id = f.request_id),
+ st AS (SELECT endpoint_id, name, concat_ws('|', name, count(*), count(DISTINCT request_id), CAST(max(coalesce(duration_ms, 0)) AS STRING), count(*) FILTER (status = 'error')) AS line FROM own GROUP BY 1, 2),
+ lc AS (SELECT endpoint_id, name, concat_ws('|', request_id, span_id, coalesce(exc_type, '-'), length(coalesce(args, ''))) AS line FROM (SELECT *, row_number() OVER (PARTITION BY endpoint_id, name ORDER BY ts DESC NULLS LAST, seq DESC) AS k FROM (SELECT * REPLACE (CASE WHEN length(args) > 3000 THEN concat(substr(args, 1, 3000), '…') ELSE args END AS args) FROM own) y) x WHERE k = 1),
+ fu AS (SELECT endpoint_id, list_sort(list(concat(st.line, '|', lc.line))) AS functions, list_sort(list(name) FILTER (name IN (SELECT id FROM fx_selection))) AS armed FROM st JOIN lc USING (endpoint_id, name) GROUP BY 1),
+ co AS (SELECT endpoint_id, list_sort(list(DISTINCT concat(a.name, '>', d.name))) AS confirmed FROM pairs p JOIN matched m ON m.request_id = p.request_id JOIN fx_tree a ON a.request_id = p.request_id AND a.span_id = p.ancestor JOIN fx_tree d ON d.request_id = p.request_id AND d.span_id = p.descendant GROUP BY 1),
+ re AS (SELECT endpoint_id, list(request_id ORDER BY ts DESC NULLS LAST, request_id) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY endpoint_id ORDER BY ts DESC NULLS LAST, request_id) AS r FROM (SELECT * EXCLUDE (k) FROM matched) m) x WHERE r <= 20 GROUP BY 1),
+ cl AS (SELECT DISTINCT caller, callee FROM fx_static_edges UNION SELECT c.caller, e.callee FROM cl c JOIN fx_static_edges e ON e.caller = c.callee),
+ di AS (SELECT m.endpoint_id, p.name AS caller, t.name AS callee, count(*) AS calls FROM fx_tree t JOIN fx_tree p ON p.request_id = t.request_id AND p.span_id = t.parent_span_id JOIN matched m ON m.request_id = t.request_id GROUP BY 1, 2, 3),
+ ex AS (SELECT endpoint_id, list(concat(caller, '>', callee, '=', calls) ORDER BY calls DESC, caller, callee) AS extras FROM di WHERE caller <> callee AND caller IN (SELECT caller FROM cl) AND NOT EXISTS (SELECT 1 FROM cl WHERE cl.caller = di.caller AND cl.callee = di.callee) GROUP BY 1)
+ SELECT m.endpoint_id, count(*) AS request_count, (SELECT count(*) FROM own o WHERE o.endpoint_id = m.endpoint_id) AS span_count, any_value(functions) AS functions, any_value(armed) AS armed, any_value(confirmed) AS confirmed, any_value(recent) AS recent, any_value(extras) AS extras
+ FROM matched m LEFT JOIN fu USING (endpoint_id) LEFT JOIN co USING (endpoint_id) LEFT JOIN re USING (endpoint_id) LEFT JOIN ex USING (endpoint_id) GROUP BY 1""")
 def _(t):
-    out = overlay.endpoint_overlay(spans.assemble_spans(t("fx_events")), _matched(t), t("fx_selection"))
-    return out.select("endpoint_id", "request_count", "span_count", F.size("functions").cast("long").alias("n_functions"), "armed")
+    static = t("fx_static_edges")
+    closure = graph.reach(static, static.select(F.col("caller").alias("root")).distinct()).filter("root <> function").select(F.col("root").alias("caller"), F.col("function").alias("callee"))
+    out = overlay.endpoint_overlay(spans.assemble_spans(t("fx_events_full")), _matched(t), t("fx_selection"), closure)
+    text = lambda *c: F.concat_ws("|", *[F.coalesce(x.cast("string"), F.lit("-")) for x in c])
+    line = lambda e: text(e["key"], e["value"]["calls"], e["value"]["requests"], e["value"]["max_ms"], e["value"]["errors"], e["value"]["last"]["request_id"], e["value"]["last"]["span_id"], e["value"]["last"]["exc_type"], F.length(F.coalesce(e["value"]["last"]["args"], F.lit(""))))
+    functions = F.array_sort(F.transform(F.map_entries("functions"), line))
+    extras = F.transform("extras", lambda x: F.concat(x["caller"], F.lit(">"), x["callee"], F.lit("="), x["calls"].cast("string")))
+    return out.select("endpoint_id", "request_count", "span_count", functions.alias("functions"), "armed", "confirmed", "recent", extras.alias("extras"))
 
 
-@query("D9_last_io", f"WITH {_SPANS} SELECT name, request_id, span_id, ts, duration_ms, status FROM spans WHERE name = 'svc.error:run' ORDER BY ts DESC, seq DESC LIMIT 1")
+@query("D9_last_io", f"WITH {_FULL} SELECT name, {_SHOWN} FROM f WHERE name = 'svc.error:run' ORDER BY ts DESC, seq DESC LIMIT 1")
 def _(t):
-    return overlay.last_io(spans.assemble_spans(t("fx_events")), "svc.error:run")
+    return overlay.last_io(spans.assemble_spans(t("fx_events_full")), "svc.error:run")
+
+
+_CALLS = "SELECT concat('l', CAST(conv_id % 4 AS STRING)) AS label, model, CASE WHEN role = 'user' THEN tokens END AS tokens_in, CASE WHEN role <> 'user' THEN tokens END AS tokens_out, length(text) % 1000 AS duration_ms FROM fx_llm"
 
 
-@query("D10_llm_usage", "SELECT model, role, count(*) AS calls, count(DISTINCT conv_id) AS conversations, CAST(sum(tokens) AS BIGINT) AS tokens FROM fx_llm GROUP BY 1, 2")
+@query("D10_llm_usage", f"""
+ SELECT label, model, count(*) AS calls, CAST(coalesce(sum(tokens_in), 0) AS BIGINT) AS tokens_in, CAST(coalesce(sum(tokens_out), 0) AS BIGINT) AS tokens_out, CAST(sum(duration_ms) AS BIGINT) AS duration_ms FROM ({_CALLS}) c GROUP BY 1, 2""")
 def _(t):
-    return overlay.llm_usage(t("fx_llm"))
+    return overlay.llm_usage(t.sql(_CALLS))
 
 
 @query("D10_transcripts", "SELECT conv_id, count(*) AS n_turns, list(role ORDER BY turn) AS roles, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM fx_llm GROUP BY 1")

@@ -24,6 +24,14 @@ VIEWS: dict[str, str] = {
  UNION ALL SELECT 'request.end', request_id, NULL, NULL, CAST(user_id * 100000 + 99999 AS BIGINT), ts, NULL, NULL, NULL, duration_ms, CAST(status AS INT) FROM fx_requests WHERE user_id % 10 <> 9
  UNION ALL SELECT 'fn.start', concat('req_', CAST(user_id AS STRING)), concat('sp_', CAST(span_no AS STRING)), CASE WHEN parent_no IS NULL THEN NULL ELSE concat('sp_', CAST(parent_no AS STRING)) END, CAST(user_id * 100000 + 2 * span_no AS BIGINT), ts, NULL, NULL, name, NULL, NULL FROM fx_spans
  UNION ALL SELECT CASE WHEN status = 'error' THEN 'fn.error' ELSE 'fn.end' END, concat('req_', CAST(user_id AS STRING)), concat('sp_', CAST(span_no AS STRING)), CASE WHEN parent_no IS NULL THEN NULL ELSE concat('sp_', CAST(parent_no AS STRING)) END, CAST(user_id * 100000 + 2 * span_no + 1 AS BIGINT), ts, NULL, NULL, name, duration_ms, NULL FROM fx_spans WHERE event_id % 97 <> 0""",
+    "fx_events_full": """
+ SELECT e.*, CASE WHEN kind = 'fn.start' THEN concat('app/', replace(name, ':', '/'), '.py') END AS file, CASE WHEN kind = 'fn.start' THEN CAST(seq % 97 AS INT) END AS src_line,
+  CASE WHEN kind = 'fn.start' THEN repeat(concat(span_id, ' '), CAST(seq % 5 AS INT) * 300) END AS args, CASE WHEN kind = 'fn.start' THEN seq % 5 = 4 END AS args_truncated, CASE WHEN kind = 'fn.end' THEN repeat('ok ', CAST(seq % 7 AS INT) * 300) END AS result,
+  CASE WHEN kind = 'fn.end' THEN seq % 7 = 6 END AS result_truncated, CASE WHEN kind = 'fn.error' THEN 'ValueError' END AS exc_type, CASE WHEN kind = 'fn.error' THEN concat('boom ', span_id) END AS message,
+  CASE WHEN kind = 'request.end' THEN concat('/route/', CAST(duration_ms % 5 AS STRING)) END AS route, CASE WHEN kind = 'request.end' THEN 'api.root:handler' END AS handler, CAST(NULL AS STRING) AS label, CAST(NULL AS STRING) AS model FROM fx_events e
+ UNION ALL SELECT 'llm.call', request_id, span_id, parent_span_id, seq + 1, ts, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, concat('ask ', span_id), concat('m', CAST(seq % 3 AS STRING)) FROM fx_events WHERE kind = 'fn.start' AND seq % 6 = 0""",
+    "fx_static_edges": """
+ SELECT DISTINCT p.name AS caller, t.name AS callee FROM fx_tree t JOIN fx_tree p ON p.request_id = t.request_id AND p.span_id = t.parent_span_id WHERE t.name <> 'svc.error:run' AND p.name <> 'svc.click:run'""",
     "fx_events_dup": """
  SELECT *, 1 AS copy FROM fx_events UNION ALL SELECT *, 2 AS copy FROM fx_events WHERE seq % 11 = 0
  UNION ALL SELECT 'log', request_id, NULL, NULL, NULL, ts, NULL, NULL, NULL, NULL, NULL, 1 FROM fx_requests

@@ -112,7 +112,10 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def stream_dedup(stream: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """The first of each (request, span, kind, seq) inside the watermark, whose keys then leave the state, and all rows without a seq."""
+    """The first of each (request, span, kind, seq) inside the watermark, whose keys then leave the state, and all rows without a seq.
+
+    The two kinds of rows are branches of one query, whose watermark is that of the slower one.
+    """
     keyed = stream.filter("seq IS NOT NULL").withWatermark("ts", watermark)
     return keyed.dropDuplicatesWithinWatermark(["request_id", "span_id", "kind", "seq"]).unionByName(stream.filter("seq IS NULL").withWatermark("ts", watermark))
 
