@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import builtins
 import difflib
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -16,8 +17,16 @@ from ..functions.tables import durable
 
 #: Module heads that are no source.
 NON_SOURCE = ("tests", "test", "scripts", "migrations", "alembic", "docs", "conftest")
-#: Callees too common to say anything, dropped from call resolution.
-BUILTINS = "print len str int float bool list dict set tuple sorted range enumerate zip isinstance getattr hasattr setattr super min max sum any all repr type id iter next open format abs round map filter reversed".split()
+#: Callees that say nothing: the language's own names.
+BUILTINS = sorted(n for n in dir(builtins) if not n.startswith("_"))
+#: Methods of common values (text, lists, maps, loggers, models, patterns), no calls of the project.
+NOISE_ATTRS = tuple(
+    "join split rsplit strip lstrip rstrip format lower upper startswith endswith replace encode decode title capitalize splitlines partition casefold "
+    "append extend insert pop remove clear copy get items keys values update setdefault add discard sort reverse index count union intersection "
+    "difference popitem fromkeys isupper islower isdigit isalpha isalnum isspace find rfind zfill ljust rjust center swapcase removeprefix "
+    "removesuffix isnumeric isidentifier translate expandtabs debug info warning warn error exception critical log model_dump model_dump_json "
+    "model_validate model_copy dict json group groups groupdict match search fullmatch findall finditer sub subn".split()
+)
 
 
 def _per_file(files: DataFrame, rows: Callable[[str, str], Iterator[tuple]], schema: str) -> DataFrame:
@@ -167,7 +176,10 @@ def scan_steps(files: DataFrame) -> DataFrame:
 
 
 def resolve_calls(steps: DataFrame, resolved: DataFrame, functions: DataFrame) -> DataFrame:
-    """Call steps with target and how: a function of the module, an import's function, a class, something external, or unresolved with a reason."""
+    """Call steps with target and how: a function of the module, an import's function, a class, something external, or unresolved with a reason.
+
+    Names of the language go, as do methods of common values whose receiver nothing is known of.
+    """
     calls = steps.filter(F.col("kind").isin("call", "callback")).filter(~F.col("callee").isin(*BUILTINS))
     head, rest = F.substring_index("callee", ".", 1), F.regexp_replace("callee", r"^[^.]*\.?", "")
     calls = calls.withColumns({"_head": head, "_rest": rest})
@@ -184,14 +196,22 @@ def resolve_calls(steps: DataFrame, resolved: DataFrame, functions: DataFrame) -
     how = F.when(kind == "class", "class").when(F.col("_t1").isNotNull(), "local").when(F.col("_t2").isNotNull(), "import").when(F.col("target_module").isNotNull() & F.col("found_module").isNull(), "external").otherwise("unresolved")
     target = F.coalesce("_t1", "_t2", F.when(F.col("found_module").isNull() & F.col("target_module").isNotNull(), F.concat_ws(".", "target_module", F.nullif(F.col("_rest"), F.lit("")))))
     reason = F.when(how == "unresolved", F.when(F.col("_head").isin("self", "cls"), "no such method here").when(F.col("callee").contains("."), "receiver is a value").otherwise("no such name"))
-    return j.select("module", "function", "step_id", "callee", "role", "awaited", "line", how.alias("how"), target.alias("target"), reason.alias("reason"))
+    noise = (how == "unresolved") & F.contains(F.col("callee"), F.lit(".")) & F.substring_index("callee", ".", -1).isin(*NOISE_ATTRS)
+    return j.filter(~noise).select("module", "function", "step_id", "callee", "role", "awaited", "line", how.alias("how"), target.alias("target"), reason.alias("reason"))
 
 
 def merge_adjacent_calls(nodes: DataFrame) -> DataFrame:
-    """Runs of siblings (tree_id, parent_id, ordinal) equal in kind, name, edge and op become one node with a count; other kinds stay."""
+    """Runs of siblings (tree_id, parent_id, ordinal) equal in kind, name, edge and op become one node with a count; other kinds stay.
+
+    Where nodes have `fields` (array), those of a run are united, each once, in order.
+    """
     own, alike = W.partitionBy("tree_id", "parent_id").orderBy("ordinal"), W.partitionBy("tree_id", "parent_id", "kind", "name", "edge", "op").orderBy("ordinal")
     run = F.when(F.col("kind").isin("external", "class", "unresolved", "db"), F.row_number().over(own) - F.row_number().over(alike)).otherwise(-F.row_number().over(own))
-    return nodes.withColumn("_run", run).groupBy("tree_id", "parent_id", "kind", "name", "edge", "op", "_run").agg(F.min("ordinal").alias("ordinal"), F.count("*").alias("count")).drop("_run")
+    merged = [F.min("ordinal").alias("ordinal"), F.count("*").alias("count")]
+    if "fields" in nodes.columns:
+        inner = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "fields"))), lambda x: F.coalesce(x["fields"], F.array().cast("array<string>")))
+        merged.append(F.array_distinct(F.flatten(inner)).alias("fields"))
+    return nodes.withColumn("_run", run).groupBy("tree_id", "parent_id", "kind", "name", "edge", "op", "_run").agg(*merged).drop("_run")
 
 
 def scan_route_decls(files: DataFrame) -> DataFrame:

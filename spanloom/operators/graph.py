@@ -216,9 +216,15 @@ def recursive_edges(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
 
 
 def search_tree(nodes: DataFrame, query: str) -> DataFrame:
-    """(tree_id, path, is_hit): nodes with the text in their name, and their ancestors, which are the prefixes of their paths."""
-    q = query.strip().lower()
-    hits = nodes.filter(F.contains(F.lower("name"), F.lit(q)))
+    """(tree_id, path, is_hit): nodes with the text in any of their texts, and their ancestors, which are the prefixes of their paths.
+
+    Looked at are name, function_id, label, call_expr and external, where nodes have them; the root of a tree is no hit.
+    """
+    q, hit = query.strip().lower(), F.lit(False)
+    for c in ("name", "function_id", "label", "call_expr", "external"):
+        if c in nodes.columns:
+            hit = hit | F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit(q)), F.lit(False))
+    hits = nodes.filter(hit & F.contains("path", F.lit(".")))
     parts = F.split("path", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
     every = hits.select("tree_id", F.col("path").alias("_hit"), F.explode(prefixes).alias("path"))

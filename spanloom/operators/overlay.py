@@ -111,6 +111,7 @@ def endpoint_overlay(spans: DataFrame, requests: DataFrame, armed: DataFrame, cl
 
     The collections are bounded by the functions of an endpoint, not by its calls.
     """
+    spans, requests = durable(spans), durable(requests)  # each is read by all the parts below
     of = requests.select("request_id", "endpoint_id")
     per = requests.groupBy("endpoint_id").agg(F.count("*").alias("request_count"))
     joined = spans.join(of, "request_id")

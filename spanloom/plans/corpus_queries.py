@@ -198,14 +198,16 @@ def _(t):
     return catalog.resolve_calls(catalog.scan_steps(files), resolved, catalog.scan_functions(files)).select("module", "callee", "how", "target")
 
 
-_STEPS = " nd AS (SELECT user_id AS tree_id, user_id % 3 AS parent_id, event_id AS ordinal, CASE WHEN user_id % 7 = 0 THEN 'function' ELSE 'external' END AS kind, event_type AS name, 'call' AS edge, 'x' AS op FROM events)"
+_STEPS = " nd AS (SELECT user_id AS tree_id, user_id % 3 AS parent_id, event_id AS ordinal, CASE WHEN user_id % 7 = 0 THEN 'function' ELSE 'external' END AS kind, event_type AS name, 'call' AS edge, 'x' AS op, [concat('f', CAST(event_id % 3 AS STRING)), concat('f', CAST(event_id % 2 AS STRING))] AS fields FROM events)"
 
 
 @query("F12_merge_adjacent_calls", f"""
  WITH {_STEPS}, r AS (SELECT *, CASE WHEN kind = 'external' THEN row_number() OVER (PARTITION BY tree_id, parent_id ORDER BY ordinal) - row_number() OVER (PARTITION BY tree_id, parent_id, kind, name ORDER BY ordinal) ELSE -row_number() OVER (PARTITION BY tree_id, parent_id ORDER BY ordinal) END AS run FROM nd)
- SELECT tree_id, parent_id, kind, name, edge, op, min(ordinal) AS ordinal, count(*) AS count FROM r GROUP BY tree_id, parent_id, kind, name, edge, op, run""")
+ SELECT tree_id, parent_id, kind, name, edge, op, min(ordinal) AS ordinal, count(*) AS count,
+  list_reduce(flatten(list(fields ORDER BY ordinal)), lambda s, x: CASE WHEN contains(concat(s, ' '), concat(x, ' ')) THEN s ELSE concat(s, ' ', x) END) AS fields FROM r GROUP BY tree_id, parent_id, kind, name, edge, op, run""")
 def _(t):
-    return catalog.merge_adjacent_calls(t.sql(f"WITH {_STEPS} SELECT * FROM nd"))
+    nodes = t.sql(f"WITH {_STEPS} SELECT * FROM nd".replace("[concat", "array(concat").replace("AS STRING))] AS fields", "AS STRING))) AS fields"))
+    return catalog.merge_adjacent_calls(nodes).withColumn("fields", F.array_join("fields", " "))
 
 
 @query("F13_scan_route_decls", """

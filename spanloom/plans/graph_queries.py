@@ -236,7 +236,7 @@ def _(t):
  WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY request_id, parent_span_id ORDER BY seq, span_id) AS ordinal FROM fx_tree),
  p AS (SELECT request_id, span_id, name, CAST(ordinal AS STRING) AS path FROM o WHERE parent_span_id IS NULL
   UNION ALL SELECT o.request_id, o.span_id, o.name, concat(p.path, '.', CAST(o.ordinal AS STRING)) FROM p JOIN o ON o.request_id = p.request_id AND o.parent_span_id = p.span_id),
- h AS (SELECT * FROM p WHERE contains(lower(name), 'error'))
+ h AS (SELECT * FROM p WHERE contains(path, '.') AND (contains(lower(name), 'error') OR contains(concat('call_', span_id), 'error') OR contains(concat('ext.', span_id, '.error'), 'p_2.error')))
  SELECT DISTINCT p.request_id AS tree_id, p.path, p.path IN (SELECT path FROM h h2 WHERE h2.request_id = p.request_id) AS is_hit
  FROM p JOIN h ON h.request_id = p.request_id AND (h.path = p.path OR starts_with(h.path, concat(p.path, '.')))""")
 def _(t):
@@ -245,8 +245,9 @@ def _(t):
     tree = t("fx_tree")
     key = F.array_join(F.transform(F.split("sort_key", r"\."), lambda x: x.cast("int").cast("string")), ".")
     paths = spans.span_path(tree).select("request_id", "span_id", key.alias("path"))
-    nodes = paths.join(tree.select("request_id", "span_id", "name"), ["request_id", "span_id"]).withColumnRenamed("request_id", "tree_id")
-    return graph.search_tree(nodes, "error")
+    texts = [F.concat(F.lit("call_"), "span_id").alias("call_expr"), F.when(F.col("span_id").endswith("p_2"), F.concat(F.lit("ext."), "span_id", F.lit(".Error"))).alias("external")]
+    nodes = paths.join(tree.select("request_id", "span_id", "name", *texts), ["request_id", "span_id"]).withColumnRenamed("request_id", "tree_id")
+    return graph.search_tree(nodes, " ERROR ")
 
 
 # -- data access ---------------------------------------------------------------------------------------------------
@@ -463,42 +464,74 @@ def _(t):
 
 
 _SCHEMAS = """
- doc AS (SELECT DISTINCT p_brand AS table_id, p_type AS field FROM part WHERE p_size < 20 AND p_brand <> 'Brand#7'),
- inf AS (SELECT DISTINCT p_brand AS table_id, p_type AS field, CASE WHEN p_brand < 'Brand#2' THEN 'model' ELSE 'query' END AS source FROM part WHERE p_size > 47)"""
+ doc AS (SELECT DISTINCT concat(CASE WHEN p_brand < 'Brand#3' THEN 'mongo:' ELSE 'neo4j:' END, p_brand) AS table_id, p_type AS field FROM part WHERE p_size < 20 AND p_brand <> 'Brand#17' AND p_brand <> 'Brand#37'),
+ inf AS (SELECT DISTINCT concat(CASE WHEN p_brand < 'Brand#3' THEN 'mongo:' ELSE 'neo4j:' END, p_brand) AS table_id, p_type AS field, CASE WHEN p_brand < 'Brand#2' THEN 'model' ELSE 'query' END AS source FROM part WHERE p_size > 47),
+ rel AS (SELECT concat(CASE WHEN p_brand < 'Brand#3' THEN 'mongo:' ELSE 'neo4j:' END, p_brand) AS source, concat('neo4j:Brand#', CAST(p_size AS STRING)) AS target, CASE WHEN p_size % 2 = 0 THEN 'exact' ELSE 'inferred' END AS confidence FROM part),
+ acc AS (SELECT concat(CASE WHEN p_brand < 'Brand#3' THEN 'mongo:' ELSE 'neo4j:' END, p_brand) AS table_id, p_partkey AS function_id, CASE p_size % 4 WHEN 0 THEN 'read' WHEN 1 THEN 'write' WHEN 2 THEN 'upsert' ELSE 'delete' END AS op, concat('m', CAST(p_size % 6 AS STRING)) AS method, p_size % 9 AS root, p_type AS name FROM part WHERE p_size % 5 <> 0)"""
+
+
+def _schema(t, name: str):  # noqa: ANN001, ANN202
+    return t.sql(f"WITH {_SCHEMAS} SELECT * FROM {name}")
 
 
 @query("I12_merge_schema", f"""
- WITH {_SCHEMAS}
+ WITH {_SCHEMAS}, x AS (SELECT table_id, field FROM inf UNION SELECT table_id, '_id' FROM inf WHERE starts_with(table_id, 'mongo:') AND table_id NOT IN (SELECT table_id FROM doc))
  SELECT table_id, field, 'documented' AS origin FROM doc UNION ALL
- SELECT i.table_id, i.field, CASE WHEN i.table_id IN (SELECT table_id FROM doc) THEN 'inferred' ELSE 'code only' END FROM inf i WHERE NOT EXISTS (SELECT 1 FROM doc d WHERE d.table_id = i.table_id AND d.field = i.field)""")
+ SELECT i.table_id, i.field, CASE WHEN i.table_id IN (SELECT table_id FROM doc) THEN 'inferred' ELSE 'code only' END FROM x i WHERE NOT EXISTS (SELECT 1 FROM doc d WHERE d.table_id = i.table_id AND d.field = i.field)""")
+def _(t):
+    return dataaccess.merge_schema(_schema(t, "doc"), _schema(t, "inf"))
+
+
+@query("I12_links", f"""
+ WITH {_SCHEMAS}, ids AS (SELECT table_id FROM doc UNION SELECT table_id FROM inf)
+ SELECT i.table_id, count(DISTINCT function_id) AS functions, count(DISTINCT root) AS endpoints, count(DISTINCT CASE WHEN root = 3 THEN name END) AS indexes FROM ids i LEFT JOIN acc a ON a.table_id = i.table_id GROUP BY 1""")
 def _(t):
-    return dataaccess.merge_schema(t.sql(f"WITH {_SCHEMAS} SELECT * FROM doc"), t.sql(f"WITH {_SCHEMAS} SELECT * FROM inf"))
+    access = _schema(t, "acc")
+    return dataaccess.merge_links(_schema(t, "doc"), _schema(t, "inf"), access, access, access.filter("root = 3"))
+
+
+@query("I12_relationships", f"WITH {_SCHEMAS} SELECT source, target, confidence, count(*) AS n FROM rel WHERE source IN (SELECT table_id FROM doc) AND target IN (SELECT table_id FROM doc) GROUP BY 1, 2, 3")
+def _(t):
+    return dataaccess.merge_relationships(_schema(t, "rel"), _schema(t, "doc")).groupBy("source", "target", "confidence").agg(F.count("*").alias("n"))
 
 
 @query("I13_schema_audit", f"""
  WITH {_SCHEMAS}
- SELECT DISTINCT 'unused' AS problem, table_id, CAST(NULL AS STRING) AS field FROM doc WHERE table_id NOT IN (SELECT table_id FROM inf)
- UNION ALL SELECT DISTINCT 'undocumented', table_id, NULL FROM inf WHERE table_id NOT IN (SELECT table_id FROM doc)
- UNION ALL SELECT 'stale', table_id, field FROM doc d WHERE table_id IN (SELECT table_id FROM inf WHERE source = 'model') AND NOT EXISTS (SELECT 1 FROM inf i WHERE i.table_id = d.table_id AND i.field = d.field)""")
+ SELECT DISTINCT 'unused' AS problem, table_id, CAST(NULL AS STRING) AS field, true AS exact FROM doc WHERE table_id NOT IN (SELECT table_id FROM inf)
+ UNION ALL SELECT DISTINCT 'undocumented', table_id, NULL, true FROM inf WHERE table_id NOT IN (SELECT table_id FROM doc)
+ UNION ALL SELECT 'stale', table_id, field, table_id IN (SELECT table_id FROM inf WHERE source = 'model') FROM doc d WHERE table_id IN (SELECT table_id FROM inf) AND NOT EXISTS (SELECT 1 FROM inf i WHERE i.table_id = d.table_id AND i.field = d.field)""")
+def _(t):
+    return dataaccess.schema_audit(_schema(t, "doc"), _schema(t, "inf"))
+
+
+@query("I13_audit_counts", f"""
+ WITH {_SCHEMAS} SELECT 'documented tables' AS measure, count(DISTINCT table_id) AS n FROM doc UNION ALL SELECT 'code tables', count(DISTINCT table_id) FROM inf UNION ALL SELECT 'tables with inferred fields', count(DISTINCT table_id) FROM inf WHERE source <> 'model'
+ UNION ALL SELECT concat(confidence, ' relations'), count(*) FROM rel GROUP BY confidence""")
 def _(t):
-    return dataaccess.schema_audit(t.sql(f"WITH {_SCHEMAS} SELECT * FROM doc"), t.sql(f"WITH {_SCHEMAS} SELECT * FROM inf"))
+    return dataaccess.audit_counts(_schema(t, "doc"), _schema(t, "inf"), _schema(t, "rel"))
 
 
-_TEXT_REFS = """ sd AS (SELECT p_partkey, concat('{fnId: "', CAST(p_partkey * 2 AS STRING), '", method: "GET", path: "/p/', CAST(p_partkey AS STRING), '", keys: ["x"]}') AS text FROM part)"""
+_TEXT_REFS = """ sd AS (SELECT p_partkey, concat('{fnId: "', CAST(p_partkey * 2 AS STRING), '", method: "GET", path: "/p/', CAST(p_partkey AS STRING), '", keys: ["x"], fromTableId: "mongo:', p_type, '", toTableId: "mongo:a"}', CASE WHEN p_size = 3 THEN ' keys:[1]' ELSE '' END) AS text FROM part)"""
 
 
 @query("I14_audit_text_references", """
  SELECT 'function' AS kind, CAST(p_partkey * 2 AS STRING) AS ref, 1 AS n FROM part WHERE p_partkey * 2 NOT IN (SELECT p_partkey FROM part)
- UNION ALL SELECT 'endpoint', concat('GET /p/', CAST(p_partkey AS STRING)), 1 FROM part WHERE concat('GET /p/', CAST(p_partkey AS STRING)) NOT IN (SELECT endpoint_id FROM fx_roots)""")
+ UNION ALL SELECT 'endpoint', concat('GET /p/', CAST(p_partkey AS STRING)), 1 FROM part WHERE concat('GET /p/', CAST(p_partkey AS STRING)) NOT IN (SELECT endpoint_id FROM fx_roots)
+ UNION ALL SELECT 'relationship', concat('mongo:', p_type, '>mongo:a'), count(*) FROM part GROUP BY p_type UNION ALL SELECT 'index', 'keys', count(*) + count(*) FILTER (p_size = 3) FROM part""")
 def _(t):
     return dataaccess.audit_text_references(t.sql(f"WITH {_TEXT_REFS} SELECT * FROM sd"), t("fx_functions"), t("fx_roots"))
 
 
-@query("I15_table_matrix", """
- SELECT table_id, count(DISTINCT function_id) AS functions, count(DISTINCT CASE WHEN op = 'read' THEN function_id END) AS reads, count(DISTINCT CASE WHEN op = 'write' THEN function_id END) AS writes,
-  count(DISTINCT CASE WHEN op = 'upsert' THEN function_id END) AS upserts, count(DISTINCT CASE WHEN op = 'delete' THEN function_id END) AS deletes FROM fx_db_access GROUP BY 1""")
+@query("I15_table_matrix", f"""
+ WITH {_SCHEMAS}, l AS (SELECT DISTINCT * FROM rel WHERE confidence = 'exact' AND target IN ('neo4j:Brand#30', 'neo4j:Brand#12')), x AS (SELECT source AS table_id FROM l WHERE starts_with(source, 'mongo') UNION SELECT target FROM l WHERE starts_with(source, 'mongo')),
+ fd AS (SELECT table_id, count(DISTINCT field) AS fields, min(field) FILTER (field < 'M') AS primary_key FROM doc GROUP BY 1)
+ SELECT a.table_id, count(DISTINCT function_id) AS functions, count(DISTINCT CASE WHEN op = 'read' THEN function_id END) AS reads, count(DISTINCT CASE WHEN op = 'write' THEN function_id END) AS writes,
+  count(DISTINCT CASE WHEN op = 'upsert' THEN function_id END) AS upserts, count(DISTINCT CASE WHEN op = 'delete' THEN function_id END) AS deletes, list_sort(list(DISTINCT method)) AS methods, coalesce(any_value(fields), 0) AS fields,
+  any_value(primary_key) AS primary_key, count(DISTINCT root) AS endpoints, count(*) FILTER (root = 3) AS indexes, a.table_id IN (SELECT table_id FROM x) AS cross_db FROM acc a LEFT JOIN fd ON fd.table_id = a.table_id GROUP BY 1""")
 def _(t):
-    return dataaccess.table_matrix(t("fx_db_access"))
+    access = _schema(t, "acc")
+    links = _schema(t, "rel").filter("confidence = 'exact' AND target IN ('neo4j:Brand#30', 'neo4j:Brand#12')")
+    return dataaccess.table_matrix(access, _schema(t, "doc").withColumn("is_primary", F.col("field") < "M"), access, access.filter("root = 3"), links)
 
 
 # -- lineage -------------------------------------------------------------------------------------------------------
