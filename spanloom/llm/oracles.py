@@ -36,20 +36,24 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesc
 b AS (
  SELECT doc_id, text, w, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_W})) AS lines,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_W})) AS lines, list_filter(string_split(text, chr(10) || chr(10)), lambda x: regexp_matches(x, {_W})) AS paras,
   length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters FROM t),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM t),
 h AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM g),
 d AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM h),
+q AS (SELECT doc_id, w[i] || ' ' || w[i + 1] AS s FROM (SELECT doc_id, unnest(range(1, len(w))) AS i, w FROM t)),
+tp AS (SELECT doc_id, max(n * (length(s) - 1)) AS top_pair FROM (SELECT doc_id, s, count(*) AS n FROM q GROUP BY doc_id, s) WHERE n > 1 GROUP BY doc_id),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM d, (VALUES (0), (1), (2)) AS o(k) WHERE n > 1 GROUP BY doc_id),
 x AS (
  SELECT b.doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-  n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed, len(lines) AS n_lines, n_upper, n_letters
- FROM b LEFT JOIN c ON c.doc_id = b.doc_id)
+  n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed, len(lines) AS n_lines, n_upper, n_letters,
+  len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullets, len(list_filter(lines, lambda x: regexp_matches(x, '([.][.][.]|…)[\x20\x09-\x0D]*$'))) AS n_ellipses,
+  len(paras) AS n_paras, len(paras) - len(list_distinct(paras)) AS n_dup_paras, coalesce(top_pair, 0) AS top_pair
+ FROM b LEFT JOIN c ON c.doc_id = b.doc_id LEFT JOIN tp ON tp.doc_id = b.doc_id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars > 15 * n_words OR word_chars < 2 * n_words OR 10 * n_upper > 4 * n_letters
-  OR 2 * n_dup_lines > n_lines) AS kept
+  OR 2 * n_dup_lines > n_lines OR 10 * n_bullets > 9 * n_lines OR 10 * n_ellipses > 3 * n_lines OR 2 * n_dup_paras > n_paras OR 5 * top_pair > word_chars) AS kept
 FROM x
 """
 

@@ -72,7 +72,8 @@ def fit(labels: np.ndarray, importance: np.ndarray, empty: np.ndarray, sentence_
     return theta[:-1], float(theta[-1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 10_000, vocabulary: int = 4096) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 10_000, vocabulary: int = 4096, sample_chars: int = 100_000) -> Model:
+    """Word weights from at most per_class labelled documents of each class, none of over sample_chars characters."""
     if vocabulary > 1 << 15:
         raise ValueError("a vocabulary of at most 32,768 words")
     empty = Model(np.empty(0, np.uint64), np.empty(0), float("-inf"))
@@ -84,7 +85,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     most = {y: min(2**63 - 1, int(min(1.0, 1.5 * per_class / n) * 2**64) - 2**63) for y, n in sizes.items()}
     picked = [known.filter((F.col("_y") == y) & (F.xxhash64("_id") <= most[y])).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
     # at most 2 * per_class ids are broadcast
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(picked[0].union(picked[1])), "_id")
+    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).filter(F.coalesce(F.length("_text"), F.lit(0)) <= sample_chars).join(F.broadcast(picked[0].union(picked[1])), "_id")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

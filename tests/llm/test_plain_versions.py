@@ -75,3 +75,19 @@ def test_fit_is_near_the_least_loss():
     theta = np.concatenate((weights, [bias]))
     least = min(loss(theta + r.normal(0, s, size + 1)) for s in (0.01, 0.1, 0.5) for _ in range(200))
     assert loss(theta) < loss(np.concatenate((np.zeros(size), [-6.0]))) / 2 and loss(theta) < least + 0.01
+
+
+def test_measures_of_rules_and_their_order(spark):
+    from spanloom.llm import quality
+
+    texts = ["- a b\n* c\n \u2022 d\nplain", "one...\ntwo\u2026 \n\nend", "p q\n\np q\n\n\n\nr", "ab cd ab cd ab x", "", None, "word " * 3000]
+    b, rows = quality.Batch(texts), quality.np.arange(len(texts))
+    assert [x.tolist() for x in b.lines(rows)] == [[4, 3, 3, 1, 0, 0, 1], [0, 0, 1, 0, 0, 0, 0], [3, 0, 0, 0, 0, 0, 0], [0, 2, 0, 0, 0, 0, 0]]
+    assert [x.tolist() for x in b.paragraphs(rows)] == [[1, 2, 3, 1, 0, 0, 1], [0, 0, 1, 0, 0, 0, 0]]
+    assert b.top_pair(rows).tolist() == [0, 0, 4, 8, 0, 0, 2999 * 8]
+    slow = lambda t: quality.time.sleep(t)
+    first = quality.Rule("first", lambda b, r: (slow(0.01), b.n_words[r] > 1)[1])
+    same = quality.Rule("same", lambda b, r: (slow(0.1), b.n_words[r] > 1)[1])  # rejects nothing that `first` has left
+    rest = quality.Rule("rest", lambda b, r: (slow(0.2), b.n_words[r] == 1)[1])
+    docs = spark.createDataFrame([(k, "a b" if k % 3 else "a") for k in range(300)], "doc_id long, text string")
+    assert [r.name for r in quality.order_rules(docs, rules=(same, rest, first), sample_rows=300)] == ["first", "rest", "same"]
