@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,17 +28,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def running_sum(df: DataFrame, value: str, order: str, out: str, groups: int = 64) -> DataFrame:
-    """df with `out`, the sum of value over rows up to this one by falling `order` (a number, unique).
+#: Rows of one part of a running sum, on average.
+PART_ROWS = 1_000_000
 
-    Rows are cut at quantiles of `order`; a window runs inside each group, on top of the sums of the groups before.
+
+def running_sum(df: DataFrame, value: str, order: str, out: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """df with `out`, the sum of value over rows up to this one by falling `order` (unique).
+
+    A prefix scan over ranges of `order`, as many as the rows ask for: sums of the ranges, their offsets, then a window in each.
     """
-    share = [k / groups for k in range(1, groups)]
-    cuts = df.agg(F.percentile_approx(order, share, 10_000).alias("_cuts"))
-    at: Column = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    cut = df.crossJoin(F.broadcast(cuts)).withColumn("_group", F.coalesce(at, F.lit(0))).drop("_cuts")  # one row
-    sums = cut.groupBy("_group").agg(F.sum(value).alias("_sum"))
-    ahead = F.sum("_sum").over(W.orderBy(F.desc("_group"))) - F.col("_sum")  # at most `groups` rows
-    own = F.sum(value).over(W.partitionBy("_group").orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0))
-    joined = cut.withColumn("_own", own).join(F.broadcast(sums.select("_group", ahead.alias("_ahead"))), "_group")
-    return joined.withColumn(out, F.col("_own") + F.col("_ahead")).drop("_group", "_own", "_ahead")
+    df = durable(df)
+    parts = 1 + df.count() // part_rows
+    ranged = durable(df.repartitionByRange(parts, F.desc(order)).withColumn("_part", F.spark_partition_id()))
+    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    ahead = F.sum("_sum").over(W.orderBy("_part")) - F.col("_sum")  # one row for each range
+    own = F.sum(value).over(W.partitionBy("_part").orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0))
+    joined = ranged.withColumn("_own", own).join(F.broadcast(sums.select("_part", ahead.alias("_ahead"))), "_part")
+    return joined.withColumn(out, F.col("_own") + F.col("_ahead")).drop("_part", "_own", "_ahead")

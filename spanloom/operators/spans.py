@@ -201,8 +201,7 @@ def _labels_by_joins(spans: DataFrame, max_rounds: int = 64) -> DataFrame:
     sized = linked.join(sizes.select("node.*", F.col("n").cast("long").alias("size")), ["request_id", "span_id"])
     ahead = F.coalesce(F.sum("size").over(W.partitionBy("request_id", "parent").orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     root = F.col("parent").isNull()
-    times = F.lit(-7046029254386353131)
-    # (add, by, plus): what the steps up to `parent` add to the place, and do to the fold of what stands there
+    # places: the sum of what the steps up to `at` add, by pointer jumping
     state = durable(sized.select("request_id", "span_id", "name", "size", F.col("parent").alias("above"), F.col("parent").alias("at"), (ahead + F.when(root, 0).otherwise(1)).alias("pre"), F.lit(1).cast("long").alias("depth")))
     for _ in range(max_rounds):
         if state.filter("at IS NOT NULL").isEmpty():
@@ -225,8 +224,9 @@ def _labels_by_joins(spans: DataFrame, max_rounds: int = 64) -> DataFrame:
 
 def _wrapped(wide: Column) -> Column:
     """A decimal as 64-bit arithmetic would leave it."""
-    rest = F.pmod(wide, F.lit(1 << 64).cast("decimal(38,0)"))
-    return F.when(rest >= F.lit(1 << 63).cast("decimal(38,0)"), rest - F.lit(1 << 64).cast("decimal(38,0)")).otherwise(rest).cast("long")
+    whole, half = F.expr("18446744073709551616BD"), F.expr("9223372036854775808BD")
+    rest = F.pmod(wide, whole)
+    return F.when(rest >= half, rest - whole).otherwise(rest).cast("long")
 
 
 def marked_above(labels: DataFrame) -> DataFrame:

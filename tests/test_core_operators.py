@@ -30,7 +30,7 @@ def test_whole_requests_and_the_newest_is_kept(spark):
 
 def test_running_sum_in_groups(spark):
     df = spark.range(1000).selectExpr("id", "id % 7 AS v")
-    got = {r["id"]: r["total"] for r in running_sum(df, "v", "id", "total", groups=9).collect()}
+    got = {r["id"]: r["total"] for r in running_sum(df, "v", "id", "total", part_rows=40).collect()}
     total, want = 0, {}
     for i in range(999, -1, -1):
         total += i % 7
