@@ -58,6 +58,46 @@ def _(t):
     return batches.ingest_counters(_batches(t))
 
 
+def _chain_documents(t):  # noqa: ANN001, ANN202
+    """One JSON document per part, as an analysis would write it."""
+    s, n = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x]), F.col("p_size")
+    route = F.struct(F.lit("GET").alias("method"), s("/api/", n).alias("fullPath"), s("/", n).alias("subPath"))
+    backend = F.struct(
+        F.struct(s("svc", n).alias("serviceFunc"), s("/raw/", F.col("p_partkey")).alias("rawPath")).alias("service"),
+        F.when(n % 3 != 0, F.struct(s("ctl", n).alias("controllerFunc"))).alias("controller"), F.when(n % 3 != 0, F.array_repeat(route, n % 2 + 1)).otherwise(F.array().cast("array<struct<method:string,fullPath:string,subPath:string>>")).alias("routes"),
+    )
+    ui = F.struct(s("Comp", n).alias("component"), s("use", n).alias("callerFunc"))
+    api = F.struct(s("get", n).alias("apiFunc"), s("/api/", n).alias("url"), F.when(n % 5 == 0, s("/", n)).alias("rawUrl"))
+    client = F.struct(F.when(n % 2 == 0, "admin").otherwise("frontend").alias("app"), api.alias("api"), F.when(n % 7 == 0, F.array(ui, ui)).otherwise(F.array().cast("array<struct<component:string,callerFunc:string>>")).alias("ui"))
+    chain = F.struct(s("GET /p/", F.col("p_partkey")).alias("id"), F.lit("GET").alias("method"), s("/p/", F.col("p_partkey")).alias("path"), F.lit("p").alias("domain"), F.lit("full_chain").alias("status"), F.struct(s("h", n).alias("handler_id")).alias("endpoint"), F.array(backend).alias("backend"), F.when(n % 4 != 0, F.array(client)).alias("clients"))
+    doc = F.struct((F.col("p_partkey") % 3).alias("version"), F.when(F.col("p_partkey") % 2 == 0, "/srv/a").otherwise("/srv/b").alias("project_path"), F.array(chain).alias("chains"))
+    return batches.read_lineage_chains(t("part").select(F.to_json(doc).alias("json")), 1, "/srv/a")
+
+
+_OWN = "FROM part WHERE p_partkey % 3 = 1 AND p_partkey % 2 = 0"
+
+
+@query("A5_chains", f"SELECT concat('GET /p/', CAST(p_partkey AS STRING)) AS id, 'GET' AS method, concat('/p/', CAST(p_partkey AS STRING)) AS path, 'p' AS domain, 'full_chain' AS status, concat('h', CAST(p_size AS STRING)) AS handler {_OWN}")
+def _(t):
+    return _chain_documents(t).drop("backend", "clients")
+
+
+@query("A5_backend", f"""
+ SELECT concat('GET /p/', CAST(p_partkey AS STRING)) AS id, concat('svc', CAST(p_size AS STRING)) AS service_func, concat('/raw/', CAST(p_partkey AS STRING)) AS raw_path, CASE WHEN p_size % 3 <> 0 THEN concat('ctl', CAST(p_size AS STRING)) END AS controller_func,
+  CASE WHEN p_size % 3 <> 0 THEN 'GET' END AS route_method, CASE WHEN p_size % 3 <> 0 THEN concat('/api/', CAST(p_size AS STRING)) END AS full_path, CASE WHEN p_size % 3 <> 0 THEN concat('/', CAST(p_size AS STRING)) END AS sub_path
+ FROM (SELECT *, unnest(range(0, CASE WHEN p_size % 3 <> 0 THEN p_size % 2 + 1 ELSE 1 END)) AS k {_OWN}) x""")
+def _(t):
+    return batches.backend_of(_chain_documents(t))
+
+
+@query("A5_clients", f"""
+ SELECT concat('GET /p/', CAST(p_partkey AS STRING)) AS id, CASE WHEN p_size % 2 = 0 THEN 'admin' ELSE 'frontend' END AS app, concat('get', CAST(p_size AS STRING)) AS api_func, concat('/api/', CAST(p_size AS STRING)) AS url,
+  CASE WHEN p_size % 5 = 0 THEN concat('/', CAST(p_size AS STRING)) END AS raw_url, CASE WHEN p_size % 7 = 0 THEN concat('Comp', CAST(p_size AS STRING)) END AS component, CASE WHEN p_size % 7 = 0 THEN concat('use', CAST(p_size AS STRING)) END AS caller
+ FROM (SELECT *, unnest(range(0, CASE WHEN p_size % 7 = 0 THEN 2 ELSE 1 END)) AS k {_OWN} AND p_size % 4 <> 0) x""")
+def _(t):
+    return batches.clients_of(_chain_documents(t))
+
+
 _FILES = """
  files AS (SELECT p_partkey AS k, concat(CASE p_size % 5 WHEN 0 THEN 'app/api/' WHEN 1 THEN 'app/services/core/' WHEN 2 THEN 'tests/' WHEN 3 THEN '.venv/lib/' ELSE 'app/repo/node_modules/' END, 'm', CAST(p_partkey AS STRING), CASE WHEN p_size = 7 THEN '/__init__.py' WHEN p_size = 9 THEN '.txt' ELSE '.py' END) AS path,
   concat('from app.api.m', CAST(p_partkey - 1 AS STRING), ' import f', CAST(p_partkey - 1 AS STRING), ' as prev', chr(10), 'import os', chr(10), CASE WHEN p_size = 11 THEN 'def broken(:' ELSE concat('def f', CAST(p_partkey AS STRING), '(self, a, b=1, *, c):', chr(10),

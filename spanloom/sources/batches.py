@@ -70,10 +70,25 @@ def read_templates(documents: DataFrame, version: int, project: str, json_col: s
     return d.select(F.inline("d.templates")).withColumnRenamed("id", "template_id")
 
 
-CHAINS = "version int, chains array<struct<path:string,method:string,services:array<struct<service_func:string,raw_path:string>>>>"
+_ROUTE = "struct<method:string,fullPath:string,subPath:string>"
+_BACKEND = f"struct<service:struct<serviceFunc:string,rawPath:string,method:string>,controller:struct<controllerFunc:string>,routes:array<{_ROUTE}>>"
+_CLIENT = "struct<app:string,api:struct<apiFunc:string,url:string,rawUrl:string>,ui:array<struct<component:string,callerFunc:string>>>"
+CHAINS = f"version int, project_path string, chains array<struct<id:string,method:string,path:string,domain:string,status:string,endpoint:struct<handler_id:string>,backend:array<{_BACKEND}>,clients:array<{_CLIENT}>>>"
 
 
-def read_lineage_chains(documents: DataFrame, version: int, json_col: str = "json") -> DataFrame:
-    """(path, method, service_func, raw_path) out of nested JSON; chains without services are kept with nulls."""
-    d = documents.select(F.from_json(json_col, CHAINS).alias("d")).filter(F.col("d.version") == version)
-    return d.select(F.inline("d.chains")).select("path", "method", F.inline_outer("services"))
+def read_lineage_chains(documents: DataFrame, version: int, project: str, json_col: str = "json") -> DataFrame:
+    """(id, method, path, domain, status, handler, backend, clients): the chains of JSON documents of this version and project."""
+    d = documents.select(F.from_json(json_col, CHAINS).alias("d")).filter((F.col("d.version") == version) & (F.col("d.project_path") == project))
+    return d.select(F.inline("d.chains")).select("id", "method", "path", "domain", "status", F.col("endpoint.handler_id").alias("handler"), "backend", "clients")
+
+
+def backend_of(chains: DataFrame) -> DataFrame:
+    """(id, service_func, raw_path, controller_func, route_method, full_path, sub_path): a row for each way into the backend, with nulls where it ends early."""
+    rows = chains.select("id", F.inline("backend")).select("id", F.col("service.serviceFunc").alias("service_func"), F.col("service.rawPath").alias("raw_path"), F.col("controller.controllerFunc").alias("controller_func"), F.explode_outer("routes").alias("r"))
+    return rows.select("id", "service_func", "raw_path", "controller_func", F.col("r.method").alias("route_method"), F.col("r.fullPath").alias("full_path"), F.col("r.subPath").alias("sub_path"))
+
+
+def clients_of(chains: DataFrame) -> DataFrame:
+    """(id, app, api_func, url, raw_url, component, caller): a row for each use of a client, with nulls where nothing uses it."""
+    rows = chains.select("id", F.inline("clients")).select("id", "app", F.col("api.apiFunc").alias("api_func"), F.col("api.url").alias("url"), F.col("api.rawUrl").alias("raw_url"), F.explode_outer("ui").alias("u"))
+    return rows.select("id", "app", "api_func", "url", "raw_url", F.col("u.component").alias("component"), F.col("u.callerFunc").alias("caller"))

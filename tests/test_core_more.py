@@ -12,8 +12,11 @@ def test_source_corpus_and_documents(spark, tmp_path):
         (tmp_path / name).write_text(text)
     got = {r.path: (r.content, r.size) for r in batches.read_source_corpus(spark, str(tmp_path)).collect()}
     assert got == {"app/a.py": ("x = 1\n", 6), "e.py": ("\n", 1)}
-    docs = spark.createDataFrame([('{"version":1,"chains":[{"path":"/a","method":"GET","services":[{"service_func":"f","raw_path":"/r"}]},{"path":"/b","method":"GET","services":[]}]}',), ('{"version":2,"chains":[]}',), ("broken",), (None,)], "json string")
-    assert sorted(map(tuple, batches.read_lineage_chains(docs, 1).collect())) == [("/a", "GET", "f", "/r"), ("/b", "GET", None, None)]
+    doc = '{"version":1,"project_path":"/p","chains":[{"id":"GET /a","path":"/a","method":"GET","backend":[{"service":{"serviceFunc":"f","rawPath":"/r"},"controller":null,"routes":[]}]},{"id":"GET /b","path":"/b","method":"GET"}]}'
+    docs = spark.createDataFrame([(doc,), (doc.replace('"/p"', '"/q"'),), ('{"version":2,"chains":[]}',), ("broken",), (None,)], "json string")
+    chains = batches.read_lineage_chains(docs, 1, "/p")
+    assert sorted((r.id, r.path, r.handler) for r in chains.collect()) == [("GET /a", "/a", None), ("GET /b", "/b", None)]
+    assert [tuple(r) for r in batches.backend_of(chains).collect()] == [("GET /a", "f", "/r", None, None, None, None)] and batches.clients_of(chains).count() == 0
 
 
 def test_fingerprint_is_free_of_order_and_sees_changes(spark):

@@ -17,6 +17,8 @@ SOME = [
     "D5_direct_callees", "H3_degree", "H8_module_edges", "I1_graph_query_edges", "I2_index_ddl", "I3_infer_fields", "I9_entity_aliases",
     "I10_infer_references", "I13_schema_audit", "J1_match_paths_strict", "J2_match_paths_wild", "J5_chain_status", "F1_scan_functions", "F4_catalogue",
     "F10_scan_steps", "F12_merge_adjacent_calls", "G1_apply_selection_log", "G5_selection_diff", "G7_merge_fills", "E7_liveness",
+    "A2_stream_counters", "C7_descendant_counts", "D4_confirmed_edges", "E4_stream_requests", "H7_collapse_edges", "H11_tree_stats", "H12_recursive_edges",
+    "I1_graph_query_facts", "I4_table_usage", "I6_endpoints", "I15_table_matrix", "J4_lineage_chains",
 ]
 
 
