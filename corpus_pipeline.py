@@ -10,7 +10,9 @@ sharding places what is left.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,20 @@ def _other(name: str, docs: DataFrame) -> str:
     return name
 
 
+def _any_names(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """stage, for columns of any name: those that hold more than letters, digits and '_' go under plain names meanwhile."""
+
+    @wraps(stage)
+    def named(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain: list[str] = []
+        for c in docs.columns:
+            plain.append(c if re.fullmatch(r"\w+", c) else _other(f"column_{len(plain)}", docs))
+        return stage(spark, docs.toDF(*plain), sf_dir).toDF(*docs.columns)
+
+    return named
+
+
+@_any_names
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs whose text is near the profile of a language learned from docs that are not held out.
 
@@ -42,6 +58,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter((F.col(pred) != langid.UNDETERMINED) & (F.col(score) >= MIN_SCORE)).select(*docs.columns)
 
 
+@_any_names
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of docs for each class of near copies (five-word shingles, similarity 0.8 or more): that of the smallest id.
 
@@ -51,6 +68,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs, shingle_words=5, similarity=0.8)
 
 
+@_any_names
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that hold no item of the benchmark at a weighted similarity of 0.8 or more.
 
@@ -60,6 +78,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_any_names
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs, each 0, 1 or 2 times, so that the sources' words come near their targets.
 

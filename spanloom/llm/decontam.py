@@ -13,7 +13,8 @@ each pass's result is written before the next pass's index is made. Documents ar
 
 Defined cases: words are lower-cased (A-Z); items of fewer words than a shingle are one shingle; null and blank items and texts
 match nothing; a document with fewer words than an item is one window; equal rows are reported each; of equally similar windows
-the first is reported; an empty table on either side gives none; only the id and text columns are read for the search.
+the first is reported; an empty table on either side gives none; whole texts are searched, however long; only the id and
+text columns are read for the search, so other columns may have any name.
 """
 
 from __future__ import annotations

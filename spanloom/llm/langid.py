@@ -9,7 +9,9 @@ the profile lacks.
 Defined cases: a text that is null or has no letter is ``und`` with score 0; so
 is every text where no label was learned. Equal distances go to the language
 first in code-point order, equal counts to the n-gram first in code-point order.
-Other columns of the input play no part.
+Very long texts are counted whole; equal rows are judged alike, and each counts in
+a profile; an empty table gives an empty table. Other columns of the input play no
+part.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ spread like any other rows.
 
 Defined cases: a null text has size 1 and the checksum of the empty text; equal
 rows, null ids and ties are separate rows, placed by a hash of id, text and their
-number among equal rows, so a rerun gives the same table; an empty table gives an empty table; other columns
+number among equal rows, so a rerun gives the same table; very long texts count whole; an empty table gives an empty table; other columns
 play no part.
 """
 

@@ -11,7 +11,8 @@ rows share is joined back over several parts (`join_counted`).
 Defined cases: null and blank texts have fingerprint zero and link like any
 other; texts of fewer words than a shingle are one shingle; equal rows share a
 fingerprint; an empty table gives an empty table; a component of documents
-whose ids are all null has a null id; other columns play no part.
+whose ids are all null has a null id; texts are read whole, however long; bits
+that just half the shingles set are 0; other columns play no part.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ frequent passage: rows are counted before they move, and frequent keys are dealt
 Words, anchors and texts are compared by 64-bit hashes (texts by two), of which a wrong repeat needs 35 equal ones in a row.
 
 Defined cases: null and blank texts have no words and keep the empty text; texts shorter than a window lose nothing; equal rows
-repeat each other's windows; ids may be null or repeated; an empty table gives an empty table; other columns play no part.
+repeat each other's windows; whole texts are searched, however long; ids may be null or repeated; an empty table gives an empty table; other columns play no part.
 """
 
 from __future__ import annotations

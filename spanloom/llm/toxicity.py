@@ -14,7 +14,10 @@ break.
 
 Defined cases: null and wordless texts have no sentence and score 0; with no
 labelled rows, or one label only, every text scores 0; documents labelled more
-than once count as toxic if any label says so; null labels and ids are unlabelled.
+than once count as toxic if any label says so; null labels and ids are unlabelled;
+very long texts are scored whole (the sample leaves them out); equal rows score
+alike; an empty table gives an empty table; of equally offending sentences the
+last is reported; other columns, of any name, play no part.
 """
 
 from __future__ import annotations

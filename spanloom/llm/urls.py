@@ -10,7 +10,9 @@ as the longest entry has, are taken, and prefixes up to the longest entry's.
 
 Defined cases: columns of the input named like the result's are replaced; a null url or one without ``://`` has an empty host and path and
 gets the default verdict, as does any url that no entry fits; host and path are
-taken literally (ports, user names and empty labels are parts of the host).
+taken literally (ports, user names and empty labels are parts of the host); very
+long urls are judged whole; equal rows are judged alike; an empty table gives an
+empty table; of entries that fit as long, the block wins.
 """
 
 from __future__ import annotations
