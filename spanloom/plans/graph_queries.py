@@ -321,7 +321,8 @@ def _usage(t):  # noqa: ANN001, ANN202
     return dataaccess.table_functions(_paths(t), t("fx_db_access"))
 
 
-_OPS = F.array_sort(F.transform(F.map_entries("ops"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))).alias("ops")
+def _ops():  # noqa: ANN202
+    return F.array_sort(F.transform(F.map_entries("ops"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))).alias("ops")
 
 
 @query("I4_functions", f"WITH RECURSIVE {_USAGE} SELECT * FROM fn")
@@ -334,7 +335,7 @@ def _(t):
  f AS (SELECT root, table_id, count(*) AS functions, bool_and(uncertain) AS uncertain, min(path) AS path, arg_min(chain, path) AS chain FROM fn GROUP BY 1, 2)
  SELECT f.*, ops, row_number() OVER (PARTITION BY root ORDER BY functions DESC, table_id) AS place FROM f JOIN ops USING (root, table_id)""")
 def _(t):
-    return dataaccess.table_usage(_usage(t)).withColumn("ops", _OPS)
+    return dataaccess.table_usage(_usage(t)).withColumn("ops", _ops())
 
 
 @query("I4_fields", f"""
@@ -380,7 +381,7 @@ def _(t):
     paths = _paths(t)
     indexes = t("supplier").filter("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("table_id"))
     out = dataaccess.database_index(dataaccess.table_functions(paths, t("fx_db_access")), _index_fields(t, paths), t("fx_db_model"), indexes)
-    return out.withColumn("ops", _OPS)
+    return out.withColumn("ops", _ops())
 
 
 @query("I6_functions", f"WITH RECURSIVE {_USAGE} SELECT table_id, function, op, CAST(sum(count) AS BIGINT) AS count, bool_and(uncertain) AS uncertain FROM fn GROUP BY 1, 2, 3")
