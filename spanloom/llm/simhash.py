@@ -79,23 +79,31 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 class Forest:
     """A minimum spanning forest of links by distance, grown from batches of links; holds no more than nodes and a buffer."""
 
-    def __init__(self, n: int, most: int = 1_000_000) -> None:
+    def __init__(self, n: int, most: int = 250_000) -> None:
         self.n, self.most, self.size = n, most, 0
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.steps, self.joined = np.empty(0, np.int64), np.empty((0, n), np.int32)  # distances, and what links up to each have joined
+
+    def needed(self, d: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Which links do not close a cycle of links that are as near: the others are in no need of a minimum spanning forest."""
+        at = np.searchsorted(self.steps, d, side="right") - 1
+        if not len(self.steps):
+            return np.ones(len(d), bool)
+        return (at < 0) | (self.joined[at, u] != self.joined[at, v])
 
     def add(self, d: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
         self.held.append((d, u, v))
         self.size += len(d)
         if self.size > self.most:  # the forest of a part and of the rest have the forest of all
-            self.held = [self.edges()]
+            self.held = [self.edges(note=True)]
             self.size = len(self.held[0][0])
 
-    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def edges(self, note: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.held:
             return np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
         d, u, v = (np.concatenate(x) for x in zip(*self.held))
-        root, chosen = np.arange(self.n), []
-        for k in np.unique(d):
+        root, chosen, joined = np.arange(self.n), [], []
+        for k in (steps := np.unique(d)):
             at = np.flatnonzero(d == k)
             while True:
                 a, b = root[u[at]], root[v[at]]
@@ -109,6 +117,9 @@ class Forest:
                 chosen.append(at[which])
                 while (root[root] != root).any():
                     root = root[root]
+            joined.append(root.astype(np.int32))
+        if note:
+            self.steps, self.joined = steps.astype(np.int64), np.stack(joined)
         at = np.concatenate(chosen) if chosen else np.empty(0, np.int64)
         return d[at], u[at], v[at]
 
@@ -134,7 +145,8 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int, also: Callabl
                 continue
             u, v = (bits <= radius).nonzero()
             d, u, v = bits[u, v], ia[u + i], ib[v + j]
-            keep = u != v if same else np.ones(len(u), bool)
+            keep = forest.needed(d, u, v + shift)
+            keep &= u != v if same else True
             if also is not None:
                 keep[keep] = also(u[keep], v[keep])
             forest.add(d[keep], u[keep], v[keep] + shift)
@@ -228,11 +240,15 @@ def local_stars(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Ite
         yield solve(held)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Edges left of all partitions' own stars that one task still takes at once (16 MB); more go by rounds.
+FEW_EDGES = 1_000_000
+
+
+def components(edges: DataFrame, max_rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """(node, root): connected components of (u, v) by alternating large and small stars, each round a durable table.
 
-    Partitions are made stars of their own first, which leaves few rounds; they end when all edges are stars. The smallest node
-    of a component is its root; nodes without edges are not listed.
+    Partitions are made stars of their own first, which leaves few rounds, or none: up to `few` edges are joined at once. Rounds
+    end when all edges are stars. The smallest node of a component is its root; nodes without edges are not listed.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -249,9 +265,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1 AND up > 0").isEmpty()
 
     e = durable(edges.select("u", "v").filter("u <> v").mapInArrow(local_stars, "u long, v long").distinct())
+    named = lambda e: e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
+    if e.count() <= min(few, 4_000_000):  # as many as local_stars holds
+        return named(durable(e.coalesce(1).mapInArrow(local_stars, "u long, v long")))
     for _ in range(max_rounds):
         if settled(e):
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
+            return named(e)
         e = durable(star(star(e, True), False))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 

@@ -67,6 +67,33 @@ def test_components_of_paths_stars_and_loops(spark):
     for _ in range(len(root)):
         for u, v in edges:
             root[u] = root[v] = min(root[u], root[v])
-    found = {x.node: x.root for x in simhash.components(spark.createDataFrame(edges, "u long, v long").repartition(16)).collect()}
-    assert found == {x: y for x, y in root.items() if x != 7000 and any(x in e and e[0] != e[1] for e in edges)}
+    for few in (simhash.FEW_EDGES, 0):  # at once, and by rounds
+        found = {x.node: x.root for x in simhash.components(spark.createDataFrame(edges, "u long, v long").repartition(16), few=few).collect()}
+        assert found == {x: y for x, y in root.items() if x != 7000 and any(x in e and e[0] != e[1] for e in edges)}
     assert simhash.components(spark.createDataFrame([], "u long, v long")).isEmpty()
+
+
+def test_forests_are_minimal_whenever_they_are_pruned(monkeypatch):
+    r = np.random.default_rng(5)
+    near = np.full(300, 0x123456789ABCDEF0, np.uint64)
+    for _ in range(5):
+        near ^= np.uint64(1) << r.integers(0, 64, 300).astype(np.uint64)
+    x = np.concatenate((near, r.integers(0, 2**63, 60).astype(np.uint64)))
+    holds = lambda u, v: (u % 7 != 3) | (v % 5 != 1)
+    d = np.bitwise_count(x[:, None] ^ x[None, :]).astype(int)
+    links = sorted((d[a, b], a, b) for a in range(len(x)) for b in range(a) if d[a, b] <= 18 and (holds(np.array([a]), np.array([b]))[0] or holds(np.array([b]), np.array([a]))[0]))
+    for most in (50, 2_000, 10**9):
+        monkeypatch.setattr(simhash.Forest.__init__, "__defaults__", (most,))
+        u, v = simhash._forest(x, x, True, 18, lambda a, b: holds(a, b) | holds(b, a))
+        root, weight = list(range(len(x))), 0
+
+        def top(i, root=root):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for w, a, b in links:
+            if top(a) != top(b):
+                root[top(a)] = top(b)
+                weight += w
+        assert int(d[u, v].sum()) == weight and len(u) == sum(top(i) != i for i in range(len(x)))
