@@ -350,11 +350,10 @@ def _linked(rows: DataFrame, texts: DataFrame, sets_of: Callable[[list], list[np
     `sets_of` makes sets of shingles of the values of texts (node, data). A group is cut into blocks of about block_shingles shingles, and every pair of blocks that may hold two roots is compared.
     """
     rows = durable(rows)
-    sizes = durable(rows.groupBy("group").agg(F.count("*").alias("rows")).filter("rows > 1"))
+    sizes = durable(rows.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).filter("rows > 1"))
     total = sizes.agg(F.sum("rows")).first()[0] or 0
-    parted = join_counted(rows, sizes, ["group"], "rows", total, [F.col("node")], part="part").drop("rows")
-    upto = F.sum("n").over(W.partitionBy("group", "part").orderBy("root", "node").rowsBetween(W.unboundedPreceding, -1))
-    cut = durable(parted.withColumn("block", F.xxhash64("part", F.floor(F.coalesce(upto, F.lit(0)) / block_shingles))))
+    sized = join_counted(rows, sizes, ["group"], "rows", total, [F.col("node")])
+    cut = durable(sized.withColumn("block", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("shingles") / block_shingles)))).drop("rows", "shingles"))
     blocks = cut.groupBy("group", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     other = blocks.select("group", F.col("block").alias("j"), F.col("low").alias("l"), F.col("high").alias("h"))
     pairs = blocks.join(other, "group").filter("block <= j AND (low <> high OR l <> h OR low <> l)").select("group", F.col("block").alias("i"), "j")
@@ -402,7 +401,7 @@ def _rare(seen: DataFrame, similarity: float) -> DataFrame:
     return counted.withColumn("rank", rank).filter((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1) & (F.col("holders") > 1)).select("group", "node", "n")
 
 
-def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 18, tile_rows: int = 16384, seed: int = 42, block_shingles: int = 1_000_000, short: int = 64) -> DataFrame:
+def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 18, tile_rows: int = 32768, seed: int = 42, block_shingles: int = 1_000_000, short: int = 64) -> DataFrame:
     """(a, b, copies, root) for each text, known by two hashes: classes of texts that links of at least `similarity` join.
 
     Texts are compared as fingerprints within the radius, in tiles of a population count and a class of sizes (texts
