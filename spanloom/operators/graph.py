@@ -108,6 +108,7 @@ def collapse_edges(edges: DataFrame, roles: DataFrame, order: str = "callee") ->
     """
     mains = roles.filter("role = 'main'").select("function")
     children = roles.filter("role = 'child'").select("function")
+    edges = edges if "edge" in edges.columns else edges.withColumn("edge", F.lit(None).cast("string"))
     known = durable(edges.filter("caller <> callee").groupBy("caller", "callee").agg(F.min(F.struct(F.col(order).alias("order"), "edge")).alias("first")))
     # what each child leads to; a main leads to itself
     led = reach(known, children.select(F.col("function").alias("root")), through=children)
