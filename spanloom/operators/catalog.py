@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import builtins
 import difflib
+import heapq
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -92,34 +94,81 @@ def search_catalogue(cat: DataFrame, query: str, limit: int = 200) -> DataFrame:
 def close_matches(missing: DataFrame, known: DataFrame, n: int = 3, cutoff: float = 0.5, exact: bool = False) -> DataFrame:
     """(word, match, ratio, rank): the n most alike known ids, by Ratcliff-Obershelp ratio of at least cutoff; the larger id first on ties.
 
-    Pairs come from shared trigrams, inside the lengths that the cutoff allows; `exact` compares all ids of allowed lengths.
+    Pairs come from shared trigrams, inside the lengths that the cutoff allows; `exact` regards all ids (see _best_of_all).
     """
-    m, k = missing.select(F.col("id").alias("word")).distinct(), known.select(F.col("id").alias("match")).distinct()
-    a, b = F.length("word"), F.length("match")
-    allowed = 2 * F.least(a, b) >= cutoff * (a + b)
+    m, k = (df.select(F.col("id").alias(c)).dropna().distinct() for df, c in ((missing, "word"), (known, "match")))
     if exact:
-        bounds = F.explode(F.sequence(F.ceil(a * cutoff / (2 - cutoff)), F.floor(a * (2 - cutoff) / cutoff)))
-        pairs = m.withColumn("_n", bounds).join(k.withColumn("_n", b.cast("long")), "_n").drop("_n")
+        scored = _best_of_all(durable(m), durable(k), n, cutoff)
     else:
         grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))))
         shared = m.withColumn("_g", grams(F.col("word"))).join(k.withColumn("_g", grams(F.col("match"))), "_g")
-        pairs = shared.select("word", "match").distinct()
-
-    @F.pandas_udf("double")
-    def ratio(word: pd.Series, match: pd.Series) -> pd.Series:
-        alike, out = difflib.SequenceMatcher(), []
-        for x, y in zip(word, match):
-            if alike.b != x:
-                alike.set_seq2(x)  # what is known of the word serves all its pairs
-            alike.set_seq1(y)
-            out.append(alike.ratio() if alike.real_quick_ratio() >= cutoff and alike.quick_ratio() >= cutoff else 0.0)
-        return pd.Series(out, dtype=float)
-
-    scored = pairs.filter(allowed).withColumn("ratio", ratio("word", "match")).filter(F.col("ratio") >= cutoff)
+        a, b = F.length("word"), F.length("match")
+        pairs = shared.select("word", "match").distinct().filter(2 * F.least(a, b) >= cutoff * (a + b))
+
+        @F.pandas_udf("double")
+        def ratio(word: pd.Series, match: pd.Series) -> pd.Series:
+            alike, out = difflib.SequenceMatcher(), []
+            for x, y in zip(word, match):
+                if alike.b != x:
+                    alike.set_seq2(x)  # what is known of the word serves all its pairs
+                alike.set_seq1(y)
+                out.append(alike.ratio() if alike.real_quick_ratio() >= cutoff and alike.quick_ratio() >= cutoff else 0.0)
+            return pd.Series(out, dtype=float)
+
+        scored = pairs.withColumn("ratio", ratio("word", "match")).filter(F.col("ratio") >= cutoff)
     rank = F.row_number().over(W.partitionBy("word").orderBy(F.desc("ratio"), F.desc("match")))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
+#: Characters are counted by their code points modulo this; ids and words that one task compares.
+_BINS, _BLOCK_IDS, _BLOCK_WORDS = 128, 20_000, 2_000
+
+
+def _bins(text: str) -> np.ndarray:
+    return np.bincount(np.fromiter(map(ord, text), np.int64, len(text)) % _BINS, minlength=_BINS)
+
+
+def _best_of_all(words: DataFrame, known: DataFrame, n: int, cutoff: float) -> DataFrame:
+    """(word, match, ratio): the n best ids of each word in each block of ids, every id regarded.
+
+    A ratio is never above that of the characters two texts share in any order; ids are tried in falling order of that bound, which
+    is counted for a whole block at once, until it is below the n-th ratio found.
+    """
+    blocks = 1 + known.count() // _BLOCK_IDS
+    count = words.count()
+    parts = max(1 + count // _BLOCK_WORDS, min(1 + count // 20, 4 * words.sparkSession.sparkContext.defaultParallelism))
+    number = lambda c, size: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    asked = words.select("word", number("word", parts).alias("part"), every(blocks).alias("block"))
+    ids = known.select("match", number("match", blocks).alias("block"), every(parts).alias("part"))
+
+    def best(asked: pd.DataFrame, ids: pd.DataFrame) -> pd.DataFrame:
+        texts, out, alike = list(ids["match"]), [], difflib.SequenceMatcher()
+        counts = np.array([_bins(x) for x in texts], np.int32).reshape(-1, _BINS).T.copy()
+        lengths = np.array([len(x) for x in texts])
+        for word in asked["word"] if texts else ():
+            own = _bins(word)
+            some = np.flatnonzero(own)
+            both = np.maximum(lengths + len(word), 1)
+            shared = np.minimum(counts[some], own[some, None].astype(np.int32)).sum(axis=0)
+            bound = np.where(lengths + len(word) == 0, 1.0, 2.0 * shared / both)
+            hope = np.flatnonzero(bound >= cutoff)
+            alike.set_seq2(word)
+            top = []
+            for i in hope[np.argsort(-bound[hope], kind="stable")]:
+                if len(top) == n and bound[i] < top[0][0]:
+                    break
+                alike.set_seq1(texts[i])
+                found = (alike.ratio(), texts[i])
+                if found[0] >= cutoff:
+                    (heapq.heappush if len(top) < n else heapq.heappushpop)(top, found)
+            out += [(word, match, ratio) for ratio, match in top]
+        return pd.DataFrame(out, columns=["word", "match", "ratio"])
+
+    keys = ("part", "block")
+    return asked.groupBy(*keys).cogroup(ids.groupBy(*keys)).applyInPandas(best, "word string, match string, ratio double")
+
+
 def corpus_fingerprint(files: DataFrame) -> DataFrame:
     """(files, mark, total): changes when any (path, mtime, size) does, in any order of files."""
     h = F.xxhash64("path", "mtime", "size")
