@@ -94,6 +94,15 @@ def least_paths(calls: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> D
     raise _over("paths", max_rounds)
 
 
+def placed(paths: DataFrame) -> DataFrame:
+    """least_paths with `at`, a number that orders the paths of a root as they are ordered themselves, as a written table.
+
+    Rows are sorted in ranges over the whole table, so no task has all paths of a root; rows of many tables then carry a number
+    instead of a path and a chain.
+    """
+    return durable(paths.repartitionByRange("root", "path").sortWithinPartitions("root", "path", "chain").withColumn("at", F.monotonically_increasing_id()))
+
+
 def _colours(rest: DataFrame, salt: int, max_rounds: int) -> DataFrame:
     """(function, fore, back): the function of greatest hash among those that reach each one, and among those that it reaches."""
     ends = rest.select(F.explode(F.array("caller", "callee")).alias("function")).distinct()

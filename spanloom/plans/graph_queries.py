@@ -314,11 +314,11 @@ _USAGE = f"""
 
 
 def _paths(t):  # noqa: ANN001, ANN202
-    return closure.least_paths(t("fx_call_sites"), t("fx_roots"))
+    return closure.placed(closure.least_paths(t("fx_call_sites"), t("fx_roots")))
 
 
 def _usage(t):  # noqa: ANN001, ANN202
-    return dataaccess.table_functions(_paths(t), t("fx_db_access"))
+    return _paths(t), t("fx_db_access")
 
 
 def _ops():  # noqa: ANN202
@@ -327,7 +327,7 @@ def _ops():  # noqa: ANN202
 
 @query("I4_functions", f"WITH RECURSIVE {_USAGE} SELECT * FROM fn")
 def _(t):
-    return _usage(t)
+    return dataaccess.table_functions(closure.least_paths(t("fx_call_sites"), t("fx_roots")), t("fx_db_access"))
 
 
 @query("I4_table_usage", f"""
@@ -335,7 +335,7 @@ def _(t):
  f AS (SELECT root, table_id, count(*) AS functions, bool_and(uncertain) AS uncertain, min(path) AS path, arg_min(chain, path) AS chain FROM fn GROUP BY 1, 2)
  SELECT f.*, ops, row_number() OVER (PARTITION BY root ORDER BY functions DESC, table_id) AS place FROM f JOIN ops USING (root, table_id)""")
 def _(t):
-    return dataaccess.table_usage(_usage(t)).withColumn("ops", _ops())
+    return dataaccess.table_usage(*_usage(t)).withColumn("ops", _ops())
 
 
 @query("I4_fields", f"""
@@ -347,7 +347,7 @@ def _(t):
 
 @query("I4_edges", f"WITH RECURSIVE {_WALK} SELECT root, table_id, source, target, bool_and(uncertain) AS uncertain FROM paths p JOIN fx_db_edge e ON e.function_id = p.function GROUP BY 1, 2, 3, 4")
 def _(t):
-    return dataaccess.usage_edges(_paths(t), t("fx_db_edge"))
+    return dataaccess.usage_edges(closure.least_paths(t("fx_call_sites"), t("fx_roots")), t("fx_db_edge"))
 
 
 @query("I5_access_audit", "SELECT count(DISTINCT a.function_id) AS functions, count(DISTINCT CASE WHEN f.loc > 10 THEN a.function_id END) AS matched FROM fx_db_access a LEFT JOIN fx_functions f ON f.function_id = a.function_id")
@@ -380,18 +380,18 @@ def _index_fields(t, paths):  # noqa: ANN001, ANN202
 def _(t):
     paths = _paths(t)
     indexes = t("supplier").filter("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("table_id"))
-    out = dataaccess.database_index(dataaccess.table_functions(paths, t("fx_db_access")), _index_fields(t, paths), t("fx_db_model"), indexes)
+    out = dataaccess.database_index(paths, t("fx_db_access"), _index_fields(t, paths), t("fx_db_model"), indexes)
     return out.withColumn("ops", _ops())
 
 
 @query("I6_functions", f"WITH RECURSIVE {_USAGE} SELECT table_id, function, op, CAST(sum(count) AS BIGINT) AS count, bool_and(uncertain) AS uncertain FROM fn GROUP BY 1, 2, 3")
 def _(t):
-    return dataaccess.index_functions(_usage(t))
+    return dataaccess.index_functions(closure.least_paths(t("fx_call_sites"), t("fx_roots")), t("fx_db_access"))
 
 
 @query("I6_endpoints", f"WITH RECURSIVE {_USAGE} SELECT table_id, root, list_sort(list(DISTINCT op)) AS ops, arg_min(chain, (len(chain), op, function)) AS call_chain FROM fn GROUP BY 1, 2")
 def _(t):
-    return dataaccess.index_endpoints(_usage(t))
+    return dataaccess.index_endpoints(*_usage(t))
 
 
 @query("I6_fields", f"WITH RECURSIVE {_INDEX_FIELDS} SELECT * FROM xf")
