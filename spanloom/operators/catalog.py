@@ -39,7 +39,9 @@ def _per_file(files: DataFrame, rows: Callable[[str, str], Iterator[tuple]], sch
             found = [r for p, c in zip(pdf["path"], pdf["content"]) for r in rows(p, c or "")]
             yield pd.DataFrame(found, columns=names)
 
-    return files.select("path", F.col("content").cast("string").alias("content")).mapInPandas(run, schema)
+    # a small file may name or make very many sources: they are dealt over tasks, however few the input has
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    return files.select("path", F.col("content").cast("string").alias("content")).repartition(tasks, "path").mapInPandas(run, schema)
 
 
 def _split_schema(schema: str) -> list[str]:

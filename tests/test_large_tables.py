@@ -3,8 +3,8 @@
 import difflib
 
 from pyspark.sql import functions as F
-from spanloom.functions.tables import durable
-from spanloom.operators import catalog, dataaccess
+from spanloom.functions.tables import dealt, durable
+from spanloom.operators import catalog, closure, dataaccess, spans
 from spanloom.plans.fixtures import Tables
 
 
@@ -53,3 +53,39 @@ def test_references_of_a_common_word_make_no_pairs(spark):
     found = {(r.source, r.target, tuple(r.fields)) for r in got}
     assert found == {(0, 3, ("part3_ring_id",)), (n, n + 2, ("axle_ids",)), (n, n + 1, ("small_wheel_id", "wheel_id")), (7, n, ("wheel_id",))}
     assert rows < 100_000
+
+
+def test_sources_of_one_small_file_are_dealt_over_tasks(spark):
+    files = spark.range(40).select(F.concat(F.lit("app/m"), "id", F.lit(".py")).alias("path"), F.lit("x = 1\n").alias("content")).coalesce(1)
+    assert catalog.scan_names(files).count() == 80
+    assert catalog.scan_route_decls(files).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_paths_of_spans_make_no_pairs(spark):
+    n = 120
+    rows = [(r, str(i), str(i - 1) if i else None, f"m:f{i}", i) for r in ("a", "b") for i in range(n)] + [("b", "lost", "gone", "m:g", 500)]
+    table = spark.createDataFrame(rows, "request_id string, span_id string, parent_span_id string, name string, seq long")
+    small, written = shuffled(spark, lambda: {(r.request_id, r.span_id): (r.path, r.depth, r.sort_key) for r in spans.span_path(table).collect()})
+    large = {(r.request_id, r.span_id): (r.path, r.depth, r.sort_key) for r in spans.span_path(table, max_group=120).collect()}
+    assert small == large and len(small) == 2 * n + 1
+    assert small["a", "5"] == ([f"f{i}" for i in range(6)], 5, ".".join(["000001"] * 6)) and small["b", "lost"] == (["g"], 0, "000002")
+    assert written < 10 * len(rows)
+
+
+def test_windows_over_spans_are_dealt_by_their_count(spark):
+    assert dealt(spark.range(10), 10_000_000, "id", part_rows=100_000).rdd.getNumPartitions() == 101
+    assert dealt(spark.range(10), 10, "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_tables_under_a_root_are_counted_without_its_chains(spark):
+    n, tables = 60, 100
+    calls = spark.createDataFrame([(i, i + 1, 0) for i in range(n)], "caller long, callee long, ordinal int")
+    paths = closure.placed(closure.least_paths(calls, spark.createDataFrame([(0,), (30,)], "root long")))
+    access = spark.createDataFrame([(i, 1000 + (i + k) % tables, op, 1, i % 2 == 0) for i in range(n + 1) for k in range(50) for op in ("read", "write")], "function_id long, table_id long, op string, n long, uncertain boolean")
+    got, rows = shuffled(spark, lambda: dataaccess.table_usage(paths, access).collect())
+    for r in got:
+        held = [i for i in range(r.root, n + 1) if (r.table_id - 1000 - i) % tables < 50]
+        assert (r.functions, r.ops, r.chain) == (2 * len(held), {"read": len(held), "write": len(held)}, list(range(r.root, held[0] + 1)))
+    assert {(r.root, r.place) for r in got} == {(root, k + 1) for root in (0, 30) for k in range(sum(1 for r in got if r.root == root))}
+    near = {(r.root, r.table_id): r.call_chain for r in dataaccess.index_endpoints(paths, access).collect()}
+    assert near == {(r.root, r.table_id): r.chain for r in got}
