@@ -89,3 +89,29 @@ def test_tables_under_a_root_are_counted_without_its_chains(spark):
     assert {(r.root, r.place) for r in got} == {(root, k + 1) for root in (0, 30) for k in range(sum(1 for r in got if r.root == root))}
     near = {(r.root, r.table_id): r.call_chain for r in dataaccess.index_endpoints(paths, access).collect()}
     assert near == {(r.root, r.table_id): r.chain for r in got}
+
+
+def test_tables_below_go_up_once(spark):
+    n, chains = 7, 300
+    calls = spark.createDataFrame([(100 * c + i, 100 * c + i + 1) for c in range(chains) for i in range(n)], "caller long, callee long")
+    own = {c: {64 * (c % 10) + (c // 10 + 5 * k) % 64 for k in range(20)} for c in range(chains)}
+    access = spark.createDataFrame([(100 * c + n, t) for c, some in own.items() for t in some] + [(2, min(own[0]))], "function_id long, table_id long")
+    got, rows = shuffled(spark, lambda: {r.function: (r.tables, r.n) for r in dataaccess.tables_below(calls, access).collect()})
+    want = {100 * c + i: sorted(own[c] - ({min(own[0])} if (c, i) == (0, 2) else set())) for c in range(chains) for i in range(n)}
+    assert got == {f: (t, len(t)) for f, t in want.items()}
+    assert rows < 50_000
+
+
+def test_tables_below_functions_on_cycles(spark):
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 4), (4, 5), (0, 1), (0, 5), (6, 7), (7, 6), (7, 2), (8, None), (None, 8), (9, 9), (1, 2)]
+    held = [(1, 10), (2, 11), (3, 11), (5, 12), (5, 200), (4, 12), (6, 13), (9, 14), (20, 15), (7, 10)]
+    got = dataaccess.tables_below(spark.createDataFrame(edges, "caller long, callee long"), spark.createDataFrame(held, "function_id long, table_id long"))
+    below = {a: {b for x, b in edges if x == a} for a in range(10)}
+    for _ in range(10):
+        below = {a: t | {c for b in t if b is not None for c in below[b]} for a, t in below.items()}
+    want = {}
+    for a, t in below.items():
+        left = {x for f, x in held if f in t} - {x for f, x in held if f == a}
+        if left:
+            want[a] = (sorted(left), len(left))
+    assert {r.function: (r.tables, r.n) for r in got.collect()} == want
