@@ -186,12 +186,17 @@ def cycles(edges: DataFrame, max_rounds: int = 1000, trims: int = 3) -> DataFram
 
     Forward and backward colouring: where the greatest ancestor of a function is also its greatest descendant, it is of that
     one's component. Edges of a component are found, and edges between different colours of one kind lie on no cycle; both go,
-    and the rest is coloured anew with other hashes, which halves it on average. Ends that nothing enters or leaves are cut
-    before each colouring. Edges from a function to itself are cycles of their own.
+    and the rest is coloured anew with other hashes, which halves it on average. All that leads to no cycle, or that no cycle leads
+    to, is cut before the first colouring, and ends that nothing enters or leaves before each. Edges from a function to itself are
+    cycles of their own.
     """
     every = durable(edges.select("caller", "callee").distinct())
     out = every.filter("caller = callee").withColumn("component", F.col("caller"))
     rest = durable(every.filter("caller <> callee"))
+    for _ in range(2):  # callees first, then callers first; the second turn gives back the direction
+        stay = _heights(rest, max_rounds)[1]
+        rest = rest.join(stay.withColumnRenamed("function", "caller"), "caller", "left_semi").join(stay.withColumnRenamed("function", "callee"), "callee", "left_semi")
+        rest = durable(rest.select(F.col("callee").alias("caller"), F.col("caller").alias("callee")))
     for salt in range(max_rounds):
         for _ in range(trims):
             rest = rest.join(rest.select(F.col("callee").alias("caller")).distinct(), "caller", "left_semi").join(rest.select(F.col("caller").alias("callee")).distinct(), "callee", "left_semi").select("caller", "callee")

@@ -115,3 +115,13 @@ def test_tables_below_functions_on_cycles(spark):
         if left:
             want[a] = (sorted(left), len(left))
     assert {r.function: (r.tables, r.n) for r in got.collect()} == want
+
+
+def test_what_is_on_no_cycle_is_not_coloured(spark):
+    n, chains = 8, 500
+    ways = [(100 * c + i, 100 * c + i + 1) for c in range(1, chains + 1) for i in range(n)]
+    ways += [(100 * c + n, 0) if c % 2 else (2, 100 * c) for c in range(1, chains + 1)]
+    edges = spark.createDataFrame(ways + [(0, 1), (1, 2), (2, 0), (7, 7), (None, 0)], "caller long, callee long")
+    got, rows = shuffled(spark, lambda: {(r.caller, r.callee) for r in closure.cycles(edges).collect()})
+    assert got == {(0, 1), (1, 2), (2, 0), (7, 7)}
+    assert rows < 75_000
