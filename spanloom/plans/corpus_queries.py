@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.tables import durable, shared_dir
+from ..functions.tables import PART_ROWS, durable, shared_dir
 from ..operators import catalog, selection
 from ..sources import batches
 from ..streaming import streams
@@ -364,15 +364,16 @@ def _stream(t, name: str = "fx_events", shuffled: bool = False):  # noqa: ANN001
     The first, the next and the last events of each request come in turn, or, shuffled, any of them at any time. A tick of a far
     later time ends it, so that all timers fire.
     """
-    rows = t(name).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = durable(t(name).withColumn("ts", F.col("ts").cast("timestamp")))  # the view is made once for all turns
+    files = max(4, 1 + rows.count() // PART_ROWS)
     folder = f"{_fresh(t)}/in"
     place = F.coalesce(F.col("seq") % 100000, F.lit(0))  # of an event in its request
     part = F.pmod(F.xxhash64("kind", "request_id", "span_id"), F.lit(3))
     for turn in (part == 0, part == 1, part == 2) if shuffled else (place <= 20, (place > 20) & (place <= 100), place > 100):
-        rows.filter(turn).repartition(4).write.mode("append").parquet(folder)
+        rows.filter(turn).repartition(files).write.mode("append").parquet(folder)
     tick = rows.limit(1).select(*[F.lit({"kind": "log", "request_id": "tick"}.get(f.name)).cast(f.dataType).alias(f.name) if f.name != "ts" else F.lit("2030-01-01").cast("timestamp").alias("ts") for f in rows.schema])
     tick.coalesce(1).write.mode("append").parquet(folder)
-    return streams.event_stream(t.spark, folder, rows.schema, 4)
+    return streams.event_stream(t.spark, folder, rows.schema, files)
 
 
 @query("A2_stream_counters", """
@@ -434,10 +435,11 @@ _REGISTERS = "SELECT CAST(user_id AS STRING) AS target, ts, CAST(floor(event_id
  SELECT target, max(ts) AS last_seen, arg_max(started_at, (ts, started_at)) AS started_at, count(*) FILTER (b IS NOT NULL AND b <> started_at) AS restarts, count(*) AS handshakes, false AS connected FROM g GROUP BY 1""")
 def _(t):
     base, rows = _fresh(t), t.sql(_REGISTERS).withColumn("ts", F.col("ts").cast("timestamp"))
+    files = max(4, 1 + rows.count() // PART_ROWS)
     for turn in ("ts < '2024-01-11'", "ts >= '2024-01-11' AND ts < '2024-01-21'", "ts >= '2024-01-21'"):
-        rows.filter(turn).repartition(4).write.mode("append").parquet(f"{base}/in")
+        rows.filter(turn).repartition(files).write.mode("append").parquet(f"{base}/in")
     rows.limit(1).select(F.lit("tick").alias("target"), F.lit("2030-01-01").cast("timestamp").alias("ts"), F.lit(0).cast("long").alias("started_at")).write.mode("append").parquet(f"{base}/in")
-    live = streams.run_available(streams.stream_liveness(streams.event_stream(t.spark, f"{base}/in", rows.schema, 4), watermark="400 days"))
+    live = streams.run_available(streams.stream_liveness(streams.event_stream(t.spark, f"{base}/in", rows.schema, files), watermark="400 days"))
     newest = live.filter("target <> 'tick'").groupBy("target").agg(F.max_by(F.struct("last_seen", "started_at", "restarts", "handshakes", "connected"), F.struct("batch", ~F.col("connected"))).alias("l"))
     return newest.select("target", "l.*").withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
 

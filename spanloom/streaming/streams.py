@@ -1,9 +1,10 @@
 """Structured Streaming forms of the event operators.
 
-Stateful operators run on `transformWithStateInPandas` (RocksDB state): map state
-for the spans and functions of a request, value state for what is known of it, and
-one event-time timer a key. State is bounded by its key and goes with the timer: a
-request is settled when the watermark has passed its last event by `late_ms` once
+Stateful operators run on `transformWithState` (RocksDB state): value states for
+what is known of a request and for its waiting spans or its functions, each read
+and written once a micro-batch, and one event-time timer a key. Rows come as such,
+as a frame for each key costs far more than its rows. State is bounded by its key
+and goes with the timer: a request is settled when the watermark has passed its last event by `late_ms` once
 its end was seen, or by `keep_ms` without one. Events may come in any order and
 over any number of micro-batches until then. Sinks are written per micro-batch
 under the batch's number, so a repeated batch replaces itself.
@@ -11,10 +12,9 @@ under the batch's number, so a repeated batch replaces itself.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,29 +23,20 @@ from pyspark.sql.types import StructType
 from ..functions.tables import shared_dir
 
 
-def _stateful(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, watermark: str) -> DataFrame:
-    """stream, keyed and timed by `ts`, through a processor; map state and timers need the RocksDB provider, set here for the session."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return stream.withWatermark("ts", watermark).groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
-
-
-def _columns(schema: str) -> list[str]:
-    return [c.strip().split(" ")[0] for c in schema.split(",")]
+def _stateful(stream: DataFrame, key: str, columns: Sequence[str], processor: StatefulProcessor, schema: str, watermark: str) -> DataFrame:
+    """stream, keyed and timed by `ts`, through a processor, as rows (key, *columns, ts, at): `at` is ts in microseconds, as are all its times.
 
-
-def _frame(rows: list, schema: str) -> pd.DataFrame:
-    """Rows as a frame whose numbers may be null."""
-    kinds = {"long": "Int64", "int": "Int32", "timestamp": "datetime64[us]"}
-    out = pd.DataFrame(rows, columns=_columns(schema))
-    return out.astype({c: kinds[k] for c, k in (x.strip().split(" ") for x in schema.split(",")) if k in kinds})
+    Timers need the RocksDB provider, set here for the session.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = stream.withWatermark("ts", watermark).select(key, *columns, "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    out = rows.groupBy(key).transformWithState(processor, schema.replace("timestamp", "long"), "Append", "EventTime")
+    return out.select(*[F.timestamp_micros(c).alias(c) if kind == "timestamp" else c for c, kind in (x.strip().split(" ") for x in schema.split(","))])
 
 
-def _plain(value: object) -> object:
-    """None for a missing value; whole numbers, which pandas makes floats of beside missing ones, as such."""
-    if value is None or value is pd.NaT or value != value:
-        return None
-    value = value.item() if hasattr(value, "item") else value
-    return int(value) if isinstance(value, float) else value
+def _rows(found: Iterable[tuple], schema: str) -> list[Row]:
+    named = Row(*[c.strip().split(" ")[0] for c in schema.split(",")])
+    return [named(*x) for x in found]
 
 
 class Settled(StatefulProcessor):
@@ -58,20 +49,26 @@ class Settled(StatefulProcessor):
         self.handle = handle
         self.clock = handle.getValueState("clock", "newest long, over boolean, due long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest, over, due = self.clock.get() if self.clock.exists() else (0, False, None)
-        for pdf in rows:
-            newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
-            over = over or ("kind" in pdf and bool((pdf["kind"] == "request.end").any()))
-            yield self.take(key, pdf)
-        if due is not None:
-            self.handle.deleteTimer(due)
-        due = max(newest + (self.late_ms if over else self.keep_ms), timerValues.getCurrentWatermarkInMs() + 1)
-        self.handle.registerTimer(due)
-        self.clock.update((newest, over, due))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self.settle(key)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        newest, over, due = self.clock.get() or (0, False, None)
+
+        def noted() -> Iterator[Row]:
+            nonlocal newest, over
+            for row in rows:
+                newest = max(newest, (row[-1] or 0) // 1000)
+                over = over or row[1] == "request.end"  # kind is the first column, where there is one
+                yield row
+
+        yield from self.take(key, noted())
+        now = max(newest + (self.late_ms if over else self.keep_ms), timerValues.getCurrentWatermarkInMs() + 1)
+        if now != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(now)
+        self.clock.update((newest, over, now))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self.settle(key)
         self.clock.clear()
 
     def close(self) -> None:
@@ -128,45 +125,45 @@ class _Spans(Settled):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.open = handle.getMapState("open", "span_id string", "parent string, name string, ts timestamp, seq long")
-        self.ended = handle.getMapState("ended", "span_id string", "parent string, name string, kind string, duration_ms long, seq long")
+        started, ended = "span: string, parent: string, name: string, ts: long, seq: long", "span: string, parent: string, name: string, kind: string, duration_ms: long, seq: long"
+        self.waiting = handle.getValueState("waiting", f"started array<struct<{started}>>, ended array<struct<{ended}>>")
 
     @staticmethod
     def _row(request: str, span: str, start: tuple | None, end: tuple | None) -> tuple:
         parent, name, ts, seq = start or (None, None, None, None)
         end_parent, end_name, kind, duration, end_seq = end or (None, None, None, None, None)
         status = "running" if end is None else "error" if kind == "fn.error" else "ok"
-        return request, span, parent or end_parent, name or end_name, ts, min(x for x in (seq, end_seq) if x is not None), duration, start is not None, status
-
-    def take(self, key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fn = pdf[pdf["kind"].isin(("fn.start", "fn.end", "fn.error")) & pdf["span_id"].notna()]
-        is_start = fn["kind"] == "fn.start"
-        pick = lambda rows, *names: {r[0]: tuple(map(_plain, r[1:])) for r in zip(*(rows[c] for c in ("span_id", *names)))}
-        starts, ends = pick(fn[is_start], "parent_span_id", "name", "ts", "seq"), pick(fn[~is_start], "parent_span_id", "name", "kind", "duration_ms", "seq")
+        return request, span, parent or end_parent, name or end_name, ts, min((x for x in (seq, end_seq) if x is not None), default=None), duration, start is not None, status
+
+    def take(self, key: tuple, rows: Iterator[Row]) -> list[Row]:
+        starts, ends = {}, {}
+        for _, kind, span, parent, name, duration, seq, _, at in rows:
+            if span is not None and kind == "fn.start":
+                starts[span] = (parent, name, at, seq)
+            elif span is not None and kind in ("fn.end", "fn.error"):
+                ends[span] = (parent, name, kind, duration, seq)
+        if not (starts or ends):
+            return []
+        started, ended = ({x[0]: tuple(x[1:]) for x in some} for some in self.waiting.get() or ((), ()))
         out = []
         for span, end in ends.items():
-            start = starts.pop(span, None)
-            if start is None and self.open.containsKey((span,)):
-                start = self.open.getValue((span,))
-                self.open.removeKey((span,))
+            start = starts.pop(span, None) or started.pop(span, None)
             if start is None:
-                self.ended.updateValue((span,), end)
+                ended[span] = end
             else:
                 out.append(self._row(key[0], span, start, end))
         for span, start in starts.items():
-            if self.ended.containsKey((span,)):
-                out.append(self._row(key[0], span, start, self.ended.getValue((span,))))
-                self.ended.removeKey((span,))
+            if span in ended:
+                out.append(self._row(key[0], span, start, ended.pop(span)))
             else:
-                self.open.updateValue((span,), start)
-        return _frame(out, SPANS)
+                started[span] = start
+        self.waiting.update(([(k, *v) for k, v in started.items()], [(k, *v) for k, v in ended.items()]))
+        return _rows(out, SPANS)
 
-    def settle(self, key: tuple) -> pd.DataFrame:
-        out = [self._row(key[0], span, tuple(start), None) for (span,), start in self.open.iterator()]
-        out += [self._row(key[0], span, None, tuple(end)) for (span,), end in self.ended.iterator()]
-        self.open.clear()
-        self.ended.clear()
-        return _frame(out, SPANS)
+    def settle(self, key: tuple) -> list[Row]:
+        started, ended = self.waiting.get() or ((), ())
+        self.waiting.clear()
+        return _rows([self._row(key[0], x[0], tuple(x[1:]), None) for x in started] + [self._row(key[0], x[0], None, tuple(x[1:])) for x in ended], SPANS)
 
 
 def stream_spans(stream: DataFrame, watermark: str = "10 minutes", late_ms: int = 0, keep_ms: int = 600_000) -> DataFrame:
@@ -174,7 +171,8 @@ def stream_spans(stream: DataFrame, watermark: str = "10 minutes", late_ms: int
 
     Starts without an end come as running, and ends without a start with has_start false, when their request is settled.
     """
-    return _stateful(stream, "request_id", _Spans(late_ms, keep_ms), SPANS, watermark)
+    columns = ("kind", "span_id", "parent_span_id", "name", "duration_ms", "seq")
+    return _stateful(stream, "request_id", columns, _Spans(late_ms, keep_ms), SPANS, watermark)
 
 
 REQUESTS = "request_id string, method string, path string, ts timestamp, seq long, status int, duration_ms long, span_count long, raised boolean, active boolean"
@@ -183,29 +181,29 @@ REQUESTS = "request_id string, method string, path string, ts timestamp, seq lon
 class _Requests(Settled):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.known = handle.getValueState("known", "started boolean, method string, path string, ts timestamp, seq long, ended boolean, status int, duration_ms long, spans long, raised boolean")
-
-    def take(self, key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        started, method, path, ts, seq, ended, status, duration, spans, raised = self.known.get() if self.known.exists() else (False, None, None, None, None, False, None, None, 0, False)
-        start, end = pdf[pdf["kind"] == "request.start"], pdf[pdf["kind"] == "request.end"]
-        if len(start):
-            started, (method, path, ts, seq) = True, map(_plain, start.iloc[0][["method", "path", "ts", "seq"]])
-        if len(end):
-            ended, (status, duration) = True, map(_plain, end.iloc[0][["status", "duration_ms"]])
-        spans += int((pdf["kind"] == "fn.start").sum())
-        raised = raised or bool((pdf["kind"] == "fn.error").any())
-        self.known.update((started, method, path, ts, seq, ended, status, duration, spans, raised))
-        return _frame([], REQUESTS)
-
-    def settle(self, key: tuple) -> pd.DataFrame:
+        self.known = handle.getValueState("known", "started boolean, method string, path string, ts long, seq long, ended boolean, status int, duration_ms long, spans long, raised boolean")
+
+    def take(self, key: tuple, rows: Iterator[Row]) -> list[Row]:
+        known = self.known.get() or (False, None, None, None, None, False, None, None, 0, False)
+        start, end, (spans, raised) = None, None, known[8:]
+        for _, kind, method, path, seq, status, duration, _, at in rows:
+            if kind == "request.start":
+                start = start or (True, method, path, at, seq)
+            elif kind == "request.end":
+                end = end or (True, status, duration)
+            spans, raised = spans + (kind == "fn.start"), raised or kind == "fn.error"
+        self.known.update((*(start or known[:5]), *(end or known[5:8]), spans, raised))
+        return []
+
+    def settle(self, key: tuple) -> list[Row]:
         started, method, path, ts, seq, ended, status, duration, spans, raised = self.known.get()
         self.known.clear()
-        return _frame([(key[0], method, path, ts, seq, status, duration, spans, raised, not ended)] if started else [], REQUESTS)
+        return _rows([(key[0], method, path, ts, seq, status, duration, spans, raised, not ended)] if started else [], REQUESTS)
 
 
 def stream_requests(stream: DataFrame, watermark: str = "10 minutes", late_ms: int = 0, keep_ms: int = 600_000) -> DataFrame:
     """One row per request, as assemble_requests, when it is settled: with an end as done, without one as active."""
-    return _stateful(stream, "request_id", _Requests(late_ms, keep_ms), REQUESTS, watermark)
+    return _stateful(stream, "request_id", ("kind", "method", "path", "seq", "status", "duration_ms"), _Requests(late_ms, keep_ms), REQUESTS, watermark)
 
 
 def stream_overlay(spans: DataFrame) -> DataFrame:
@@ -224,25 +222,21 @@ class _Caps(Settled):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.calls = handle.getMapState("calls", "name string", "n long")
-        self.total = handle.getValueState("total", "n long")
-
-    def take(self, key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fn = pdf[pdf["kind"] == "fn.start"].sort_values("seq")
-        before = self.total.get()[0] if self.total.exists() else 0
-        names = fn["name"].fillna("")
-        had = {x: self.calls.getValue((x,))[0] if self.calls.containsKey((x,)) else 0 for x in names.unique()}
-        n = names.map(had) + names.groupby(names).cumcount() + 1
-        for x, m in names.value_counts().items():
-            self.calls.updateValue((x,), (had[x] + int(m),))  # counted past the caps too
-        self.total.update((before + len(fn),))
-        rows = [(key[0], *map(_plain, x), x[-1] <= self.captures) for x in zip(fn["span_id"], fn["name"], fn["seq"], n)]
-        return _frame(rows[: max(0, self.spans - before)], CAPS)
-
-    def settle(self, key: tuple) -> pd.DataFrame:
-        self.calls.clear()
-        self.total.clear()
-        return _frame([], CAPS)
+        self.counts = handle.getValueState("counts", "total long, calls map<string, long>")
+
+    def take(self, key: tuple, rows: Iterator[Row]) -> list[Row]:
+        starts = sorted(((seq is None, seq or 0, seq, span, name) for _, kind, span, name, seq, _, _ in rows if kind == "fn.start"), key=lambda x: x[:2])
+        before, calls = self.counts.get() or (0, {})
+        calls, out = dict(calls), []
+        for _, _, seq, span, name in starts:
+            calls[name or ""] = n = calls.get(name or "", 0) + 1  # counted past the caps too
+            out.append((key[0], span, name, seq, n, n <= self.captures))
+        self.counts.update((before + len(starts), calls))
+        return _rows(out[: max(0, self.spans - before)], CAPS)
+
+    def settle(self, key: tuple) -> list[Row]:
+        self.counts.clear()
+        return []
 
 
 def stream_caps(stream: DataFrame, captures: int = 50, spans: int = 5000, watermark: str = "10 minutes", late_ms: int = 0, keep_ms: int = 600_000) -> DataFrame:
@@ -250,7 +244,7 @@ def stream_caps(stream: DataFrame, captures: int = 50, spans: int = 5000, waterm
 
     Calls are numbered as they come, in order of seq inside a micro-batch.
     """
-    return _stateful(stream, "request_id", _Caps(captures, spans, late_ms, keep_ms), CAPS, watermark)
+    return _stateful(stream, "request_id", ("kind", "span_id", "name", "seq"), _Caps(captures, spans, late_ms, keep_ms), CAPS, watermark)
 
 
 LIVE = "target string, last_seen timestamp, started_at long, restarts long, handshakes long, connected boolean"
@@ -259,20 +253,19 @@ LIVE = "target string, last_seen timestamp, started_at long, restarts long, hand
 class _Live(Settled):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.seen = handle.getValueState("seen", "last_seen timestamp, started_at long, restarts long, handshakes long")
+        self.seen = handle.getValueState("seen", "last_seen long, started_at long, restarts long, handshakes long")
 
-    def take(self, key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        last, began, restarts, handshakes = self.seen.get() if self.seen.exists() else (None, None, 0, 0)
-        pdf = pdf.sort_values(["ts", "started_at"])
-        marks = [began] * (handshakes > 0) + [_plain(x) for x in pdf["started_at"]]
+    def take(self, key: tuple, rows: Iterator[Row]) -> list[Row]:
+        last, began, restarts, handshakes = self.seen.get() or (None, None, 0, 0)
+        new = sorted(((at, began is None, began or 0) for _, began, _, at in rows))
+        marks = [began] * (handshakes > 0) + [None if none else mark for _, none, mark in new]
         restarts += sum(a is not None and a != b for a, b in zip(marks, marks[1:]))
-        last = max(x for x in (last, pdf["ts"].max()) if x is not None)
-        began, handshakes = marks[-1], handshakes + len(pdf)
+        last, began, handshakes = max(x for x in (last, new[-1][0]) if x is not None), marks[-1], handshakes + len(new)
         self.seen.update((last, began, restarts, handshakes))
-        return _frame([(key[0], last, began, restarts, handshakes, True)], LIVE)
+        return _rows([(key[0], last, began, restarts, handshakes, True)], LIVE)
 
-    def settle(self, key: tuple) -> pd.DataFrame:
-        return _frame([(key[0], *self.seen.get(), False)], LIVE)  # kept: a later handshake may be a restart
+    def settle(self, key: tuple) -> list[Row]:
+        return _rows([(key[0], *self.seen.get(), False)], LIVE)  # kept: a later handshake may be a restart
 
 
 def stream_liveness(registers: DataFrame, gone_after_s: int = 90, watermark: str = "0 seconds") -> DataFrame:
@@ -280,7 +273,7 @@ def stream_liveness(registers: DataFrame, gone_after_s: int = 90, watermark: str
 
     It is gone when the watermark passes its last handshake by gone_after_s. The newest row of a target is its state.
     """
-    return _stateful(registers, "target", _Live(gone_after_s * 1000, gone_after_s * 1000), LIVE, watermark)
+    return _stateful(registers, "target", ("started_at",), _Live(gone_after_s * 1000, gone_after_s * 1000), LIVE, watermark)
 
 
 def upsert(stream: DataFrame, keys: Sequence[str], path: str, checkpoint: str, mode: str = "update") -> object:

@@ -83,3 +83,53 @@ def test_targets_are_gone_and_back(spark, tmp_path):
     got = streams.run_available(streams.stream_liveness(source)).filter("target <> 'z'").orderBy("batch", F.desc("connected"))
     t = [(x.handshakes, x.restarts, x.connected) for x in got.collect() if x.target == "t"]
     assert t[0] == (1, 0, True) and t[-1] == (3, 1, False) and (2, 0, False) in t and (3, 1, True) in t
+
+
+class Handle:
+    """State of one key, and how often it is read or written."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = 0, {}, set()
+
+    def getValueState(self, name, schema):
+        handle = self
+
+        class Value:
+            def get(self):
+                handle.calls += 1
+                return handle.held.get(name)
+
+            def update(self, value):
+                handle.calls += 1
+                handle.held[name] = value
+
+            def clear(self):
+                handle.calls += 1
+                handle.held.pop(name, None)
+
+        return Value()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_state_of_a_request_is_read_and_written_once_a_batch():
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    n, handle, spans_of = 500, Handle(), streams._Spans(0, 600_000)
+    spans_of.init(handle)
+    starts = [("a", "fn.start", str(i), None, "f", None, 2 * i, None, 1000 * i) for i in range(n)]
+    ends = [("a", "fn.error" if i % 2 else "fn.end", str(i), None, "f", i, 2 * i + 1, None, None) for i in range(0, n, 5)]
+    assert list(spans_of.handleInputRows(("a",), iter(starts), Now())) == []
+    got = list(spans_of.handleInputRows(("a",), iter(ends), Now()))
+    assert {(x.span_id, x.ts, x.seq, x.duration_ms, x.status) for x in got} == {(str(i), 1000 * i, 2 * i, i, "error" if i % 2 else "ok") for i in range(0, n, 5)}
+    assert handle.calls <= 12 and handle.timers == {600_000 + n - 1}
+    left = list(spans_of.handleExpiredTimer(("a",), Now(), None))
+    assert [x.span_id for x in left] == [str(i) for i in range(n) if i % 5] and {x.status for x in left} == {"running"} and handle.held == {}
