@@ -477,9 +477,12 @@ def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int
     edges = durable(_tile_stripes(tiles, radius).mapInArrow(compare, "u long, v long").distinct())
     total = edges.count()
 
+    # only texts that have links go on, with their numbers of links: all texts are dealt once for that
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("nu"), F.lit(0).alias("nv")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    linked = durable(texts.select("node", "z").join(ends.groupBy("node").agg(F.sum("nu").alias("nu"), F.sum("nv").alias("nv")), "node"))
+
     def with_text(rows: DataFrame, end: str) -> DataFrame:  # a hub's text meets its links in several parts
-        degree = edges.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("degree"))
-        table = durable(texts.join(degree, "node").select(F.col("node").alias(end), F.col("z").alias(f"z{end}"), "degree"))
+        table = linked.filter(F.col(f"n{end}") > 0).select(F.col("node").alias(end), F.col("z").alias(f"z{end}"), F.col(f"n{end}").alias("degree"))
         return join_counted(rows, table, [end], "degree", total, [F.col("u"), F.col("v")]).drop("degree")
 
     @F.pandas_udf("double")
@@ -502,7 +505,7 @@ def similar_classes(docs: DataFrame, text_col: str = "text", shingle_words: int
         failed = tried.filter("NOT holds").join(clusters, F.col("u") == F.col("node")).select(F.col("root").alias("group")).distinct()
         mixed = clusters.withColumnRenamed("root", "group").join(failed, "group").join(known, "node", "left")
         rows = mixed.join(sized.select("node", "n"), "node").select("group", F.coalesce("root", "node").alias("root"), "node", F.col("n").cast("long").alias("n"))
-        found = durable(_linked(rows, texts.select("node", F.col("z").alias("data")), sets_of, similarity, block_shingles))
+        found = durable(_linked(rows, linked.select("node", F.col("z").alias("data")), sets_of, similarity, block_shingles))
         known = known if found.isEmpty() else durable(components(known.toDF("u", "v").union(found)))
     rows = _rare(sized, similarity).join(known, "node", "left").select("group", F.coalesce("root", "node").alias("root"), "node", "n")
     few = sized.filter("few IS NOT NULL").select("node", F.col("few").alias("data"))
