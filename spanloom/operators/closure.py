@@ -144,7 +144,8 @@ def least_paths(calls: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> D
     empty = F.array().cast("array<int>")
     state = durable(roots.select("root").dropna().distinct().select("root", F.col("root").alias("function"), empty.alias("path"), F.array(F.col("root").cast(kind)).alias("chain"), F.lit(True).alias("new")))
     for _ in range(max_rounds):
-        moved = state.filter("new").withColumnRenamed("function", "caller").join(step, "caller").filter(~F.array_contains("chain", F.col("callee")))
+        # by an exchange at any size: a table of up to the broadcast threshold in each round would all go through the driver
+        moved = state.filter("new").withColumnRenamed("function", "caller").join(step.hint("merge"), "caller").filter(~F.array_contains("chain", F.col("callee")))
         longer = F.struct(F.array_append("path", F.col("ordinal")).alias("path"), F.array_append("chain", F.col("callee")).alias("chain"))
         come = moved.groupBy("root", F.col("callee").alias("function")).agg(F.min(longer).alias("come"))
         both = state.drop("new").join(come, ["root", "function"], "full")

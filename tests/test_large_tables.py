@@ -138,3 +138,15 @@ def test_many_requests_are_labelled_in_one_call(spark, monkeypatch):
         got.append(sorted(map(str, labels.collect())))
     assert got[0] == got[1] == got[2] and len(got[0]) == len(rows) - 2  # a loop has no labels
     assert {(r.pre, r.last) for r in labels.filter("span_id = '0'").collect()} == {(0, q) for q in range(9)}
+
+
+def test_rounds_of_least_paths_send_no_table_through_the_driver(spark):
+    n = 15
+    calls = spark.createDataFrame([(i, c, k) for i in range(n) for k, c in enumerate((2 * i + 1, 2 * i + 2, 0)) if c < n], "caller long, callee long, ordinal int")
+    roots = spark.createDataFrame([(0,), (1,)], "root long")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    got = {(r.root, r.function): (r.path, r.chain) for r in closure.least_paths(calls, roots).collect()}
+    plans = [x.physicalPlanDescription() for x in (store.executionsList().apply(i) for i in range(before, store.executionsCount()))]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+    assert len(got) == 2 * n and got[0, 0] == ([], [0]) and got[0, 8] == ([0, 0, 1], [0, 1, 3, 8]) and got[1, 0] == ([0, 0, 2], [1, 3, 7, 0])
