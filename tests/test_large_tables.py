@@ -1,9 +1,11 @@
 """Plans and results that hold at any size: what is sent to the driver, pairs that are not made, work dealt over tasks."""
 
 import difflib
+import os
+import time
 
 from pyspark.sql import functions as F
-from spanloom.functions.tables import dealt, durable
+from spanloom.functions.tables import dealt, durable, shared_dir
 from spanloom.operators import catalog, closure, dataaccess, spans
 from spanloom.plans.fixtures import Tables
 
@@ -150,3 +152,33 @@ def test_rounds_of_least_paths_send_no_table_through_the_driver(spark):
     plans = [x.physicalPlanDescription() for x in (store.executionsList().apply(i) for i in range(before, store.executionsCount()))]
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
     assert len(got) == 2 * n and got[0, 0] == ([], [0]) and got[0, 8] == ([0, 0, 1], [0, 1, 3, 8]) and got[1, 0] == ([0, 0, 2], [1, 3, 7, 0])
+
+
+def shuffle_files(spark):
+    return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+
+
+def test_what_a_round_shuffled_and_the_rounds_before_it_leave_the_disk(spark):
+    had, folder = shuffle_files(spark), f"{shared_dir(spark)}/tables"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    wide = durable(spark.range(10_000).groupBy(F.pmod("id", F.lit(1_000)).alias("k")).agg(F.sum("id").alias("n")))
+    for _ in range(50):  # files go soon after
+        if not shuffle_files(spark) - had:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - had and wide.count() == 1_000
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "caller long, callee long")
+    assert closure.depths(chain, spark.createDataFrame([(0,)], "root long")).count() == 13
+    assert len(set(os.listdir(folder)) - before) <= 4
+
+
+def test_lists_of_tables_are_not_shuffled(spark, monkeypatch):
+    calls = spark.createDataFrame([(i, c) for i in range(100) for c in (2 * i + 1, 2 * i + 2) if c < 200], "caller long, callee long")
+    access = spark.createDataFrame([(i, 7 * t) for i in range(200) for t in range(i % 90)], "function_id long, table_id long")
+    blocks = dataaccess.tables_below(calls, access)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("BroadcastHashJoin") < plan.index("Exchange hashpartitioning(function")  # the join is above the only exchange
+    assert plan.count("Exchange hashpartitioning(function") == 1
+    monkeypatch.setattr(dataaccess, "MAX_LISTED", 0)
+    rows = lambda df: sorted((r.function, tuple(r.tables), r.n) for r in df.collect())
+    assert rows(blocks) == rows(dataaccess.tables_below(calls, access))
