@@ -136,27 +136,48 @@ def depths(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFr
     raise _over("the walk", max_rounds)
 
 
+#: Rounds of least_paths that are written on their own before they are merged.
+MERGE_ROUNDS = 8
+
+
 def least_paths(calls: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(root, function, path, chain): the first place of each function in a depth-first walk of calls (caller, callee, ordinal).
 
     `path` has the ordinals of the calls from the root on, `chain` the functions from the root to this one. The first place is
     that of the least path, compared call by call, among paths that meet no function twice; a part of a least path is one itself,
-    so paths are relaxed until none gets less.
+    so paths are made longer by a call a round until none is the least. A round writes the least of its own paths only; every
+    MERGE_ROUNDS rounds these are merged into the least of all, and those of the last that are not are given up.
     """
     step = durable(calls.filter("caller <> callee").groupBy("caller", "callee").agg(F.min("ordinal").cast("int").alias("ordinal")))
     kind = next(f.dataType for f in roots.schema if f.name == "root")
     empty = F.array().cast("array<int>")
-    state = durable(roots.select("root").dropna().distinct().select("root", F.col("root").alias("function"), empty.alias("path"), F.array(F.col("root").cast(kind)).alias("chain"), F.lit(True).alias("new")))
+    best = new = durable(roots.select("root").dropna().distinct().select("root", F.col("root").alias("function"), empty.alias("path"), F.array(F.col("root").cast(kind)).alias("chain")))
+    apart: list[DataFrame] = []
+
+    def merged() -> DataFrame:
+        every = best.withColumn("last", F.lit(False))
+        for x in apart:
+            every = every.union(x.withColumn("last", F.lit(x is new)))
+        least = every.repartition("root", "function").groupBy("root", "function").agg(F.min(F.struct("path", "chain", "last")).alias("x"))
+        out = durable(least.select("root", "function", "x.*"))
+        free(best, *apart)
+        return out
+
     for _ in range(max_rounds):
         # by an exchange at any size: a table of up to the broadcast threshold in each round would all go through the driver
-        moved = state.filter("new").withColumnRenamed("function", "caller").join(step.hint("merge"), "caller").filter(~F.array_contains("chain", F.col("callee")))
+        moved = new.withColumnRenamed("function", "caller").join(step.hint("merge"), "caller").filter(~F.array_contains("chain", F.col("callee")))
         longer = F.struct(F.array_append("path", F.col("ordinal")).alias("path"), F.array_append("chain", F.col("callee")).alias("chain"))
-        come = moved.groupBy("root", F.col("callee").alias("function")).agg(F.min(longer).alias("come"))
-        both = state.drop("new").join(come, ["root", "function"], "full")
-        less = F.col("come").isNotNull() & (F.col("path").isNull() | (F.col("come.path") < F.col("path")))
-        state = durable(both.select("root", "function", F.when(less, F.col("come.path")).otherwise(F.col("path")).alias("path"), F.when(less, F.col("come.chain")).otherwise(F.col("chain")).alias("chain"), less.alias("new")))
-        if state.filter("new").isEmpty():
-            return state.drop("new")
+        come = moved.select("root", F.col("callee").alias("function"), longer.alias("come")).repartition("root", "function")
+        new = durable(come.groupBy("root", "function").agg(F.min("come").alias("come")).select("root", "function", "come.path", "come.chain"))
+        apart.append(new)
+        if len(apart) < MERGE_ROUNDS and not new.isEmpty():
+            continue
+        both = merged()
+        best, new, apart = both.drop("last"), both.filter("last").drop("last"), []
+        best._folder = both._folder
+        if new.isEmpty():
+            free(step)
+            return best
     raise _over("paths", max_rounds)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.tables import free
 from ..operators import closure, dataaccess, graph, lineage
 from .fixtures import Tables, with_views
 
@@ -314,11 +315,10 @@ _USAGE = f"""
 
 
 def _paths(t):  # noqa: ANN001, ANN202
-    return closure.placed(closure.least_paths(t("fx_call_sites"), t("fx_roots")))
-
-
-def _usage(t):  # noqa: ANN001, ANN202
-    return _paths(t), t("fx_db_access")
+    paths = closure.least_paths(t("fx_call_sites"), t("fx_roots"))
+    out = closure.placed(paths)
+    free(paths)
+    return out
 
 
 def _ops():  # noqa: ANN202
@@ -335,7 +335,7 @@ def _(t):
  f AS (SELECT root, table_id, count(*) AS functions, bool_and(uncertain) AS uncertain, min(path) AS path, arg_min(chain, path) AS chain FROM fn GROUP BY 1, 2)
  SELECT f.*, ops, row_number() OVER (PARTITION BY root ORDER BY functions DESC, table_id) AS place FROM f JOIN ops USING (root, table_id)""")
 def _(t):
-    return dataaccess.table_usage(*_usage(t)).withColumn("ops", _ops())
+    return dataaccess.table_usage(_paths(t), t("fx_db_access")).withColumn("ops", _ops())
 
 
 @query("I4_fields", f"""
@@ -378,9 +378,10 @@ def _index_fields(t, paths):  # noqa: ANN001, ANN202
  SELECT i.table_id, ops, coalesce(functions, 0) AS functions, coalesce(uncertain, false) AS uncertain, coalesce(endpoints, 0) AS endpoints, coalesce(fields, 0) AS fields, i.table_id % 2 = 0 AS has_model, CAST(CASE WHEN i.table_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS indexes
  FROM ids i LEFT JOIN f USING (table_id) LEFT JOIN ops USING (table_id) LEFT JOIN nf USING (table_id)""")
 def _(t):
-    paths = _paths(t)
+    reached = closure.spread(t("fx_call_sites"), closure.numbered_roots(t("fx_roots")))
     indexes = t("supplier").filter("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("table_id"))
-    out = dataaccess.database_index(paths, t("fx_db_access"), _index_fields(t, paths), t("fx_db_model"), indexes)
+    names = dataaccess.index_field_names(reached, t("fx_db_field"), t("fx_db_model"))
+    out = dataaccess.database_index(reached, t("fx_db_access"), names, t("fx_db_model"), indexes)
     return out.withColumn("ops", _ops())
 
 
@@ -391,7 +392,7 @@ def _(t):
 
 @query("I6_endpoints", f"WITH RECURSIVE {_USAGE} SELECT table_id, root, list_sort(list(DISTINCT op)) AS ops, arg_min(chain, (len(chain), op, function)) AS call_chain FROM fn GROUP BY 1, 2")
 def _(t):
-    return dataaccess.index_endpoints(*_usage(t))
+    return dataaccess.index_endpoints(closure.least_paths(t("fx_call_sites"), t("fx_roots")), t("fx_db_access"))
 
 
 @query("I6_fields", f"WITH RECURSIVE {_INDEX_FIELDS} SELECT * FROM xf")

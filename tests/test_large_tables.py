@@ -182,3 +182,34 @@ def test_lists_of_tables_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(dataaccess, "MAX_LISTED", 0)
     rows = lambda df: sorted((r.function, tuple(r.tables), r.n) for r in df.collect())
     assert rows(blocks) == rows(dataaccess.tables_below(calls, access))
+
+
+def test_rounds_of_least_paths_write_their_own_paths_only(spark, monkeypatch):
+    n = 24
+    calls = spark.createDataFrame([(i, (i * k + 1) % n, k) for i in range(n) for k in (1, 5)], "caller long, callee long, ordinal int")  # with cycles
+    roots = spark.createDataFrame([(i,) for i in range(0, n, 3)], "root long")
+    got = []
+    for rounds in (1, 3, 100):
+        monkeypatch.setattr(closure, "MERGE_ROUNDS", rounds)
+        got.append(sorted((r.root, r.function, tuple(r.path), tuple(r.chain)) for r in closure.least_paths(calls, roots).collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 8 * n
+    monkeypatch.undo()
+    line = spark.createDataFrame([(i, i + 1, 0) for i in range(30)], "caller long, callee long, ordinal int")
+    paths, rows = shuffled(spark, lambda: closure.least_paths(line, spark.createDataFrame([(i,) for i in range(31)], "root long")).count())
+    assert paths == 31 * 32 // 2 and rows < 7_000  # some 1,000 are the edges of each round
+
+
+def test_facts_under_a_root_are_merged_before_they_are_dealt(spark):
+    n, line = 500, 40
+    links = [(i, i + 1, 0) for i in range(line - 1)] + [(line - 1, i, i) for i in range(line, n)]
+    facts = [(i, 7 * k, "read" if i % 3 else "write", i + k, i % 2 == 0) for i in range(n) for k in range(4)]
+    got = []
+    for kind, of in (("long", int), ("string", "app.m:f{:04d}".format)):
+        paths = closure.placed(closure.least_paths(spark.createDataFrame([(of(a), of(b), o) for a, b, o in links], f"caller {kind}, callee {kind}, ordinal int"), spark.createDataFrame([(of(i),) for i in range(line)], f"root {kind}")))
+        access = spark.createDataFrame([(of(f), *rest) for f, *rest in facts], f"function_id {kind}, table_id long, op string, n long, uncertain boolean")
+        usage, rows = shuffled(spark, lambda paths=paths, access=access: dataaccess.table_usage(paths, access).collect())
+        got.append(sorted((r.root, r.table_id, sorted(r.ops.items()), r.functions, r.uncertain, r.path, r.place) for r in usage))
+        if kind == "long":
+            assert rows < 60_000  # of some 77,000 facts under roots
+    assert [(of(r), *rest) for r, *rest in got[0]] == got[1]
+    assert got[0] == [(r, 7 * k, sorted({"read": sum(i + k for i in range(r, n) if i % 3), "write": sum(i + k for i in range(r, n) if not i % 3)}.items()), n - r, False, [], k + 1) for r in range(line) for k in range(4)]
